@@ -1,0 +1 @@
+"""Knowledge retrieval and governance on Spark DataFrames."""
