@@ -10,6 +10,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 _WORD = re.compile(r"\w+")
 
@@ -24,12 +25,12 @@ def claim_form(text: str) -> str:
     return " ".join(unicodedata.normalize("NFKC", text).casefold().split()).strip(' .!?;:"“”')
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normal_label(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else label_form(t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def normal_claim(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else claim_form(t))
 
@@ -45,7 +46,7 @@ def digest(value: object, compact: bool = False, ascii_only: bool = True) -> str
 def client_hash(secret: bytes):
     """A column function: HMAC-SHA256 of each client name."""
 
-    @pandas_udf("string")
+    @pandas_udf(StringType())
     def hashed(clients: pd.Series) -> pd.Series:
         return clients.map(lambda c: None if c is None else hmac.new(secret, str(c).encode(), hashlib.sha256).hexdigest())
 

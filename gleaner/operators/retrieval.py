@@ -20,7 +20,19 @@ RANK = ("score", "lexical_score", "ontology_score")
 
 
 def _hits(tokens: Column, terms: list[str]) -> list[Column]:
-    return [F.exists(tokens, lambda t, term=term: X.related(t, term)) for term in terms]
+    return [F.exists(tokens, _is(term)) for term in terms]
+
+
+def _is(term: str):
+    return lambda t: X.related(t, term)
+
+
+def _are(a: str, b: str):
+    return lambda p: F.coalesce(X.related(p["a"], a) & X.related(p["b"], b), F.lit(False))
+
+
+def _equals(term: str):
+    return lambda t: t == term
 
 
 def document_frequencies(records: DataFrame, query: str) -> DataFrame:
@@ -54,7 +66,7 @@ def relevance(query_terms: list[str], title: Column, body: Column, weight: dict[
         two = F.arrays_zip(title.alias("a"), F.slice(title, 2, F.greatest(F.size(title), F.lit(1))).alias("b"))
         met = F.lit(0)
         for a, b in pairs:
-            met = met + F.exists(two, lambda p, a=a, b=b: F.coalesce(X.related(p["a"], a) & X.related(p["b"], b), F.lit(False))).cast("int")
+            met = met + F.exists(two, _are(a, b)).cast("int")
         score = score + 0.1 * met / len(pairs)
     return F.least(F.lit(1.0), score)
 
@@ -188,7 +200,7 @@ def lexical_v1(records: DataFrame, query: str, limit: int = 4) -> DataFrame:
     rows = records.withColumns({"__t": title, "__b": body})
     total = F.lit(0)
     for t in dict.fromkeys(terms):
-        total = total + F.when(F.array_contains("__t", t), 3).otherwise(0) + F.least(F.lit(3), F.size(F.filter("__b", lambda x, t=t: x == t)))
+        total = total + F.when(F.array_contains("__t", t), 3).otherwise(0) + F.least(F.lit(3), F.size(F.filter("__b", _equals(t))))
     value = F.least(F.lit(1.0), total / (3.0 * len(set(terms))))
     return rows.select(*records.columns, value.alias("score")).where("score > 0").orderBy(F.desc("score"), "source_id").limit(limit)
 
