@@ -64,19 +64,21 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", null_to_empty("text").alias("text"))
-    signed = spotsigs.add_signatures(docs, "text", "signature")
-    paired = spotsigs.with_next(signed, "doc_id", {"next_text": "text", "next_signature": "signature"})
+    paired = spotsigs.with_next(docs, "doc_id", "text", "next_text")
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half))
-    both = spotsigs.add_signatures(paired.withColumn("edited", edited), "edited", "edited_signature")
-    return both.select(
+    signed = paired.withColumn("edited", edited)
+    for column in ("text", "edited", "next_text"):
+        signed = spotsigs.add_signatures(signed, column, f"{column}_signature")
+    own = F.col("text_signature")
+    return signed.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        spotsigs.as_text(F.col("signature")).alias("fingerprint"),
+        spotsigs.as_text(own).alias("fingerprint"),
         spotsigs.as_text(F.col("edited_signature")).alias("edited_fingerprint"),
-        spotsigs.jaccard(F.col("signature"), F.col("edited_signature")).alias("near_edited"),
-        spotsigs.jaccard(F.col("signature"), F.col("next_signature")).alias("near_next"),
+        spotsigs.jaccard(own, F.col("edited_signature")).alias("near_edited"),
+        spotsigs.jaccard(own, F.col("next_text_signature")).alias("near_next"),
     )
 
 

@@ -21,23 +21,21 @@ ANCHORS = tuple(
 )
 
 
-def signatures(text: Column, chain: int = 2, anchors: tuple[str, ...] = ANCHORS) -> Column:
-    """Sorted array<int> of distinct signatures; null counts as empty.
+def add_signatures(docs: DataFrame, text_col: str, out: str, chain: int = 2, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
+    """All columns with `out` added: the sorted array<int> of distinct signatures of a text; null counts as empty.
 
     Chains stop at the end of the text, so the last ones are shorter. A text with words but without an anchor
-    has one signature, of all its words; a text without words has none.
+    has one signature, of all its words; a text without words has none. Words, content words and places of anchors
+    are columns of their own: inside the lambda over the places they are read, not computed again.
     """
-    words = F.filter(F.split(F.lower(null_to_empty(text)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return _of_words(words, chain, anchors)
-
-
-def _of_words(words: Column, chain: int, anchors: tuple[str, ...]) -> Column:
-    content = F.filter(words, lambda w: ~w.isin(*anchors))
-    at = F.filter(F.transform(words, lambda w, i: F.when(w.isin(*anchors), i)), lambda i: i.isNotNull())
+    kept = [c for c in docs.columns if c != out]
+    words = F.filter(F.split(F.lower(null_to_empty(text_col)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    at = F.array_compact(F.transform("__words", lambda w, i: F.when(w.isin(*anchors), i)))
     # the k-th anchor stands at word i, so i - k content words come before it
-    spots = F.transform(at, lambda i, k: F.hash(F.get(words, i), *(F.get(content, i - k + j) for j in range(chain))))
-    whole = F.when(F.size(words) > 0, F.array(F.hash(F.array_join(words, " ")))).otherwise(F.array().cast("array<int>"))
-    return F.array_sort(F.array_distinct(F.when(F.size(at) > 0, spots).otherwise(whole)))
+    spots = F.transform("__at", lambda i, k: F.hash(F.get("__words", i), *(F.get("__content", i - k + j) for j in range(chain))))
+    whole = F.when(F.size("__words") > 0, F.array(F.hash(F.array_join("__words", " ")))).otherwise(F.array().cast("array<int>"))
+    parted = docs.select(*kept, words.alias("__words")).withColumns({"__content": F.filter("__words", lambda w: ~w.isin(*anchors)), "__at": at})
+    return parted.select(*kept, F.array_sort(F.array_distinct(F.when(F.size("__at") > 0, spots).otherwise(whole))).alias(out))
 
 
 def as_text(signature: Column) -> Column:
@@ -52,38 +50,32 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union)
 
 
-def add_signatures(docs: DataFrame, text_col: str, out: str, chain: int = 2, anchors: tuple[str, ...] = ANCHORS) -> DataFrame:
-    """All columns with a signature column more; words are split once."""
-    return docs.withColumn(out, signatures(F.col(text_col), chain, anchors))
-
-
-def with_next(docs: DataFrame, id_col: str, carried: dict[str, str], buckets: int | None = None) -> DataFrame:
-    """Columns of `carried` (new name: column) from the next row by descending id, after the last from the first.
+def with_next(docs: DataFrame, id_col: str, text_col: str, out: str, buckets: int | None = None) -> DataFrame:
+    """id_col and text_col with `out`: the text of the next row by descending id; after the last that of the first.
 
     Ids are cut into ranges at approximate quantiles; one shuffle deals rows out by range, and within a range the
-    next row is a window function. The last row of a range takes the first of the next range that has rows, from
-    a table of one row for each range. Ids that are null or equal come in the order of the other columns' hash.
+    next row is a window function. The last row of a range takes the first of the next range that has rows, from a
+    table of one row for each range, which meets the ranges where they are. Rows of equal id come by the hash of
+    their texts, null ids last; a null text is carried as null.
     """
     spark = docs.sparkSession
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = docs.select(F.percentile_approx(id_col, [(i + 1) / buckets for i in range(buckets - 1)], 10 * buckets).alias("b")).first().b or []
-    bounds = F.array(*(F.lit(b).cast(docs.schema[id_col].dataType) for b in dict.fromkeys(bounds))) if bounds else F.array().cast("array<long>")
-    tie = F.xxhash64(*carried.values())
-    # the number of bounds at or above the id: higher ids come first; null ids last
-    bucket = F.when(F.col(id_col).isNull(), F.size(bounds) + 1).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col(id_col))))
-    placed = docs.withColumn("__bucket", bucket.cast("int")).withColumn("__tie", tie)
-    order = [F.col(id_col).desc_nulls_last(), F.col("__tie").desc()]
-    w = Window.partitionBy("__bucket").orderBy(*order)
-    led = placed.withColumns({new: F.lead(F.struct(F.col(c))).over(w) for new, c in carried.items()})
-    key = F.struct(F.col(id_col).isNotNull().alias("n"), F.col(id_col).alias("i"), F.col("__tie").alias("t"))
-    firsts = placed.groupBy("__bucket").agg(F.max_by(F.struct(*(F.col(c).alias(n) for n, c in carried.items())), key).alias("__first"))
-    around = Window.orderBy("__bucket")  # one row for each range, of numbers only
-    order_of = firsts.select("__bucket").withColumn("__next", F.coalesce(F.lead("__bucket").over(around), F.first("__bucket").over(around)))
-    nexts = order_of.join(firsts.withColumnRenamed("__bucket", "__next"), "__next").select("__bucket", "__first")
-    last = F.col(next(iter(carried))).isNull()
-    inner = led.where(~last).select(*docs.columns, *(F.col(n).getField(c).alias(n) for n, c in carried.items()))
-    edge = led.where(last).join(nexts, "__bucket").select(*docs.columns, *(F.col("__first").getField(n).alias(n) for n in carried))
-    return inner.unionByName(edge)
+    cuts = rows.select(F.percentile_approx("id", [(i + 1) / buckets for i in range(buckets - 1)], 10 * buckets).alias("b")).first().b or []
+    bounds = F.array(*(F.lit(b) for b in dict.fromkeys(cuts))).cast("array<long>")
+    # the number of bounds at or above the id: higher ids come first, null ids last
+    bucket = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("id"))))
+    placed = rows.select("id", "text", bucket.alias("bucket"), F.xxhash64("text").alias("tie"))
+    w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), F.desc("tie"))
+    led = placed.select("bucket", "id", "text", F.lead(F.struct("text")).over(w).alias("after"))
+    key = F.struct(F.col("id").isNotNull(), "id", "tie")
+    firsts = placed.groupBy("bucket").agg(F.max(key).alias("k")).select("bucket", F.col("k.id").alias("id"), F.col("k.tie").alias("tie"))
+    around = Window.orderBy("bucket")  # one row for each range, of numbers alone
+    nexts = firsts.select(F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("bucket"), "id", "tie")
+    heads = placed.select("id", "text", "tie").join(F.broadcast(nexts.withColumnRenamed("id", "i").withColumnRenamed("tie", "t")), F.col("id").eqNullSafe(F.col("i")) & (F.col("tie") == F.col("t")))
+    heads = heads.groupBy("bucket").agg(F.first(F.struct("text")).alias("head"))
+    joined = led.join(heads, "bucket", "left")
+    return joined.select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.coalesce("after", "head").getField("text").alias(out))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 2) -> DataFrame:
@@ -94,7 +86,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     their rarest signatures, of which the longer set must share one of its first n - ceil(t n) + 1; a pair is
     compared where its first common one is. component_id is the smallest id reachable. Empty sets form one class.
     """
-    rows = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", signatures(F.col("text"), chain).alias("s")))
+    rows = cut(add_signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", "s", chain).select("doc_id", "s"))
     classes = cut(rows.groupBy("s").agg(F.min("doc_id").alias("least")).withColumn("c", F.xxhash64("s")))
     counts = classes.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
     ranked = classes.select("c", F.size("s").alias("len"), F.explode("s").alias("x")).join(counts, "x").groupBy("c", "len").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v.x).alias("o"))
