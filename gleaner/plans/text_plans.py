@@ -100,7 +100,7 @@ def thin_content(spark, sf_dir):
 
 
 @query(
-    f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND len({words_sql('c')}) <= 80 THEN 0.45 ELSE 1.0 END AS factor FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Content coming soon. ' ELSE '' END || text AS c FROM documents)"
+    f"SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND len({words_sql('c')}) <= 80 THEN 0.45::DOUBLE ELSE 1.0::DOUBLE END AS factor FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'Content coming soon. ' ELSE '' END || text AS c FROM documents)"
 )
 def page_quality_factor(spark, sf_dir):
     c = F.concat(F.when(F.col("doc_id") % 5 == 0, "Content coming soon. ").otherwise(""), "text")

@@ -45,7 +45,7 @@ def allowed(urls: DataFrame, rules: DataFrame, agent: str) -> DataFrame:
     own = robots_for(rules, agent).where(F.col("key").isin("allow", "disallow") & (F.col("value") != "")).select("host", "key", F.url_decode("value").alias("value"))
     placed = urls.withColumns({"host": U.host(F.col("url")), "__p": F.url_decode(F.concat(U.path(F.col("url")), F.coalesce(F.concat(F.lit("?"), F.nullif(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit(""))), F.lit(""))))})
     met = placed.join(own, "host", "left")
-    fits = F.col("__p").rlike(robots_pattern(F.col("value")))
+    fits = F.rlike(F.col("__p"), robots_pattern(F.col("value")))
     best = F.max(F.when(fits, F.struct(F.length(F.replace(F.regexp_replace("value", r"\$$", ""), F.lit("*"), F.lit(""))).alias("n"), (F.col("key") == "allow").alias("a"))))
     return met.groupBy(*urls.columns).agg(F.coalesce(best["a"], F.lit(True)).alias("allowed"))
 
