@@ -16,11 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a shard, unless one text has more, and in a block of test items that is sent out.
-SHARD_BYTES, BLOCK_BYTES = 12 << 20, 16 << 20
+SHARD_BYTES, BLOCK_BYTES = 6 << 20, 16 << 20
 SAMPLE = 8
 
 _FOLD = np.zeros(256, np.uint8)
@@ -86,7 +87,7 @@ def sorted_suffixes(symbols: np.ndarray) -> np.ndarray:
     key, going = np.zeros(n, np.int64), np.ones(n, bool)
     for k in range(depth):
         ahead = np.zeros(n, np.int64)
-        ahead[: n - k] = symbols[k:]
+        ahead[: max(0, n - k)] = symbols[k:]
         key = key << bits | np.where(going, ahead, 0)
         going &= ahead != 0
     order = np.argsort(key, kind="stable")  # ties that end at a separator are by position, which is by separator
@@ -308,7 +309,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         size = 0
         for batch in batches:
             at = 0
-            sizes = [len(t) if t else 0 for t in batch.column(batch.num_columns - 1).to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0).to_pylist()
             for i, n in enumerate(sizes):
                 size += n
                 if size >= shard_bytes:
