@@ -49,11 +49,11 @@ def _fitted(counts: DataFrame, key: str, parent: str | None, parents: DataFrame
 
     The prior's strength is fitted by moments over the children of all parents: the excess of the variance of the
     children's rates over what binomial draws would give. No excess, or fewer than two children with outcomes,
-    gives the strength LARGE; strengths are kept between 1 and LARGE.
+    gives the most strength, 999; strengths are kept between 1 and that. Without any outcome all rates are 0.
     """
     if parents is None:
         total = counts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-        based = counts.crossJoin(F.broadcast(total.select(((F.col("bad") + 1) / (F.col("n") + 2)).alias("m"))))  # one row
+        based = counts.crossJoin(F.broadcast(total.select(F.when(F.col("n") > 0, (F.col("bad") + 1) / (F.col("n") + 2)).otherwise(0.0).alias("m"))))  # one row
     else:
         based = counts.join(parents.select(F.col(parents.columns[0]).alias(parent), (F.col("a") / (F.col("a") + F.col("b"))).alias("m")), parent)
     known = based.where("n > 0")

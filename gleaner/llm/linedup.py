@@ -35,11 +35,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct("no_id", "id", "mark", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h1", "h2", "first")
     later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
-    covered = later.groupBy("no_id", "id", "mark").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + (lines - 1))))).alias("gone"))
-    covered = covered.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "gone")
+    covered = later.groupBy("no_id", "id", "mark").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + (lines - 1))))).alias("__gone"))
+    covered = covered.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__gone")
     joined = docs.join(covered, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left")
     all_lines = F.split(text_col, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__gone"))
+    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(all_lines))
-    return joined.select(*((text if c == text_col else F.col(c)).alias(c) for c in kept), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return joined.select(*((text if c == text_col else F.col(c)).alias(c) for c in kept), n_lines.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"))

@@ -75,12 +75,26 @@ def _phone(s: str, key: bytes, back: bool) -> str | None:
     return _refill(s, digits[:country] + str(permute(_numeral(digits[country:]), 10**n, key, f"phone{digits[:country]}:{n}", back)).zfill(n))
 
 
+#: The least octet of one, two and three digits, and how many there are.
+_OCTETS = {1: (0, 10), 2: (10, 90), 3: (100, 156)}
+
+
 def _address(s: str, key: bytes, back: bool) -> str | None:
+    """Octets keep their numbers of digits."""
     parts = s.split(".")
     if any(int(p) > 255 or str(int(p)) != p for p in parts):
         return None
-    moved = permute(int.from_bytes(bytes(map(int, parts)), "big"), 1 << 32, key, "ipv4", back)
-    return ".".join(map(str, moved.to_bytes(4, "big")))
+    value, size = 0, 1
+    for p in parts:
+        least, many = _OCTETS[len(p)]
+        value, size = value * many + int(p) - least, size * many
+    value = permute(value, size, key, "ipv4" + "".join(str(len(p)) for p in parts), back)
+    out = []
+    for p in reversed(parts):
+        least, many = _OCTETS[len(p)]
+        value, at = divmod(value, many)
+        out.append(str(least + at))
+    return ".".join(reversed(out))
 
 
 def _social(s: str, key: bytes, back: bool) -> str | None:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, decontam, hosts, linedup, pseudonyms, quality, sharding, simhash, spotsigs
+from gleaner.llm import bpe, chat, decontam, hosts, linedup, pseudonyms, quality, sharding, simhash, spotsigs, sql
 from gleaner.llm.common import null_to_empty, table
 
 #: The key of the pseudonyms in this query; a user passes a secret of their own.
@@ -117,4 +117,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_pseudonyms, op2_chat_format, op3_quality, op4_sharding, op5_spotsigs, op6_line_dedup, op7_host_reputation, op8_decontamination, op9_byte_bpe, op10_simhash)
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_chat_format": sql.chat(CONTROL),
+    "op4_sharding": sql.sharding(sharding.SHARDS, sharding.SLOTS),
+    "op6_line_dedup": sql.LINES,
+    "op7_host_reputation": sql.hosts(RULES),
+    "op8_decontamination": sql.contamination(),
+}
