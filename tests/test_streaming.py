@@ -1,6 +1,7 @@
 """Streams give what the batch folds give."""
 
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,8 +11,9 @@ from gleaner.streaming import stateful
 
 
 def run(df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
     return df.sparkSession.table(name)
 
 
@@ -44,7 +46,13 @@ def test_conversations(spark, tmp_path):
     rows = [(1, t, topic, "ask") for t, topic in enumerate(["a", "a", None, "b", "c", "d", "e"])]
     schema = "conv_id long, turn long, topic string, intent string"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/c")
-    got = [(r.turn, r.topic, r.remembered) for r in run(stateful.conversation_memory(spark.readStream.schema(schema).parquet(f"{tmp_path}/c")), "talk").orderBy("turn").collect()]
+    made = stateful.conversation_memory(spark.readStream.schema(schema).parquet(f"{tmp_path}/c"))
+    q = made.writeStream.format("memory").queryName("talk").outputMode("append").start()
+    end = time.time() + 60
+    while spark.table("talk").count() < len(rows) and time.time() < end:  # with a time-out, a query never runs out of batches
+        time.sleep(0.5)
+    q.stop()
+    got = [(r.turn, r.topic, r.remembered) for r in spark.table("talk").orderBy("turn").collect()]
     assert got == [(0, "a", 1), (1, "a", 1), (2, "a", 1), (3, "b", 2), (4, "c", 3), (5, "d", 4), (6, "e", 4)]
 
 
