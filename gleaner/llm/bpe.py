@@ -1,4 +1,8 @@
-"""Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches."""
+"""Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
+
+The split pattern's matches are encoded apart from each other, so a task gives each distinct one to the library once
+and remembers its ids.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +11,14 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text that the library encodes at once.
-CHARS_AT_ONCE = 1 << 19
+#: Characters of text whose new pieces the library encodes at once, pieces that a task remembers, and their length.
+CHARS_AT_ONCE, REMEMBERED, LONG_PIECE = 1 << 19, 300_000, 64
+#: The pattern that byte-level BPE vocabularies of this kind split text with, a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 @lru_cache(maxsize=1)
@@ -39,7 +46,27 @@ class Vocabulary:
         for i, token in entries:
             self.bytes_of[i] = token.encode() if i in added else bytes(back[c] for c in token)
         self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.decimal_of = [str(i) for i in range(len(self.bytes_of))]
+        self.split = regex.compile(PATTERN).findall
+        self.known: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        pieces = [self.split(t) for t in texts]
+        new = list({p for own in pieces for p in own if p not in self.known})
+        if len(self.known) + len(new) > REMEMBERED and self.known:
+            self.known.clear()
+            new = list({p for own in pieces for p in own})
+        if new:
+            ids = np.array(self.tokenizer.encode_batch_fast([new], is_pretokenized=True, add_special_tokens=False)[0].ids, np.int32)
+            # no id goes beyond its piece, so pieces end where the ids' bytes do
+            ends = np.searchsorted(np.cumsum(self.length_of[ids]), np.cumsum([len(p.encode()) for p in new])) + 1
+            raw, at = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.known.update((p, raw[a:b]) for p, a, b in zip(new, at, at[1:]))
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32) for own in pieces]
+        for p in new:
+            if len(p) > LONG_PIECE:
+                del self.known[p]
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -80,17 +107,22 @@ def encode(docs: DataFrame, tokenizer_json: str, text_col: str = "text", keep: t
         vocabulary = _held(sent.value)
         for batch in batches:
             for low, high, texts in _parts(batch.column(batch.num_columns - 1)):
-                found = [np.array(e.ids, np.int64) for e in vocabulary.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+                found = vocabulary.encode(texts)
                 raw = [vocabulary.decode(ids.tolist()) for ids in found]
-                ends = [character_ends(r, ids, vocabulary.length_of).astype(np.int32) for r, ids in zip(raw, found)] if offsets else [None] * len(found)
+                ends = [character_ends(r, ids, vocabulary.length_of).astype(np.int32) for r, ids in zip(raw, found)] if offsets else []
                 rows = batch.slice(low, high - low)
-                arrays = [*rows.columns[:-1], pa.array([ids.astype(np.int32) for ids in found], pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32())), pa.array(raw, pa.binary())]
+                arrays = [*rows.columns[:-1], _lists(found), _lists(ends) if offsets else pa.nulls(len(found), pa.list_(pa.int32())), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, [*(f"k{i}" for i in range(len(keep))), "ids", "ends", "decoded"])
 
     out = inner.mapInArrow(encoded, f"{fields}, ids array<int>, ends array<int>, decoded binary")
     return out.select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), "ids", "ends", "decoded")
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    at = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.int32), *arrays])))
+
+
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     """Runs of texts of bounded size, in order."""
     low, texts, held = 0, [], 0
