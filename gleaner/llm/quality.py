@@ -1,6 +1,7 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax output.
 
-Each word (a run of non-space characters, as written) has hashed features: itself and its character n-grams. A
+Each word (a run of non-space characters, as written) has hashed features: itself, itself with the word before, and
+its character n-grams. A
 document's vector is the mean over its words of the mean of their features' vectors. Vectors and output weights are
 learned together by stochastic gradient descent in numpy, in one task, over a bounded sample of labelled rows whose
 features all tasks have computed. Scoring runs over all rows in their partitions.
@@ -10,9 +11,9 @@ from __future__ import annotations
 
 import io
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a model is fitted to, at most.
 SAMPLE_ROWS = 4000
-#: Words whose weight a task remembers, and the length from which a word isn't remembered.
-REMEMBERED, LONG_WORD = 400_000, 64
+#: Words whose features are computed at once.
+WORDS_AT_ONCE = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -31,31 +32,74 @@ class Settings:
     dim: int = 16
     shortest: int = 3
     longest: int = 5
-    epochs: int = 12
-    rate: float = 2.0
+    epochs: int = 6
+    rate: float = 0.5
     seed: int = 7
 
 
-def features(word: str, s: Settings) -> list[int]:
-    """Buckets of a word and of its character n-grams, with marks at both ends."""
-    marked = f"<{word}>"
-    crc, n = zlib.crc32, s.buckets
-    out = [crc(word.encode("utf-8", "surrogatepass")) % n]
-    for size in range(s.shortest, s.longest + 1):
-        out += [crc(marked[i : i + size].encode("utf-8", "surrogatepass")) % n for i in range(len(marked) - size + 1)]
-    return out
+#: Fixed odd multipliers of the feature hash: one for characters by place, one for the last mix.
+_PLACE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+
+
+@lru_cache(maxsize=8)
+def _places(n: int) -> np.ndarray:
+    out = np.full(n, _PLACE, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _bucket(hashed: np.ndarray, kind: int, s: Settings) -> np.ndarray:
+    mixed = (hashed + np.uint64(kind)) * np.uint64(_MIX)
+    mixed ^= mixed >> np.uint64(32)
+    return (mixed * np.uint64(_MIX) >> np.uint64(33)).astype(np.int64) % s.buckets
+
+
+def word_features(words: list[str], first: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word number, bucket) of the features of a run of words: the words, pairs, then character n-grams by size.
+
+    A pair is a word with the one before in its text; two equal words make the same pair, whichever they are. first
+    says which words begin a text and have none before. Words stand side by side between marks, so that one array
+    holds them all; an n-gram within one word counts.
+    """
+    line = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    begin = np.cumsum(length) - length
+    word = np.repeat(np.arange(len(words)), length)
+    place = np.arange(len(line)) - begin[word]
+    powers = _places(1 << max(6, int(length.max()).bit_length()))
+    whole = np.add.reduceat(line * powers[place], begin)
+    yield np.arange(len(words)), _bucket(whole, 0, s)
+    at = np.flatnonzero(~first)
+    yield at, _bucket(np.where(whole[at] == whole[at - 1], 0, whole[at] * np.uint64(_MIX) + whole[at - 1]), 1, s)
+    left = length[word] - place
+    gram = line.copy()
+    for n in range(2, s.longest + 1):
+        gram[: len(line) - n + 1] += line[n - 1 :] * powers[n - 1]
+        if n >= s.shortest:
+            at = np.flatnonzero(left >= n)
+            yield word[at], _bucket(gram[at], n, s)
+
+
+def word_sizes(words: list[str], first: np.ndarray, s: Settings) -> np.ndarray:
+    """How many features each word has."""
+    length = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    return 2 - first + sum(np.maximum(0, length - n + 1) for n in range(s.shortest, s.longest + 1))
 
 
 def document_features(text: str | None, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets with weights that sum to 1; none for a blank text."""
-    counts = Counter((text or "").split())
-    if not counts:
+    words = (text or "").split()
+    if not words:
         return np.empty(0, np.int32), np.empty(0, np.float32)
-    lists = [features(w, s) for w in counts]
-    sizes = np.array([len(x) for x in lists])
-    weights = np.repeat(np.fromiter(counts.values(), float, len(counts)) / (sum(counts.values()) * sizes), sizes)
-    ids, at = np.unique(np.concatenate([np.array(x) for x in lists]), return_inverse=True)
-    return ids.astype(np.int32), np.bincount(at, weights).astype(np.float32)
+    total = np.zeros(s.buckets)
+    for low in range(0, len(words), WORDS_AT_ONCE):
+        part = words[low : low + WORDS_AT_ONCE]
+        first = np.arange(low, low + len(part)) % WORDS_AT_ONCE == 0
+        share = 1 / (word_sizes(part, first, s) * len(words))
+        for word, bucket in word_features(part, first, s):
+            total += np.bincount(bucket, share[word], s.buckets)
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids].astype(np.float32)
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,8 +120,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[np
             error = odds / odds.sum() - classes[label]
             back = error @ out
             out -= rate * np.outer(error, hidden)
-            bias -= 0.1 * rate * error
-            vectors[ids] -= (rate * 50) * weights[:, None] * back
+            bias -= rate * 0.1 * error
+            vectors[ids] -= np.outer(weights * (rate / (weights @ weights)), back)  # the text's mean moves by rate * back
     return vectors, out, bias
 
 
@@ -133,7 +177,7 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
 
     A blank or null text has the output of an empty document, which its biases alone give. Without a model every
     score is 0.5. The softmax of two classes is a logistic function of the difference of their outputs, which is
-    linear in the mean; so each word has a number, remembered while a task sees it again.
+    linear in the mean; so each bucket has one weight, and a text's vector need not be formed.
     """
     s = settings
     if model is None:
@@ -147,24 +191,40 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, base = sent.value
-        number: dict[str, float] = {}
-
-        def of(word: str) -> float:
-            got = number.get(word)
-            if got is None:
-                got = float(weight[features(word, s)].mean())
-                if len(number) >= REMEMBERED:
-                    number.clear()
-                if len(word) <= LONG_WORD:
-                    number[word] = got
-            return got
+
+        def numbers(words: list[str], sizes: list[int]) -> np.ndarray:
+            """The mean weight of each word's features."""
+            total, first = np.zeros(len(words)), np.zeros(len(words), bool)
+            first[np.cumsum([0, *sizes[:-1]])] = True
+            for word, bucket in word_features(words, first, s):
+                total += np.bincount(word, weight[bucket], len(words))
+            return total / word_sizes(words, first, s)
 
         for batch in batches:
-            logits = np.zeros(batch.num_rows)
+            sums, counts = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+            held: list[str] = []
+            owner: list[int] = []
+            sizes: list[int] = []
+
+            def settle():
+                if held:
+                    sums[:] += np.bincount(np.repeat(owner, sizes), numbers(held, sizes), batch.num_rows)
+                    held.clear()
+                    owner.clear()
+                    sizes.clear()
+
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
                 words = (text.as_py() or "").split()
-                logits[k] = base + (sum(map(of, words)) / len(words) if words else 0.0)
-            scores = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
+                counts[k] = len(words)
+                for low in range(0, len(words), WORDS_AT_ONCE):
+                    part = words[low : low + WORDS_AT_ONCE]
+                    held += part
+                    owner.append(k)
+                    sizes.append(len(part))
+                    if len(held) >= WORDS_AT_ONCE:
+                        settle()
+            settle()
+            scores = 1 / (1 + np.exp(-np.clip(base + sums / np.maximum(counts, 1), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], [*(f"k{i}" for i in range(len(columns))), "score"])
 
     return inner.mapInArrow(scored, f"{fields}, score double").select(*(F.col(f"k{i}").alias(c) for i, c in enumerate(columns)), "score")
