@@ -1,10 +1,9 @@
 """Quality classifier: supervised subword embeddings, averaged per document, with a softmax output.
 
 Each word (a run of non-space characters, as written) has hashed features: itself, itself with the word before, and
-its character n-grams. A
-document's vector is the mean over its words of the mean of their features' vectors. Vectors and output weights are
-learned together by stochastic gradient descent in numpy, in one task, over a bounded sample of labelled rows whose
-features all tasks have computed. Scoring runs over all rows in their partitions.
+its character n-grams. A document's vector is the mean over its words of the mean of their features' vectors. Vectors
+and output weights are learned together by stochastic gradient descent in numpy, in one task, over a bounded sample of
+labelled rows whose features all tasks have computed. Scoring runs over all rows in their partitions.
 """
 
 from __future__ import annotations

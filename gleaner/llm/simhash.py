@@ -52,16 +52,19 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp long) for each row; null and blank texts have fingerprint zero. Other columns are not read."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, `keep`) for each row; null and blank texts have fingerprint zero. Other columns are not read."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    kept = [f"k{i}" for i in range(len(keep))]
+    fields = "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((majority(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", *kept])
 
-    return rows.mapInArrow(signed, "doc_id long, fp long")
+    out = rows.mapInArrow(signed, "doc_id long, fp long" + fields)
+    return out.select("doc_id", "fp", *(F.col(k).alias(c) for k, c in zip(kept, keep)))
 
 
 class Anchors:
@@ -194,15 +197,16 @@ def near_links(distinct: DataFrame, threshold: int = 2, partitions: int | None =
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2) -> DataFrame:
-    """(doc_id, fp long, component_id): component_id is the smallest doc_id reachable over links of `threshold` bits.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp long, component_id, root_fp long, `keep`): component_id is the smallest doc_id reachable over links of `threshold` bits.
 
     One row for each input row, repeated rows and null ids too. Null or blank texts share fingerprint zero and
-    are linked like any other. Null ids never become a component_id unless all of a component are null.
+    are linked like any other. Null ids never become a component_id unless all of a component are null. root_fp, the
+    component's least fingerprint as a signed number, tells components apart where ids are null or repeat.
     """
-    signed = cut(fingerprints(docs, id_col, text_col, shingle))
+    signed = cut(fingerprints(docs, id_col, text_col, shingle, keep))
     distinct = cut(signed.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(near_links(distinct, threshold))
-    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return signed.join(named, "fp").select("doc_id", "fp", "component_id")
+    rooted = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root_fp"))
+    named = rooted.join(rooted.groupBy("root_fp").agg(F.min("least").alias("component_id")), "root_fp").select("fp", "component_id", "root_fp")
+    return signed.join(named, "fp").select("doc_id", "fp", "component_id", "root_fp", *keep)
