@@ -291,3 +291,16 @@ def test_pipeline(spark, sf_dir):
     last = p.encoding_stage(spark, fourth, sf_dir)
     assert {r.doc_id: r.text for r in last.collect()} == dict(rows(fourth))
     assert p.run(spark, sf_dir).count() == fourth.count()
+
+
+def test_near_duplicate_stage_without_ids(spark, sf_dir):
+    """Null ids, one id with two texts and repeated rows: one row of each group of like texts stays, whatever its id."""
+    import corpus_pipeline as p
+
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    rows = [(None, a), (None, a), (None, b), (7, b), (7, c), (7, c), (8, d), (9, d), (0, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = p.near_duplicate_stage(spark, docs, sf_dir)
+    assert kept.columns == p.COLUMNS
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, a), (7, b), (7, c), (8, d), (0, None)], key=repr)
+    assert p.near_duplicate_stage(spark, docs.limit(0), sf_dir).count() == 0
