@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, components, decontam, hosts, linedup, pseudonyms, quality, queries, sharding, simhash, spotsigs
+from gleaner.llm import bpe, chat, components, decontam, hosts, linedup, nearcopies, pseudonyms, quality, queries, sharding, simhash, spotsigs
 from tests.llm import reference_forms as plain
 
 TEXTS = [(1, "a b c\nd e f\ng h i\nj"), (2, None), (3, ""), (4, "  \n\t "), (5, "a b c\nd e f\ng h i\nk"), (5, "a b c\nd e f\ng h i\nk"), (None, "lone text here"), (6, "word " * 30_000)]
@@ -304,3 +304,31 @@ def test_near_duplicate_stage_without_ids(spark, sf_dir):
     assert kept.columns == p.COLUMNS
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted([(None, a), (7, b), (7, c), (8, d), (0, None)], key=repr)
     assert p.near_duplicate_stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_near_duplicate_stage_by_jaccard(spark, sf_dir, monkeypatch):
+    """Groups of texts at similarity 0.8 or more of five-word shingles, by brute force; blocks of a bucket change nothing."""
+    import corpus_pipeline as p
+
+    rng = random.Random(12)
+    texts = []
+    for base in range(40):
+        words = [f"w{rng.randrange(3000)}" for _ in range(rng.choice((9, 60, 200, 400)))]
+        for copy in range(4):
+            own = list(words)
+            for _ in range(max(1, len(own) * copy // 100)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(3000)}"
+            texts.append(" ".join(own))
+    texts += ["a b c d e f g h", "a b c d e f g h i", "one two", "one  two", "three"]  # 4 of 5 shingles: 0.8 exactly
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) / len(a | sets[j]) >= 0.8:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    assert 20 < len(set(label)) < len(texts) - 20
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in p.near_duplicate_stage(spark, docs, sf_dir).collect()) == sorted(set(label))
+    monkeypatch.setattr(nearcopies, "BLOCK", 300)
+    assert sorted(r.doc_id for r in p.near_duplicate_stage(spark, docs, sf_dir).collect()) == sorted(set(label))
