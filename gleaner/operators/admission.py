@@ -1,11 +1,16 @@
 """Stateful admission as ordered folds within a key: only what is admitted counts.
 
-Each is a fold over a key's sorted events inside the JVM; `gleaner.streaming.stateful` has the same as streams.
+Each but `login_throttle` is a fold over a key's sorted events inside the JVM; `gleaner.streaming.stateful` has the same as streams.
 A key's events meet in one row, which holds one timestamp and number for each.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from math import ceil
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,12 +76,42 @@ def own_slots(bookings: DataFrame) -> DataFrame:
 
 
 def login_throttle(attempts: DataFrame, per_peer: int = 5, overall: int = 100, window_s: float = 300.0) -> DataFrame:
-    """attempts (attempt_id, peer, at) with admitted by the peer's limit; only admitted attempts count.
+    """(peer, id, ts, admitted, retry_after) of attempts (attempt_id, peer, at): refused if the peer has `per_peer` or all have `overall` admitted ones.
 
-    The limit over all peers is one more fold over what the peers' limits admit, within each span of the window's
-    length: it is a safety bound on one service's log-ins, and such a span holds at most `overall` admitted rows.
+    Only admitted attempts in (at - window, at] count; ties in time come by id, and an
+    attempt without a time is admitted and not counted. retry_after is as in `sliding_admission`,
+    for the later of the limits that refuse. The limit over all peers makes each decision depend on all earlier ones, so
+    one task reads the sorted attempts as a stream; it holds `overall` admitted ones at most.
     """
-    return sliding_admission(attempts, ["peer"], "at", "attempt_id", per_peer, window_s)
+    kinds = {c: attempts.schema[c].dataType.simpleString() for c in ("peer", "attempt_id")}
+    ts = F.unix_micros(F.col("at").cast("timestamp")) / 1e6
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        live: deque = deque()
+        held: dict = {}
+        for batch in batches:
+            admitted, waits = [], []
+            for peer, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+                if at is None:
+                    admitted.append(True)
+                    waits.append(0)
+                    continue
+                while live and live[0][1] <= at - window_s:
+                    gone = live.popleft()[0]
+                    held[gone].popleft()
+                    if not held[gone]:
+                        del held[gone]
+                own = held.get(peer, ())
+                oldest = [x for full, x in ((len(own) >= per_peer, own[0] if own else at), (len(live) >= overall, live[0][1] if live else at)) if full]
+                admitted.append(not oldest)
+                waits.append(max(1, ceil(max(oldest) + window_s - at)) if oldest else 0)
+                if not oldest:
+                    live.append((peer, at))
+                    held.setdefault(peer, deque()).append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.bool_()), pa.array(waits, pa.int32())], ["peer", "id", "ts", "admitted", "retry_after"])
+
+    rows = attempts.select("peer", F.col("attempt_id").alias("id"), ts.alias("ts"))
+    return rows.repartition(1).sortWithinPartitions("ts", "id").mapInArrow(fold, f"peer {kinds['peer']}, id {kinds['attempt_id']}, ts double, admitted boolean, retry_after int")
 
 
 def last_turns(turns: DataFrame, keys: list[str], order_col: str, context_cols: list[str], n: int = 4) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gleaner import config
 from gleaner.functions import digests
 from gleaner.functions import text as X
-from gleaner.operators import answers, graph, index, logs, records as R, retrieval, routing, versions
+from gleaner.operators import admission, answers, graph, index, logs, records as R, retrieval, routing, versions
 
 CONTENT = "\n\n".join(
     ["Company: Nordic Pumps (NP)", "Nordic Pumps provides River Pump.", "Nordic Pumps does not provide Repair.", "Product: River Pump", "River Pump belongs to Water", "Category: Water", "Location: Kiruna", "Nordic Pumps is located in Kiruna.", "History"]
@@ -262,3 +262,26 @@ def test_audit_chain(spark):
     assert logs.chain_breaks(chain, ["tenant"]).count() == 0 and logs.verified(chain, ["action"], ["tenant"]).where("NOT intact").count() == 0
     forged = chain.withColumn("action", F.when(F.col("sequence") == 2, "forged").otherwise(F.col("action")))
     assert [r.sequence for r in logs.verified(forged, ["action"], ["tenant"]).where("NOT intact").collect()] == [2]
+
+
+def test_login_throttle_overall(spark):
+    """Both limits against a plain form; the first case is refused by the overall limit alone."""
+    import random
+
+    def plain(rows, per_peer, overall, window):
+        live, out = [], {}
+        for at, attempt, peer in sorted((at, attempt, peer) for attempt, peer, at in rows):
+            live = [(p, t) for p, t in live if t > at - window]
+            out[attempt] = len(live) < overall and sum(p == peer for p, _ in live) < per_peer
+            if out[attempt]:
+                live.append((peer, at))
+        return out
+
+    rng = random.Random(5)
+    cases = [[(i, i, 1000 + i) for i in range(12)], [(i, rng.randrange(6), 1000 + rng.randrange(400)) for i in range(500)]]
+    for rows in cases:
+        df = spark.createDataFrame(rows, "attempt_id long, peer long, at long").withColumn("at", F.timestamp_seconds("at"))
+        got = admission.login_throttle(df, 2, 5, 60.0).collect()
+        assert {r.id: r.admitted for r in got} == plain(rows, 2, 5, 60)
+        assert all((r.retry_after == 0) == r.admitted for r in got)
+    assert sum(plain(cases[0], 2, 5, 60).values()) == 5 and sum(plain(cases[0], 2, 100, 60).values()) == 12
