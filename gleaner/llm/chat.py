@@ -1,72 +1,142 @@
 """Chat formatting: schema fingerprints choose the mapping of a record to turns; a reversible template marks them.
 
-Built from DataFrame functions alone. A record is a JSON text. The paths of its nested fields, without their types
-and in order, are hashed; a table of declared layouts, keyed by that hash, says which paths hold the turns.
+Built from DataFrame functions alone. A record is a typed struct, whose fields may be null, or a JSON text, which is
+first read into the struct that all declared layouts need together. The paths of the nested fields that a record has,
+of those that any layout declares, are hashed; a table of hashes, one for each layout and choice of its optional
+paths, says which mapping makes turns of the record. Fields that no layout declares are ignored.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import combinations
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructType
 
 from gleaner.llm.common import null_to_empty
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 TURNS = "array<struct<role:string,text:string>>"
+SEED = 42
 
 
 @dataclass(frozen=True)
 class Layout:
     """Declares where turns are: a list of messages, or single fields that are one turn each.
 
-    `example` is a record as JSON with every field that such records have; its paths give the fingerprint.
-    roles renames the layout's role names.
+    A path is a field, or `list[].field` for the fields of a list's elements. `required` paths must be there, `optional`
+    ones may be; a path of another layout rules this one out, unless it is optional here. roles renames role names.
     """
 
     name: str
-    example: str
+    required: tuple[str, ...]
+    optional: tuple[str, ...] = ()
     messages: str | None = None
     role: str = "role"
     text: str = "content"
     fields: tuple[tuple[str, str], ...] = ()
     roles: tuple[tuple[str, str], ...] = ()
 
-    def turns(self, record: Column) -> Column:
-        """array<struct<role,text>> by JSON paths alone."""
+    @property
+    def paths(self) -> tuple[str, ...]:
+        return self.required + self.optional
+
+    def fingerprints(self) -> list[int]:
+        """The hash of the required paths with each choice of optional ones."""
+        return [path_hash([*self.required, *some]) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
+
+    def turns(self, record: Column, kind: StructType) -> Column:
+        """array<struct<role,text>>; a field turn that is absent is left out if it is optional."""
+        names = set(kind.names)
         if self.messages is None:
-            made = [F.struct(F.lit(r).alias("role"), F.try_variant_get(record, path, "string").alias("text")) for r, path in self.fields]
-            return F.array(*made)
-        found = F.try_variant_get(record, self.messages, "array<variant>")
-        renamed = dict(self.roles)
+            made = [F.when(_field(record, p, names).isNotNull() | F.lit(p in self.required), F.struct(F.lit(r).alias("role"), _field(record, p, names).alias("text"))) for r, p in self.fields]
+            return F.array_compact(F.array(*made))
+        own = kind[self.messages].dataType.elementType
+        inner = set(own.names)
 
         def role_of(m: Column) -> Column:
-            raw = F.try_variant_get(m, f"$.{self.role}", "string")
-            out = raw
-            for old, new in renamed.items():
-                out = F.when(raw == old, new).otherwise(out)
+            out = _field(m, self.role, inner)
+            for old, new in self.roles:
+                out = F.when(_field(m, self.role, inner) == old, new).otherwise(out)
             return out
 
-        return F.transform(found, lambda m: F.struct(role_of(m).alias("role"), F.try_variant_get(m, f"$.{self.text}", "string").alias("text")))
+        return F.transform(record[self.messages], lambda m: F.struct(role_of(m).alias("role"), _field(m, self.text, inner).alias("text")))
+
+
+def _field(record: Column, name: str, names: set[str]) -> Column:
+    return (record[name] if name in names else F.lit(None)).cast("string")
+
+
+def _messages(name: str, field: str, role: str, text: str, roles: tuple = ()) -> Layout:
+    """A list of turns; empty lists, turns without a text or role and an extra prompt are allowed."""
+    return Layout(name, (field,), (f"{field}[].{role}", f"{field}[].{text}", "prompt"), messages=field, role=role, text=text, roles=roles)
 
 
 #: Layouts that public instruction data commonly has.
 LAYOUTS = (
-    Layout("messages", '{"messages":[{"role":"a","content":"b"}]}', messages="$.messages"),
-    Layout("conversations", '{"conversations":[{"from":"a","value":"b"}]}', messages="$.conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant"))),
-    Layout("instruction_input", '{"instruction":"a","input":"b","output":"c"}', fields=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
-    Layout("instruction", '{"instruction":"a","output":"c"}', fields=(("user", "$.instruction"), ("assistant", "$.output"))),
-    Layout("prompt_completion", '{"prompt":"a","completion":"b"}', fields=(("user", "$.prompt"), ("assistant", "$.completion"))),
-    Layout("prompt_response", '{"prompt":"a","response":"b"}', fields=(("user", "$.prompt"), ("assistant", "$.response"))),
-    Layout("question_answer", '{"question":"a","answer":"b"}', fields=(("user", "$.question"), ("assistant", "$.answer"))),
+    _messages("messages", "messages", "role", "content"),
+    _messages("conversations", "conversations", "from", "value", (("human", "user"), ("gpt", "assistant"))),
+    Layout("instruction", ("output",), ("instruction", "input"), fields=(("user", "instruction"), ("user", "input"), ("assistant", "output"))),
+    Layout("prompt_completion", ("completion",), ("prompt",), fields=(("user", "prompt"), ("assistant", "completion"))),
+    Layout("prompt_response", ("response",), ("prompt",), fields=(("user", "prompt"), ("assistant", "response"))),
+    Layout("question_answer", ("answer",), ("question",), fields=(("user", "question"), ("assistant", "answer"))),
 )
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of a variant's nested field paths: its schema in canonical order of fields, without the types of leaves."""
-    paths = F.regexp_replace(F.schema_of_variant(record), r"(?<=[<:] ?)(?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9,]+\)|FLOAT|DATE|TIMESTAMP|TIMESTAMP_NTZ|BINARY|VARIANT)(?=[,>]|$)", "_")
-    return F.xxhash64(paths)
+def path_hash(paths: list[str]) -> int:
+    """XXH64 of the sorted paths, joined by line ends, as fingerprint() computes it for a row."""
+    value = xxhash.xxh64_intdigest("\n".join(sorted(paths)).encode(), SEED)
+    return value - (1 << 64) if value >> 63 else value
+
+
+def declared(layouts: tuple[Layout, ...]) -> tuple[list[str], dict[int, str]]:
+    """(all paths, layout of each fingerprint); layouts that one record could both fit are refused."""
+    names: dict[int, str] = {}
+    for x in layouts:
+        for h in x.fingerprints():
+            if names.setdefault(h, x.name) != x.name:
+                raise ValueError(f"layouts {names[h]} and {x.name} fit the same record")
+    return sorted({p for x in layouts for p in x.paths}), names
+
+
+def record_schema(layouts: tuple[Layout, ...]) -> str:
+    """The struct of all declared paths, every leaf a string, for reading JSON."""
+    lists: dict[str, list[str]] = {}
+    leaves = []
+    for x in layouts:
+        for p in x.paths:
+            outer, inside, field = p.partition("[].")
+            if inside:
+                lists.setdefault(outer, []).append(field)
+            elif x.messages != p and p not in leaves:
+                leaves.append(p)
+    parts = [f"`{p}`: string" for p in leaves if p not in lists]
+    parts += [f"`{k}`: array<struct<{', '.join(f'`{f}`: string' for f in dict.fromkeys(v))}>>" for k, v in lists.items()]
+    return f"struct<{', '.join([*parts, '`__bad`: string'])}>"
+
+
+def _has(field: str):
+    return lambda m: m[field].isNotNull()
+
+
+def fingerprint(record: Column, kind: DataType, paths: list[str]) -> Column:
+    """Hash of those declared paths that a record has. A null field is absent; a list's field is there if an element has it."""
+    there = []
+    names = set(kind.names)
+    for p in paths:
+        outer, inside, field = p.partition("[].")
+        if outer not in names:
+            continue
+        if not inside:
+            there.append(F.when(record[outer].isNotNull(), p))
+            continue
+        own = kind[outer].dataType
+        if isinstance(own, ArrayType) and isinstance(own.elementType, StructType) and field in own.elementType.names:
+            there.append(F.when(F.exists(record[outer], _has(field)), p))
+    return F.xxhash64(F.array_join(F.array_sort(F.array_compact(F.array(*there))), "\n"))
 
 
 def escape(text: Column) -> Column:
@@ -87,23 +157,36 @@ def unescape_role(role: Column) -> Column:
 
 
 def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout, ...] = LAYOUTS, out: str = "turns") -> DataFrame:
-    """All columns with layout (name; null if unknown), schema_hash (long) and turns added.
+    """All columns with layout (name), schema_hash (long), turns and error added, replacing columns of these names.
 
-    Unknown layouts, records that are no JSON and null records have null turns. A text or role that is missing or
-    null is empty. Added columns replace columns of the same names.
+    record_col is a struct or a JSON text. A text or role that is missing or null is empty. error is null where there
+    are turns, else `null_record`, `not_json` (also: nested too deep) or `unknown_layout`; nothing is dropped silently.
+    A typed record has no bound but a row's own 2 GB; a JSON string may have as many characters as a Java string.
     """
-    spark = records.sparkSession
-    hashes = spark.createDataFrame([(x.name, x.example) for x in layouts], "name string, example string").select("name", fingerprint(F.parse_json("example")).alias("h"))
-    known = {r.name: r.h for r in hashes.collect()}  # the declared layouts, a parameter
-    base = [c for c in records.columns if c not in ("layout", "schema_hash", out)]
-    parsed = records.select(*base, F.try_parse_json(record_col).alias("__v")).withColumn("__h", fingerprint(F.col("__v")))
+    paths, names = declared(layouts)
+    base = [c for c in records.columns if c not in ("layout", "schema_hash", "error", out)]
+    kind = records.schema[record_col].dataType
+    record = F.col(record_col)
+    if isinstance(kind, StringType):
+        schema = record_schema(layouts)
+        record = F.from_json(record, schema, {"maxStringLen": str((1 << 31) - 1), "columnNameOfCorruptRecord": "__bad"})
+        kind = DataType.fromDDL(schema)
+        bad = F.col("__v.__bad").isNotNull()
+    else:
+        bad = F.lit(False)
+    read = records.select(*base, record.alias("__v"), F.col(record_col).isNull().alias("__none")).withColumn("__h", fingerprint(F.col("__v"), kind, paths))
     layout = F.lit(None).cast("string")
     turns = F.lit(None).cast(TURNS)
     for x in layouts:
-        layout = F.when(F.col("__h") == F.lit(known[x.name]), x.name).otherwise(layout)
-        turns = F.when(F.col("__h") == F.lit(known[x.name]), x.turns(F.col("__v"))).otherwise(turns)
-    turns = F.transform(turns, lambda t: F.struct(null_to_empty(t.role).alias("role"), null_to_empty(t.text).alias("text")))
-    return parsed.select(*base, layout.alias("layout"), F.col("__h").alias("schema_hash"), turns.alias(out))
+        fits = F.col("__h").isin(*(h for h, name in names.items() if name == x.name))
+        if all(p.partition("[].")[0] in kind.names for p in x.required):
+            layout = F.when(fits, x.name).otherwise(layout)
+            turns = F.when(fits, x.turns(F.col("__v"), kind)).otherwise(turns)
+    usable = ~F.col("__none") & ~bad
+    turns = F.when(usable, F.transform(turns, lambda t: F.struct(null_to_empty(t.role).alias("role"), null_to_empty(t.text).alias("text"))))
+    layout = F.when(usable, layout)
+    error = F.when(F.col("__none"), "null_record").when(bad, "not_json").when(layout.isNull(), "unknown_layout")
+    return read.select(*base, layout.alias("layout"), F.when(usable, F.col("__h")).alias("schema_hash"), turns.alias(out), error.alias("error"))
 
 
 def format_turns(turns: Column, loss_roles: tuple[str, ...] = ("assistant",)) -> tuple[Column, Column]:
@@ -151,12 +234,12 @@ def format_chat(records: DataFrame, record_col: str, layouts: tuple[Layout, ...]
 
 
 def as_records(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv_id, record): a JSON record in the messages layout for each conversation of a table of turns.
+    """(conv_id, record): a typed record in the messages layout for each conversation of a table of turns.
 
     Turns are ordered by number, nulls last, then role and text. Null texts and roles are empty. A conversation is
-    one training example, so its turns meet in one row; null conv_ids are one conversation.
+    one training example, so its turns meet in one row; null conv_ids are one conversation; repeated rows repeat.
     """
     row = F.struct(F.col(turn_col).isNull().alias("no"), F.col(turn_col).alias("turn"), null_to_empty(role_col).alias("role"), null_to_empty(text_col).alias("content"))
     ordered = F.array_sort(F.collect_list(row))
     messages = F.transform(ordered, lambda t: F.struct(t.role.alias("role"), t.content.alias("content")))
-    return turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+    return turns.groupBy(F.col(conv_col).alias("conv_id")).agg(F.struct(messages.alias("messages")).alias("record"))

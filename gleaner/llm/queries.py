@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import base64
 import os
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,17 +19,34 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
-def tokenizer_json() -> str:
-    """The tokenizer file's content; GLEANER_TOKENIZERS names another folder than the installed package's."""
+def _vocabulary_file(name: str) -> str:
     folder = os.environ.get("GLEANER_TOKENIZERS")
-    if folder is None:
-        import public_tokenizers
+    if folder is not None:
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
-        path = public_tokenizers.path("byte_bpe_50k.json")
-    else:
-        path = os.path.join(folder, "byte_bpe_50k.json")
-    with open(path, encoding="utf-8") as f:
-        return f.read()
+def split_pattern() -> str:
+    """The pattern that the vocabulary's package declares."""
+    try:
+        from public_tokenizers import PATTERN
+    except ImportError:
+        return bpe.PATTERN
+    return PATTERN
+
+
+@lru_cache(maxsize=1)
+def tokenizer_json() -> str:
+    """The tokenizer file's content, once its vocabulary is found to be that of the rank file; GLEANER_TOKENIZERS names another folder than the installed package's."""
+    with open(_vocabulary_file("byte_bpe_50k.json"), encoding="utf-8") as f:
+        data = f.read()
+    with open(_vocabulary_file("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    if not bpe.same_vocabulary(data, ranks):
+        raise ValueError("the tokenizer and the rank file have different vocabularies")
+    return data
 
 
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +117,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_json())
+    made = bpe.encode(table(spark, sf_dir, "documents"), tokenizer_json(), pattern=split_pattern())
     return made.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -113,14 +132,38 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op5's operator as a similarity join: each document's group of near copies."""
+    return spotsigs.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op2's operator on records of four layouts: JSON texts that conversations are written as, by number and by their turns."""
+    turns = chat.as_records(table(spark, sf_dir, "conversations").where("coalesce(role, '') NOT IN ('human', 'gpt')"))
+    m = F.col("record.messages")
+    two = (F.size(m) == 2) & (m[0].role == "user") & (m[1].role == "assistant")
+    said = F.transform(m, lambda t: F.struct(F.when(t.role == "user", "human").when(t.role == "assistant", "gpt").otherwise(t.role).alias("from"), t.content.alias("value")))
+    kind = F.pmod("conv_id", F.lit(3))
+    record = (
+        F.when(two & (kind == 0), F.to_json(F.struct(m[0].content.alias("prompt"), m[1].content.alias("completion"))))
+        .when(two & (kind == 1), F.to_json(F.struct(m[1].content.alias("output"), m[0].content.alias("instruction"), F.lit("en").alias("lang"))))
+        .when(kind == 1, F.to_json(F.struct(F.col("conv_id").alias("id"), said.alias("conversations"))))
+        .otherwise(F.to_json(F.struct("conv_id", m.alias("messages"))))
+    )
+    made = chat.canonical_turns(turns.select("conv_id", record.alias("record")), "record")
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return made.select("conv_id", "layout", "error", F.size("turns").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pseudonyms, op2_chat_format, op3_quality, op4_sharding, op5_spotsigs, op6_line_dedup, op7_host_reputation, op8_decontamination, op9_byte_bpe, op10_simhash)
+    for f in (op1_pseudonyms, op2_chat_format, op3_quality, op4_sharding, op5_spotsigs, op6_line_dedup, op7_host_reputation, op8_decontamination, op9_byte_bpe, op10_simhash, chat_layouts, spotsigs_groups)
 }
 SQL: dict[str, str] = {
+    "chat_layouts": sql.LAYOUTS,
     "op2_chat_format": sql.chat(CONTROL),
     "op4_sharding": sql.sharding(sharding.SHARDS, sharding.SLOTS),
     "op6_line_dedup": sql.LINES,
-    "op7_host_reputation": sql.hosts(RULES),
+    "op7_host_reputation": sql.hosts(RULES, hosts.SUFFIXES),
     "op8_decontamination": sql.contamination(),
 }

@@ -7,6 +7,8 @@ as its 32-bit hash; the fingerprint is the sorted set of signatures.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,16 +58,19 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, out: str, buckets: in
     Ids are cut into ranges at approximate quantiles; one shuffle deals rows out by range, and within a range the
     next row is a window function. The last row of a range takes the first of the next range that has rows, from a
     table of one row for each range, which meets the ranges where they are. Rows of equal id come by the hash of
-    their texts, null ids last; a null text is carried as null.
+    their texts, null ids last; a null text is carried as null. An id that fills whole ranges, and null ids, are cut
+    further by that hash. Ids are numbers, dates or times.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.select(F.percentile_approx("id", [(i + 1) / buckets for i in range(buckets - 1)], 10 * buckets).alias("b")).first().b or []
-    bounds = F.array(*(F.lit(b) for b in dict.fromkeys(cuts))).cast("array<long>")
+    bounds = F.array(*(F.lit(b) for b in dict.fromkeys(cuts))).cast(f"array<{rows.schema['id'].dataType.simpleString()}>")
     # the number of bounds at or above the id: higher ids come first, null ids last
     bucket = F.when(F.col("id").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda b: b >= F.col("id"))))
-    placed = rows.select("id", "text", bucket.alias("bucket"), F.xxhash64("text").alias("tie"))
+    hot = [b for b, n in Counter(cuts).items() if n > 1]
+    part = F.when(F.col("id").isNull() | F.col("id").isin(hot), 31 - F.shiftright("tie", 58)).otherwise(64)  # ties descend, as the window's order does
+    placed = rows.select("id", "text", bucket.alias("range"), F.xxhash64("text").alias("tie")).withColumn("bucket", F.col("range") * 128 + part).drop("range")
     w = Window.partitionBy("bucket").orderBy(F.desc_nulls_last("id"), F.desc("tie"))
     led = placed.select("bucket", "id", "text", F.lead(F.struct("text")).over(w).alias("after"))
     key = F.struct(F.col("id").isNotNull(), "id", "tie")
@@ -81,24 +86,40 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, out: str, buckets: in
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 2) -> DataFrame:
     """(doc_id, component_id): texts whose signature sets have a Jaccard of `threshold` or more are linked.
 
-    Equal sets are one class first. Sets are partitioned by length: lengths grow by 1/threshold from one class of
-    lengths to the next, so a pair is in one or two neighbouring classes. Within a class sets meet only in one of
-    their rarest signatures, of which the longer set must share one of its first n - ceil(t n) + 1; a pair is
-    compared where its first common one is. component_id is the smallest id reachable. Empty sets form one class.
+    One row for each input row. Equal sets are one class first, all empty sets among them. Sets are partitioned by
+    length: lengths grow by 1/threshold from one class of lengths to the next, so a pair is in one or two neighbouring
+    classes. Within a class sets meet only in one of their rarest signatures, of which the longer set must share one
+    of its first n - ceil(t n) + 1. component_id is the smallest id reachable; null ids count only among themselves.
+
+    A signature that many near copies share would make all their pairs. So each bucket's sets are first compared with
+    one of them, and linked sets become one part; then only sets of different parts of a bucket are compared. A group
+    of mutual near copies costs what its size is, and no link between parts is lost. Sets travel only to pairs.
     """
-    rows = cut(add_signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", "s", chain).select("doc_id", "s"))
-    classes = cut(rows.groupBy("s").agg(F.min("doc_id").alias("least")).withColumn("c", F.xxhash64("s")))
-    counts = classes.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    ranked = classes.select("c", F.size("s").alias("len"), F.explode("s").alias("x")).join(counts, "x").groupBy("c", "len").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v.x).alias("o"))
-    ranked = ranked.withColumn("length_class", F.floor(F.log("len") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int"))
+    rows = cut(add_signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", "s", chain).select("doc_id", F.xxhash64("s").alias("c"), "s"))
+    classes = cut(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.first("s").alias("s")))
+    sets = classes.where(F.size("s") > 0).select("c", "s")
+    counts = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    ranked = sets.select("c", F.size("s").alias("len"), F.explode("s").alias("x")).join(counts, "x").groupBy("c", "len").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v.x).alias("o"))
     prefix = F.slice("o", 1, (F.col("len") - F.ceil(F.col("len") * threshold - 1e-9) + 1).cast("int"))
-    keyed = ranked.select("c", "len", "o", "length_class", prefix.alias("p"), F.posexplode(prefix).alias("pos", "x"))
-    left = keyed.select(F.col("c").alias("a"), F.col("o").alias("oa"), F.col("p").alias("pa"), "x", F.explode(F.array(F.col("length_class"), F.col("length_class") + 1)).alias("k"), F.col("len").alias("la"), F.col("length_class").alias("ka"))
-    right = keyed.select(F.col("c").alias("b"), F.col("o").alias("ob"), F.col("p").alias("pb"), "x", F.col("length_class").alias("k"), F.col("len").alias("lb"))
-    pairs = left.join(right, ["x", "k"]).where((F.col("k") > F.col("ka")) | (F.col("a") < F.col("b")))
-    pairs = pairs.where(F.least("la", "lb") >= F.greatest("la", "lb") * threshold - 1e-9).where(F.get(F.array_intersect("pa", "pb"), F.lit(0)) == F.col("x"))
-    links = pairs.where(jaccard(F.col("oa"), F.col("ob")) >= threshold - 1e-12).select("a", "b")
-    roots = connected_components(links)
-    rooted = classes.join(roots, F.col("c") == F.col("node"), "left").select("s", "least", F.coalesce("root", "c").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("s", "component_id")
-    return rows.join(named, "s").select("doc_id", "component_id")
+    length_class = F.floor(F.log("len") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    keyed = ranked.select("c", "len", length_class.alias("own"), F.explode(prefix).alias("x"))
+    met = cut(keyed.select("c", "len", "x", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("k")))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")
+        return cut(pairs.distinct().join(a, "a").join(b, "b").where(jaccard(F.col("sa"), F.col("sb")) >= threshold - 1e-12).select("a", "b"))
+
+    near = F.least("la", "lb") >= F.greatest("la", "lb") * threshold - 1e-9
+    first = met.where("own = k").groupBy("x", "k").agg(F.min(F.struct(F.col("c").alias("b"), F.col("len").alias("lb"))).alias("r"))
+    star = alike(met.join(first.select("x", "k", "r.*"), ["x", "k"]).where("c <> b").withColumn("la", F.col("len")).where(near).select(F.col("c").alias("a"), "b"))
+    part = connected_components(star)
+    parts = cut(met.join(part, F.col("c") == F.col("node"), "left").select("x", "k", "c", "len", (F.col("own") == F.col("k")).alias("here"), F.coalesce("root", "c").alias("part")))
+    several = parts.groupBy("x", "k").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("x", "k")
+    present = parts.join(several, ["x", "k"]).select("x", "k", "part").distinct()
+    across = present.withColumnRenamed("part", "pa").join(present.withColumnRenamed("part", "pb"), ["x", "k"]).where("pa < pb")
+    left, right = parts.toDF("x", "k", "a", "la", "ha", "pa"), parts.toDF("x", "k", "b", "lb", "hb", "pb")
+    rest = across.join(left, ["x", "k", "pa"]).join(right, ["x", "k", "pb"]).where((F.col("ha") | F.col("hb")) & near)
+    links = star.union(alike(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
+    rooted = classes.join(connected_components(links), F.col("c") == F.col("node"), "left").select("c", "least", F.coalesce("root", "c").alias("root"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("c", "component_id")
+    return rows.select("doc_id", "c").join(named, "c").select("doc_id", "component_id")

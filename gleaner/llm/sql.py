@@ -12,6 +12,12 @@ def chat(control: str) -> str:
     SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
 
+LAYOUTS = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE coalesce(role, '') NOT IN ('human', 'gpt')),
+    g AS (SELECT conv_id, count(*) AS n_turns, list(role ORDER BY turn, role, text) AS roles, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said FROM t GROUP BY conv_id)
+    SELECT conv_id, CASE WHEN roles = ['user', 'assistant'] AND conv_id % 3 = 0 THEN 'prompt_completion' WHEN roles = ['user', 'assistant'] AND conv_id % 3 = 1 THEN 'instruction' WHEN conv_id % 3 = 1 THEN 'conversations' ELSE 'messages' END AS layout,
+    NULL AS error, n_turns, sha256(said) AS turns_sha256 FROM g"""
+
+
 def sharding(shards: int, slots: int) -> str:
     drawn = "('0x' || left(md5('shard-' || lpad(i::VARCHAR, 2, '0') || ':{}'), 15))::BIGINT"
     return f"""WITH RECURSIVE p AS (SELECT list({drawn.format('offset')} % {slots} ORDER BY i) AS o, list({drawn.format('skip')} % {slots - 1} + 1 ORDER BY i) AS k FROM range({shards}) r(i)),
@@ -30,7 +36,8 @@ LINES = """WITH l AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM
   SELECT doc_id, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(l, lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text, coalesce(len(l), 0)::BIGINT AS n_lines, coalesce(len(gone), 0)::BIGINT AS n_removed FROM l LEFT JOIN c USING (doc_id)"""
 
 
-def hosts(rules: list[tuple[str, str, str]], z: float = 1.645, limit: float = 0.25) -> str:
+def hosts(rules: list[tuple[str, str, str]], suffixes: tuple[str, ...], z: float = 1.645, limit: float = 0.25) -> str:
+    listed = ", ".join(f"'{x}'" for x in suffixes)
     fits = [(h + p, v, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')") for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))]
     rule = "CASE " + " ".join(f"WHEN {c} THEN '{r}'" for r, _, c in fits) + " END"
     verdict = "CASE " + " ".join(f"WHEN {c} THEN '{v}'" for _, v, c in fits) + " END"
@@ -45,7 +52,8 @@ def hosts(rules: list[tuple[str, str, str]], z: float = 1.645, limit: float = 0.
     p AS (SELECT page_id, {_FOLD.format("regexp_extract(rest, '^([^/?#]*)', 1, 's')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1, 's') AS path FROM u),
     o AS (SELECT doc_id AS page_id, 1 - max(quality) AS bad FROM labels GROUP BY doc_id),
     hc AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY host),
-    h AS (SELECT *, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM hc),
+    hb AS (SELECT *, string_split(bare, '.') AS labels, regexp_matches(bare, '^[0-9.]+$|^\[') AS address, array_to_string(string_split(bare, '.')[-2:], '.') AS two FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', '', 's'), '(:[0-9]*)?\.?$', '') AS bare FROM hc)),
+    h AS (SELECT host, n, bad, CASE WHEN address THEN bare WHEN two IN ({listed}) THEN array_to_string(labels[-3:], '.') ELSE two END AS domain, CASE WHEN address THEN bare WHEN two IN ({listed}) THEN two ELSE labels[-1] END AS suffix FROM hb),
     dc AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL), sc AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM dc GROUP BY ALL),
     {level("fs", "suffix", "sc", None, None)}, {level("fd", "domain", "dc", "suffix", "fs")}, hx AS (SELECT host, domain, n, bad FROM h), {level("fh", "host", "hx", "domain", "fd")},
     r AS (SELECT host, greatest(0, a / (a + b) - {z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))) AS low FROM fh)
