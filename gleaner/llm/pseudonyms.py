@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -17,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+FIRST_YEAR, LAST_YEAR = 1900, 2099
+FIRST_DAY, LAST_DAY = datetime.date(FIRST_YEAR, 1, 1).toordinal(), datetime.date(LAST_YEAR, 12, 31).toordinal()
 
 
 def permute(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -57,22 +59,34 @@ def _refill(shape: str, digits: str, of: str = "0123456789") -> str:
 
 
 def _card(s: str, key: bytes, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", s)
+    digits = re.sub(r"[^0-9]", "", s)
     if not 13 <= len(digits) <= 19 or luhn_digit(digits[:-1]) != digits[-1] or not digits.strip("0"):
         return None
-    n = len(digits) - 1
-    body = str(permute(_numeral(digits[:-1]), 10**n, key, f"card{n}", back)).zfill(n)
-    return _refill(s, body + luhn_digit(body))
+    n, body = len(digits) - 1, digits[:-1]
+    while True:  # all zeros would not be a card again
+        body = str(permute(_numeral(body), 10**n, key, f"card{n}", back)).zfill(n)
+        if body.strip("0"):
+            return _refill(s, body + luhn_digit(body))
+
+
+#: Country calling codes of two digits, fixed values; 1 and 7 are the codes of one digit, all others have three.
+_TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def calling_code(digits: str) -> int:
+    """How many of an international number's digits are its country's."""
+    return 1 if digits[:1] in ("1", "7") else 2 if digits[:2] in _TWO_DIGIT_CODES else 3
 
 
 def _phone(s: str, key: bytes, back: bool) -> str | None:
-    digits = re.sub(r"\D", "", s)
-    country = len(re.match(r"\+?(\d*)", s)[1]) if s[0] == "+" else 0
-    country = country if country <= 3 else 1
-    n = len(digits) - country
-    if not 8 <= len(digits) <= 15 or n < 6:
+    """The country's digits stay. A number without `+` is one of country 1, so that both forms are linked."""
+    digits = re.sub(r"[^0-9]", "", s)
+    country = calling_code(digits) if s[0] == "+" else 0
+    own = digits[country:]
+    if not 8 <= len(digits) <= 15 or len(own) < 6:
         return None
-    return _refill(s, digits[:country] + str(permute(_numeral(digits[country:]), 10**n, key, f"phone{digits[:country]}:{n}", back)).zfill(n))
+    n = len(own)
+    return _refill(s, digits[:country] + str(permute(_numeral(own), 10**n, key, f"phone{digits[:country] or 1}:{n}", back)).zfill(n))
 
 
 #: The least octet of one, two and three digits, and how many there are.
@@ -108,22 +122,35 @@ def _social(s: str, key: bytes, back: bool) -> str | None:
             return _refill(s, digits)
 
 
+@lru_cache(maxsize=1)
+def _late_days() -> list[int]:
+    """All days from the 13th of a month on, in order; the other days are twelve in each month."""
+    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
+
+
+def _moved_day(day: datetime.date, key: bytes, back: bool) -> datetime.date:
+    """The same for all formats. Days up to the 12th stay such days and later ones later, so that a date whose order of day and month shows by its numbers shows it again."""
+    if day.day <= 12:
+        years = LAST_YEAR - FIRST_YEAR + 1
+        at = permute(((day.year - FIRST_YEAR) * 12 + day.month - 1) * 12 + day.day - 1, years * 144, key, "date:12", back)
+        return datetime.date(FIRST_YEAR + at // 144, at // 12 % 12 + 1, at % 12 + 1)
+    late = _late_days()
+    return datetime.date.fromordinal(late[permute(bisect_left(late, day.toordinal()), len(late), key, "date:31", back)])
+
+
 def _date(s: str, key: bytes, back: bool) -> str | None:
     a, mark, b, _, c = re.split(r"([-./])", s)
     order = "ymd" if len(a) == 4 else "dmy" if mark != "/" or int(a) > 12 else "mdy"
     part = dict(zip(order, map(int, (a, b, c))))
     try:
-        day = datetime.date(part["y"], part["m"], part["d"]).toordinal()
+        day = datetime.date(part["y"], part["m"], part["d"])
     except ValueError:
         return None
-    if not FIRST_DAY <= day <= LAST_DAY:
+    if not FIRST_YEAR <= day.year <= LAST_YEAR:
         return None
-    while True:
-        day = FIRST_DAY + permute(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, "date", back)
-        new = datetime.date.fromordinal(day)
-        value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        if mark != "/" or order == ("dmy" if new.day > 12 else "mdy") or order == "ymd":  # it reads in the same order
-            return mark.join(value[x] for x in order)
+    new = _moved_day(day, key, back)
+    value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
+    return mark.join(value[x] for x in order)
 
 
 def _iban(s: str, key: bytes, back: bool) -> str | None:
@@ -142,15 +169,16 @@ def _refill_any(shape: str, characters: str) -> str:
     return "".join(c if c == " " else next(rest) for c in shape)
 
 
-_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz")
 
 
 def _mail(s: str, key: bytes, back: bool) -> str | None:
-    """Digits and ASCII letters of the local part, each within its class; the domain and other characters stay."""
+    """Digits and ASCII letters of the local part, each within its class; letters keep their case, so that spellings in other cases are linked; the domain and other characters stay."""
     local, _, domain = s.rpartition("@")
-    kinds = [next((k for k in _CLASSES if c in k), None) for c in local]
+    low = [c.lower() if c.isascii() else c for c in local]
+    kinds = [next((k for k in _CLASSES if c in k), None) for c in low]
     value, size = 0, 1
-    for c, k in zip(local, kinds):
+    for c, k in zip(low, kinds):
         if k:
             value, size = value * len(k) + k.index(c), size * len(k)
     if size == 1:
@@ -160,7 +188,7 @@ def _mail(s: str, key: bytes, back: bool) -> str | None:
     for c, k in zip(reversed(local), reversed(kinds)):
         if k:
             value, at = divmod(value, len(k))
-            c = k[at]
+            c = k[at].upper() if c.isupper() else k[at]
         out.append(c)
     return "".join(reversed(out)) + "@" + domain
 
@@ -168,19 +196,22 @@ def _mail(s: str, key: bytes, back: bool) -> str | None:
 def _secret(s: str, key: bytes, back: bool) -> str | None:
     if s.isdigit() or s.isalpha():
         return None
-    moved = permute(int(s, 16), 16 ** len(s), key, f"hex{len(s)}", back)
-    return f"{moved:0{len(s)}{'X' if s.upper() == s else 'x'}}"
+    moved = s
+    while True:  # digits or letters alone would not be told as a secret again
+        moved = f"{permute(int(moved, 16), 16 ** len(s), key, f'hex{len(s)}', back):0{len(s)}{'X' if s.upper() == s else 'x'}}"
+        if not (moved.isdigit() or moved.isalpha()):
+            return moved
 
 
 #: Kinds in the order in which they claim a stretch; each pattern is bounded or can't start inside its own match.
 KINDS: dict[str, tuple[re.Pattern, Callable[[str, bytes, bool], str | None]]] = {
     "hex": (re.compile(r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)"), _secret),
-    "iban": (re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
-    "date": (re.compile(r"(?<![\w.-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w-]|\.\d)"), _date),
-    "ipv4": (re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"), _address),
-    "social": (re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"), _social),
-    "phone": (re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?|\(\d{3}\))(?:[ .-]?\d{2,4}){2,4}(?!\w)"), _phone),
-    "card": (re.compile(r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w])"), _card),
+    "iban": (re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"), _iban),
+    "date": (re.compile(r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\w-]|\.\d)"), _date),
+    "ipv4": (re.compile(r"(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\w|\.\d)"), _address),
+    "social": (re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"), _social),
+    "phone": (re.compile(r"(?<![\w+.-])[0-9]{3}([-.])[0-9]{3}\1[0-9]{4}(?![\w-]|\.\d)|(?<![\w+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?|\([0-9]{3}\))(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)"), _phone),
+    "card": (re.compile(r"(?<![\w+])[0-9](?:[ -]?[0-9]){12,18}(?![\w])"), _card),
 }
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = re.compile(r"[\w.+-]{1,64}\Z")
