@@ -32,7 +32,7 @@ def byte_characters() -> dict[int, str]:
 class Vocabulary:
     """A tokenizer and, for each id, its bytes: the byte table is applied backwards once."""
 
-    def __init__(self, data: str):
+    def __init__(self, data: str, pattern: str = PATTERN):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(data)
@@ -46,7 +46,7 @@ class Vocabulary:
         for i, token in entries:
             self.bytes_of[i] = token.encode() if i in added else bytes(back[c] for c in token)
         self.length_of = np.array([len(b) for b in self.bytes_of], np.int64)
-        self.split = regex.compile(PATTERN).findall
+        self.split = regex.compile(pattern).findall
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -68,13 +68,24 @@ class Vocabulary:
                 del self.known[p]
         return out
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: list[int | None]) -> bytes:
+        """The bytes of the ids; null ids have none. ValueError for an id that the vocabulary doesn't have."""
+        own = [i for i in ids if i is not None]
+        if own and not 0 <= min(own) <= max(own) < len(self.bytes_of):
+            raise ValueError(f"the vocabulary has ids from 0 to {len(self.bytes_of) - 1}, not {min(own)} to {max(own)}")
+        return b"".join(map(self.bytes_of.__getitem__, own))
 
 
 @lru_cache(maxsize=2)
-def _held(data: str) -> Vocabulary:
-    return Vocabulary(data)
+def _held(data: str, pattern: str = PATTERN) -> Vocabulary:
+    return Vocabulary(data, pattern)
+
+
+def same_vocabulary(tokenizer_json: str, ranks: dict[bytes, int]) -> bool:
+    """Whether a tokenizer's ordinary tokens are the tokens of a rank file, under the same numbers."""
+    held = Vocabulary(tokenizer_json)
+    added = held.tokenizer.get_added_tokens_decoder()
+    return {b: i for i, b in enumerate(held.bytes_of) if i not in added} == ranks
 
 
 def decode_text(tokens: bytes) -> str:
@@ -91,8 +102,8 @@ def character_ends(raw: bytes, ids: np.ndarray, length_of: np.ndarray) -> np.nda
     return begun[ends] - inside
 
 
-def encode(docs: DataFrame, tokenizer_json: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = True) -> DataFrame:
-    """Each row's `keep` columns with ids array<int>, ends array<int> and decoded binary.
+def encode(docs: DataFrame, tokenizer_json: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = True, pattern: str = PATTERN) -> DataFrame:
+    """Each row's `keep` columns with ids array<int>, ends array<int> and decoded binary. `pattern` splits the texts.
 
     tokenizer_json is the content of the library's file, sent to executors as a broadcast value of fixed size. No
     special tokens are added or recognised, so their strings are ordinary text. ends has for each token the number
@@ -104,7 +115,7 @@ def encode(docs: DataFrame, tokenizer_json: str, text_col: str = "text", keep: t
     fields = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _held(sent.value)
+        vocabulary = _held(sent.value, pattern)
         for batch in batches:
             for low, high, texts in _parts(batch.column(batch.num_columns - 1)):
                 found = vocabulary.encode(texts)
@@ -140,7 +151,8 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
 def decode(rows: DataFrame, tokenizer_json: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each row's `keep` columns with decoded (binary) and text (string; split characters become U+FFFD).
 
-    Null ids decode to nothing; an id that the vocabulary doesn't have fails the task.
+    A null list, and a null id within a list, decode to nothing; an id that the vocabulary doesn't have, a negative one
+    too, fails the task with a ValueError.
     """
     sent = rows.sparkSession.sparkContext.broadcast(tokenizer_json)
     inner = rows.select(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)), F.col(ids_col).cast("array<int>").alias("ids"))
