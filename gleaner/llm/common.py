@@ -27,6 +27,12 @@ def shared_folder(spark: SparkSession) -> str:
     return own
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it is."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, kept in the shared folder, with no lineage: a lost executor costs nothing."""
     shared_folder(df.sparkSession)

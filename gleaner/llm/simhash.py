@@ -192,7 +192,7 @@ def near_links(distinct: DataFrame, threshold: int = 2, partitions: int | None =
             yield from out(_links_of_groups(*held, threshold))
 
     partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    copies = distinct.select("fp").mapInArrow(replicate, "anchor int, fp long, home boolean")
+    copies = distinct.select("fp").repartition(partitions).mapInArrow(replicate, "anchor int, fp long, home boolean")
     dealt = copies.repartition(partitions, "anchor").sortWithinPartitions("anchor", F.desc("home"))
     return dealt.mapInArrow(compare, "a long, b long")
 
