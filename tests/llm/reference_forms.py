@@ -1,6 +1,7 @@
 """Plain single-machine forms of the contracts, written apart from the operators, for comparison."""
 
 import base64
+import datetime
 import hashlib
 import re
 import zlib
@@ -130,3 +131,182 @@ def deduped_lines(docs, n=3):
 
 def held_out(doc):
     return zlib.crc32(str(doc).encode()) % 4 == 2
+
+
+def near_sets(sets, threshold):
+    """key -> least key reachable over pairs of sets with a Jaccard of `threshold` or more, comparing all pairs."""
+    keys = sorted(sets)
+    label = {k: k for k in keys}
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            union = sets[a] | sets[b]
+            if label[a] != label[b] and (not union or len(sets[a] & sets[b]) / len(union) >= threshold):
+                low, high = sorted((label[a], label[b]))
+                label = {k: low if v == high else v for k, v in label.items()}
+    return label
+
+
+def shingle_sets(docs, n=5):
+    out = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", folded(t))
+        out[d] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+    return out
+
+
+def chains(text, anchors, chain=2):
+    """SpotSigs before hashing: what follows each anchor, cut to content words."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    out = set()
+    for i, w in enumerate(words):
+        if w in anchors:
+            out.add(tuple([w] + [x for x in words[i + 1 :] if x not in anchors][:chain]))
+    return out or ({tuple(words)} if words else set())
+
+
+# --- pseudonyms, in one pass over the text and with permutations written as arithmetic
+
+
+def feistel(value, size, key, tweak):
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    salt = hashlib.blake2b(tweak.encode(), digest_size=16).digest()
+    while True:
+        left, right = divmod(value, 2**half)
+        for r in range(8):
+            n = (half + 7) // 8
+            f = int.from_bytes(hashlib.blake2b(right.to_bytes(n, "big"), key=key, person=bytes([r]), salt=salt, digest_size=min(64, n + 8)).digest(), "big")
+            left, right = right, left ^ (f % 2**half)
+        value = left * 2**half + right
+        if value < size:
+            return value
+
+
+def _put(shape, digits):
+    digits = list(digits)
+    return re.sub("[0-9]", lambda m: digits.pop(0), shape)
+
+
+def _luhn(digits):
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(digits[::-1]))
+    return total % 10 == 0
+
+
+def _pseudo(kind, s, key):
+    d = re.sub("[^0-9]", "", s)
+    if kind == "date":
+        p = re.split("[-./]", s)
+        y, m, day = (p[0], p[1], p[2]) if len(p[0]) == 4 else (p[2], p[0], p[1]) if "/" in s and int(p[0]) <= 12 else (p[2], p[1], p[0])
+        try:
+            at = datetime.date(int(y), int(m), int(day))
+        except ValueError:
+            return None
+        if not 1900 <= at.year <= 2099:
+            return None
+        days = [datetime.date(1900, 1, 1) + datetime.timedelta(k) for k in range(73049)]
+        own = [x for x in days if (x.day <= 12) == (at.day <= 12)]
+        new = own[feistel(own.index(at), len(own), key, "date:12" if at.day <= 12 else "date:31")]
+        form = "ymd" if len(p[0]) == 4 else "mdy" if "/" in s and int(p[0]) <= 12 else "dmy"
+        return _put(s, "".join({"y": f"{new.year:04}", "m": f"{new.month:02}", "d": f"{new.day:02}"}[c] for c in form))
+    if kind == "card":
+        if not 13 <= len(d) <= 19 or not _luhn(d) or not int(d):
+            return None
+        body = int(d[:-1])
+        while True:
+            body = feistel(body, 10 ** (len(d) - 1), key, f"card{len(d) - 1}")
+            if body:
+                break
+        text = str(body).zfill(len(d) - 1)
+        return _put(s, text + next(c for c in "0123456789" if _luhn(text + c)))
+    if kind == "phone":
+        code = ""
+        if s[0] == "+":
+            code = d[: 1 if d[0] in "17" else 2 if d[:2] in "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split() else 3]
+        own = d[len(code) :]
+        if not 8 <= len(d) <= 15 or len(own) < 6:
+            return None
+        return _put(s, code + str(feistel(int(own), 10 ** len(own), key, f"phone{code or 1}:{len(own)}")).zfill(len(own)))
+    if kind == "social":
+        fine = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
+        if not fine(d):
+            return None
+        while True:
+            d = str(feistel(int(d), 10**9, key, "social")).zfill(9)
+            if fine(d):
+                return _put(s, d)
+    if kind == "ipv4":
+        parts = s.split(".")
+        if any(int(x) > 255 or (x != "0" and x[0] == "0") for x in parts):
+            return None
+        sizes = [{1: 10, 2: 90, 3: 156}[len(x)] for x in parts]
+        least = [{1: 0, 2: 10, 3: 100}[len(x)] for x in parts]
+        value = size = None
+        for x, n, low in zip(parts, sizes, least):
+            value, size = (int(x) - low, n) if size is None else (value * n + int(x) - low, size * n)
+        value = feistel(value, size, key, "ipv4" + "".join(str(len(x)) for x in parts))
+        out = []
+        for n, low in list(zip(sizes, least))[::-1]:
+            out.insert(0, str(low + value % n))
+            value //= n
+        return ".".join(out)
+    if kind == "hex":
+        if s.isdigit() or s.isalpha():
+            return None
+        value = int(s, 16)
+        while True:
+            value = feistel(value, 16 ** len(s), key, f"hex{len(s)}")
+            text = f"{value:x}".zfill(len(s))
+            if not (text.isdigit() or text.isalpha()):
+                return text.upper() if s.upper() == s else text
+    if kind == "iban":
+        p = s.replace(" ", "")
+        rest = lambda x: int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97
+        if not 15 <= len(p) <= 34 or rest(p) != 1:
+            return None
+        own = re.sub("[^0-9]", "", p[4:])
+        moved = str(feistel(int(own or "0"), 10 ** max(1, len(own)), key, f"iban{p[:2]}{len(own)}")).zfill(len(own))
+        account = _put(p[4:], moved)
+        new = next(x for x in (f"{p[:2]}{k:02}{account}" for k in range(2, 99)) if rest(x) == 1)
+        return "".join(" " if c == " " else new[i - s[:i].count(" ")] for i, c in enumerate(s))
+    local, domain = s.rsplit("@", 1)
+    low = [c.lower() if "A" <= c <= "Z" else c for c in local]
+    classes = ["".join(map(chr, range(48, 58))) if c in "0123456789" else "".join(map(chr, range(97, 123))) if "a" <= c <= "z" else "" for c in low]
+    value, size = 0, 1
+    for c, k in zip(low, classes):
+        if k:
+            value, size = value * len(k) + k.index(c), size * len(k)
+    if size == 1:
+        return None
+    value = feistel(value, size, key, "mail" + "".join(k[0] if k else "x" for k in classes))
+    out = list(local)
+    for i in reversed(range(len(out))):
+        if classes[i]:
+            value, at = divmod(value, len(classes[i]))
+            out[i] = classes[i][at].upper() if out[i].isupper() else classes[i][at]
+    return "".join(out) + "@" + domain
+
+
+#: What candidates look like, in the order in which kinds win where they begin together: fixed formats.
+_LOOKS = {
+    "mail": r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?!\w)",
+    "hex": r"(?<!\w)(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?!\w)",
+    "iban": r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "date": r"(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}-[0-9]{2}-[0-9]{4})(?![\w-]|\.\d)",
+    "ipv4": r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.\d)",
+    "social": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
+    "phone": r"(?<![\w+.-])[0-9]{3}(?:-[0-9]{3}-|\.[0-9]{3}\.)[0-9]{4}(?![\w-]|\.\d)|(?<![\w+])(?:\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?|\([0-9]{3}\))(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)",
+    "card": r"(?<![\w+])[0-9](?:[ -]?[0-9]){12,18}(?![\w])",
+}
+
+
+def pseudonymous(text, key):
+    found = []
+    for rank, (kind, looks) in enumerate(_LOOKS.items()):
+        for m in re.finditer(looks, text):
+            new = _pseudo(kind, m[0], key)
+            if new is not None:
+                found.append((m.start(), rank, m.end(), new))
+    out, at = "", 0
+    for begin, _, end, new in sorted(found):
+        if begin >= at:
+            out, at = out + text[at:begin] + new, end
+    return out + text[at:]

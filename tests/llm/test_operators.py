@@ -38,6 +38,23 @@ def test_pseudonyms_are_valid_linked_and_reversible(spark):
         assert pseudonyms.pseudonym(kind, value, key) is None
 
 
+def test_pseudonyms_link_formats():
+    key = queries.EXAMPLE_KEY
+    day = lambda s: pseudonyms.pseudonym("date", s, key)
+    for iso, others in {"2024-02-29": ("2024/02/29", "29.02.2024", "29-02-2024", "29/02/2024", "02/29/2024"), "1999-11-05": ("1999/11/05", "05.11.1999", "05-11-1999", "11/05/1999")}.items():
+        y, m, d = day(iso).split("-")
+        want = {"/": f"{y}/{m}/{d}", ".": f"{d}.{m}.{y}", "-": f"{d}-{m}-{y}"}
+        for s in others:
+            new = day(s)
+            assert new == (want[s[4]] if s[4] in "/" else f"{m}/{d}/{y}" if s[2] == "/" and int(s[:2]) <= 12 else f"{d}/{m}/{y}" if s[2] == "/" else want[s[2]])
+            assert pseudonyms.pseudonym("date", new, key, back=True) == s
+    digits = lambda s: "".join(c for c in pseudonyms.replace_all(s, key)[0] if c.isdigit())
+    assert len({digits(s) for s in ("+44 20 7946 0958", "+442079460958", "+44-20-7946-0958")}) == 1
+    assert len({digits(s)[-10:] for s in ("+1 555-123-4567", "555-123-4567", "(555) 123-4567", "555.123.4567")}) == 1
+    assert pseudonyms.pseudonym("mail", "Jane.D3@x.org", key).lower() == pseudonyms.pseudonym("mail", "jane.d3@x.org", key)
+    assert pseudonyms.replace_all("\u0660\u0662\u0660-12-3456", key) == ("\u0660\u0662\u0660-12-3456", [])
+
+
 def test_permutation():
     assert sorted(pseudonyms.permute(i, 1000, b"k" * 16, "t") for i in range(1000)) == list(range(1000))
 
@@ -59,11 +76,51 @@ def test_chat_layouts(spark):
         (6, "no json"),
         (7, None),
         (8, '{"messages":[]}'),
+        (9, '{"messages":[{"role":"u","content":"x","name":"n"}],"id":4}'),
+        (10, '{"messages":[{"role":"u","content":"x"}],"prompt":"x"}'),
+        (11, '{"output":"c","instruction":"a"}'),
     ]
     got = {r.id: r for r in chat.format_chat(spark.createDataFrame(said, "id int, record string").withColumn("turns", F.lit(0)), "record").collect()}
     turns = {i: None if r.turns is None else [tuple(t) for t in r.turns] for i, r in got.items()}
     assert turns[1] == [("user", "hi"), ("assistant", "")] and turns[2] == [("user", "hi"), ("assistant", "yo")] and turns[3] == [("user", "a"), ("user", "b"), ("assistant", "c")] and turns[4] == [("user", "p"), ("assistant", "c")]
-    assert [turns[i] for i in (5, 6, 7)] == [None] * 3 and len(got) == 8
+    assert [turns[i] for i in (5, 6, 7)] == [None] * 3 and len(got) == len(said) and turns[8] == []
+    assert turns[9] == [("u", "x")] and turns[10] == [("u", "x")] and turns[11] == [("user", "a"), ("assistant", "c")]
+    assert {i: r.error for i, r in got.items() if r.error} == {5: "unknown_layout", 6: "not_json", 7: "null_record"}
+    assert len({got[i].schema_hash for i in (1, 9)}) == 1  # fields that no layout declares don't count
+
+
+def test_layouts_that_clash():
+    with pytest.raises(ValueError):
+        chat.declared((chat.Layout("a", ("x",), ("y",), fields=(("user", "x"),)), chat.Layout("b", ("x", "y"), fields=(("user", "y"),))))
+
+
+def test_chat_typed_records(spark):
+    """Rows of one table in several layouts, without JSON."""
+    rows = [(1, [("user", "q"), ("assistant", "a")], None, None, None), (2, None, "p", "c", None), (3, None, None, None, "x"), (4, [], None, None, None), (5, None, "p", None, None)]
+    df = spark.createDataFrame(rows, "id int, messages array<struct<role:string,content:string>>, prompt string, completion string, name string")
+    got = {r.id: r for r in chat.canonical_turns(df.select("id", F.struct("messages", "prompt", "completion", "name").alias("r")), "r").collect()}
+    assert [tuple(t) for t in got[1].turns] == [("user", "q"), ("assistant", "a")] and [tuple(t) for t in got[2].turns] == [("user", "p"), ("assistant", "c")]
+    assert got[4].turns == [] and got[3].turns is None and got[3].error == "unknown_layout" and got[5].error == "unknown_layout"
+
+
+def test_chat_long_turns(spark):
+    """Turns of over 20 million characters stay whole, typed and from JSON."""
+    n = 21_000_000
+    turns = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("x"), n).alias("text"))
+    made = chat.as_records(turns)
+    assert chat.canonical_turns(made, "record").select(F.size("turns"), F.length(F.col("turns")[1].text)).first()[:] == (2, n)
+    text = made.select(F.to_json(F.struct(F.slice("record.messages", 1, 1).alias("messages"))).alias("record"))
+    assert chat.canonical_turns(text, "record").select("error", F.length(F.col("turns")[0].text)).first()[:] == (None, n)
+
+
+def test_chat_hard_tables(spark):
+    """Null numbers, roles and texts, repeated rows, clashing columns, an empty table."""
+    rows = [(None, 1, "user", "a"), (None, None, "user", "b"), (7, 2, None, None), (7, 1, "assistant", "x"), (7, 1, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    clash = chat.as_records(df).withColumns({c: F.lit(0) for c in ("layout", "formatted", "loss_mask", "turns", "error")})
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat.format_chat(clash, "record").collect()}
+    assert got == {None: [("user", "a"), ("user", "b")], 7: [("assistant", "x"), ("assistant", "x"), ("", "")]}
+    assert chat.format_chat(chat.as_records(df.limit(0)), "record").count() == 0
 
 
 def test_chat_round_trip(spark):
@@ -176,6 +233,42 @@ def test_hosts(spark):
     assert got["bad.x.io"] == "block" and got["good1.x.io"] == "allow" and len(got) == 11
 
 
+def test_registered_domains(spark):
+    want = {"a.shop.co.uk": ("shop.co.uk", "co.uk"), "u@b.example.com:80": ("example.com", "com"), "10.1.2.3": ("10.1.2.3", "10.1.2.3"), "[::1]:8080": ("[::1]", "[::1]"), "co.uk": ("co.uk", "co.uk"), "x.org.": ("x.org", "org"), "": ("", ""), "localhost": ("localhost", "localhost")}
+    got = spark.createDataFrame([(h,) for h in want], "h string").select("h", hosts.registered_domain(F.col("h")).alias("d"), hosts.suffix(F.col("h")).alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in got} == want
+
+
+def test_write_shards(spark, docs, tmp_path):
+    table = sharding.lookup_table(spark, ["s0", "s1"], 7)
+    sharding.write_shards(sharding.place(docs, "doc_id", table, 7), str(tmp_path / "out"), parts=2)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(TEXTS) and {r.shard for r in back.select("shard").distinct().collect()} <= {"s0", "s1"}
+
+
+def test_hot_ids_and_next(spark):
+    """Ids that fill many ranges, and null ids: every row has one next row, in one circle."""
+    rows = [(7, f"a{i}") for i in range(400)] + [(None, f"n{i}") for i in range(100)] + [(i, f"b{i}") for i in range(20)]
+    led = spotsigs.with_next(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", "after", buckets=9).collect()
+    assert len(led) == 520 and sorted(r.after for r in led) == sorted(t for _, t in rows)
+    after = {r.text: r.after for r in led}
+    order = ["b19"]
+    while after[order[-1]] != "b19":
+        order.append(after[order[-1]])
+    ids = {t: (-1 if d is None else d) for d, t in rows}
+    assert len(order) == 520 and [ids[t] for t in order] == sorted(ids.values(), reverse=True)
+
+
+def test_spotsigs_hot_signature(spark):
+    """A template with one changed word each: one group, found without all its pairs; strays stay apart."""
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(["the"] + [f"z{k}" if i == k % 40 else f"the {w}" for i, w in enumerate(base)])) for k in range(120)]
+    rows += [(1000 + k, " ".join(f"the {w}" for w in base[: 20 + k] + [f"q{k}{i}" for i in range(60 - k)])) for k in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {d: plain.chains(t, spotsigs.ANCHORS) for d, t in rows}
+    assert {r.doc_id: r.component_id for r in spotsigs.near_duplicates(df).collect()} == plain.near_sets(sets, 0.8)
+
+
 def test_suffix_order_and_search():
     rng = np.random.default_rng(2)
     for trial in range(40):
@@ -189,8 +282,8 @@ def test_suffix_order_and_search():
         assert decontam.sorted_suffixes(s).tolist() == sorted(range(len(s)), key=key)
         index = decontam.FMIndex(s)
         for m in (1, 2, 3):
-            phrases = rng.integers(1, sigma + 2, (8, m))
-            low, high = index.search(phrases)
+            phrases = rng.integers(1, int(s.max()) + 1, (8, m)) if s.any() else np.empty((0, m), np.int64)
+            low, high = index.search(phrases.ravel(), np.arange(len(phrases)) * m, m)
             for p, a, b in zip(phrases, low, high):
                 want = [i for i in range(len(s) - m + 1) if (s[i : i + m] == p).all()]
                 assert sorted(index.locate(np.arange(a, b)).tolist()) == want
@@ -200,7 +293,7 @@ def test_decontamination(spark, docs, empty):
     items = [(1, "a b c d"), (2, None), (3, "..."), (4, "lone TEXT here"), (4, "lone text here"), (None, "word"), (5, "x1 é2 x3 x4 x5 x6 x7 x8 x9 x10 x11 x12")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     more = docs.select("doc_id", "text").union(spark.createDataFrame([(9, "0 X1-É2 x1-é2_x3,x4 x5 x6 x7 x8 x9 X10 x11! end a b c d")], "doc_id long, text string"))
-    for kw in ({}, {"block_bytes": 1}, {"shard_bytes": 1}):
+    for kw in ({}, {"block_bytes": 1}, {"shard_bytes": 1}, {"pass_bytes": 1}, {"pass_bytes": 20, "block_bytes": 5, "shard_bytes": 90}):
         got = decontam.decontaminate(more, bench, **kw).collect()
         assert len(got) == len(TEXTS) + 1
         known = [(k, t) for k, (_, t) in enumerate(more.collect())]
@@ -225,6 +318,11 @@ def test_bpe(spark, docs, empty):
         assert not r.ids or (r.ends[-1] == len(texts[r.doc_id]) and list(r.ends) == sorted(r.ends))
     again = {r.doc_id: r.text for r in bpe.decode(made, json).collect()}
     assert again == texts
+    odd = spark.createDataFrame([(1, [None, 64, None]), (2, None)], "doc_id int, ids array<int>")
+    assert {r.doc_id: r.text for r in bpe.decode(odd, json).collect()} == {1: bpe.decode(spark.createDataFrame([(1, [64])], "doc_id int, ids array<int>"), json).first().text, 2: ""}
+    for strange in (-1, 10**6):
+        with pytest.raises(Exception, match="the vocabulary has ids"):
+            bpe.decode(spark.createDataFrame([(1, [strange])], "doc_id int, ids array<int>"), json).collect()
     split = spark.createDataFrame([(1, made.where("doc_id = 3").first().ids[:1])], "doc_id int, ids array<int>")
     assert "\ufffd" in bpe.decode(split, json).first().text
     assert bpe.encode(docs, json, keep=("doc_id", "k0")).count() == len(TEXTS) and bpe.encode(empty, json).count() == 0
@@ -281,7 +379,7 @@ def test_pipeline(spark, sf_dir):
     second = p.line_stage(spark, first, sf_dir).cache()
     assert dict(rows(second)) == {d: t for d, (t, _, gone) in plain.deduped_lines(rows(first)).items() if not gone or t.strip(" ")}
     third = p.near_duplicate_stage(spark, second, sf_dir).cache()
-    assert sorted(d for d, _ in rows(third)) == sorted({c for _, c in plain.components({d: plain.simhash(t) for d, t in rows(second)}).values()})
+    assert sorted(d for d, _ in rows(third)) == sorted(set(plain.near_sets(plain.shingle_sets(rows(second)), 0.8).values()))
     fourth = p.decontamination_stage(spark, third, sf_dir).cache()
     items = [(r.item_id, r.text) for r in table(spark, sf_dir, "benchmark").collect()]
     hit = plain.contamination(rows(third), items)
@@ -293,6 +391,37 @@ def test_pipeline(spark, sf_dir):
     assert p.run(spark, sf_dir).count() == fourth.count()
 
 
+def test_pipeline_stages_on_hard_tables(spark, docs, empty, sf_dir):
+    """Every stage with null ids and texts, blank and very long texts, repeated rows, clashing columns, and no rows."""
+    import corpus_pipeline as p
+
+    for name, stage in p.STAGES:
+        assert stage(spark, empty, sf_dir).count() == 0, name
+        got = stage(spark, docs, sf_dir)
+        assert got.count() <= len(TEXTS) and (name == "byte-level BPE" or got.columns == p.COLUMNS), name
+    assert p.line_stage(spark, docs, sf_dir).where("text IS NULL").count() == 1 and p.decontamination_stage(spark, docs, sf_dir).count() == len(TEXTS)
+
+
+def test_planted_near_copies_are_caught(spark, sf_dir):
+    """Recall of 0.9 at least of copies of real texts in which words at random places changed, at similarity 0.8 or more."""
+    import corpus_pipeline as p
+
+    rng = random.Random(21)
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect() if len(r.text.split()) >= 60][:80]
+    rows, planted = [(i, t) for i, t in enumerate(texts)], []
+    for i, t in enumerate(texts):
+        words = t.split(" ")
+        for at in rng.sample(range(len(words)), max(1, len(words) // 90)):
+            words[at] = f"changed{at}"
+        sets = plain.shingle_sets([(0, t), (1, " ".join(words))])
+        if len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8:
+            planted.append(1000 + i)
+            rows.append((1000 + i, " ".join(words)))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in p.near_duplicate_stage(spark, df, sf_dir).collect()}
+    assert len(planted) >= 60 and sum(i not in kept for i in planted) >= 0.9 * len(planted)
+
+
 def test_near_duplicate_stage_without_ids(spark, sf_dir):
     """Null ids, one id with two texts and repeated rows: one row of each group of like texts stays, whatever its id."""
     import corpus_pipeline as p
