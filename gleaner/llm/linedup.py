@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import cut
+
 LINES = 3
+#: The covered lines are sent to the texts where they have fewer bytes than this; else texts and lines are shuffled.
+BROADCAST_BYTES = 64 << 20
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines: int = LINES) -> DataFrame:
@@ -20,7 +24,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     key = [F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark")]
-    cut = docs.where(F.col(text_col).isNotNull()).select(*key, F.split(text_col, "\n").alias("l"))
+    parted = docs.where(F.col(text_col).isNotNull()).select(*key, F.split(text_col, "\n").alias("l"))
     parts = [lambda l, i, j=j: F.get(l, i + j) for j in range(lines)]
     hashed = F.transform(
         F.sequence(F.lit(0), F.size("l") - lines),
@@ -31,12 +35,16 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.concat(*(F.trim(p(F.col("l"), i)) for p in parts)).alias("all"),
         ),
     )
-    windows = cut.where(F.size("l") >= lines).select("no_id", "id", "mark", F.explode(hashed).alias("w")).where(F.col("w.all") != "").select("no_id", "id", "mark", "w.pos", "w.h1", "w.h2")
+    windows = parted.where(F.size("l") >= lines).select("no_id", "id", "mark", F.explode(hashed).alias("w")).where(F.col("w.all") != "").select("no_id", "id", "mark", "w.pos", "w.h1", "w.h2")
     place = F.struct("no_id", "id", "mark", "pos")
     repeated = windows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("h1", "h2", "first")
     later = windows.join(repeated, ["h1", "h2"]).where(place > F.col("first"))
     covered = later.groupBy("no_id", "id", "mark").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("pos", F.col("pos") + (lines - 1))))).alias("__gone"))
     covered = covered.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__gone")
+    covered = cut(covered)
+    size = covered.agg(F.sum(24 + 4 * F.size("__gone"))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        covered = F.broadcast(covered)
     joined = docs.join(covered, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__mark")), "left")
     all_lines = F.split(text_col, "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__gone"))
