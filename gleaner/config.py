@@ -71,7 +71,12 @@ STATEMENTS = (
 )
 DEPTH_SCORES = {1: 0.6, 2: 0.4}
 MAX_SEEDS, MAX_VISITED, MAX_PATHS, MAX_BRANCHES = 8, 60, 32, 8
-# Answer checks.
+# Answer checks, safety and references to earlier turns.
+UNSAFE_CONTEXT = r"ignore (?:all |any )?(?:previous|prior|system) instructions|system prompt|developer message|jailbreak"
+SAFETY = r"\b(dimension|install|godkänd|standard|krock|säker|engineering|design|compliance|crash|safe|100 km|hastighet)\w*"
+FOLLOW_UP = r"\b(it|its|this|that|these|those|them|the product|that product|this product|den|det|dess|denna|detta|de|dem|produkten|den produkten|det området)\b"
+HISTORY_REFERENCE = r"\b(previous|earlier|last|before|both|compare|comparison|föregående|tidigare|förra|båda|jämför|jämförelse)\b"
+EXPLICIT_COMPANY = r"\b(company|företag\w*|organisation\w*|organization\w*|about us|om oss|who are you|vilka är ni)\b"
 UNSAFE_FORMAT = r"[<>@]|(?:https?://|www\.|mailto:|tel:|javascript:)|\]\s*\("
 ANSWER_ACTION = (
     r"\b(contact\w*|representative\w*|book\w*|appoint\w*|meeting\w*|schedul\w*|confirm\w*|calendar\w*|email\w*|sent|send|install\w*|must|should|recommend\w*|"

@@ -1,59 +1,141 @@
 """Stateful admission as ordered folds within a key: only what is admitted counts.
 
-Each but `login_throttle` is a fold over a key's sorted events inside the JVM; `gleaner.streaming.stateful` has the same as streams.
-A key's events meet in one row, which holds one timestamp and number for each.
+A key's events reach one task in order and are read as a stream: a task holds the state of one key, which the limit
+bounds, and a batch of rows, so time and memory are linear in the events however many a key has. What a fold decides
+depends on all that it admitted before, so one key's events are one sequence. `gleaner.streaming.stateful` has the
+same decisions on streams.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Iterator
+from collections import OrderedDict, deque
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+Decide = Callable[[tuple], tuple]
+
+
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Decide], out: str) -> DataFrame:
+    """rows with the columns `out` (DDL) added, which a fold over each key's rows in order gives.
+
+    start() begins a key: it returns a function from a row's values, in the order of the columns, to the added ones.
+    """
+    columns = rows.columns
+    spots = [columns.index(k) for k in keys]
+    names = [part.split()[0] for part in out.split(", ")]
+    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, decide = None, start()
+        for batch in batches:
+            made = []
+            for values in zip(*(batch.column(k).to_pylist() for k in range(len(columns)))):
+                key = tuple(values[k] for k in spots)
+                if key != now:
+                    now, decide = key, start()
+                made.append(decide(values))
+            added = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*columns, *names])
+
+    arrow = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    types = [arrow[part.split()[1]] for part in out.split(", ")]
+    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(fold, f"{kinds}, {out}")
+
+
+def _seconds(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp")) / 1e6
+
 
 def sliding_admission(requests: DataFrame, keys: list[str], time_col: str, id_col: str, limit: int, window_s: float) -> DataFrame:
     """(keys, id, ts, admitted, retry_after): at most `limit` admitted requests in (now - window, now].
 
     Refused requests use nothing up. A request of `window_s` ago no longer counts. ts is seconds; retry_after is the
-    seconds until the oldest admitted request expires, 1 at least, 0 if admitted. Ties in time come by id.
+    seconds until the oldest admitted request expires, 1 at least, 0 if admitted. Ties in time come by id; a request
+    without a time is admitted and not counted.
+    """
+
+    def start() -> Decide:
+        live: deque = deque()
+
+        def decide(values: tuple) -> tuple:
+            at = values[-1]
+            if at is None:
+                return True, 0
+            while live and live[0] <= at - window_s:
+                live.popleft()
+            if len(live) < limit:
+                live.append(at)
+                return True, 0
+            return False, max(1, ceil(live[0] + window_s - at)) if live else 1
+
+        return decide
+
+    rows = requests.select(*keys, F.col(id_col).alias("id"), _seconds(time_col).alias("ts"))
+    return ordered_fold(rows, keys, ["ts", "id"], start, "admitted boolean, retry_after int")
+
+
+def recent_client_admission(requests: DataFrame, client_col: str, time_col: str, id_col: str, limit: int, window_s: float, clients: int = 10_000) -> DataFrame:
+    """(client, id, ts, admitted): sliding_admission() of a server that remembers only the `clients` that asked last.
+
+    A client that fell out of memory starts anew. Which client falls out depends on all requests before, so one task
+    reads the sorted requests as a stream; it holds `clients` times `limit` times at most.
     """
-    ts = F.unix_micros(F.col(time_col).cast("timestamp")) / 1e6
-    listed = requests.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(ts.alias("ts"), F.col(id_col).alias("id")))).alias("events"))
-    element = f"array<struct<id:{requests.schema[id_col].dataType.simpleString()},ts:double,admitted:boolean,retry_after:int>>"
 
-    def step(acc: Column, e: Column) -> Column:
-        live = F.filter(acc["live"], lambda t: t > e["ts"] - window_s)
-        free = F.size(live) < limit
-        wait = F.greatest(F.lit(1), F.ceil(F.get(live, F.lit(0)) + window_s - e["ts"]).cast("int"))
-        out = F.struct(e["id"].alias("id"), e["ts"].alias("ts"), free.alias("admitted"), F.when(free, 0).otherwise(wait).alias("retry_after"))
-        return F.struct(F.when(free, F.concat(live, F.array(e["ts"]))).otherwise(live).alias("live"), F.concat(acc["out"], F.array(out)).alias("out"))
+    def start() -> Decide:
+        known: OrderedDict = OrderedDict()
+
+        def decide(values: tuple) -> tuple:
+            client, _, at = values
+            if at is None:
+                return (True,)
+            live = known.pop(client, None) or deque()
+            while live and live[0] <= at - window_s:
+                live.popleft()
+            free = len(live) < limit
+            if free:
+                live.append(at)
+            known[client] = live
+            if len(known) > clients:
+                known.popitem(last=False)
+            return (free,)
 
-    folded = F.aggregate("events", F.struct(F.array().cast("array<double>").alias("live"), F.array().cast(element).alias("out")), step, lambda acc: acc["out"])
-    return listed.select(*keys, F.inline(folded))
+        return decide
+
+    rows = requests.select(F.col(client_col).alias("client"), F.col(id_col).alias("id"), _seconds(time_col).alias("ts"))
+    return ordered_fold(rows, [], ["ts", "id"], start, "admitted boolean")
 
 
 def reserve_budget(requests: DataFrame, category_col: str, time_col: str, units_col: str, id_col: str, daily: int, monthly: int) -> DataFrame:
-    """(category, id, day, units, admitted): a request is admitted whole if it fits into the day's and the month's rest."""
-    ts = F.col(time_col).cast("timestamp")
-    month = F.date_format(ts, "yyyy-MM")
-    row = F.struct(F.unix_micros(ts).alias("at"), F.col(id_col).alias("id"), F.date_format(ts, "yyyy-MM-dd").alias("day"), F.col(units_col).cast("long").alias("units"))
-    listed = requests.groupBy(F.col(category_col).alias("category"), month.alias("month")).agg(F.array_sort(F.collect_list(row)).alias("events"))  # a month's budget starts anew
-    element = f"array<struct<id:{requests.schema[id_col].dataType.simpleString()},day:string,units:bigint,admitted:boolean>>"
+    """(category, id, day, units, admitted): a request is admitted whole if it fits into the day's and the month's rest.
 
-    def step(acc: Column, e: Column) -> Column:
-        today = F.when(acc["day"] == e["day"], acc["today"]).otherwise(F.lit(0).cast("long"))
-        fits = (today + e["units"] <= daily) & (acc["month"] + e["units"] <= monthly)
-        used = F.when(fits, e["units"]).otherwise(F.lit(0).cast("long"))
-        out = F.struct(e["id"].alias("id"), e["day"].alias("day"), e["units"].alias("units"), fits.alias("admitted"))
-        return F.struct(e["day"].alias("day"), (today + used).alias("today"), (acc["month"] + used).alias("month"), F.concat(acc["out"], F.array(out)).alias("out"))
+    A month's budget starts anew, so a category's months are separate folds. A request without a time or units isn't admitted.
+    """
+
+    def start() -> Decide:
+        used = {"day": None, "today": 0, "month": 0}
 
-    zero = F.lit(0).cast("long")
-    folded = F.aggregate("events", F.struct(F.lit("").alias("day"), zero.alias("today"), zero.alias("month"), F.array().cast(element).alias("out")), step, lambda acc: acc["out"])
-    return listed.select("category", F.inline(folded))
+        def decide(values: tuple) -> tuple:
+            day, units = values[-2:]
+            if day is None or units is None:
+                return (False,)
+            if day != used["day"]:
+                used["day"], used["today"] = day, 0
+            fits = used["today"] + units <= daily and used["month"] + units <= monthly
+            if fits:
+                used["today"] += units
+                used["month"] += units
+            return (fits,)
+
+        return decide
+
+    ts = F.col(time_col).cast("timestamp")
+    rows = requests.select(F.col(category_col).alias("category"), F.date_format(ts, "yyyy-MM").alias("month"), F.unix_micros(ts).alias("at"), F.col(id_col).alias("id"), F.date_format(ts, "yyyy-MM-dd").alias("day"), F.col(units_col).cast("long").alias("units"))
+    return ordered_fold(rows, ["category", "month"], ["at", "id"], start, "admitted boolean").select("category", "id", "day", "units", "admitted")
 
 
 def first_by_key(requests: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -75,49 +157,57 @@ def own_slots(bookings: DataFrame) -> DataFrame:
     )
 
 
+def busy_stretches(rows: DataFrame, time_col: str, window_s: float) -> DataFrame:
+    """rows with stretch (long): between rows of two stretches lies a whole window without any row.
+
+    Times are cut into windows; a run of windows that have rows is a stretch. What is ordered is one number for each
+    window that has rows, which the time span bounds, not the rows. Rows without a time have stretch null.
+    """
+    slot = F.floor(F.col(time_col) / window_s)
+    used = rows.select(slot.alias("slot")).where("slot IS NOT NULL").distinct()
+    w = Window.orderBy("slot")
+    runs = used.withColumn("new", (F.col("slot") - F.coalesce(F.lag("slot").over(w), F.col("slot")) > 1).cast("long")).select("slot", F.sum("new").over(w).alias("stretch"))
+    return rows.withColumn("slot", slot).join(runs, "slot", "left").drop("slot")
+
+
 def login_throttle(attempts: DataFrame, per_peer: int = 5, overall: int = 100, window_s: float = 300.0) -> DataFrame:
     """(peer, id, ts, admitted, retry_after) of attempts (attempt_id, peer, at): refused if the peer has `per_peer` or all have `overall` admitted ones.
 
-    Only admitted attempts in (at - window, at] count; ties in time come by id, and an
-    attempt without a time is admitted and not counted. retry_after is as in `sliding_admission`,
-    for the later of the limits that refuse. The limit over all peers makes each decision depend on all earlier ones, so
-    one task reads the sorted attempts as a stream; it holds `overall` admitted ones at most.
+    Only admitted attempts in (at - window, at] count; ties in time come by id, and an attempt without a time is
+    admitted and not counted. retry_after is as in `sliding_admission`, for the later of the limits that refuse. The
+    limit over all peers ties each decision to the ones before it, but not across a quiet window: stretches are dealt
+    to tasks, each of which reads its sorted attempts as a stream and holds `overall` admitted ones at most.
     """
-    kinds = {c: attempts.schema[c].dataType.simpleString() for c in ("peer", "attempt_id")}
-    ts = F.unix_micros(F.col("at").cast("timestamp")) / 1e6
 
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start() -> Decide:
         live: deque = deque()
         held: dict = {}
-        for batch in batches:
-            admitted, waits = [], []
-            for peer, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if at is None:
-                    admitted.append(True)
-                    waits.append(0)
-                    continue
-                while live and live[0][1] <= at - window_s:
-                    gone = live.popleft()[0]
-                    held[gone].popleft()
-                    if not held[gone]:
-                        del held[gone]
-                own = held.get(peer, ())
-                oldest = [x for full, x in ((len(own) >= per_peer, own[0] if own else at), (len(live) >= overall, live[0][1] if live else at)) if full]
-                admitted.append(not oldest)
-                waits.append(max(1, ceil(max(oldest) + window_s - at)) if oldest else 0)
-                if not oldest:
-                    live.append((peer, at))
-                    held.setdefault(peer, deque()).append(at)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(admitted, pa.bool_()), pa.array(waits, pa.int32())], ["peer", "id", "ts", "admitted", "retry_after"])
-
-    rows = attempts.select("peer", F.col("attempt_id").alias("id"), ts.alias("ts"))
-    return rows.repartition(1).sortWithinPartitions("ts", "id").mapInArrow(fold, f"peer {kinds['peer']}, id {kinds['attempt_id']}, ts double, admitted boolean, retry_after int")
+
+        def decide(values: tuple) -> tuple:
+            peer, at = values[1], values[3]
+            if at is None:
+                return True, 0
+            while live and live[0][1] <= at - window_s:
+                gone = live.popleft()[0]
+                held[gone].popleft()
+                if not held[gone]:
+                    del held[gone]
+            own = held.get(peer, ())
+            full = ([own[0] if own else at] if len(own) >= per_peer else []) + ([live[0][1] if live else at] if len(live) >= overall else [])
+            if full:
+                return False, max(1, ceil(max(full) + window_s - at))
+            live.append((peer, at))
+            held.setdefault(peer, deque()).append(at)
+            return True, 0
+
+        return decide
+
+    rows = busy_stretches(attempts.select("peer", F.col("attempt_id").alias("id"), _seconds("at").alias("ts")), "ts", window_s)
+    return ordered_fold(rows.select("stretch", "peer", "id", "ts"), ["stretch"], ["ts", "id"], start, "admitted boolean, retry_after int").drop("stretch")
 
 
 def last_turns(turns: DataFrame, keys: list[str], order_col: str, context_cols: list[str], n: int = 4) -> DataFrame:
     """The last n turns of each conversation after runs of equal contexts became one (its first turn)."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*keys).orderBy(order_col)
     same = F.lit(True)
     for c in context_cols:
@@ -135,3 +225,81 @@ def slots(days: DataFrame, contact_id: str, times: tuple[str, ...] = ("09:00", "
     stamp = F.date_format(start, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     slot = F.concat(F.lit("slot-"), F.left(F.sha2(F.concat_ws("|", F.lit(contact_id), stamp), 256), F.lit(16)))
     return weekdays.select(slot.alias("slot_id"), F.lit(contact_id).alias("contact_id"), F.date_format(local, "yyyy-MM-dd HH:mm").alias("local_start"), start.alias("starts_at"), (start + F.expr(f"interval {minutes} minutes")).alias("ends_at"))
+
+
+def week_bounds(weeks: DataFrame, day_col: str, zone: str = "Europe/Stockholm") -> DataFrame:
+    """weeks with is_monday, and for Mondays week_start and week_end: the UTC times at which the local week begins and ends.
+
+    Across a change of clocks a week has an hour more or less. Other days have null bounds: a week begins on a Monday.
+    """
+    day = F.col(day_col).cast("date")
+    monday = F.weekday(day) == 0
+    bound = lambda n: F.when(monday, F.to_utc_timestamp(F.date_add(day, n).cast("timestamp"), zone))
+    return weeks.withColumns({"is_monday": monday, "week_start": bound(0), "week_end": bound(7)})
+
+
+def free_slots(slots: DataFrame, bookings: DataFrame, key: str = "slot_id") -> DataFrame:
+    """Slots that no confirmed booking has; bookings (key, status)."""
+    return slots.join(bookings.where("status = 'confirmed'").select(key), key, "left_anti")
+
+
+#: Longest values of a booking's fields, in the order in which they are checked: fixed values.
+FIELD_LIMITS = {"visitor_name": 100, "visitor_email": 254, "company_name": 120, "meeting_topic": 300}
+
+
+def booking_fault(contacts: tuple[str, ...], languages: tuple[str, ...] = ("sv", "en")) -> Column:
+    """Why a booking (session_id, idempotency_key, contact_id, preferred_language, consent and the fields) is refused; null if it isn't."""
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    out = (
+        F.when(~text("session_id").rlike(r"^[A-Za-z0-9_-]{1,100}$"), "invalid_session")
+        .when(~F.length(text("idempotency_key")).between(1, 100), "invalid_idempotency_key")
+        .when(~text("contact_id").isin(*contacts), "invalid_contact")
+        .when(~text("preferred_language").isin(*languages), "invalid_language")
+        .when(~F.coalesce(F.col("consent"), F.lit(False)), "missing_consent")
+    )
+    for field, most in FIELD_LIMITS.items():
+        if field != "company_name":
+            out = out.when(F.trim(text(field)) == "", "missing_field")
+        out = out.when(F.length(text(field)) > most, "field_too_long")
+    return out.when(~text("visitor_email").rlike(r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "invalid_email")
+
+
+def public_bookings(bookings: DataFrame, topic_chars: int = 100) -> DataFrame:
+    """Bookings without the columns that name a session, their topics cut to `topic_chars` characters."""
+    shown = bookings.drop("session_id", "idempotency_key")
+    return shown.withColumn("meeting_topic", F.left("meeting_topic", F.lit(topic_chars))) if "meeting_topic" in shown.columns else shown
+
+
+def calendar_view(bookings: DataFrame, contact_id: str, start: Column, end: Column) -> DataFrame:
+    """Confirmed bookings of a contact with start <= starts_at < end, by time: what a calendar may show of them."""
+    own = bookings.where((F.col("contact_id") == contact_id) & (F.col("status") == "confirmed") & (F.col("starts_at") >= start) & (F.col("starts_at") < end))
+    return own.select("booking_id", "contact_id", "slot_id", "starts_at", F.left("meeting_topic", F.lit(100)).alias("meeting_topic"), "status").orderBy("starts_at", "booking_id")
+
+
+def rescheduled(bookings: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bookings after the moves, outcomes) of moves (move_id, booking_id, session_id, slot_id, contact_id, starts_at, at).
+
+    A move is of the session's own booking (else not_found), a confirmed one (else invalid_state), with the same
+    contact (else invalid_contact), to a slot that no other confirmed booking has and that no earlier move of the
+    batch asks for (else slot_unavailable). Of several moves of a booking the first valid one counts; the others are
+    superseded. Slots that moves leave become free only for the next batch.
+    """
+    held = bookings.select("booking_id", F.col("session_id").alias("__s"), F.col("status").alias("__st"), F.col("contact_id").alias("__c"), F.col("slot_id").alias("__old"))
+    m = moves.join(held, "booking_id", "left")
+    fault = F.when(F.col("__s").isNull() | (F.col("__s") != F.col("session_id")), "not_found").when(F.col("__st") != "confirmed", "invalid_state").when(F.col("__c") != F.col("contact_id"), "invalid_contact")
+    taken = bookings.where("status = 'confirmed'").groupBy("slot_id").agg(F.first("booking_id").alias("__owner"))
+    m = m.withColumn("fault", fault).join(taken, "slot_id", "left")
+    m = m.withColumn("fault", F.coalesce("fault", F.when(F.col("__owner").isNotNull() & (F.col("__owner") != F.col("booking_id")), "slot_unavailable")))
+    first = m.where("fault IS NULL").groupBy("slot_id").agg(F.min(F.struct("at", "move_id")).alias("__first"))
+    m = m.join(first, "slot_id", "left").withColumn("fault", F.coalesce("fault", F.when(F.col("__first.move_id") != F.col("move_id"), "slot_unavailable")))
+    own = m.where("fault IS NULL").groupBy("booking_id").agg(F.min(F.struct("at", "move_id")).alias("__own"))
+    m = m.join(own, "booking_id", "left").withColumn("fault", F.coalesce("fault", F.when(F.col("__own.move_id") != F.col("move_id"), "superseded")))
+    done = m.where("fault IS NULL").select("booking_id", F.col("slot_id").alias("__slot"), F.col("starts_at").alias("__at"))
+    after = bookings.join(done, "booking_id", "left").withColumns({"slot_id": F.coalesce("__slot", "slot_id"), "starts_at": F.coalesce("__at", "starts_at")}).select(*bookings.columns)
+    return after, m.select("move_id", "booking_id", F.coalesce("fault", F.lit("moved")).alias("outcome"))
+
+
+def cancelled(bookings: DataFrame, requests: DataFrame) -> DataFrame:
+    """bookings with status `cancelled` where a request (booking_id, session_id) of the same session asks for it."""
+    asked = requests.select("booking_id", "session_id").distinct().withColumn("__c", F.lit(True))
+    return bookings.join(asked, ["booking_id", "session_id"], "left").withColumn("status", F.when(F.col("__c"), "cancelled").otherwise(F.col("status"))).select(*bookings.columns)

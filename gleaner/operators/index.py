@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,30 +13,40 @@ from pyspark.sql import functions as F
 from gleaner import config
 from gleaner.functions import text as X
 
-_PARAGRAPH = re.compile(r"\n\s*\n")
+_BLANK_LINES = re.compile(r"\n\s*\n")
+
+
+def cut_places(text: str, most: int, least: int) -> Iterator[tuple[int, int]]:
+    """[begin, end) of parts of `most` characters at most: paragraphs, the longer ones cut at spaces.
+
+    A scan over the places where a text may break. A part of a long paragraph ends at the last space within reach, if
+    that is `least` characters on, else at the limit.
+    """
+    spaces = [m.start() for m in re.finditer(" ", text)]
+    edges = [0, *(x for m in _BLANK_LINES.finditer(text) for x in m.span()), len(text)]
+    for low, high in zip(edges[::2], edges[1::2]):
+        high = low + len(text[low:high].rstrip())
+        while low < high:
+            low += len(text[low:high]) - len(text[low:high].lstrip()) if text[low].isspace() else 0
+            end = high
+            if high - low > most:
+                last = bisect_right(spaces, low + most) - 1
+                end = spaces[last] if last >= 0 and spaces[last] - low >= least else low + most
+            yield low, low + len(text[low:end].rstrip())
+            low = end
 
 
 def pieces(text: str, most: int = config.CHUNK_CHARS, least: int = config.CHUNK_LEAST) -> list[str]:
-    """Paragraphs packed up to `most` characters; a longer one is cut at its last space there, if that is not before `least`."""
-    parts: list[str] = []
-    for paragraph in [p for p in map(str.strip, _PARAGRAPH.split(text)) if p] or [text.strip()]:
-        at = 0
-        while len(paragraph) - at > most:
-            space = paragraph.rfind(" ", at, at + most + 1) - at
-            cut = space if space >= least else most
-            parts.append(paragraph[at : at + cut].strip())
-            at += cut
-            while at < len(paragraph) and paragraph[at].isspace():
-                at += 1
-        if at < len(paragraph):
-            parts.append(paragraph[at:])
-    packed: list[str] = []
-    for part in parts:
-        if packed and len(packed[-1]) + 2 + len(part) <= most:
-            packed[-1] = f"{packed[-1]}\n\n{part}"
-        else:
-            packed.append(part)
-    return packed
+    """The parts of a text between its cut places, those in a row that fit into `most` characters joined by a blank line; a blank text is one empty piece."""
+    rows: list[list[str]] = []
+    size = most
+    for low, high in cut_places(text, most, least):
+        size += 2 + high - low
+        if size > most:
+            rows.append([])
+            size = high - low
+        rows[-1].append(text[low:high])
+    return ["\n\n".join(row) for row in rows]
 
 
 def chunks(records: DataFrame, spans_col: str | None = None) -> DataFrame:

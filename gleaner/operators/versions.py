@@ -1,17 +1,26 @@
 """Versioned datasets: immutable folders of Parquet, a manifest with checksums, and a pointer with revisions.
 
-The manifest is a few rows that the driver reads and replaces; the data never pass it. A version is visible only once
-the pointer names it, and a change must name the revision it was made from.
+Manifests are a few rows that the driver reads; the data never pass it. Each revision of the pointer is a file of its
+own, which is renamed into place only if there is none of its number: a reader always sees a whole revision, and of two
+writers that start from the same one the second fails. A change must name the revision or the digest it was made from.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+
+from gleaner.functions import digests
 
 FORMAT = 1
 
@@ -59,20 +68,41 @@ class Versions:
             return None
         return json.loads(self.spark.read.text(f"{self.root}/{name}", wholetext=True).first().value)
 
-    def _replace(self, name: str, value: dict) -> None:
-        """Written beside and renamed, so that a reader sees the old or the new, whole."""
+    def _create(self, name: str, value: dict) -> None:
+        """Written beside and renamed if the name is free; Conflict if it is taken."""
         beside = self._path(f"{self.root}/.{name}.{uuid.uuid4().hex}")
         out = self._fs.create(beside, True)
         out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
         out.close()
-        target = self._path(f"{self.root}/{name}")
-        if self._fs.exists(target):
-            self._fs.delete(target, False)
-        if not self._fs.rename(beside, target):
-            raise OSError(f"{name} could not be replaced")
+        jvm = self.spark.sparkContext._jvm
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        keep = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(beside, self._path(f"{self.root}/{name}"), keep)
+        except Py4JJavaError as e:
+            self._fs.delete(beside, False)
+            raise Conflict(f"{name} is there already") from e
+
+    def _revisions(self) -> list[int]:
+        if not self._fs.exists(self._path(self.root)):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted(int(n[9:-5]) for n in names if n.startswith("revision-") and n.endswith(".json"))
 
     def status(self) -> dict:
-        return self._read("active.json") or {"version": None, "revision": 0, "history": []}
+        """The latest revision: version, revision and how it came about."""
+        known = self._revisions()
+        if not known:
+            return {"version": None, "revision": 0, "history": []}
+        return self._read(f"revision-{known[-1]}.json") | {"history": [self._read(f"revision-{n}.json") for n in known]}
+
+    def listing(self) -> DataFrame:
+        """(version, home_url, created, format, revision): all versions, newest first, with the revision that made each active last, if any."""
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))] if self._fs.exists(self._path(self.root)) else []
+        made = [(n[:-5], m["home_url"], m["created"], m["format"]) for n in names if n.endswith(".json") and not n.startswith(("revision-", ".")) for m in [self._read(n)]]
+        versions = self.spark.createDataFrame(made, "version string, home_url string, created double, format int")
+        pointed = self.spark.createDataFrame([(h["version"], h["revision"]) for h in self.status()["history"]], "version string, revision int")
+        return with_pointer(versions, pointed)
 
     def stage(self, datasets: dict[str, DataFrame], home_url: str) -> str:
         """Writes a version that is not active yet; its id."""
@@ -81,14 +111,14 @@ class Versions:
         for name, df in datasets.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
             parts[name] = content_digest(self.spark.read.parquet(f"{self.root}/{version}/{name}"))
-        self._replace(f"{version}.json", {"format": FORMAT, "home_url": home_url, "datasets": parts, "created": time.time()})
+        self._create(f"{version}.json", {"format": FORMAT, "home_url": home_url, "datasets": parts, "created": time.time()})
         return version
 
     def load(self, version: str) -> dict[str, DataFrame]:
         """A version's datasets; Conflict if one is missing or its rows are not those of the manifest."""
         manifest = self._read(f"{version}.json")
-        if manifest is None or manifest.get("format") != FORMAT:
-            raise Conflict("no such version in this format")
+        if manifest is None or not 1 <= manifest.get("format", 0) <= FORMAT:
+            raise Conflict("no such version in a known format")
         out = {}
         for name, want in manifest["datasets"].items():
             try:
@@ -98,10 +128,15 @@ class Versions:
                 raise Conflict(f"{name} can't be read") from e
             if got != want:
                 raise Conflict(f"{name} is not as it was written")
+        for step in MIGRATIONS[manifest["format"] - 1 :]:
+            out = step.apply(out)
         return out
 
-    def activate(self, version: str, revision: int, key: str = "source_id", records: str = "records", replace_site: bool = False, allow_drop: bool = False, operation: str = "activate") -> dict:
-        """Makes a version the active one, if the revision is current, it has rows, and coverage doesn't drop too far."""
+    def activate(self, version: str, revision: int, key: str = "source_id", records: str = "records", replace_site: bool = False, allow_drop: bool = False, operation: str = "activate", check: Callable[[dict[str, DataFrame]], list[str]] | None = None) -> dict:
+        """Makes a version the active one, if the revision is current, it has rows, and coverage doesn't drop too far.
+
+        check gives the faults of the datasets as they are on disk (a graph's violations, say); any of them refuses.
+        """
         status = self.status()
         if status["revision"] != revision:
             raise Conflict("the active version changed")
@@ -114,12 +149,78 @@ class Versions:
                 raise Conflict("the site changed")
             if coverage_drop(old[records], new[records], key).first().fraction > self.max_drop and not allow_drop:
                 raise Conflict("coverage dropped")
-        entry = {"revision": revision + 1, "version": version, "operation": operation, "at": time.time()}
-        self._replace("active.json", {"version": version, "revision": revision + 1, "history": [*status["history"], entry]})
+        if check and (faults := check(new)):
+            raise Conflict(f"the version has faults: {', '.join(faults[:4])}")
+        self._create(f"revision-{revision + 1}.json", {"revision": revision + 1, "version": version, "operation": operation, "at": time.time()})
         return self.status()
 
-    def restore(self, version: str, revision: int) -> dict:
-        return self.activate(version, revision, operation="restore")
+    def restore(self, version: str, revision: int, check: Callable[[dict[str, DataFrame]], list[str]] | None = None) -> dict:
+        """An earlier version again, whose datasets are checked as if it were new."""
+        return self.activate(version, revision, operation="restore", check=check)
+
+    def completed(self, version: str, automatic: bool = True, **kw) -> dict:
+        """What becomes of a staged build: staged (not automatic), active, or review_required with the reason."""
+        if not automatic:
+            return {"state": "staged", "reason": "automatic activation is off"}
+        try:
+            return {"state": "active", "version": self.activate(version, self.status()["revision"], **kw)["version"]}
+        except Conflict as e:
+            return {"state": "review_required", "reason": str(e)}
+
+    def change(self, name: str, digest: dict, edit: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame], **kw) -> dict:
+        """Replaces one dataset of the active version by edit(dataset), if the caller saw its present content.
+
+        digest is content_digest() of what was edited. Loading holds the dataset on disk against the manifest, so a
+        file that was changed by other hands is a Conflict, too; so are rows of check(candidate). The version before
+        stays whole: it is the backup.
+        """
+        status = self.status()
+        now = self.active()
+        if self._read(f"{status['version']}.json")["datasets"][name] != digest:
+            raise Conflict(f"{name} changed meanwhile")
+        candidate = edit(now[name])
+        faults = check(candidate).limit(4).collect()
+        if faults:
+            raise Conflict("; ".join(" ".join(str(v) for v in f if v is not None) for f in faults))
+        version = self.stage(now | {name: candidate}, self._read(f"{status['version']}.json")["home_url"])
+        return self.activate(version, status["revision"], operation="change", **kw)
+
+    def backup(self, folder: str) -> dict:
+        """Copies the active version's datasets to a new folder with a manifest of rows, digests, bytes and columns."""
+        place = self._path(folder)
+        if self._fs.exists(place):
+            raise Conflict("the backup's folder exists")
+        listed = []
+        for name, df in self.active().items():
+            df.write.parquet(f"{folder}/{name}")
+            listed.append({"dataset": name, **content_digest(self.spark.read.parquet(f"{folder}/{name}")), "bytes": self._bytes(f"{folder}/{name}"), "columns": df.columns})
+        manifest = {"format": FORMAT, "created": time.time(), "datasets": listed}
+        self.spark.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string").coalesce(1).write.text(f"{folder}/manifest")
+        return manifest
+
+    def _bytes(self, path: str) -> int:
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
+    def backup_faults(self, folder: str, expected: tuple[str, ...]) -> list[str]:
+        """What is wrong with a backup: manifest, inventory, sizes, columns and contents; nothing if it is whole."""
+        try:
+            manifest = json.loads(self.spark.read.text(f"{folder}/manifest").first().value)
+            listed = {d["dataset"]: d for d in manifest["datasets"]}
+            if manifest["format"] != FORMAT:
+                return ["format"]
+        except Exception:
+            return ["manifest"]
+        if set(listed) != set(expected):
+            return ["inventory"]
+        out = []
+        for name, want in listed.items():
+            try:
+                df = self.spark.read.parquet(f"{folder}/{name}")
+                got = {**content_digest(df), "bytes": self._bytes(f"{folder}/{name}"), "columns": df.columns}
+            except Exception:
+                got = {}
+            out += [f"{name}: {k}" for k in ("rows", "digest", "bytes", "columns") if got.get(k) != want[k]]
+        return out
 
     def active(self) -> dict[str, DataFrame]:
         version = self.status()["version"]
@@ -128,14 +229,115 @@ class Versions:
         return self.load(version)
 
 
+def with_pointer(versions: DataFrame, pointed: DataFrame) -> DataFrame:
+    """versions with the latest revision that points to each; null where none does; newest first."""
+    last = pointed.groupBy("version").agg(F.max("revision").alias("revision"))
+    return versions.join(last, "version", "left").orderBy(F.desc("created"), "version")
+
+
+@dataclass(frozen=True)
+class Migration:
+    """One step of the datasets' format: what it does to all of them."""
+
+    version: int
+    name: str
+    apply: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]
+
+    @property
+    def checksum(self) -> str:
+        return hashlib.sha256(f"{self.version}:{self.name}".encode()).hexdigest()
+
+
+def migration_faults(history: list[tuple[int, str, str]], migrations: tuple[Migration, ...]) -> list[str]:
+    """What keeps a history of applied steps (version, name, checksum) from being the beginning of the known ones."""
+    if [m.version for m in migrations] != list(range(1, len(migrations) + 1)):
+        return ["the known steps are not numbered from 1"]
+    if [h[0] for h in history] != list(range(1, len(history) + 1)) or len(history) > len(migrations):
+        return ["the history is of another registry"]
+    return [f"step {m.version} differs" for h, m in zip(history, migrations) if h[1:] != (m.name, m.checksum)]
+
+
+def latest_formats(history: DataFrame) -> DataFrame:
+    """(dataset, format): the greatest version that each dataset's history (dataset, version) names."""
+    return history.groupBy("dataset").agg(F.max("version").alias("format"))
+
+
+#: Steps from each format to the next: none so far.
+MIGRATIONS: tuple[Migration, ...] = ()
+
+
 def changed(registry: DataFrame, changes: DataFrame, key: str = "source_id") -> DataFrame:
     """registry with the rows of `changes` added or in place of those of the same key."""
     return registry.join(changes.select(key), key, "left_anti").unionByName(changes.select(*registry.columns))
 
 
-def registry_faults(registry: DataFrame, most: int = 200) -> DataFrame:
-    """(fault, value): repeated ids, repeated URLs of a language, too many sources, none active."""
+def edited_registry(registry: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(candidate, faults (source_id, fault)) of changes (operation, and the registry's columns).
+
+    add wants a new source_id, update, archive and activate a known one; update keeps the status, archive and activate
+    change nothing else. One change of a source at a time; changes with a fault have no effect.
+    """
+    known = registry.select("source_id", F.col("source_status").alias("__status"))
+    twice = changes.groupBy("source_id").agg(F.count("*").alias("__n"))
+    c = changes.join(known, "source_id", "left").join(twice, "source_id")
+    fault = (
+        F.when(~F.col("operation").isin("add", "update", "archive", "activate"), "unknown_operation")
+        .when(F.col("__n") > 1, "several_changes")
+        .when((F.col("operation") == "add") & F.col("__status").isNotNull(), "source_exists")
+        .when((F.col("operation") != "add") & F.col("__status").isNull(), "source_missing")
+    )
+    c = c.withColumn("__fault", fault)
+    good = c.where("__fault IS NULL")
+    fresh = good.where("operation IN ('add', 'update')").withColumn("source_status", F.when(F.col("operation") == "add", "active").otherwise(F.col("__status")))
+    status = good.where("operation IN ('archive', 'activate')").select("source_id", F.when(F.col("operation") == "archive", "archived").otherwise("active").alias("__new"))
+    kept = registry.join(status, "source_id", "left").withColumn("source_status", F.coalesce("__new", "source_status")).select(*registry.columns)
+    return changed(kept, fresh.select(*registry.columns)), c.where("__fault IS NOT NULL").select("source_id", F.col("__fault").alias("fault"))
+
+
+def registry_faults(registry: DataFrame, most: int = 200, contacts: DataFrame | None = None, relationships: DataFrame | None = None) -> DataFrame:
+    """(fault, value): repeated ids, repeated URLs of a language, too many sources, none active, active contacts and graph rows that would lose their source."""
     ids = registry.groupBy("source_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_id").alias("fault"), F.col("source_id").alias("value"))
     urls = registry.groupBy("canonical_url", "language").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("repeated_url"), F.concat_ws(" ", "canonical_url", "language"))
     total = registry.agg(F.count("*").alias("n"), F.count_if(F.col("source_status") == "active").alias("a"))
-    return ids.union(urls).union(total.where(F.col("n") > most).select(F.lit("too_many"), F.col("n").cast("string"))).union(total.where("a = 0").select(F.lit("none_active"), F.lit("")))
+    out = ids.union(urls).union(total.where(F.col("n") > most).select(F.lit("too_many"), F.col("n").cast("string"))).union(total.where("a = 0").select(F.lit("none_active"), F.lit("")))
+    active = registry.where("source_status = 'active'")
+    if contacts is not None:
+        from gleaner.operators.routing import contacts_without_source
+
+        out = out.union(contacts_without_source(contacts, registry).select(F.lit("contact_without_source"), F.col("contact_id").cast("string")))
+    if relationships is not None:
+        lost = relationships.join(active.select("source_id"), "source_id", "left_anti")
+        out = out.union(lost.select(F.lit("relationship_without_source"), F.col("row").cast("string")))
+    return out
+
+
+def ordered_digest(rows: DataFrame, order: list[str]) -> str:
+    """SHA-256 over the rows in order as canonical JSON lists: equal for equal sequences of rows.
+
+    Each row's own digest is computed where the row is; what meets in one place is 64 characters for each row.
+    """
+    columns = sorted(rows.columns)
+
+    @pandas_udf("string")
+    def row_digest(values: pd.DataFrame) -> pd.Series:
+        return pd.Series([digests.digest({c: v.item() if hasattr(v, "item") else v for c, v in r.items()}) for r in values.to_dict("records")])
+
+    whole = hashlib.sha256()
+    own = rows.select(*order, row_digest(F.struct(*columns)).alias("__d")).orderBy(*order).select("__d")
+    for r in own.toLocalIterator():
+        whole.update(r[0].encode())
+    return whole.hexdigest()
+
+
+def recovered(jobs: DataFrame, now: float) -> DataFrame:
+    """jobs (state, lease_until, error) with those whose lease ran out while they were queued or crawling as interrupted."""
+    lost = F.col("state").isin("queued", "crawling") & (F.col("lease_until") < now)
+    return jobs.withColumns({"state": F.when(lost, "interrupted").otherwise(F.col("state")), "error": F.when(lost, "worker_interrupted").otherwise(F.col("error"))})
+
+
+def finished(jobs: DataFrame, outcomes: DataFrame, now: float) -> DataFrame:
+    """jobs (job_id, state, cancel_requested, lease_until, error) after outcomes (job_id, outcome, message): only running jobs under a lease change, and a job that was asked to stop is cancelled whatever came out."""
+    o = outcomes.select("job_id", F.col("outcome").alias("__o"), F.col("message").alias("__e"))
+    running = F.col("__o").isNotNull() & F.col("state").isin("queued", "crawling") & (F.col("lease_until") >= now)
+    state = F.when(~F.coalesce(running, F.lit(False)), F.col("state")).when(F.col("cancel_requested"), "cancelled").otherwise(F.col("__o"))
+    return jobs.join(o, "job_id", "left").withColumns({"state": state, "error": F.when(running, F.col("__e")).otherwise(F.col("error"))}).select(*jobs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls as U
@@ -68,22 +68,60 @@ def sitemap_locations(files: DataFrame) -> DataFrame:
     return rows.where(U.origin(F.col("location")) == U.origin(F.col("url"))).select("url", "kind", F.replace("location", F.lit("&amp;"), F.lit("&")).alias("location")).distinct()
 
 
-def discover(home: str, fetch: Callable[[DataFrame], DataFrame], spark, max_depth: int = 4, max_pages: int = 200, max_urls: int = 2000) -> DataFrame:
-    """(url, depth, html): pages of a site by breadth-first search, one join for each depth.
+def discover(home: str, fetch: Callable[[DataFrame], DataFrame], spark: SparkSession, folder: str, max_depth: int = 4, max_pages: int | None = 200, max_urls: int | None = 2000) -> tuple[DataFrame, DataFrame]:
+    """(pages (url, depth, html, place), report): the pages of a site by breadth-first search, one join for each depth.
 
-    fetch takes a DataFrame (url) and returns (url, html) of those that could be fetched. The frontier of a depth is
-    the links of the pages of the one before, in scope and not seen yet; limits keep the first by URL.
+    fetch takes a DataFrame (url) and returns (url, html) of those that could be fetched. Each depth's pages are
+    written to `folder` before their links are read, so every page is fetched once. URLs are taken in breadth-first
+    order: by depth, then by the place of the page that links to them first, then by URL; place is that order. The
+    limits stop the search at so many URLs seen and pages fetched (None: no limit); report is one row (pages, urls,
+    unfetched, cut), whose cut names the limits that left something out.
     """
     from gleaner.sources.pages import links
 
     start = U.canonical(home)
-    seen = frontier = spark.createDataFrame([(start, 0)], "url string, depth int")
-    pages = None
-    for depth in range(max_depth + 1):
-        got = fetch(frontier.select("url")).select("url", "html").join(frontier, "url").select("url", "depth", "html")
-        pages = got if pages is None else pages.unionByName(got)
-        found = links(got).select(F.col("link").alias("url")).where(U.in_scope(F.col("url"), home)).distinct()
-        fresh = found.join(seen.select("url"), "url", "left_anti").select("url", F.lit(depth + 1).alias("depth")).orderBy("url").limit(max_urls)
-        frontier = fresh
-        seen = seen.unionByName(fresh)
-    return pages.orderBy("depth", "url").limit(max_pages)
+    frontier = spark.createDataFrame([(start, 0)], "url string, place long")
+    seen, fetched, depth, cut, unfetched = 1, 0, 0, [], 0
+    while True:
+        wanted = frontier
+        room = None if max_pages is None else max_pages - fetched
+        if room is not None and frontier.count() > room:
+            cut.append("max_pages")
+            wanted = frontier.orderBy("place").limit(room)
+        got = fetch(wanted.select("url")).select("url", "html")
+        wanted.join(got, "url").select("url", F.lit(depth).alias("depth"), "html", "place").write.parquet(f"{folder}/pages/step={depth}")
+        frontier.select("url").write.parquet(f"{folder}/urls/step={depth}")
+        here = spark.read.parquet(f"{folder}/pages/step={depth}")
+        n = here.count()
+        unfetched += wanted.count() - n
+        fetched += n
+        known = spark.read.parquet(f"{folder}/urls")
+        found = links(here).join(here.select("url", "place"), "url").where(U.in_scope(F.col("link"), home)).groupBy(F.col("link").alias("url")).agg(F.min("place").alias("parent"))
+        fresh = found.join(known.select("url"), "url", "left_anti")
+        fresh.write.parquet(f"{folder}/found/step={depth}")
+        fresh = spark.read.parquet(f"{folder}/found/step={depth}")
+        count = fresh.count()
+        if depth == max_depth or not count or "max_pages" in cut:
+            if count:
+                cut.append("max_depth" if depth == max_depth else "max_pages")
+            break
+        if max_urls is not None and seen + count > max_urls:
+            cut.append("max_urls")
+            fresh = fresh.orderBy("parent", "url").limit(max(0, max_urls - seen))
+            count = min(count, max_urls - seen)
+        frontier = _numbered(fresh, seen)
+        seen += count
+        depth += 1
+        if not count:
+            break
+    report = spark.createDataFrame([(fetched, seen, unfetched, list(dict.fromkeys(cut)))], "pages long, urls long, unfetched long, cut array<string>")
+    return spark.read.parquet(f"{folder}/pages").drop("step"), report
+
+
+def _numbered(fresh: DataFrame, after: int) -> DataFrame:
+    """(url, place): rows in order of (parent, url), numbered on from `after`: counts of ranges first, then places within each."""
+    ranged = fresh.repartitionByRange("parent", "url").sortWithinPartitions("parent", "url").select("url", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
+    w = Window.orderBy("p")
+    ranged = ranged.withColumn("i", F.col("m") - (F.col("p").cast("long") * (1 << 33)))
+    before = ranged.groupBy("p").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(w) - F.col("n"))  # one row for each range
+    return ranged.join(F.broadcast(before.select("p", "before")), "p").select("url", (F.col("before") + F.col("i") + after).alias("place"))

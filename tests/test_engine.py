@@ -59,8 +59,14 @@ def test_ambiguous_labels_make_no_edges(spark):
 
 def test_caps(spark):
     heads = [f"Topic number {i:02d}" for i in range(45)]
-    g = graph.build_graph(source(spark, "\n\n".join(heads), heads))
+    rows = source(spark, "\n\n".join(heads), heads)
+    g = graph.build_graph(rows, graph.SITE_CAPS)
     assert g["entities"].count() == 40 and g["report"].first().truncated
+    whole = graph.build_graph(rows)
+    assert whole["entities"].count() == 45 and not whole["report"].first().truncated
+    for caps in ({"entities": 3}, {"edges": 3}):
+        g = graph.build_graph(rows, caps)
+        assert g["report"].first().truncated and g["relationships"].count() == 3
 
 
 def test_label_graph_and_search(spark, built):
@@ -84,6 +90,64 @@ def test_bounded_search_caps(spark):
     assert (r.n_paths, r.truncated) == (config.MAX_BRANCHES, True)
 
 
+def plain_walk(edges, found, depth):
+    """The bounded breadth-first search, as a loop: (paths as rows, expanded, truncated)."""
+    at = {}
+    for row, subject, _, obj, _ in edges:
+        at.setdefault(subject, []).append((row, obj))
+        at.setdefault(obj, []).append((row, subject))
+    order = sorted(found)[:8]
+    cut, seen, walked = len(found) > 8, list(order), []
+    for seed in order:
+        queue = [((seed,), ())]
+        while queue and len(walked) < 32:
+            entities, rows = queue.pop(0)
+            if len(rows) >= depth:
+                continue
+            near = sorted(at.get(entities[-1], []))
+            cut = cut or len(near) > 8
+            for row, other in near[:8]:
+                if other in entities:
+                    continue
+                if len(walked) >= 32:
+                    cut = True
+                    break
+                if other not in seen and len(seen) >= 60:
+                    cut = True
+                    continue
+                if (*rows, row) not in walked:
+                    walked.append((*rows, row))
+                if other not in seen:
+                    seen.append(other)
+                    queue.append(((*entities, other), (*rows, row)))
+    return walked, seen[len(order) :], cut or len(walked) >= 32
+
+
+def test_graph_search_order(spark):
+    """Joins and one fold against the loop, on random graphs with hubs, cycles and more than the bounds allow."""
+    import random
+
+    rng = random.Random(4)
+    for trial, (nodes, n) in enumerate(((6, 9), (15, 40), (60, 150), (25, 120))):
+        edges = []
+        for i in range(1, n + 1):
+            a, b = rng.sample(range(nodes), 2)
+            edges.append((i, f"node n{a:02d}", "INCLUDES", f"node n{b if rng.random() < 0.7 else 0:02d}", f"s{i % 7}"))
+        edges = [e for e in edges if e[1] != e[3]]
+        df = spark.createDataFrame(edges, "row long, subject string, predicate string, object string, source_id string")
+        none = spark.createDataFrame([], "entity string, alias string, language string, source_id string")
+        known = {x for e in edges for x in (e[1], e[3])}
+        texts = [" and ".join(rng.sample(sorted(known), min(k, len(known)))) for k in (1, 2, 5, 12)]
+        asked = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "query_id int, text string, language string")
+        for depth in (1, 2):
+            got = {r.query_id: r for r in graph.graph_search(df, none, asked, depth).collect()}
+            for i, t in enumerate(texts):
+                found = {k for k in known if f" {k} " in f" {t} "}
+                walked, expanded, cut = plain_walk(edges, found, depth)
+                r = got[i]
+                assert (sorted(r.matched), [tuple(p.rows) for p in r.paths], r.expanded, r.truncated) == (sorted(found), walked, expanded, cut), (trial, depth, i)
+
+
 def test_reviews(spark, built):
     _, g = built
     ids = {r.label: r.entity_id for r in g["entities"].collect()}
@@ -149,6 +213,11 @@ def test_chunks_of_sections(spark):
     assert [r.chunk_id for r in got] == [f"s1--00{i}" for i in range(1, 6)] and got[1].source_location.label == "Product: River Pump"
 
 
+def verdict(spark, answer, extractive=True):
+    rows = spark.createDataFrame([(1, answer, [tuple(e.values()) for e in EVIDENCE], None)], "answer_id int, answer string, evidence array<struct<source_id:string,content:string>>, names array<string>")
+    return answers.checked(rows, extractive).first()
+
+
 EVIDENCE = [{"source_id": "s1", "content": "Pumps move water. They need 12 volts of power."}]
 
 
@@ -166,12 +235,14 @@ EVIDENCE = [{"source_id": "s1", "content": "Pumps move water. They need 12 volts
         ("", False, ["invalid_answer"]),
     ],
 )
-def test_answer_checks(answer, accepted, reasons):
-    assert answers.verdict(answer, EVIDENCE)[:2] == (accepted, reasons)
+def test_answer_checks(spark, answer, accepted, reasons):
+    r = verdict(spark, answer)
+    assert (r.accepted, r.reasons) == (accepted, reasons)
 
 
 def test_answer_numbers(spark):
-    assert answers.verdict("They need 13 volts [s1]", EVIDENCE, extractive=False)[1] == ["unsupported_number", "missing_citation"]
+    assert verdict(spark, "They need 13 volts [s1]", extractive=False).reasons == ["unsupported_number", "missing_citation"]
+    assert verdict(spark, "They need 12 volts [s1]", extractive=False).cited == ["s1"]
     rows = spark.createDataFrame([(1, "Pumps move water. [s1]", [("s1", "Pumps move water.")], ["Ann"])], "answer_id int, answer string, evidence array<struct<source_id:string,content:string>>, names array<string>")
     r = answers.checked(rows).first()
     assert r.accepted and r.cited == ["s1"]
@@ -179,17 +250,42 @@ def test_answer_numbers(spark):
 
 def test_summary(spark):
     content = "Pumps\nRiver pumps are machines that move water. However, they need power. Unrelated words about hats stand here."
-    rows = spark.createDataFrame([(1, "s1", content)], "rank int, source_id string, content string")
-    got = answers.summaries(rows, "What are river pumps?", "en").first()
-    assert got.status == "GROUNDED" and "machines that move water. However, they need power." in got.answer and got.source_ids == ["s1"]
-    none = answers.summaries(rows.limit(0), "x", "en").collect()
-    assert [(r.status, r.source_ids) for r in none] == [("UNAVAILABLE", [])]
-
-
-def test_evidence_budget(spark):
-    rows = spark.createDataFrame([(i, f"s{i}", "t", f"https://x.org/{i % 3}", "c" * 50) for i in range(1, 7)], "rank int, source_id string, title string, canonical_url string, content string")
-    got = answers.evidence_messages(rows, "q", most=4, characters=300).collect()
-    assert [r.role for r in got] == ["system", "user"] and got[1].content.count("source_id") == 2
+    rows = spark.createDataFrame([(1, 1, "s1", content), (2, 1, "s2", "Det är en text som vi har och att."), (2, 2, "s3", "Hats are soft. Hats keep heads warm in winter days."), (4, 1, "s1", "The words of our page are for you and with us.")], "question_id int, rank int, source_id string, content string")
+    asked = spark.createDataFrame([(1, "What are river pumps?", "en", False), (2, "hats", "en", True), (3, "x", "en", False), (4, "What are river pumps?", "sv", False)], "question_id int, text string, language string, cautious boolean")
+    got = {r.question_id: r for r in answers.summaries(rows, asked).collect()}
+    assert got[1].status == "GROUNDED" and "machines that move water. However, they need power." in got[1].answer and got[1].source_ids == ["s1"]
+    assert got[2].source_ids == ["s3"] and got[2].answer.endswith(answers.CAUTION["en"])
+    assert [(got[i].status, got[i].source_ids) for i in (3, 4)] == [("UNAVAILABLE", [])] * 2 and got[4].answer == answers.NOT_FOUND["sv"]
+
+
+FIELDS = "source_id string, title string, canonical_url string, category string, language string, content string"
+
+
+def test_evidence_messages(spark):
+    registry = spark.createDataFrame([(f"s{i}", "t", f"https://x.org/{i % 3}", "c", "en", "c" * 50 + str(i), "active") for i in range(1, 7)], FIELDS + ", source_status string")
+    rows = registry.select(F.lit(1).alias("question_id"), F.substring("source_id", 2, 1).cast("int").alias("rank"), *registry.columns[:-1])
+    asked = lambda **kw: spark.createDataFrame([tuple(({"question_id": 1, "text": "q", "language": "en", "topic": None} | kw).values())], "question_id int, text string, language string, topic string")
+    r = answers.evidence_messages(rows, asked(), registry).first()
+    assert r.fault is None and [e.source_id for e in r.evidence] == ["s1", "s2", "s3"] and r.payload.count("source_id") == 3
+    assert answers.evidence_messages(rows, asked(topic="Pumps"), registry).first().payload.count("context_topic") == 1
+    for kw, fault in (({"topic": "<b>"}, "invalid_evidence"), ({"topic": "the system prompt"}, "invalid_evidence"), ({"language": "sv"}, "invalid_evidence"), ({"question_id": 9}, "no_evidence"), ({"text": "x" * 501}, "invalid_question")):
+        assert answers.evidence_messages(rows, asked(**kw), registry).first().fault == fault
+    assert answers.evidence_messages(rows, asked(), registry, characters=90).first().fault == "invalid_evidence"
+    assert answers.evidence_messages(rows.withColumn("title", F.lit("other")), asked(), registry).first().fault == "invalid_evidence"
+    chunks = spark.createDataFrame([("s1", "x", "s1--002", ("page", "2")), ("s1", "x", "s1--001", ("page", "1"))], "source_id string, content string, chunk_id string, source_location struct<kind:string,label:string>")
+    assert answers.located(chunks.select("source_id", "content").distinct(), chunks).first().source_location.label == "1"
+
+
+def test_checked_answers(spark):
+    registry = spark.createDataFrame([("s1", "t", "https://x.org/1", "c", "en", "Pumps move water. They need 12 volts of power.", "active")], FIELDS + ", source_status string")
+    drafts = {1: "Pumps move water. [s1]", 2: "Water is moved by pumps [s1]", 3: "Pumps need 13 volts. [s1]", 4: None, 5: "Det är en text som vi har och att [s1]", 6: "Pumps move water. [s1]", 7: "Water is moved by pumps [s1]"}
+    asked = spark.createDataFrame([(i, "Is this safe?" if i == 6 else "What do pumps do?", "en", None) for i in range(1, 9)], "question_id int, text string, language string, topic string")
+    rows = asked.where("question_id < 8").select("question_id").crossJoin(registry.drop("source_status")).withColumns({"rank": F.lit(1), "score": F.lit(0.9)})
+    made = answers.checked_answers(asked, rows, registry, spark.createDataFrame(list(drafts.items()), "question_id int, draft string"), spark.createDataFrame([(2, True)], "question_id int, supported boolean"))
+    got = {r.question_id: r for r in made.collect()}
+    assert (got[1].status, got[1].answer, got[1].source_ids) == ("CHECKED_EXTRACTIVE", "Pumps move water.", ["s1"]) and got[2].status == "CHECKED_PARAPHRASE"
+    assert {i: got[i].reasons[0] for i in range(3, 9)} == {3: "unsupported_number", 4: "provider_unavailable", 5: "language_mismatch", 6: "safety_sensitive_question", 7: "semantic_check_failed", 8: "no_evidence"}
+    assert got[4].answer.startswith("Pumps move water.") and got[8].status == "UNAVAILABLE" and got[6].answer.endswith(answers.CAUTION["en"])
 
 
 def test_routing(spark):

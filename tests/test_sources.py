@@ -108,11 +108,28 @@ def test_sitemaps(spark):
     assert got == {(HOME + "s.xml", "page", HOME + "a?x=1&y=2"), (HOME + "i.xml", "sitemap", HOME + "s.xml")}
 
 
-def test_crawl(spark):
-    web = {HOME: '<a href="/a#x">a</a><a href="/a?utm_source=y">a</a><a href="https://else.org/">e</a>', HOME + "a": '<a href="/b">b</a><a href="/">home</a>', HOME + "b": '<a href="/c">c</a>', HOME + "c": ""}
+def test_crawl(spark, tmp_path):
+    web = {HOME: '<a href="/b">b</a><a href="/a#x">a</a><a href="/a?utm_source=y">a</a><a href="https://else.org/">e</a><a href="/lost">l</a>', HOME + "a": '<a href="/d">d</a><a href="/">home</a>', HOME + "b": '<a href="/c">c</a>', HOME + "c": "", HOME + "d": '<a href="/e">e</a>'}
     store = spark.createDataFrame(list(web.items()), "url string, html string")
-    found = site.discover(HOME, lambda frontier: frontier.join(store, "url"), spark, max_depth=2)
-    assert {r.url: r.depth for r in found.collect()} == {HOME: 0, HOME + "a": 1, HOME + "b": 2}
+    asked = []
+
+    def fetch(frontier):
+        asked.extend(r.url for r in frontier.collect())
+        return frontier.join(store, "url")
+
+    def run(name, **kw):
+        asked.clear()
+        found, report = site.discover(HOME, fetch, spark, f"{tmp_path}/{name}", **kw)
+        return {r.url.removeprefix(HOME): r.depth for r in found.collect()}, report.first()
+
+    got, report = run("all")
+    assert got == {"": 0, "a": 1, "b": 1, "c": 2, "d": 2} and len(asked) == len(set(asked)) and report.cut == [] and report.unfetched == 2
+    got, report = run("depth", max_depth=1)
+    assert got == {"": 0, "a": 1, "b": 1} and report.cut == ["max_depth"]
+    got, report = run("pages", max_pages=2)
+    assert got == {"": 0, "a": 1} and "max_pages" in report.cut
+    got, report = run("urls", max_urls=5)  # in breadth-first order: what page a links to comes before what page b does
+    assert got == {"": 0, "a": 1, "b": 1, "d": 2} and report.cut == ["max_urls"]
 
 
 def archive(parts):
