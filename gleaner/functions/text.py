@@ -153,3 +153,51 @@ def _quoted(literal: str) -> str:
 
 def bounded_int(text: Column, default: int, low: int, high: int) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(text.try_cast("int"), F.lit(default))))
+
+
+def file_title(name: Column) -> Column:
+    """A file's name as a title: without folder and extension, underscores and hyphens as spaces."""
+    stem = F.regexp_replace(F.regexp_extract(name, r"([^/]*)$", 1), r"(?<=.)\.[^.]*$", "")
+    return collapse_space(F.regexp_replace(stem, "[_-]", " "))
+
+
+def unsafe_label(text: Column) -> Column:
+    """Whether a label has markup or a character of Unicode category C."""
+    return text.rlike(r"[\p{C}<>]")
+
+
+def unsafe_source_text(text: Column) -> Column:
+    """Whether a source's text has markup, instructions, or control characters that are no white space."""
+    return text.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F<>]") | matches(text, config.INJECTION)
+
+
+def stamp_with_zone(text: Column) -> Column:
+    """The time of an ISO-8601 text that names its zone; null for others."""
+    return F.when(text.rlike(r"(Z|[+-]\d\d:\d\d)$"), F.try_to_timestamp(text))
+
+
+def paragraph_spans(text: Column, mark: str = "\n\n") -> Column:
+    """array<struct<start,stop,label>> of a text's parts between marks: each begins at the running sum of lengths and stops where the next begins, the last at the text's end."""
+    parts = F.split(text, mark)
+    step = len(mark)
+    starts = F.aggregate(
+        parts,
+        F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("next")),
+        lambda acc, p: F.struct(F.concat(acc["at"], F.array(acc["next"])).alias("at"), (acc["next"] + F.length(p) + step).alias("next")),
+        lambda acc: acc["at"],
+    )
+    return F.transform(F.arrays_zip(parts.alias("p"), starts.alias("s")), lambda x, i: F.struct(x["s"].alias("start"), F.coalesce(F.get(starts, i + 1), F.length(text)).alias("stop"), x["p"].alias("label")))
+
+
+#: Public routes, exact ones before beginnings: (method, path, whether exact, class). Fixed values.
+PUBLIC_ROUTES = (("POST", "/api/widget/session", True, "chat"), ("POST", "/api/chat", True, "chat"), ("GET", "/api/appointments/", False, "appointments"))
+
+
+def route_class(method: Column, path: Column, routes: tuple = PUBLIC_ROUTES) -> Column:
+    """The class of a public route, null for others; a widget's path counts as the plain one if it isn't listed itself."""
+    plain = F.regexp_replace(path, "^/api/widget/", "/api/")
+    out = F.lit(None).cast("string")
+    for own_method, own_path, exact, name in reversed(sorted(routes, key=lambda r: not r[2])):
+        fits = ((path == own_path) | (plain == own_path)) if exact else plain.startswith(own_path)
+        out = F.when((method == own_method) & fits, name).otherwise(out)
+    return out

@@ -24,31 +24,55 @@ def first_copies(records: DataFrame) -> DataFrame:
     return records.join(first.select(F.col("f.source_id").alias("source_id")), "source_id", "left_semi")
 
 
-def similar_pages(records: DataFrame, threshold: float = 0.95, first_words: int = 2000) -> DataFrame:
+def similar_pages(records: DataFrame, threshold: float = 0.95, first_words: int | None = 2000) -> DataFrame:
     """(source_id, similar_to): for each record the earliest by URL whose words are alike by `threshold` or more.
 
-    Compared are the sets of the first words of records of a language, exact copies apart. Two sets as alike as that
-    share one of their rarest tokens: the longer's first n - ceil(t n) + 1 in order of corpus frequency. Records meet
-    in such tokens only, in a hash join; lengths prune pairs before sets are compared.
+    Compared are the sets of the first words (None: of all) of records of a language, exact copies apart. Two sets as
+    alike as that share one of their rarest tokens: the longer's first n - ceil(t n) + 1 in order of corpus frequency.
+    Records with the same such tokens are compared through the earliest of them with all others only where their sets
+    differ: equal sets are one class first. Classes meet in their rarest tokens by numbers alone, with lengths and
+    languages; sets are fetched for the pairs that are left.
     """
-    rows = records.select("source_id", "canonical_url", "language", F.array_distinct(F.slice(X.words(F.col("content")), 1, first_words)).alias("w")).where(F.size("w") > 0)
-    counts = rows.select("language", F.explode("w").alias("t")).groupBy("language", "t").agg(F.count("*").alias("n"))
-    long = rows.select("source_id", "language", F.size("w").alias("size"), F.explode("w").alias("t")).join(counts, ["language", "t"])
-    ordered = long.groupBy("source_id", "language", "size").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("w"))
-    prefix = F.slice("w", 1, (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int"))
-    urls = rows.select("source_id", "canonical_url")
-    keyed = ordered.join(urls, "source_id").select("source_id", "canonical_url", "language", "size", "w", prefix.alias("p"), F.explode(prefix).alias("t"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    earlier = F.struct("b.canonical_url", "b.source_id") < F.struct("a.canonical_url", "a.source_id")
-    sizes = F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * threshold - 1e-9
-    met = a.join(b, (F.col("a.language") == F.col("b.language")) & (F.col("a.t") == F.col("b.t")) & earlier & sizes)
-    met = met.where(F.get(F.array_intersect("a.p", "b.p"), F.lit(0)) == F.col("a.t"))
-    both = F.size(F.array_intersect("a.w", "b.w"))
-    alike = met.where(both / (F.col("a.size") + F.col("b.size") - both) >= threshold)
-    return alike.groupBy(F.col("a.source_id").alias("source_id")).agg(F.min(F.struct("b.canonical_url", "b.source_id")).alias("f")).select("source_id", F.col("f.source_id").alias("similar_to"))
+    words = X.words(F.col("content")) if first_words is None else F.slice(X.words(F.col("content")), 1, first_words)
+    rows = records.select("source_id", "canonical_url", "language", F.array_sort(F.array_distinct(words)).alias("w")).where(F.size("w") > 0)
+    named = rows.select("source_id", "canonical_url", "language", F.xxhash64("language", "w").alias("c"), "w")
+    order = F.struct("canonical_url", "source_id")
+    classes = named.groupBy("c", "language").agg(F.min(order).alias("first"), F.first("w").alias("w"))
+    counts = classes.select("language", F.explode("w").alias("t")).groupBy("language", "t").agg(F.count("*").alias("n"))
+    long = classes.select("c", "language", F.size("w").alias("size"), F.explode("w").alias("t")).join(counts, ["language", "t"])
+    prefix = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
+    ordered = long.groupBy("c", "language", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
+    keyed = ordered.select("c", "language", "size", F.explode(F.transform(F.slice("o", 1, prefix), lambda x: F.xxhash64(x["t"]))).alias("t"))
+    a, b = keyed.toDF("a", "language", "sa", "t"), keyed.toDF("b", "language", "sb", "t")
+    met = a.join(b, ["language", "t"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9)).select("a", "b").distinct()
+    sets = classes.select("c", "w", "first")
+    pairs = met.join(sets.toDF("a", "wa", "fa"), "a").join(sets.toDF("b", "wb", "fb"), "b")
+    both = F.size(F.array_intersect("wa", "wb"))
+    alike = pairs.where(both / (F.size("wa") + F.size("wb") - both) >= threshold)
+    near = alike.select(F.col("a").alias("c"), F.col("fb").alias("f")).unionByName(alike.select(F.col("b").alias("c"), F.col("fa").alias("f"))).unionByName(classes.select("c", F.col("first").alias("f")))
+    best = near.groupBy("c").agg(F.min("f").alias("f"))
+    return named.join(best, "c").where(F.col("f") < order).select("source_id", F.col("f.source_id").alias("similar_to"))
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, words: int = 5) -> DataFrame:
+    """(quote_id, n_documents): in how many texts (text_id, text) each quote (quote_id, text) stands word for word.
+
+    A text that has a quote has the quote's inner words in a row; both meet in the quote's first shingle of inner words
+    whose hash is least, so a text joins few quotes. Quotes of fewer inner words are compared with every text.
+    """
+    shingles = lambda c, inner: F.transform(F.sequence(F.lit(0 if not inner else 1), F.size(c) - words - (1 if inner else 0)), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, words), " ")))
+    w = F.split(F.col("text"), r"\s+")
+    q = quotes.select(F.col(quote_id), F.col("text").alias("quote"), w.alias("w"))
+    long, short = q.where(F.size("w") >= words + 2), q.where(F.size("w") < words + 2)
+    keyed = long.select(quote_id, "quote", F.array_min(shingles(F.col("w"), True)).alias("h"))
+    own = texts.select(text_id, w.alias("w")).where(F.size("w") >= words).select(text_id, F.explode(F.array_distinct(shingles(F.col("w"), False))).alias("h"))
+    met = own.join(keyed.select(quote_id, "h"), "h").select(quote_id, text_id).distinct()
+    met = met.unionByName(short.select(quote_id).join(texts.select(text_id)))
+    found = met.join(quotes.select(quote_id, F.col("text").alias("quote")), quote_id).join(texts.select(text_id, "text"), text_id).where(F.col("text").contains(F.col("quote")))
+    return quotes.select(quote_id).join(found.groupBy(quote_id).agg(F.count("*").alias("n")), quote_id, "left").select(quote_id, F.coalesce("n", F.lit(0)).alias("n_documents"))

@@ -7,6 +7,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,22 +116,41 @@ def relate(vocab: DataFrame, asked: DataFrame) -> DataFrame:
     return equal.union(within.select(long_v.language, "term", "token"))
 
 
-def search_many(post: DataFrame, questions: DataFrame, n_documents: DataFrame, k: int) -> DataFrame:
-    """(question_id, id, score, rank): the k best rows for each of many questions, by body and title coverage.
+def with_locations(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """records with locations: the spans of the imported document of the same source, null for records without one."""
+    own = manifest.select("source_id", F.col("locations").alias("__l"))
+    return records.join(own, "source_id", "left").withColumn("locations", F.col("__l")).drop("__l")
 
-    questions (question_id, language, text). n_documents (language, n_documents). A question's terms are weighted by
-    the document frequencies of all tokens related to them, as in a single search, without title pairs.
+
+def build_index(records: DataFrame, folder: str, spans_col: str | None = None):
+    """Validated records to a stored index: active ones are cut into chunks. ValueError names the first faults.
+
+    The index is complete once its `ready` table is there, which has a digest of the records that it was made from.
     """
-    asked = questions.select("question_id", "language", F.explode(F.array_distinct(X.terms(F.col("text")))).alias("term"))
-    pairs = relate(vocabulary(post), asked.select("language", "term").distinct())
-    hits = pairs.join(post, ["language", "token"]).groupBy("language", "term", "id").agg(F.max(F.when(F.col("field") == "content", 0.7).otherwise(0.0)).alias("b"), F.max(F.when(F.col("field") == "title", 0.3).otherwise(0.0)).alias("t"))
-    df = hits.groupBy("language", "term").agg(F.count("*").alias("df"))
-    weights = asked.join(df, ["language", "term"], "left").join(n_documents, "language")
-    weights = weights.withColumn("w", 1 + F.log((1 + F.col("n_documents")) / (1 + F.coalesce("df", F.lit(0)))))
-    totals = weights.groupBy("question_id").agg(F.sum("w").alias("total"))
-    scored = weights.select("question_id", "language", "term", "w").join(hits, ["language", "term"]).groupBy("question_id", "id").agg(F.sum(F.col("w") * (F.col("b") + F.col("t"))).alias("s"))
-    from pyspark.sql import Window
-
-    value = X.rounded(F.least(F.lit(1.0), F.col("s") / F.col("total")), 6)
-    ranked = scored.join(totals, "question_id").select("question_id", "id", value.alias("score"))
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
+    from gleaner.operators import records as R
+    from gleaner.operators import search, versions
+
+    bad = R.validated(records).where("reason IS NOT NULL").select("source_id", "reason").unionByName(R.repeated(records, "source_id").select("source_id", F.lit("repeated_id").alias("reason"))).limit(4).collect()
+    if bad:
+        raise ValueError("; ".join(f"{r.source_id}: {r.reason}" for r in bad))
+    active = R.active(records)
+    made = search.write_index(active, chunks(active, spans_col), folder)
+    mark = versions.content_digest(active)
+    records.sparkSession.createDataFrame([(mark["rows"], mark["digest"])], "rows long, digest string").coalesce(1).write.parquet(f"{folder}/ready")
+    return made
+
+
+def open_index(records: DataFrame, folder: str):
+    """(index or None, status): ready, if the index was made from exactly the active records; not_built or stale_or_invalid otherwise."""
+    from gleaner.operators import records as R
+    from gleaner.operators import search, versions
+
+    spark = records.sparkSession
+    try:
+        mark = spark.read.parquet(f"{folder}/ready").first()
+    except AnalysisException:
+        return None, "not_built"
+    want = versions.content_digest(R.active(records))
+    if mark is None or (mark.rows, mark.digest) != (want["rows"], want["digest"]):
+        return None, "stale_or_invalid"
+    return search.Index.read(spark, folder), "ready"

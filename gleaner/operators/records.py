@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import config
@@ -90,3 +90,27 @@ def allowed_upload(name: Column, media_type: Column, size: Column) -> Column:
     for e, (media, most) in kinds.items():
         out = out.when((extension == e) & ~media_type.isin(*media), "media_type_mismatch").when((extension == e) & (size > most), "too_large")
     return out.when(size <= 0, "empty")
+
+
+#: The columns of a record that the public may see, fixed values.
+PUBLIC = ("source_id", "title", "canonical_url", "category", "language", "source_status", "retrieved_at", "checksum", "document_version", "content")
+
+
+def public_record(records: DataFrame) -> DataFrame:
+    """The public columns, those that the records have."""
+    return records.select(*(c for c in PUBLIC if c in records.columns))
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """Records of a JSON file: a list of records, or an object whose `records` is one. Extra fields stay.
+
+    A snapshot is one JSON value, so Spark reads a file in one task; several files of a folder are read side by side.
+    """
+    raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+    return raw.select(F.explode("records").alias("r")).select("r.*") if raw.columns and "records" in raw.columns else raw
+
+
+def existing(keys: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """keys with exists: whether the table has a row of the same columns."""
+    there = table.select(*columns).distinct().withColumn("__in", F.lit(True))
+    return keys.join(there, columns, "left").withColumn("exists", F.col("__in").isNotNull()).drop("__in")

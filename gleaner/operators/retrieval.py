@@ -8,7 +8,9 @@ Many questions at once go through the postings of `gleaner.operators.index`.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,8 +127,8 @@ def hybrid_search(
     """The best rows for a question, one for each URL, with their scores and confidence.
 
     candidates are chunks (chunk_id, source_id, title, canonical_url, category, language, content); records the whole
-    sources, over which document frequencies and placeholder pages are told. vectors (chunk_id, vector) make the
-    search hybrid; if any candidate lacks a valid one of the question's length, the whole question is answered
+    sources, over which document frequencies and placeholder pages are told. vectors (chunk_id, checksum, vector), of one
+    model, make the search hybrid; a vector whose checksum isn't its chunk's is stale and doesn't count. If any candidate lacks a valid one of the question's length, the whole question is answered
     lexically and fallback_reason says embedding_unavailable. graph_scores (source_id, ontology_score) raise a
     source's score. Of a URL's rows the one of best passage stands in the place of the first.
     """
@@ -144,9 +146,11 @@ def hybrid_search(
     if semantic:
         asked = F.array(*(F.lit(float(x)) for x in query_vector))
         usable = V.valid(F.col("vector")) & (F.size("vector") == len(query_vector))
-        checked = candidates.select("chunk_id").join(vectors.select("chunk_id", "vector"), "chunk_id", "left")
+        on = [c for c in ("chunk_id", "checksum") if c in vectors.columns and c in candidates.columns]
+        vectors = vectors.select(*on, "vector")
+        checked = candidates.select(*on).join(vectors, on, "left")
         all_usable = checked.agg(F.bool_and(F.coalesce(usable, F.lit(False))).alias("__usable"))  # one row for the whole question
-        rows = rows.join(vectors.select("chunk_id", "vector"), "chunk_id", "left").crossJoin(F.broadcast(all_usable))
+        rows = rows.join(vectors, on, "left").crossJoin(F.broadcast(all_usable))
         rows = rows.withColumn("__semantic", F.when(F.col("__usable"), F.greatest(F.lit(0.0), V.cosine(F.col("vector"), asked))).otherwise(0.0))
         blend = F.when(F.col("__usable"), settings.lexical_weight * F.col("__lexical") + (1 - settings.lexical_weight) * F.col("__semantic")).otherwise(F.col("__lexical"))
         mode, reason = F.when(F.col("__usable"), "hybrid").otherwise("lexical"), F.when(~F.col("__usable"), "embedding_unavailable")
@@ -216,3 +220,52 @@ def vector_upsert(cache: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFr
     """cache with the valid rows of fresh in place of those with the same keys."""
     good = fresh.where(V.valid(F.col("vector")))
     return cache.join(good.select(*keys).distinct(), keys, "left_anti").unionByName(good)
+
+
+def vectors_of(vectors: DataFrame, model: str) -> DataFrame:
+    """The vectors (model, chunk_id, checksum, vector) of one model."""
+    return vectors.where(F.col("model") == model).drop("model")
+
+
+def missing_vectors(chunks: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """Chunks for whose present text a model has no vector."""
+    return chunks.join(vectors_of(vectors, model).select("chunk_id", "checksum"), ["chunk_id", "checksum"], "left_anti").select(*chunks.columns)
+
+
+def pruned_vectors(vectors: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
+    """The vectors of the model and of present texts of the chunks; all others go."""
+    return vectors.where(F.col("model") == model).join(chunks.select("chunk_id", "checksum"), ["chunk_id", "checksum"], "left_semi").select(*vectors.columns)
+
+
+def vector_status(vectors: DataFrame) -> DataFrame:
+    """(model, n, dimensions): dimensions is null unless all of a model's vectors have the same."""
+    n = F.size("vector")
+    return vectors.groupBy("model").agg(F.count("*").alias("n"), F.when(F.min(n) == F.max(n), F.min(n)).cast("long").alias("dimensions"))
+
+
+def complete_vectors(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """vectors, if every chunk has exactly one, all valid and of one length; ValueError otherwise. A full replacement is all or nothing."""
+    n = F.size("vector")
+    met = chunks.select("chunk_id", "checksum").join(vectors.select("chunk_id", "checksum", "vector"), ["chunk_id", "checksum"], "full")
+    got = met.agg(F.count("*").alias("rows"), F.count_if(V.valid(F.col("vector"))).alias("valid"), F.min(n).alias("low"), F.max(n).alias("high")).first()
+    if not got.rows or got.valid != got.rows or got.low != got.high or met.count() != chunks.count():
+        raise ValueError("complete valid vectors are required")
+    return vectors
+
+
+def embedded(chunks: DataFrame, provider: Callable[[list[str]], list[tuple[int, list[float]]]], model: str, batch: int = 32, text_col: str = "content") -> DataFrame:
+    """(model, chunk_id, checksum, vector) of a provider that takes texts and returns (index, vector) pairs in any order.
+
+    Texts go out `batch` at a time from each task. A text for which the provider gives no vector has none here.
+    """
+
+    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                found = dict(provider(part[text_col].tolist()))
+                vectors = [found.get(i) for i in range(len(part))]
+                yield part[["chunk_id", "checksum"]].assign(model=model, vector=vectors)[["model", "chunk_id", "checksum", "vector"]]
+
+    out = chunks.select("chunk_id", "checksum", text_col).mapInPandas(made, "model string, chunk_id string, checksum string, vector array<double>")
+    return out.where("vector IS NOT NULL")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
+from gleaner.operators import search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -87,3 +90,31 @@ def words_sql(text: str) -> str:
 
 
 WORD_SQL = r"[\p{L}\p{N}_]+"
+
+
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or on a local master where that is unset a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="gleaner-")
+    return f"{named.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The index of documents as records, each one chunk: built by the first query of a session that asks for it, read by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        folder = work_folder(spark)
+        r = records(spark, sf_dir)
+        search.write_index(r, r.withColumn("chunk_id", F.col("source_id")), folder)
+        _INDEXES[key] = folder
+    return search.Index.read(spark, _INDEXES[key])
+
+
+def asked(spark: SparkSession, questions: dict[int, str], language: str = "en", category: str | None = None) -> DataFrame:
+    return spark.createDataFrame([(k, language, category, q) for k, q in questions.items()], search.QUESTIONS)

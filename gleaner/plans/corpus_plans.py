@@ -8,8 +8,8 @@ from gleaner import config
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
 from gleaner.operators import admission, duplicates, index, records as R, versions
-from gleaner.plans.base import RECORDS, WORD_SQL, events, query, records, table, terms_sql
-from gleaner.sources import imports, pages as P
+from gleaner.plans.base import RECORDS, WORD_SQL, events, query, records, table, terms_sql, work_folder
+from gleaner.sources import build, imports, pages as P
 
 
 @query(f"WITH {RECORDS}, f AS (SELECT language, checksum, min((canonical_url, source_id)) AS f, count(*) AS n FROM records GROUP BY ALL) SELECT r.source_id, f.f[2] AS duplicate_of FROM records r JOIN f USING (language, checksum) WHERE n > 1 AND r.source_id <> f.f[2]")
@@ -64,9 +64,7 @@ def route_classification(spark, sf_dir):
         F.when(n % 2 == 0, "POST").otherwise("GET").alias("method"),
         F.when(n % 5 == 0, "/api/widget/session").when(n % 5 == 1, F.concat(F.lit("/api/appointments/"), n.cast("string"))).when(n % 5 == 2, "/api/widget/chat").when(n % 5 == 3, "/api/chat").otherwise("/static").alias("path"),
     )
-    plain = F.regexp_replace("path", "^/api/widget/", "/api/")
-    route = F.when((F.col("method") == "POST") & (F.col("path") == "/api/widget/session"), "chat").when((F.col("method") == "POST") & (plain == "/api/chat"), "chat").when((F.col("method") == "GET") & plain.startswith("/api/appointments/"), "appointments")
-    return p.select("page_id", route.alias("route"))
+    return p.select("page_id", X.route_class(F.col("method"), F.col("path")).alias("route"))
 
 
 @query()
@@ -81,26 +79,53 @@ def page_links(spark, sf_dir):
     return P.links(table(spark, sf_dir, "pages"))
 
 
-_CUTS = f"""WITH RECURSIVE cut(doc_id, n, piece, rest) AS (SELECT doc_id, 0, '', trim(text, ' ' || chr(10)) FROM documents WHERE NOT regexp_matches(text, '\\n\\s*\\n')
-  UNION ALL SELECT doc_id, n + 1, CASE WHEN length(rest) > 1500 THEN trim(left(rest, cut_at), ' ' || chr(10)) ELSE rest END, CASE WHEN length(rest) > 1500 THEN trim(substr(rest, cut_at + 1), ' ' || chr(10)) ELSE '' END
-  FROM (SELECT *, CASE WHEN 1502 - instr(reverse(left(rest, 1501)), ' ') >= 301 AND instr(reverse(left(rest, 1501)), ' ') > 0 THEN 1501 - instr(reverse(left(rest, 1501)), ' ') ELSE 1500 END AS cut_at FROM cut WHERE rest <> ''))"""
+#: A part of over 1500 characters ends at the last space of its first 1501, if that is 300 characters on.
+_CUT_AT = "CASE WHEN instr(reverse(left(rest, 1501)), ' ') > 0 AND 1501 - instr(reverse(left(rest, 1501)), ' ') >= 300 THEN 1501 - instr(reverse(left(rest, 1501)), ' ') ELSE 1500 END"
+_STRIP = "trim({}, ' ' || chr(10) || chr(9) || chr(13))"
 
 
-@query(f"{_CUTS} SELECT 'doc_' || doc_id || '--' || lpad(n::VARCHAR, 3, '0') AS chunk_id, 'sha256:' || sha256(piece) AS checksum, length(piece) AS n_chars FROM cut WHERE n > 0 AND n < 1000")
+def _cuts_sql(paragraphs: str) -> str:
+    """cut(doc_id, par, n, piece): parts of the paragraphs (doc_id, par, p), then packed(doc_id, k, content)."""
+    return f"""WITH RECURSIVE par AS ({paragraphs}), cut(doc_id, par, n, piece, rest) AS (SELECT doc_id, par, 0, '', {_STRIP.format('p')} FROM par
+      UNION ALL SELECT doc_id, par, n + 1, CASE WHEN length(rest) > 1500 THEN {_STRIP.format('left(rest, cut_at)')} ELSE rest END, CASE WHEN length(rest) > 1500 THEN {_STRIP.format('substr(rest, cut_at + 1)')} ELSE '' END FROM (SELECT *, {_CUT_AT} AS cut_at FROM cut WHERE rest <> '')),
+    part AS (SELECT doc_id, piece, row_number() OVER (PARTITION BY doc_id ORDER BY par, n) AS rn FROM cut WHERE n > 0),
+    pack(doc_id, rn, k, size) AS (SELECT doc_id, rn, 1, length(piece) FROM part WHERE rn = 1
+      UNION ALL SELECT part.doc_id, part.rn, CASE WHEN pack.size + 2 + length(piece) <= 1500 THEN k ELSE k + 1 END, CASE WHEN pack.size + 2 + length(piece) <= 1500 THEN pack.size + 2 + length(piece) ELSE length(piece) END FROM pack JOIN part ON part.doc_id = pack.doc_id AND part.rn = pack.rn + 1),
+    packed AS (SELECT doc_id, k, string_agg(piece, chr(10) || chr(10) ORDER BY rn) AS content FROM pack JOIN part USING (doc_id, rn) GROUP BY doc_id, k)"""
+
+
+_WHOLE = _cuts_sql(r"SELECT doc_id, generate_subscripts(s, 1) AS par, unnest(s) AS p FROM (SELECT doc_id, regexp_split_to_array(text, '\n\s*\n') AS s FROM documents)")
+_DOUBLED = _cuts_sql(r"SELECT doc_id, generate_subscripts(s, 1) AS par, unnest(s) AS p FROM (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') AS s FROM documents)")
+_CHUNKS = "SELECT 'doc_' || doc_id || '--' || CASE WHEN k < 1000 THEN lpad(k::VARCHAR, 3, '0') ELSE k::VARCHAR END AS chunk_id, 'sha256:' || sha256(content) AS checksum, length(content) AS n_chars FROM packed"
+
+
+def _chunk_rows(c):
+    return c.select("chunk_id", "checksum", F.length("content").cast("long").alias("n_chars"))
+
+
+@query(f"{_WHOLE} {_CHUNKS}")
 def chunk_rows(spark, sf_dir):
-    """Chunks of records without paragraph breaks (pieces of one paragraph are over half the limit, so none are packed)."""
-    r = records(spark, sf_dir).where(~F.col("content").rlike(r"\n\s*\n"))
-    c = index.chunks(r)
-    return c.where("number < 1000").select("chunk_id", "checksum", F.length("content").cast("long").alias("n_chars"))
+    return _chunk_rows(index.chunks(records(spark, sf_dir)))
 
 
-@query(f"{_CUTS} SELECT 'doc_' || doc_id AS source_id, count(*) FILTER (n > 0) AS n_chunks, max(length(piece)) AS longest, bool_and(length(piece) <= 1500) AS within FROM cut GROUP BY doc_id")
+@query(f"{_DOUBLED} {_CHUNKS}")
+def chunk_packing(spark, sf_dir):
+    """Texts whose lines are paragraphs, so that short ones are packed together."""
+    return _chunk_rows(index.chunks(records(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))))
+
+
+@query(f"{_WHOLE} SELECT 'doc_' || doc_id AS source_id, count(*) AS n_chunks, max(length(content)) AS longest, bool_and(length(content) <= 1500) AS within FROM packed GROUP BY doc_id")
 def chunk_invariants(spark, sf_dir):
-    r = records(spark, sf_dir).where(~F.col("content").rlike(r"\n\s*\n"))
-    c = index.chunks(r.withColumn("whole", F.col("content")))
+    c = index.chunks(records(spark, sf_dir).withColumn("whole", F.col("content")))
     return c.groupBy("source_id").agg(F.count("*").alias("n_chunks"), F.max(F.length("content")).cast("long").alias("longest"), F.bool_and((F.length("content") <= 1500) & F.col("whole").contains(F.col("content"))).alias("within"))
 
 
+@query(f"{_DOUBLED} SELECT lang AS language, count(*) AS n_chunks, count(DISTINCT doc_id) AS n_documents FROM packed JOIN documents USING (doc_id) GROUP BY lang")
+def chunk_counts(spark, sf_dir):
+    c = index.chunks(records(spark, sf_dir).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n"))))
+    return c.groupBy("language").agg(F.count("*").alias("n_chunks"), F.countDistinct("source_id").alias("n_documents"))
+
+
 @query("SELECT source, n_chars, doc_id, source || '--' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END AS number FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents)")
 def chunk_numbering(spark, sf_dir):
     from pyspark.sql import Window
@@ -117,14 +142,9 @@ def postings_stats(spark, sf_dir):
 
 @query("SELECT doc_id, start AS start, CASE WHEN nx IS NULL THEN total ELSE nx END AS stop FROM (SELECT *, lead(start) OVER (PARTITION BY doc_id ORDER BY pos) AS nx FROM (SELECT doc_id, pos, total, coalesce(sum(length(p) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM (SELECT doc_id, length(text) AS total, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)))")
 def section_spans(spark, sf_dir):
-    """Lines as sections: each begins at the running sum of lengths and ends where the next begins."""
-    from pyspark.sql import Window
-
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("total"), F.posexplode(F.split("text", "\n")).alias("pos", "p"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    start = F.coalesce(F.sum(F.length("p") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    at = lines.withColumn("start", start)
-    return at.select("doc_id", "start", F.coalesce(F.lead("start").over(w), "total").alias("stop"))
+    """Lines as sections."""
+    spans = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.paragraph_spans(F.col("text"), "\n")).alias("s"))
+    return spans.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
 
 
 @query(
@@ -144,8 +164,8 @@ def csv_formula_cells(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id % 10 = 3)")
 def file_duplicates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    return d.join(d.where("doc_id % 10 = 3").select("h").distinct(), "h", "left_semi").select("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("checksum"))
+    return imports.known_contents(d, d.where("doc_id % 10 = 3")).select("doc_id")
 
 
 @query("SELECT count(*) AS old_count, count(*) FILTER (o_orderkey % 3 = 0) AS missing, floor(count(*) FILTER (o_orderkey % 3 = 0)::DOUBLE / count(*) * 1000000 + 0.5) / 1000000.0 AS fraction FROM orders")
@@ -185,24 +205,38 @@ def calendar_slots(spark, sf_dir):
 
 @query(f"WITH {_SLOTS} SELECT slot_id, starts_at FROM slots WHERE local_start NOT IN (SELECT DISTINCT '2026-03-' || lpad((20 + user_id % 11)::VARCHAR, 2, '0') || ' 09:00' FROM events)")
 def slots_minus_bookings(spark, sf_dir):
-    booked = events(spark, sf_dir).select(F.concat(F.lit("2026-03-"), F.lpad((F.col("user_id") % 11 + 20).cast("string"), 2, "0"), F.lit(" 09:00")).alias("local_start")).distinct()
-    return _slots(spark).join(booked, "local_start", "left_anti").select("slot_id", "starts_at")
+    booked = events(spark, sf_dir).select(F.concat(F.lit("2026-03-"), F.lpad((F.col("user_id") % 11 + 20).cast("string"), 2, "0"), F.lit(" 09:00")).alias("local_start"), F.lit("confirmed").alias("status")).distinct()
+    return admission.free_slots(_slots(spark), booked, "local_start").select("slot_id", "starts_at")
+
+
+def _last_sunday(year: str, month: str) -> str:
+    return f"(last_day(make_date({year}, {month}, 1)) - (isodow(last_day(make_date({year}, {month}, 1))) % 7)::INT)"
 
 
-@query("SELECT o_orderkey, strftime(date_trunc('week', o_orderdate), '%Y-%m-%d') AS week, isodow(o_orderdate) = 1 AS is_monday, isodow(o_orderdate) - 1 AS weekday FROM orders")
+def _utc_sql(day: str) -> str:
+    """Midnight of a day in Sweden as UTC text: summer time from the last Sunday of March to that of September, from 1996 on of October."""
+    year = f"year({day})::INT"
+    summer = f"({day} > {_last_sunday(year, '3')} AND {day} <= {_last_sunday(year, f'CASE WHEN {year} < 1996 THEN 9 ELSE 10 END')})"
+    return f"strftime({day}::TIMESTAMP - CASE WHEN {summer} THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END, '%Y-%m-%d %H:%M')"
+
+
+@query(f"SELECT o_orderkey, isodow(d) = 1 AS is_monday, isodow(d) - 1 AS weekday, CASE WHEN isodow(d) = 1 THEN {_utc_sql('d')} END AS week_start, CASE WHEN isodow(d) = 1 THEN {_utc_sql('(d + 7)')} END AS week_end FROM (SELECT o_orderkey, o_orderdate::DATE AS d FROM orders)")
 def week_bounds(spark, sf_dir):
-    d = F.col("o_orderdate").cast("timestamp")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.date_format(F.date_trunc("week", d), "yyyy-MM-dd").alias("week"), (F.weekday(d) == 0).alias("is_monday"), F.weekday(d).alias("weekday"))
+    """UTC bounds of local weeks, across changes of clocks."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return admission.week_bounds(o, "d").select("o_orderkey", "is_monday", F.weekday("d").alias("weekday"), stamp("week_start"), stamp("week_end"))
 
 
 @query(
-    r"""SELECT event_id, CASE WHEN regexp_matches(s, '(Z|[+-]\d\d:\d\d)$') THEN TRY_CAST(s AS TIMESTAMPTZ) IS NOT NULL ELSE false END AS valid FROM
-    (SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE 'never' END AS s FROM events)"""
+    r"""SELECT event_id, CASE WHEN regexp_matches(s, '(Z|[+-]\d\d:\d\d)$') THEN epoch_us(ts) // 1000000 - CASE WHEN event_id % 4 = 3 THEN 7200 ELSE 0 END END AS second FROM
+    (SELECT event_id, ts, CASE event_id % 4 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S+02:00') ELSE 'never' END AS s FROM events)"""
 )
 def iso_timestamps(spark, sf_dir):
-    n = F.col("event_id") % 3
-    s = F.when(n == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(n == 1, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise("never")
-    return events(spark, sf_dir).select("event_id", (s.rlike(r"(Z|[+-]\d\d:\d\d)$") & F.try_to_timestamp(s).isNotNull()).alias("valid"))
+    n = F.col("event_id") % 4
+    plain = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    s = F.when(n == 0, F.concat(plain, F.lit("Z"))).when(n == 1, plain).when(n == 3, F.concat(plain, F.lit("+02:00"))).otherwise("never")
+    return events(spark, sf_dir).select("event_id", F.unix_seconds(X.stamp_with_zone(s)).alias("second"))
 
 
 @query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1")
@@ -213,10 +247,97 @@ def build_counts(spark, sf_dir):
 @query("SELECT n_name, max(s_suppkey) AS version FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")
 def schema_versions(spark, sf_dir):
     s, n = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "nation")
-    return s.join(n, s.s_nationkey == n.n_nationkey).groupBy("n_name").agg(F.max("s_suppkey").alias("version"))
+    history = s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_name").alias("dataset"), F.col("s_suppkey").alias("version"))
+    return versions.latest_formats(history).select(F.col("dataset").alias("n_name"), F.col("format").alias("version"))
+
 
+_CONTACTS = "(SELECT DISTINCT user_id AS contact_id, 'https://src' || user_id % 7 || '.example/0' AS url FROM events)"
 
-@query("SELECT r.source AS fault_source, count(*) AS n FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL HAVING count(*) > 1) r GROUP BY ALL")
+
+@query(
+    f"""WITH {RECORDS}, st AS (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'archived' ELSE 'active' END AS status FROM records)
+    SELECT 'repeated_url' AS fault, canonical_url || ' ' || language AS value FROM st GROUP BY canonical_url, language HAVING count(*) > 1
+    UNION ALL SELECT 'too_many', count(*)::VARCHAR FROM st HAVING count(*) > 150
+    UNION ALL SELECT 'contact_without_source', contact_id::VARCHAR FROM {_CONTACTS} WHERE url NOT IN (SELECT canonical_url FROM st WHERE status = 'active')
+    UNION ALL SELECT 'relationship_without_source', doc_id::VARCHAR FROM st WHERE status <> 'active' AND doc_id % 5 = 0"""
+)
 def registry_faults(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return R.repeated(d, "source", "lang").groupBy(F.col("source").alias("fault_source")).agg(F.count("*").alias("n"))
+    """A registry of which a third is archived, with contacts and graph rows that lean on it."""
+    n = F.substring_index("source_id", "_", -1).cast("long")
+    r = records(spark, sf_dir).withColumn("source_status", F.when(n % 3 == 0, "archived").otherwise("active"))
+    contacts = events(spark, sf_dir).select(F.col("user_id").alias("contact_id"), F.lit(True).alias("active"), F.concat(F.lit("https://src"), (F.col("user_id") % 7).cast("string"), F.lit(".example/0")).alias("official_source_url")).distinct()
+    rows = r.where(n % 5 == 0).select(n.alias("row"), "source_id")
+    return versions.registry_faults(r, 150, contacts, rows)
+
+
+@query(
+    f"""WITH {RECORDS}, c AS (SELECT doc_id, CASE WHEN doc_id % 8 = 4 THEN 'new_' || doc_id ELSE source_id END AS source_id, CASE doc_id % 4 WHEN 0 THEN 'add' WHEN 1 THEN 'update' WHEN 2 THEN 'archive' ELSE 'activate' END AS op FROM records WHERE doc_id % 3 = 0),
+    good AS (SELECT * FROM c WHERE NOT (op = 'add' AND source_id IN (SELECT source_id FROM records)))
+    SELECT r.source_id, CASE WHEN g.op = 'update' THEN 'changed' ELSE r.title END AS title, CASE WHEN g.op = 'archive' THEN 'archived' ELSE 'active' END AS source_status FROM records r LEFT JOIN good g USING (source_id)
+    UNION ALL SELECT source_id, 'changed', 'active' FROM good WHERE op = 'add'"""
+)
+def registry_edit(spark, sf_dir):
+    """Additions (some of known ids, which are refused), updates, archivings and activations of every third source."""
+    n = F.substring_index("source_id", "_", -1).cast("long")
+    r = records(spark, sf_dir)
+    op = F.when(n % 4 == 0, "add").when(n % 4 == 1, "update").when(n % 4 == 2, "archive").otherwise("activate")
+    changes = r.where(n % 3 == 0).withColumns({"operation": op, "title": F.lit("changed"), "__id": F.when(n % 8 == 4, F.concat(F.lit("new_"), n.cast("string"))).otherwise(F.col("source_id"))}).drop("source_id").withColumnRenamed("__id", "source_id")
+    candidate, _ = versions.edited_registry(r, changes)
+    return candidate.select("source_id", "title", "source_status")
+
+
+@query(
+    """WITH m AS (SELECT 'sha256:' || sha256(text) AS checksum FROM documents WHERE doc_id % 4 = 0), f AS (SELECT 'f_' || lpad(doc_id::VARCHAR, 9, '0') AS path, 'sha256:' || sha256(text) AS checksum FROM documents WHERE doc_id % 4 <> 0)
+    SELECT path, 'already_approved' AS reason FROM (SELECT *, min(path) OVER (PARTITION BY checksum) AS first FROM f) WHERE path <> first OR checksum IN (SELECT checksum FROM m)"""
+)
+def documents_refused(spark, sf_dir):
+    """Uploads whose content a manifest has already, or an earlier upload."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("f_"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("path"), F.col("text").cast("binary").alias("content"), F.lit("s").alias("source_id"))
+    empty = spark.createDataFrame([], "document_id string, path string, source_id string, byte_size long, checksum string, status string")
+    manifest, _ = imports.approved_documents(empty, d.where("doc_id % 4 = 0"), most=1 << 40)
+    return imports.approved_documents(manifest, d.where("doc_id % 4 <> 0"), most=1 << 40)[1]
+
+
+@query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_partkey = o_custkey) AS exists FROM orders")
+def existence(spark, sf_dir):
+    keys = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("l_partkey"))
+    return R.existing(keys, table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"]).select(F.col("l_orderkey").alias("o_orderkey"), "exists")
+
+
+@query("SELECT s_suppkey AS version, s_name AS home_url, max(o_orderkey) AS revision FROM supplier LEFT JOIN orders ON o_custkey = s_suppkey GROUP BY ALL")
+def version_listing(spark, sf_dir):
+    """Versions with the latest revision of the pointer that names each."""
+    v = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("version"), F.col("s_name").alias("home_url"), F.col("s_acctbal").alias("created"))
+    pointed = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("version"), F.col("o_orderkey").alias("revision"))
+    return versions.with_pointer(v, pointed).select("version", "home_url", "revision")
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND value < 30 THEN 'interrupted' ELSE CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'crawling' ELSE 'complete' END END AS state FROM events")
+def jobs_recovered(spark, sf_dir):
+    """Jobs whose lease ran out."""
+    return versions.recovered(_jobs(spark, sf_dir), 30.0).select(F.col("job_id").alias("event_id"), "state")
+
+
+@query("SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND value >= 30 AND event_id % 3 <> 0 THEN CASE WHEN user_id % 2 = 0 THEN 'cancelled' ELSE 'done' END ELSE CASE event_type WHEN 'click' THEN 'queued' WHEN 'view' THEN 'crawling' ELSE 'complete' END END AS state FROM events")
+def jobs_finished(spark, sf_dir):
+    """Outcomes of two thirds of the jobs: those that were asked to stop are cancelled, those without a lease stay."""
+    jobs = _jobs(spark, sf_dir)
+    outcomes = jobs.where("job_id % 3 <> 0").select("job_id", F.lit("done").alias("outcome"), F.lit(None).cast("string").alias("message"))
+    return versions.finished(jobs, outcomes, 30.0).select(F.col("job_id").alias("event_id"), "state")
+
+
+def _jobs(spark, sf_dir):
+    state = F.when(F.col("event_type") == "click", "queued").when(F.col("event_type") == "view", "crawling").otherwise("complete")
+    return events(spark, sf_dir).select(F.col("event_id").alias("job_id"), state.alias("state"), (F.col("user_id") % 2 == 0).alias("cancel_requested"), F.col("value").alias("lease_until"), F.lit(None).cast("string").alias("error"))
+
+
+@query()
+def site_build(spark, sf_dir):
+    """All stages of a build of the pages, and how many rows each has."""
+    made = build.build_site(table(spark, sf_dir, "pages"), work_folder(spark), languages=("en", "fr", "de", "es"))
+    return build.build_report(made)
+
+
+@query()
+def readable_pages(spark, sf_dir):
+    return P.readable(table(spark, sf_dir, "pages")).select("url", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"))

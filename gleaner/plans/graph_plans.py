@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner import config
-from gleaner.operators import answers, graph
+from gleaner.operators import answers, graph, routing
 from gleaner.plans.base import events, query, table
 
 #: Edges from the relational tables: nations belong to regions, suppliers are located in nations.
@@ -57,11 +57,10 @@ def graph_hop2(spark, sf_dir):
     return p.select("depth", F.array_join("entities", ">").alias("path"), F.array_join(F.col("rows").cast("array<string>"), ",").alias("rows"))
 
 
-@query(f"WITH {_EDGES}, {_BOTH}, s AS (SELECT e.source_id, 0.6 AS score FROM both_ways b JOIN edges e USING (row) WHERE label = {_SEED} UNION ALL SELECT source_id, 0.4 FROM edges) SELECT source_id, max(score)::DOUBLE AS score FROM s GROUP BY source_id")
+@query("SELECT url AS canonical_url, max(CASE WHEN page_id % 3 = 0 THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END) AS score FROM pages GROUP BY url")
 def url_max_score(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    near = graph.neighbours(e, _seeds(spark, sf_dir)).join(e.select("row", "source_id"), "row").select("source_id", F.lit(config.DEPTH_SCORES[1]).alias("score"))
-    return near.union(e.select("source_id", F.lit(config.DEPTH_SCORES[2]))).groupBy("source_id").agg(F.max("score").alias("score"))
+    s = table(spark, sf_dir, "pages").select(F.col("url").alias("canonical_url"), F.when(F.col("page_id") % 3 == 0, config.DEPTH_SCORES[1]).otherwise(config.DEPTH_SCORES[2]).alias("score"))
+    return graph.max_scores(s)
 
 
 @query("SELECT entity_id, CASE WHEN count(*) OVER (PARTITION BY label) = 1 THEN label ELSE label || ' [' || right(entity_id, 8) || ']' END AS name FROM (SELECT 'entity_' || lpad(p_partkey::VARCHAR, 10, '0') AS entity_id, p_name AS label FROM part)")
@@ -112,12 +111,59 @@ def review_status(spark, sf_dir):
     return graph.reviewed(items, reviews, "doc_id").select("doc_id", "status", "revision")
 
 
-@query("SELECT l_orderkey, bool_and(l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 5)) AS all_known FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey")
+@query("SELECT l_orderkey, bool_and(l_partkey % 5 <> 0 OR l_linenumber > 3) AS all_found FROM lineitem GROUP BY l_orderkey")
 def expected_subset(spark, sf_dir):
-    """Whether the expected ids of each case are all among the actual ones."""
-    known = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"), F.lit(True).alias("in"))
-    wanted = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_partkey")
-    return wanted.join(known, "l_partkey", "left").groupBy("l_orderkey").agg(F.bool_and(F.coalesce("in", F.lit(False))).alias("all_known"))
+    """Whether the expected ids of each case are all among the actual ones, of which some are left out."""
+    wanted = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws(":", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), "l_partkey", "l_linenumber")
+    return answers.expected_found(wanted.select("l_orderkey", "id"), wanted.where("l_partkey % 5 <> 0 OR l_linenumber > 3"), "l_orderkey", "id")
+
+
+@query(
+    """WITH a AS (SELECT c_custkey AS row, c_name AS entity, CASE WHEN c_custkey % 4 = 0 THEN 'shared' ELSE 'alias ' || c_custkey END AS alias, CASE WHEN c_custkey % 9 = 0 THEN 'fr' ELSE 'en' END AS language, CASE WHEN c_custkey % 5 = 0 THEN 'lost' ELSE 's1' END AS source_id FROM customer)
+    SELECT row, array_to_string(list_filter([CASE WHEN alias = 'shared' AND (SELECT count(*) FROM a b WHERE b.alias = 'shared' AND b.language = a.language) > 1 THEN 'ambiguous_alias' END, CASE WHEN language = 'fr' THEN 'unsupported_language' END, CASE WHEN row % 6 = 0 THEN 'unknown_entity' END, CASE WHEN source_id = 'lost' THEN 'unknown_source' END], lambda i: i IS NOT NULL), ',') AS issues FROM a"""
+)
+def alias_issue_lists(spark, sf_dir):
+    n = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer")
+    a = c.select(n.alias("row"), F.col("c_name").alias("entity"), F.when(n % 4 == 0, "shared").otherwise(F.concat(F.lit("alias "), n.cast("string"))).alias("alias"), F.when(n % 9 == 0, "fr").otherwise("en").alias("language"), F.when(n % 5 == 0, "lost").otherwise("s1").alias("source_id"))
+    known = c.where("c_custkey % 6 <> 0").select(F.col("c_name").alias("subject"), F.lit("thing").alias("object"))
+    return graph.alias_issues(a, known, spark.createDataFrame([("s1",)], "source_id string")).select("row", F.array_join("issues", ",").alias("issues"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 AND p_partkey % 7 <> 0 THEN 'shown ' || p_partkey ELSE p_name END AS display_label FROM part")
+def display_labels(spark, sf_dir):
+    """Approved labels show, unless the entity changed since."""
+    n = F.col("p_partkey")
+    e = table(spark, sf_dir, "part").select(n.alias("entity_id"), F.col("p_name").alias("label"), F.when(n % 7 == 0, "new").otherwise("f").alias("fingerprint"))
+    r = e.where("entity_id % 3 = 0").select("entity_id", F.lit("approved").alias("decision"), F.lit("f").alias("fingerprint"), F.concat(F.lit("shown "), F.col("entity_id").cast("string")).alias("display_label"))
+    return graph.display_labels(e, r).select(F.col("entity_id").alias("p_partkey"), "display_label")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_linenumber % 4 <> 0 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 40) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 3) AS effective FROM lineitem")
+def parents_excluded(spark, sf_dir):
+    """Items that lean on excluded entities are out, whatever their own review says."""
+    i = table(spark, sf_dir, "lineitem").select(F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))).alias("item"), "l_orderkey", "l_linenumber", (F.col("l_linenumber") % 4 != 0).alias("effective"), F.array(F.concat(F.lit("p"), F.col("l_partkey").cast("string")), F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("parent_ids"))
+    parts = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("item_id"), (F.col("p_size") <= 40).alias("effective"))
+    suppliers = table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("item_id"), (F.col("s_nationkey") != 3).alias("effective"))
+    return graph.with_parents(i, parts.union(suppliers)).select("l_orderkey", "l_linenumber", "effective")
+
+
+@query()
+def graph_walk(spark, sf_dir):
+    """Bounded searches of many questions over the edges of nations, regions and suppliers."""
+    none = spark.createDataFrame([], "entity string, alias string, language string, source_id string")
+    n = table(spark, sf_dir, "nation")
+    asked = n.select(F.col("n_nationkey").alias("query_id"), F.concat(F.lit("which suppliers has "), "n_name").alias("text"), F.lit("en").alias("language"))
+    found = graph.graph_search(_edges(spark, sf_dir), none, asked, 2)
+    return found.select("query_id", F.array_join("matched", ",").alias("matched"), F.size("paths").alias("n_paths"), F.size("expanded").alias("n_expanded"), F.size("scores").alias("n_scores"), "truncated")
+
+
+@query("SELECT contact_id FROM (SELECT s_suppkey AS contact_id, s_nationkey FROM supplier) WHERE contact_id % 2 = 0 AND s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <> 1)")
+def contacts_unsourced(spark, sf_dir):
+    """Active contacts whose source no active record backs."""
+    c = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("contact_id"), (F.col("s_suppkey") % 2 == 0).alias("active"), F.col("s_nationkey").alias("official_source_url"))
+    r = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("canonical_url"), F.when(F.col("n_regionkey") != 1, "active").otherwise("archived").alias("source_status"))
+    return routing.contacts_without_source(c, r).select("contact_id")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gleaner import config
 from gleaner.functions import text as X
-from gleaner.operators import admission, logs, routing
+from gleaner.operators import admission, conversations, logs, routing
 from gleaner.plans.base import events, query, table
 
 _SAID = """CASE turn % 7 WHEN 0 THEN 'I want to book a meeting' WHEN 1 THEN 'Which services do you have' WHEN 2 THEN 'tell me about us' WHEN 3 THEN 'Are slots free' WHEN 4 THEN 'contacts please' ELSE text END"""
@@ -53,10 +53,14 @@ def route_phrases(spark, sf_dir):
     return routing.route_phrases(_messages(spark, sf_dir)).select("conv_id", "turn", "intent")
 
 
-@query("SELECT conv_id, turn, role, 1 + count(*) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS position FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4")
+@query(
+    """SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS position FROM (SELECT *, lag(role) OVER w AS r, lag(length(text) % 2) OVER w AS t, row_number() OVER w AS n FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    WHERE n = 1 OR r IS DISTINCT FROM role OR t IS DISTINCT FROM length(text) % 2 QUALIFY position <= 4"""
+)
 def conversation_last_turns(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    return admission.last_turns(c, ["conv_id"], "turn", ["turn"]).select("conv_id", "turn", "role", F.col("position").cast("long"))
+    """The last four contexts (role, parity of length) of each conversation; equal ones in a row are one."""
+    c = table(spark, sf_dir, "conversations").withColumn("parity", F.length("text") % 2)
+    return admission.last_turns(c, ["conv_id"], "turn", ["role", "parity"]).select("conv_id", "turn", "role", F.col("position").cast("long"))
 
 
 _CONTEXT = "CASE WHEN turn % 4 < 2 THEN 'a' ELSE 'b' END"
@@ -73,13 +77,21 @@ def consecutive_context_collapse(spark, sf_dir):
 
 @query("SELECT event_type AS kind, count(*) AS n, (SELECT count(*) FROM events) AS retained FROM events GROUP BY event_type")
 def events_by_kind(spark, sf_dir):
-    by = events(spark, sf_dir).groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"))
-    return by.crossJoin(F.broadcast(by.agg(F.sum("n").alias("retained"))))  # one row
+    return logs.counts_by_kind(events(spark, sf_dir), "event_type")
 
 
-@query("SELECT user_id, count(*) AS n, floor(count(*) FILTER (event_type = 'error')::DOUBLE * 100 / count(*) + 0.5)::BIGINT AS fallback_percent, count(*) FILTER (value > 90) AS provider_failures FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS n, floor(count(*) FILTER (event_type = 'error')::DOUBLE * 100 / count(*) + 0.5)::BIGINT AS fallback_percent, sum((value > 90)::INT + (event_id % 7 = 0)::INT)::BIGINT AS provider_failures FROM events GROUP BY user_id")
 def fallback_percent(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"), F.floor(F.count_if(F.col("event_type") == "error") * 100 / F.count("*") + 0.5).alias("fallback_percent"), F.count_if(F.col("value") > 90).alias("provider_failures"))
+    """Events with nested model calls, of which some failed."""
+    call = lambda bad: F.struct(F.when(bad, "timeout").otherwise("ok").alias("outcome"))
+    e = events(spark, sf_dir).withColumns({"generation": F.when(F.col("event_type") == "error", "fallback").otherwise("llm"), "model_calls": F.array(call(F.col("value") > 90), call(F.col("event_id") % 7 == 0))})
+    return logs.fallback_rates(e, ["user_id"])
+
+
+@query("SELECT sum(o_orderkey % 5)::BIGINT AS allowed, sum(o_custkey % 3)::BIGINT AS limited, sum((o_orderstatus = 'F')::INT)::BIGINT AS failed FROM orders")
+def traffic_totals(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return logs.traffic_totals(o.select((F.col("o_orderkey") % 5).alias("allowed"), (F.col("o_custkey") % 3).alias("limited"), (F.col("o_orderstatus") == "F").cast("int").alias("failed")))
 
 
 @query(
@@ -103,13 +115,13 @@ def usage_today(spark, sf_dir):
 @query("WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_type AS route, count(DISTINCT user_id) AS active_clients FROM events, m WHERE ts > now - INTERVAL 2 DAY GROUP BY event_type")
 def active_clients_window(spark, sf_dir):
     e = events(spark, sf_dir)
-    now = e.agg(F.max("ts").alias("now"))
-    return e.crossJoin(F.broadcast(now)).where("ts > now - interval 2 days").groupBy(F.col("event_type").alias("route")).agg(F.countDistinct("user_id").alias("active_clients"))  # one row
+    now = e.agg(F.max("ts")).first()[0]
+    return logs.active_in_window(e, "event_type", "user_id", "ts", F.lit(now), 2 * 86400).withColumnRenamed("group", "route")
 
 
 @query("SELECT count(*) AS n_groups FROM (SELECT DISTINCT event_type, user_id FROM events)")
 def client_groups(spark, sf_dir):
-    return events(spark, sf_dir).select("event_type", "user_id").distinct().agg(F.count("*").alias("n_groups"))
+    return logs.distinct_groups(events(spark, sf_dir), ["event_type", "user_id"])
 
 
 @query(
@@ -117,11 +129,7 @@ def client_groups(spark, sf_dir):
     WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW)"""
 )
 def first_and_count_window(spark, sf_dir):
-    from pyspark.sql import Window
-
-    e = events(spark, sf_dir).withColumn("us", F.unix_micros("ts"))
-    w = Window.partitionBy("user_id").orderBy("us").rangeBetween(-3_600_000_000, 0)
-    return e.select("event_id", F.count("*").over(w).alias("arrivals"), F.min("us").over(w).alias("first_us"))
+    return logs.arrivals_in_window(events(spark, sf_dir), ["user_id"], "ts", 3600.0).select("event_id", "arrivals", "first_us")
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 500")
@@ -211,11 +219,126 @@ def slot_ownership(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id AS peer, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view'),
-    f(peer, n, event_id, live, admitted) AS (SELECT peer, n, event_id, [t], true FROM e WHERE n = 1
-      UNION ALL SELECT peer, n, event_id, CASE WHEN len(l) < 5 THEN list_append(l, t) ELSE l END, len(l) < 5 FROM (SELECT e.peer, e.n, e.event_id, e.t, list_filter(f.live, lambda x: x > e.t - 86400) AS l FROM f JOIN e ON e.peer = f.peer AND e.n = f.n + 1))
+    """WITH RECURSIVE e AS (SELECT user_id AS peer, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view'),
+    f(peer, n, event_id, live, admitted) AS (SELECT peer, n, event_id, [{'p': peer, 't': t}], true FROM e WHERE n = 1
+      UNION ALL SELECT peer, n, event_id, CASE WHEN ok THEN list_append(l, {'p': peer, 't': t}) ELSE l END, ok
+      FROM (SELECT *, len(l) < 100 AND len(list_filter(l, lambda x: x.p = peer)) < 5 AS ok FROM (SELECT e.*, list_filter(f.live, lambda x: x.t > e.t - 86400) AS l FROM f JOIN e ON e.n = f.n + 1)))
     SELECT peer, event_id AS attempt_id, admitted FROM f"""
 )
 def login_throttle(spark, sf_dir):
+    """Five admitted attempts of a peer and a hundred of all peers in a day."""
     a = events(spark, sf_dir).where("event_type <> 'view'").select(F.col("user_id").alias("peer"), F.col("event_id").alias("attempt_id"), F.col("ts").alias("at"))
     return admission.login_throttle(a, 5, 100, 86400.0).select("peer", F.col("id").alias("attempt_id"), "admitted")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id AS client, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view'),
+    f(client, n, event_id, known, admitted) AS (SELECT client, n, event_id, [{'c': client, 'l': [t]}], true FROM e WHERE n = 1
+      UNION ALL SELECT client, n, event_id, CASE WHEN len(k) > 20 THEN k[2:] ELSE k END, ok FROM (SELECT *, list_append(list_filter(known, lambda x: x.c <> client), {'c': client, 'l': CASE WHEN ok THEN list_append(l, t) ELSE l END}) AS k
+      FROM (SELECT *, len(l) < 2 AS ok FROM (SELECT e.*, f.known, list_filter(coalesce(list_filter(f.known, lambda x: x.c = e.client)[1].l, []), lambda x: x > e.t - 86400) AS l FROM f JOIN e ON e.n = f.n + 1))))
+    SELECT client, event_id, admitted FROM f"""
+)
+def recent_client_admission(spark, sf_dir):
+    """Two admitted requests of a client in a day, by a server that remembers the twenty clients that asked last."""
+    e = events(spark, sf_dir).where("event_type <> 'view'")
+    return admission.recent_client_admission(e, "user_id", "ts", "event_id", 2, 86400.0, clients=20).select("client", F.col("id").alias("event_id"), "admitted")
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, user_id, event_id) AS n FROM events WHERE event_type <> 'view'),
+    f(user_id, event_id, n, last, known) AS (SELECT user_id, event_id, n, [{'c': user_id, 't': t}], false FROM e WHERE n = 1
+      UNION ALL SELECT user_id, event_id, n, list_append(CASE WHEN NOT was AND len(l) >= 30 THEN l[2:] ELSE list_filter(l, lambda x: x.c <> user_id) END, {'c': user_id, 't': t}), was
+      FROM (SELECT *, len(list_filter(l, lambda x: x.c = user_id)) > 0 AS was FROM (SELECT e.*, list_filter(f.last, lambda x: e.t - x.t <= 43200) AS l FROM f JOIN e ON e.n = f.n + 1)))
+    SELECT user_id AS conv_id, event_id AS turn, known, len(last)::INT AS held FROM f"""
+)
+def remembered_conversations(spark, sf_dir):
+    """Conversations that are still remembered: thirty at most, and none that was silent for half a day."""
+    t = events(spark, sf_dir).where("event_type <> 'view'").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), (F.unix_micros("ts") / 1e6).alias("at"))
+    return conversations.remembered_conversations(t, 30, 43200.0).select("conv_id", "turn", "known", "held")
+
+
+@query("SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders ORDER BY o_orderkey DESC LIMIT 100")
+def newest_rows(spark, sf_dir):
+    """A page of the newest rows: a limit of 500 is out of bounds."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return logs.newest(o, "o_orderkey", 500)
+
+
+_BOOKING_SQL = """SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'bad id!' ELSE 'session-' || user_id END AS session_id, CASE WHEN event_id % 13 = 0 THEN '' ELSE 'k' || event_id END AS idempotency_key, 'c' || user_id % 4 AS contact_id,
+  CASE WHEN event_id % 17 = 0 THEN 'fr' ELSE 'en' END AS preferred_language, event_id % 19 <> 0 AS consent, CASE WHEN event_id % 23 = 0 THEN ' ' ELSE 'Ann' END AS visitor_name, CASE WHEN event_id % 29 = 0 THEN 'nowhere' ELSE 'a@b.org' END AS visitor_email,
+  CASE WHEN event_id % 31 = 0 THEN repeat('x', 121) ELSE '' END AS company_name, event_type || repeat('y', (event_id % 150)::INT) AS meeting_topic FROM events"""
+
+
+def _bookings(spark, sf_dir):
+    n = F.col("event_id")
+    return events(spark, sf_dir).select(
+        "event_id", F.when(n % 11 == 0, "bad id!").otherwise(F.concat(F.lit("session-"), F.col("user_id").cast("string"))).alias("session_id"), F.when(n % 13 == 0, "").otherwise(F.concat(F.lit("k"), n.cast("string"))).alias("idempotency_key"),
+        F.concat(F.lit("c"), (F.col("user_id") % 4).cast("string")).alias("contact_id"), F.when(n % 17 == 0, "fr").otherwise("en").alias("preferred_language"), (n % 19 != 0).alias("consent"), F.when(n % 23 == 0, " ").otherwise("Ann").alias("visitor_name"),
+        F.when(n % 29 == 0, "nowhere").otherwise("a@b.org").alias("visitor_email"), F.when(n % 31 == 0, "x" * 121).otherwise("").alias("company_name"), F.concat("event_type", F.expr("repeat('y', cast(event_id % 150 as int))")).alias("meeting_topic"),
+    )
+
+
+@query(
+    f"""SELECT event_id, CASE WHEN session_id = 'bad id!' THEN 'invalid_session' WHEN idempotency_key = '' THEN 'invalid_idempotency_key' WHEN contact_id NOT IN ('c0', 'c1', 'c2') THEN 'invalid_contact' WHEN preferred_language = 'fr' THEN 'invalid_language' WHEN NOT consent THEN 'missing_consent'
+    WHEN trim(visitor_name) = '' THEN 'missing_field' WHEN length(company_name) > 120 THEN 'field_too_long' WHEN visitor_email = 'nowhere' THEN 'invalid_email' END AS fault FROM ({_BOOKING_SQL})"""
+)
+def booking_faults(spark, sf_dir):
+    """Bookings of which some have a fault of each kind planted."""
+    return _bookings(spark, sf_dir).select("event_id", admission.booking_fault(("c0", "c1", "c2")).alias("fault"))
+
+
+@query(f"SELECT event_id, contact_id, left(meeting_topic, 100) AS meeting_topic, visitor_name FROM ({_BOOKING_SQL})")
+def booking_privacy(spark, sf_dir):
+    """Bookings as the public may see them: no session, short topics."""
+    return admission.public_bookings(_bookings(spark, sf_dir)).select("event_id", "contact_id", "meeting_topic", "visitor_name")
+
+
+@query("SELECT event_id AS booking_id, event_id % 97 AS slot_id, left(event_type, 100) AS meeting_topic FROM events, (SELECT min(ts) AS low FROM events) WHERE user_id % 4 = 1 AND event_type <> 'view' AND ts >= low AND ts < low + INTERVAL 5 DAY")
+def calendar_bookings(spark, sf_dir):
+    """Confirmed bookings of a contact in a stretch of time."""
+    e = events(spark, sf_dir)
+    low = e.agg(F.min("ts")).first()[0]
+    b = e.select(F.col("event_id").alias("booking_id"), (F.col("user_id") % 4).alias("contact_id"), (F.col("event_id") % 97).alias("slot_id"), F.col("ts").alias("starts_at"), F.col("event_type").alias("meeting_topic"), F.when(F.col("event_type") == "view", "cancelled").otherwise("confirmed").alias("status"))
+    return admission.calendar_view(b, 1, F.lit(low), F.lit(low) + F.expr("interval 5 days")).select("booking_id", "slot_id", "meeting_topic")
+
+
+_HELD = "b AS (SELECT event_id AS booking_id, user_id AS session_id, event_id AS slot_id, user_id % 3 AS contact_id, CASE WHEN event_type = 'view' THEN 'cancelled' ELSE 'confirmed' END AS status FROM events)"
+
+
+@query(
+    f"""WITH {_HELD}, m AS (SELECT e.event_id AS move_id, e.event_id + 1 AS booking_id, CASE WHEN e.event_id % 6 = 0 THEN -1 ELSE b.session_id END AS session_id, CASE WHEN e.event_id % 5 = 0 THEN e.event_id + 1 ELSE 1000000 + e.event_id // 2 END AS slot_id, CASE WHEN e.event_id % 7 = 0 THEN 9 ELSE b.contact_id END AS contact_id FROM events e LEFT JOIN b ON b.booking_id = e.event_id + 1),
+    f AS (SELECT m.*, CASE WHEN b.booking_id IS NULL OR b.session_id <> m.session_id OR m.session_id IS NULL THEN 'not_found' WHEN b.status <> 'confirmed' THEN 'invalid_state' WHEN b.contact_id <> m.contact_id THEN 'invalid_contact' END AS fault FROM m LEFT JOIN b USING (booking_id)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY slot_id, fault IS NULL ORDER BY move_id) AS n FROM f)
+    SELECT move_id, CASE WHEN fault IS NOT NULL THEN fault WHEN n > 1 THEN 'slot_unavailable' ELSE 'moved' END AS outcome FROM g"""
+)
+def booking_moves(spark, sf_dir):
+    """Moves of each event's following booking: of other sessions, cancelled ones, to other contacts, and two to each new slot."""
+    return admission.rescheduled(*_moves(spark, sf_dir))[1].select("move_id", "outcome")
+
+
+def _moves(spark, sf_dir):
+    e = events(spark, sf_dir)
+    held = e.select(F.col("event_id").alias("booking_id"), F.col("user_id").alias("session_id"), F.col("event_id").alias("slot_id"), (F.col("user_id") % 3).alias("contact_id"), F.when(F.col("event_type") == "view", "cancelled").otherwise("confirmed").alias("status"), F.col("event_id").alias("starts_at"))
+    n = F.col("move_id")
+    moves = e.select(F.col("event_id").alias("move_id"), (F.col("event_id") + 1).alias("booking_id")).join(held.select("booking_id", F.col("session_id").alias("s"), F.col("contact_id").alias("c")), "booking_id", "left")
+    moves = moves.select("move_id", "booking_id", F.when(n % 6 == 0, -1).otherwise(F.col("s")).alias("session_id"), F.when(n % 5 == 0, n + 1).otherwise(F.lit(1000000) + F.floor(n / 2)).alias("slot_id"), F.when(n % 7 == 0, 9).otherwise(F.col("c")).alias("contact_id"), n.alias("starts_at"), n.alias("at"))
+    return held, moves
+
+
+@query("SELECT event_id AS booking_id, CASE WHEN event_id % 3 = 0 AND user_id % 2 = 0 THEN 'cancelled' ELSE 'confirmed' END AS status FROM events")
+def bookings_cancelled(spark, sf_dir):
+    """Cancellations of every third booking, of which those by another session change nothing."""
+    b = events(spark, sf_dir).select(F.col("event_id").alias("booking_id"), F.col("user_id").alias("session_id"), F.lit("confirmed").alias("status"))
+    asked = b.where("booking_id % 3 = 0").select("booking_id", F.when(F.col("session_id") % 2 == 0, F.col("session_id")).otherwise(-1).alias("session_id"))
+    return admission.cancelled(b, asked).select("booking_id", "status")
+
+
+@query()
+def conversation_topics(spark, sf_dir):
+    """What turns refer to: every turn is routed, names the entities that its text has, and takes up earlier topics."""
+    said = table(spark, sf_dir, "conversations")
+    t = F.col("turn") % 4
+    text = F.when(t == 0, F.concat(F.lit("Tell me about product "), (F.col("conv_id") % 5).cast("string"))).when(t == 1, "What does it cost, and is that a product?").when(t == 2, "Compare both with the previous one").otherwise(F.col("text"))
+    named = F.when(t == 0, F.array(F.concat(F.lit("product "), (F.col("conv_id") % 5).cast("string")))).otherwise(F.array().cast("array<string>"))
+    turns = routing.route(said.select("conv_id", "turn", text.alias("text"), named.alias("matched"), F.lit("en").alias("language"), F.col("turn").cast("double").alias("at")))
+    return conversations.resolved_turns(turns).select("conv_id", "turn", "resolved_intent", F.left("query", F.lit(60)).alias("query"), "topic", "follow_up", "remembered")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleaner import config
 from gleaner.functions import text as X
 from gleaner.functions import vectors as V
-from gleaner.operators import index, retrieval
-from gleaner.plans.base import QUERIES, RECORDS, SQL, events, query, r6, r6_sql, records, related_sql, sentences_sql, table, terms_sql, words_sql  # noqa: F401
+from gleaner.operators import answers, index, retrieval, search
+from gleaner.plans.base import RECORDS, asked, query, r6, r6_sql, records, related_sql, sentences_sql, stored_index, table, terms_sql, words_sql
 
 QUESTION = "What is the thereation of eredon"
 TERMS = X.query_terms(QUESTION)
@@ -39,8 +40,7 @@ _TOKENS = f"""{RECORDS}, tok AS (SELECT *, {terms_sql('title', config.STOP_WORDS
 @query(f"WITH {_TOKENS} SELECT source_id, {r6_sql('lexical')} AS score, CASE WHEN lexical >= 0.7 THEN 'high' WHEN lexical >= 0.35 THEN 'medium' ELSE 'low' END AS confidence FROM lex WHERE lexical > 0 AND {r6_sql('lexical', 4)} >= 0.2 ORDER BY {r6_sql('lexical', 4)} DESC, source_id LIMIT 4")
 def lexical_topk(spark, sf_dir):
     """The flagship: English records for a free-text question, by weighted coverage of related tokens."""
-    r = records(spark, sf_dir).where("language = 'en'")
-    scored = retrieval.lexical_scores(r, r, QUESTION).where(X.rounded(F.col("lexical_score")) >= 0.2)
+    scored = search.lexical_search(stored_index(spark, sf_dir), asked(spark, {1: QUESTION})).where(X.rounded(F.col("lexical_score")) >= 0.2)
     top = scored.orderBy(F.desc(X.rounded(F.col("lexical_score"))), "source_id").limit(4)
     return top.select("source_id", r6(F.col("lexical_score")).alias("score"), X.confidence(F.col("lexical_score")).alias("confidence"))
 
@@ -53,8 +53,7 @@ def lexical_scores(spark, sf_dir):
 
 @query(f"WITH {_TOKENS} " + " UNION ALL ".join(f"SELECT '{t}' AS term, d{i} AS df, n AS n_documents, {r6_sql(f'w{i}')} AS weight FROM df, w" for i, t in enumerate(_UNIQUE)))
 def term_df_idf(spark, sf_dir):
-    r = records(spark, sf_dir).where("language = 'en'")
-    return retrieval.document_frequencies(r, QUESTION).select("term", "df", "n_documents", r6(F.col("weight")).alias("weight"))
+    return search.term_weights(stored_index(spark, sf_dir), asked(spark, {1: QUESTION})).select("term", "df", "n_documents", r6(F.col("weight")).alias("weight"))
 
 
 _V1 = X.query_terms("the entreation of tion", config.STOP_WORDS_V1)
@@ -96,8 +95,7 @@ def passage_score_best(spark, sf_dir):
     SELECT canonical_url, source_id, score, passage_score FROM u WHERE n = 1 ORDER BY first_rk LIMIT 4"""
 )
 def best_chunk_per_url(spark, sf_dir):
-    r = records(spark, sf_dir)
-    found = retrieval.hybrid_search(r.withColumn("chunk_id", F.col("source_id")), r, QUESTION, "en")
+    found = search.search(stored_index(spark, sf_dir), asked(spark, {1: QUESTION}))
     return found.select("canonical_url", "source_id", "score", "passage_score")
 
 
@@ -117,24 +115,72 @@ def cosine_topk(spark, sf_dir):
     return retrieval.nearest(_vectors(spark, sf_dir), _asked(spark, sf_dir), 10).select("vec_id", r6(F.col("similarity")).alias("similarity"))
 
 
-_BLEND = "0.65::DOUBLE * lexical + 0.35::DOUBLE * greatest(0.0, list_cosine_similarity(embedding::DOUBLE[], v))"
+#: A document without an embedding gets this vector, which both engines make from its number.
+_MADE = "list_transform(range(64), lambda i: ((doc_id * 31 + i * 17) % 101 - 50) / 50.0::DOUBLE)"
+_BLEND = "0.65::DOUBLE * lexical + 0.35::DOUBLE * semantic"
+_GRAPH = "CASE WHEN doc_id % 50 = 0 THEN 0.6::DOUBLE ELSE 0 END"
+_RANKED = f"""ranked AS (SELECT *, {r6_sql('combined', 4)} AS score FROM c WHERE combined > 0 AND {r6_sql('combined', 4)} >= 0.2), src AS (SELECT source_id AS key, content FROM ranked)"""
+_BEST = f"""p AS (SELECT r.*, {r6_sql('coalesce(passage, 0.0)', 4)} AS passage_score, row_number() OVER (ORDER BY score DESC, {r6_sql('lexical', 4)} DESC, graph DESC, source_id) AS rk FROM ranked r LEFT JOIN best ON best.key = r.source_id),
+    u AS (SELECT *, min(rk) OVER (PARTITION BY canonical_url) AS first_rk, row_number() OVER (PARTITION BY canonical_url ORDER BY passage_score DESC, rk) AS n FROM p)"""
+
+
+def _own_vectors(spark, sf_dir):
+    """(chunk_id, checksum, vector) of the documents that have embeddings."""
+    named = records(spark, sf_dir).select(F.col("source_id").alias("chunk_id"), "checksum")
+    return _vectors(spark, sf_dir).select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("chunk_id"), "vector").join(named, "chunk_id").select("chunk_id", "checksum", "vector")
+
+
+def _provider(texts):
+    """Stands for a model: a vector for each text, in another order than asked."""
+    return [(k, [float(((int(t.split("_")[-1]) * 31 + i * 17) % 101 - 50)) / 50.0 for i in range(64)]) for k, t in reversed(list(enumerate(texts)))]
+
+
+def _all_vectors(spark, sf_dir):
+    """Every document's vector: its embedding, or what the provider makes for those that lack one."""
+    own = _own_vectors(spark, sf_dir).withColumn("model", F.lit("m"))
+    r = records(spark, sf_dir).select(F.col("source_id").alias("chunk_id"), "checksum", F.col("source_id").alias("content"))
+    fresh = retrieval.embedded(retrieval.missing_vectors(r, own, "m"), _provider, "m")
+    return retrieval.vector_upsert(own, fresh.select(*own.columns), ["model", "chunk_id", "checksum"]).drop("model")
+
+
+def _graph_scores(spark, sf_dir):
+    n = F.substring_index("source_id", "_", -1).cast("long")
+    return records(spark, sf_dir).where(n % 50 == 0).select(F.lit(1).cast("long").alias("question_id"), "source_id", F.lit(0.6).alias("ontology_score"))
+
+
+def _hybrid(spark, sf_dir, vectors):
+    asked_vector = spark.createDataFrame([(1, _asked(spark, sf_dir))], "question_id long, vector array<double>")
+    return search.search(stored_index(spark, sf_dir), asked(spark, {1: QUESTION}), vectors=vectors, question_vectors=asked_vector, graph_scores=_graph_scores(spark, sf_dir))
 
 
 @query(
-    f"""WITH {_TOKENS}, c AS (SELECT lex.*, greatest({_BLEND}, CASE WHEN lex.doc_id % 50 = 0 THEN 0.6::DOUBLE ELSE 0 END) AS combined, greatest(0.0, list_cosine_similarity(embedding::DOUBLE[], v)) AS semantic FROM lex JOIN embeddings ON vec_id = lex.doc_id, {_VECTOR}),
-    w0 AS (SELECT *, {r6_sql('combined', 4)} AS score FROM c WHERE combined > 0), ranked AS (SELECT * FROM w0 WHERE score >= 0.2)
-    SELECT source_id, score, {r6_sql('lexical', 4)} AS lexical_score, {r6_sql('semantic', 4)} AS semantic_score FROM ranked ORDER BY score DESC, {r6_sql('lexical', 4)} DESC, source_id LIMIT 4""".replace(
-        "tok AS (SELECT *,", "tok AS (SELECT records.*,"
-    ).replace("FROM records WHERE language = 'en')", "FROM records WHERE language = 'en' AND doc_id IN (SELECT vec_id FROM embeddings))")
+    f"""WITH {_TOKENS}, c AS (SELECT *, greatest({_BLEND}, graph) AS combined FROM (SELECT lex.*, {_GRAPH} AS graph, greatest(0.0, list_cosine_similarity(coalesce(embedding::DOUBLE[], {_MADE}), v)) AS semantic FROM lex LEFT JOIN embeddings ON vec_id = lex.doc_id, {_VECTOR})),
+    {_RANKED}, {_passage_sql(QUESTION, 'content')}, {_BEST}
+    SELECT source_id, score, {r6_sql('lexical', 4)} AS lexical_score, {r6_sql('semantic', 4)} AS semantic_score, graph AS ontology_score, passage_score, 'hybrid' AS search_mode, NULL AS fallback_reason FROM u WHERE n = 1 ORDER BY first_rk LIMIT 4"""
 )
 def hybrid_topk(spark, sf_dir):
-    v = _vectors(spark, sf_dir)
-    r = records(spark, sf_dir).withColumn("doc_id", F.substring_index("source_id", "_", -1).cast("long")).join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    r = r.withColumn("canonical_url", F.col("source_id")).withColumn("chunk_id", F.col("source_id"))
-    named = v.select(F.concat(F.lit("doc_"), F.col("vec_id").cast("string")).alias("chunk_id"), "vector")
-    graph = r.where("doc_id % 50 = 0").select("source_id", F.lit(0.6).alias("ontology_score"))
-    found = retrieval.hybrid_search(r, r, QUESTION, "en", vectors=named, query_vector=_asked(spark, sf_dir), graph_scores=graph)
-    return found.select("source_id", "score", "lexical_score", "semantic_score")
+    """All English documents, each with a vector of its own or of the provider."""
+    return _hybrid(spark, sf_dir, _all_vectors(spark, sf_dir)).select("source_id", "score", "lexical_score", "semantic_score", "ontology_score", "passage_score", "search_mode", "fallback_reason")
+
+
+@query(
+    f"""WITH {_TOKENS}, c AS (SELECT *, greatest(lexical, graph) AS combined FROM (SELECT lex.*, {_GRAPH} AS graph FROM lex)),
+    {_RANKED}, {_passage_sql(QUESTION, 'content')}, {_BEST}
+    SELECT source_id, score, 0.0::DOUBLE AS semantic_score, 'lexical' AS search_mode, 'embedding_unavailable' AS fallback_reason FROM u WHERE n = 1 ORDER BY first_rk LIMIT 4"""
+)
+def hybrid_fallback(spark, sf_dir):
+    """The same with the stored embeddings alone: a document lacks one, so the whole question is answered lexically."""
+    return _hybrid(spark, sf_dir, _own_vectors(spark, sf_dir)).select("source_id", "score", "semantic_score", "search_mode", "fallback_reason")
+
+
+@query(
+    f"""WITH {_TOKENS}, c AS (SELECT *, lexical AS combined, 0.0::DOUBLE AS graph FROM lex), {_RANKED}, {_passage_sql(QUESTION, 'content')}, {_BEST}
+    SELECT source_id, title, canonical_url, category, language, checksum, score, {r6_sql('lexical', 4)} AS lexical_score, CASE WHEN combined >= 0.7 THEN 'high' WHEN combined >= 0.35 THEN 'medium' ELSE 'low' END AS confidence FROM u WHERE n = 1 ORDER BY first_rk LIMIT 4"""
+)
+def admin_search(spark, sf_dir):
+    """What an administrator's search shows."""
+    found = search.admin_rows(search.confident(search.search(stored_index(spark, sf_dir), asked(spark, {1: QUESTION}))))
+    return found.select("source_id", "title", "canonical_url", "category", "language", "checksum", "score", "lexical_score", "confidence")
 
 
 @query("SELECT vec_id, label % 3 <> 0 AND label % 5 <> 1 AS valid FROM embeddings")
@@ -147,20 +193,35 @@ def vector_validity(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE lang = 'en' AND doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def vectors_missing(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    return d.join(_vectors(spark, sf_dir).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
+    r = records(spark, sf_dir).where("language = 'en'").withColumn("chunk_id", F.col("source_id"))
+    missing = retrieval.missing_vectors(r, _own_vectors(spark, sf_dir).withColumn("model", F.lit("m")), "m")
+    return missing.select(F.substring_index("source_id", "_", -1).cast("long").alias("doc_id"))
+
 
+def _stale_vectors(spark, sf_dir):
+    """Embeddings as vectors of the model `m`, of which some were made of an older text and some are another model's."""
+    n = F.substring_index("chunk_id", "_", -1).cast("long")
+    v = _own_vectors(spark, sf_dir)
+    return v.withColumns({"checksum": F.when(n % 9 == 2, "old").otherwise(F.col("checksum")), "model": F.when(n % 5 == 1, "other").otherwise("m"), "vec_id": n})
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
+
+@query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE lang = 'en') AND vec_id % 9 <> 2 AND vec_id % 5 <> 1")
 def vectors_pruned(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("vec_id"))
-    return _vectors(spark, sf_dir).join(d, "vec_id", "left_semi").select("vec_id", "label")
+    r = records(spark, sf_dir).where("language = 'en'").withColumn("chunk_id", F.col("source_id"))
+    return retrieval.pruned_vectors(_stale_vectors(spark, sf_dir), r, "m").select("vec_id")
 
 
-@query("SELECT label AS model, count(*) AS n, CASE WHEN min(len(embedding)) = max(len(embedding)) THEN min(len(embedding)) END AS dimensions FROM embeddings GROUP BY label")
+@query("SELECT CASE WHEN vec_id % 5 = 1 THEN 'other' ELSE 'm' END AS model, count(*) AS n, CASE WHEN min(len(embedding)) = max(len(embedding)) THEN min(len(embedding)) END AS dimensions FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) GROUP BY 1")
 def vector_status(spark, sf_dir):
-    n = F.size("vector")
-    return _vectors(spark, sf_dir).groupBy(F.col("label").alias("model")).agg(F.count("*").alias("n"), F.when(F.min(n) == F.max(n), F.min(n)).cast("long").alias("dimensions"))
+    return retrieval.vector_status(_stale_vectors(spark, sf_dir))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (lang = 'en') AS n_en FROM documents")
+def vectors_replaced(spark, sf_dir):
+    """A full replacement: every document has exactly one valid vector of one length, or nothing is replaced."""
+    r = records(spark, sf_dir).withColumn("chunk_id", F.col("source_id"))
+    whole = retrieval.complete_vectors(r, _all_vectors(spark, sf_dir))
+    return whole.join(r.select("chunk_id", "language"), "chunk_id").agg(F.count("*").alias("n"), F.count_if(F.col("language") == "en").alias("n_en"))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN -1 ELSE label END AS label FROM embeddings")
@@ -189,21 +250,50 @@ _MANY = {1: "thereation eredon", 2: "ingthe onering", 3: "heation"}
 
 
 def _many_sql() -> str:
-    questions = ", ".join(f"({k}, '{q}')" for k, q in _MANY.items())
-    return f"""WITH tok AS (SELECT doc_id, list_distinct({terms_sql('text', config.STOP_WORDS)}) AS b FROM documents WHERE lang = 'en'),
-    q AS (SELECT qid, unnest(list_distinct({terms_sql('txt', config.STOP_WORDS)})) AS term FROM (VALUES {questions}) x(qid, txt)),
-    hits AS (SELECT term, doc_id FROM (SELECT DISTINCT term FROM q) t, tok WHERE len(list_filter(b, lambda t0: t0 = term OR (length(t0) >= 5 AND length(term) >= 5 AND (contains(t0, term) OR contains(term, t0))))) > 0),
-    w AS (SELECT q.qid, q.term, 1 + ln((1 + (SELECT count(*) FROM tok))::DOUBLE / (1 + coalesce(d.df, 0))) AS w FROM q LEFT JOIN (SELECT term, count(*) AS df FROM hits GROUP BY term) d USING (term)),
-    s AS (SELECT qid, doc_id, sum(w * 0.7::DOUBLE) AS s FROM w JOIN hits USING (term) GROUP BY qid, doc_id),
-    r AS (SELECT s.qid, doc_id, {r6_sql('least(1.0::DOUBLE, s / total)')} AS score FROM s JOIN (SELECT qid, sum(w) AS total FROM w GROUP BY qid) USING (qid)),
-    k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM r) SELECT qid AS question_id, doc_id, score, rank FROM k WHERE rank <= 5"""
+    parts = []
+    for k, q in _MANY.items():
+        terms = X.query_terms(q)
+        unique = list(dict.fromkeys(terms))
+        df = ", ".join(f"count(*) FILTER ({_hit('tb', t)} OR {_hit('tt', t)}) AS d{i}" for i, t in enumerate(unique))
+        w = ", ".join(f"1 + ln((1 + n)::DOUBLE / (1 + d{i})) AS w{i}" for i in range(len(unique)))
+        parts.append(f"SELECT {k} AS question_id, doc_id, lexical FROM (SELECT tok.*, {_relevance_sql(terms, 'tt', 'tb')} AS lexical FROM tok, (SELECT {w} FROM (SELECT count(*) AS n, {df} FROM tok)))")
+    tok = f"tok AS (SELECT *, {terms_sql('title', config.STOP_WORDS)} AS tt, {terms_sql('content', config.STOP_WORDS)} AS tb FROM records WHERE language = 'en')"
+    return f"""WITH {RECORDS}, {tok}, s AS (SELECT question_id, doc_id, {r6_sql('lexical')} AS score FROM ({' UNION ALL '.join(parts)}) WHERE lexical > 0),
+    k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc_id) AS rank FROM s) SELECT * FROM k WHERE rank <= 5"""
 
 
 @query(_many_sql())
 def index_search_many(spark, sf_dir):
     """Many questions through the postings in one job."""
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("lang").alias("language"), "doc_id", "text")
-    post = index.postings(d, "doc_id", {"content": "text"})
-    asked = spark.createDataFrame([(k, "en", q) for k, q in _MANY.items()], "question_id int, language string, text string")
-    n = d.groupBy("language").agg(F.count("*").alias("n_documents"))
-    return index.search_many(post, asked, n, 5).select("question_id", F.col("id").alias("doc_id"), "score", "rank")
+    found = search.lexical_search(stored_index(spark, sf_dir), asked(spark, _MANY))
+    rows = found.select("question_id", F.substring_index("source_id", "_", -1).cast("long").alias("doc_id"), r6(F.col("lexical_score")).alias("score"))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+
+
+@query()
+def evaluation_cases(spark, sf_dir):
+    """An evaluation suite over the index in one job: retrieval and deterministic cases, of which some expect what isn't there."""
+    none = []
+    cases = [
+        ("case_1", "finds a document", True, "en", QUESTION, "retrieval", "OUT_OF_SCOPE", none, none, None, none, none, ["t"]),
+        ("case_2", "expects another source", True, "en", QUESTION, "retrieval", "OUT_OF_SCOPE", none, ["no_such_source"], None, none, none, ["t"]),
+        ("case_3", "answers from evidence", True, "en", "thereation eredon", "deterministic", "PRODUCT_INFORMATION", ["fallback"], none, None, none, ["zzzz"], ["t"]),
+        ("case_4", "asks for a meeting", True, "en", "I want to book a meeting", "deterministic", "REQUEST_APPOINTMENT", ["deterministic"], none, None, none, none, ["t"]),
+        ("case_5", "is off", False, "en", "x y", "deterministic", "OUT_OF_SCOPE", ["fallback"], none, None, none, none, ["t"]),
+    ]
+    schema = "case_id string, description string, enabled boolean, language string, question string, execution_mode string, expected_intent string, expected_generation array<string>, expected_source_ids array<string>, expected_contact_id string, required_phrases array<string>, forbidden_phrases array<string>, tags array<string>"
+    df = spark.createDataFrame(cases, schema)
+    made = answers.execute_cases(df, stored_index(spark, sf_dir), records(spark, sf_dir))
+    return made.join(answers.case_faults(df), "case_id", "left").select("case_id", "passed", F.array_join("failure_codes", ",").alias("failures"), F.array_join("fallback_codes", ",").alias("fallbacks"), F.size("source_ids").alias("n_sources"), "fault")
+
+
+@query()
+def graph_tool_search(spark, sf_dir):
+    """Search with graph scores: documents of the sources that a question's entities lead to come up."""
+    d = records(spark, sf_dir).where("language = 'en'").select("source_id", "title")
+    edges = d.select(F.substring_index("source_id", "_", -1).cast("long").alias("row"), F.concat(F.lit("Topic "), F.substring_index("source_id", "_", -1)).alias("subject"), F.lit("DOCUMENTED_BY").alias("predicate"), F.col("source_id").alias("object"), "source_id")
+    none = spark.createDataFrame([], "entity string, alias string, language string, source_id string")
+    first = d.agg(F.min("source_id")).first()[0]
+    q = asked(spark, {1: f"about topic {first.split('_')[-1]} and thereation", 2: "eredon"})
+    return search.tool_search(stored_index(spark, sf_dir), q, edges, none).select("question_id", "rank", "source_id", "score", "ontology_score")

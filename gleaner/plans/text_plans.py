@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from gleaner import config
 from gleaner.functions import text as X
+from gleaner.operators import duplicates as D
+from gleaner.operators import logs
 from gleaner.operators import records as R
 from gleaner.plans.base import RECORDS, WORD_SQL, query, records, sentences_sql, table, terms_sql, words_sql
 
@@ -83,15 +85,18 @@ def language_heuristic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", X.language_by_words(F.col("text")).alias("guessed"))
 
 
+_MARKED = r"regexp_replace(regexp_replace(regexp_replace(text || ' och det detta med [och det]. ', '\[[^\]]*\]|https?://\S+', ' ', 'g'), '[\p{L}\p{N}_]*[_-][\p{L}\p{N}_-]*', ' ', 'g')"
+
+
 @query(
-    rf"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text || ' och det detta med.', '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM documents WHERE NOT regexp_matches(text, '[\[_-]')),
+    rf"""WITH s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace({_MARKED}, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1))) AS s FROM documents),
     n AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(s), '\p{{L}}+')) AS w FROM s)
     SELECT doc_id, bool_or(len(list_intersect(w, {_in(config.MISMATCH_WORDS["sv"])})) >= 2 AND len(list_intersect(w, {_in(config.MISMATCH_WORDS["sv"])})) >= len(list_intersect(w, {_in(config.MISMATCH_WORDS["en"])})) + 2) AS mismatch FROM n GROUP BY doc_id"""
 )
 def language_mismatch(spark, sf_dir):
-    """Texts without citations and identifiers, with a last sentence of another language."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[\[_-]"))
-    return d.select("doc_id", X.language_mismatch(F.concat("text", F.lit(" och det detta med.")), "en").alias("mismatch"))
+    """Whole texts with a last sentence of another language; citations, URLs and identifiers don't count."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", X.language_mismatch(F.concat("text", F.lit(" och det detta med [och det]. ")), "en").alias("mismatch"))
 
 
 @query(f"SELECT doc_id, length(text) >= 50 AND len({words_sql('text')}) >= 8 AND length(text) <= 100000 AS sufficient FROM documents")
@@ -112,24 +117,52 @@ def confidence_bucket(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.confidence(F.col("value") / 100).alias("confidence"))
 
 
+_NUMBER = r"'\d+(?:[.,]\d+)?'"
+
+
 @query(
-    r"""SELECT doc_id, len(regexp_extract_all(text, '\d+(?:[.,]\d+)?')) AS n_numbers,
-    len(list_filter(regexp_extract_all(left(text, 400), '\d+(?:[.,]\d+)?'), lambda x: NOT list_contains(regexp_extract_all(substr(text, 201), '\d+(?:[.,]\d+)?'), x))) = 0 AS supported FROM documents"""
+    f"""WITH n AS (SELECT doc_id, text, text || CASE WHEN doc_id % 3 = 0 THEN ' 987654' ELSE '' END AS claim FROM documents)
+    SELECT doc_id, len(regexp_extract_all(text, {_NUMBER})) AS n_numbers, len(list_filter(regexp_extract_all(claim, {_NUMBER}), lambda x: NOT list_contains(regexp_extract_all(text, {_NUMBER}), x))) = 0 AS supported FROM n"""
 )
 def numeric_support(spark, sf_dir):
-    t = F.col("text")
-    supported = X.numbers_supported(F.left(t, F.lit(400)), F.substring(t, F.lit(201), F.length(t)))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.numbers(t)).cast("long").alias("n_numbers"), supported.alias("supported"))
+    """Whole texts as claims, of which every third has one number more than its evidence, the text."""
+    claim = F.concat("text", F.when(F.col("doc_id") % 3 == 0, " 987654").otherwise(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(X.numbers(F.col("text"))).cast("long").alias("n_numbers"), X.numbers_supported(claim, F.col("text")).alias("supported"))
 
 
 @query(
-    rf"""WITH c AS (SELECT doc_id, replace(left(text, 500), '.', ' [doc_' || doc_id || '] [x-1] .') AS c FROM documents WHERE NOT contains(left(text, 500), '['))
+    rf"""WITH c AS (SELECT doc_id, replace(text, '.', ' [doc_' || doc_id || '] [x-1] .') AS c FROM documents)
     SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '\s*\[[A-Za-z0-9_-]+\]', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), ' +([.,;:!?])', '\1', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS digest FROM c"""
 )
 def citation_strip(spark, sf_dir):
-    left = F.left("text", F.lit(500))
-    c = F.replace(left, F.lit("."), F.concat(F.lit(" [doc_"), F.col("doc_id").cast("string"), F.lit("] [x-1] .")))
-    return table(spark, sf_dir, "documents").where(~left.contains("[")).select("doc_id", F.sha2(X.strip_citations(c), 256).alias("digest"))
+    c = F.replace("text", F.lit("."), F.concat(F.lit(" [doc_"), F.col("doc_id").cast("string"), F.lit("] [x-1] .")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.strip_citations(c), 256).alias("digest"))
+
+
+@query(r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(replace(text, '.', '<think>' || doc_id || chr(10) || '</THINK>.'), '<think>.*?</think>', '', 'gis'), '^\s+|\s+$', '', 'g'))) AS digest FROM documents")
+def thinking_strip(spark, sf_dir):
+    t = F.replace("text", F.lit("."), F.concat(F.lit("<think>"), F.col("doc_id").cast("string"), F.lit("\n</THINK>.")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.strip_thinking(t), 256).alias("digest"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(translate(p_name, '_-', '  '), ' +', ' ', 'g')) || ' v2' AS title FROM part")
+def file_titles(spark, sf_dir):
+    name = F.concat(F.lit("/in/box/"), "p_name", F.lit("__v2.pdf"))
+    return table(spark, sf_dir, "part").select("p_partkey", X.file_title(name).alias("title"))
+
+
+@query(rf"SELECT doc_id, regexp_matches(t, '[\x00-\x08\x0B\x0C\x0E-\x1F<>]') OR regexp_matches(t, '(?i){_INJECTION}') AS unsafe, regexp_matches(left(t, 80), '[\p{{C}}<>]') AS unsafe_label FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN text || chr(7) WHEN 1 THEN '<b>' || text ELSE text END AS t FROM documents)")
+def unsafe_text(spark, sf_dir):
+    n = F.col("doc_id") % 4
+    t = F.when(n == 0, F.concat("text", F.lit("\x07"))).when(n == 1, F.concat(F.lit("<b>"), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.unsafe_source_text(t).alias("unsafe"), X.unsafe_label(F.left(t, F.lit(80))).alias("unsafe_label"))
+
+
+@query("SELECT b.item_id, count(d.doc_id) AS n_documents FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
+def evidence_containment(spark, sf_dir):
+    """In how many documents a quote stands word for word; quotes and documents meet in the quote's rarest shingle of five words."""
+    b, d = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text")
+    return D.containing(b, d, "item_id", "doc_id")
 
 
 @query(
@@ -181,8 +214,8 @@ def phrase_checks(spark, sf_dir):
     r"""SELECT event_id, TRY_CAST(props::JSON->>'k' AS INTEGER) AS k, greatest(1, least(50, coalesce(TRY_CAST(props::JSON->>'k' AS INTEGER), 20))) AS bounded, '{"kind":"' || event_type || '"}' AS payload FROM events"""
 )
 def json_payload(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    return table(spark, sf_dir, "events").select("event_id", k.try_cast("int").alias("k"), X.bounded_int(k, 20, 1, 50).alias("bounded"), F.to_json(F.struct(F.col("event_type").alias("kind"))).alias("payload"))
+    e = table(spark, sf_dir, "events").withColumns({"kind": F.col("event_type"), "own": logs.payload_fields(F.col("props"), "k string")})
+    return e.select("event_id", F.col("own.k").try_cast("int").alias("k"), X.bounded_int(F.col("own.k"), 20, 1, 50).alias("bounded"), logs.payload_text(["kind"]).alias("payload"))
 
 
 @query(
@@ -197,7 +230,19 @@ def category_heuristic(spark, sf_dir):
 
 
 @query(
-    r"""SELECT event_id, CASE WHEN regexp_full_match(event_type, '[a-z_]{1,40}') THEN event_type ELSE 'unknown' END AS action, CASE WHEN props LIKE '%1%' THEN 'success' ELSE 'failure' END AS outcome FROM events"""
+    r"""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unknown' ELSE 'user-' || user_id END AS actor, CASE WHEN event_id % 3 = 0 THEN 'editor' ELSE 'unauthenticated' END AS role, event_type AS action,
+    CASE WHEN event_id % 2 = 0 THEN 'success' ELSE 'error' END AS outcome, CASE WHEN value * 10 BETWEEN 100 AND 599 THEN floor(value * 10)::INT ELSE 500 END AS status, CASE WHEN event_id % 7 <> 0 THEN 'k:' || user_id END AS target_id FROM events"""
 )
 def audit_value_coercion(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_type").rlike("^[a-z_]{1,40}$"), F.col("event_type")).otherwise("unknown").alias("action"), F.when(F.col("props").contains("1"), "success").otherwise("failure").alias("outcome"))
+    n = F.col("event_id")
+    raw = table(spark, sf_dir, "events").select(
+        "event_id", F.when(n % 5 == 0, "two words").otherwise(F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("actor"), F.when(n % 3 == 0, "editor").otherwise("king").alias("role"), F.col("event_type").alias("action"),
+        F.when(n % 2 == 0, "success").otherwise("great").alias("outcome"), F.when((F.col("value") * 10).between(100, 599), F.floor(F.col("value") * 10).cast("int")).otherwise(F.lit(7)).alias("status"),
+        F.lit(None).cast("string").alias("target_type"), F.when(n % 7 != 0, F.concat(F.lit("k:"), F.col("user_id").cast("string"))).otherwise("<b>").alias("target_id"),
+    )
+    return logs.audit_values(raw).drop("target_type")
+
+
+@query("SELECT source_id, title, canonical_url, category, language, checksum, content, 'active' AS source_status, '2026-01-01T00:00:00Z' AS retrieved_at FROM (WITH " + RECORDS + " SELECT * FROM records)")
+def public_records(spark, sf_dir):
+    return R.public_record(R.active(records(spark, sf_dir).withColumn("secret", F.lit("x"))))

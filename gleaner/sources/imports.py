@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_ROWS, MOST_ROWS, MOST_COLUMNS, CELL_CHARS = 25, 1000, 50, 1000
-EXPANDED, RATIO, ENTRIES = 20_000_000, 100, 500
+EXPANDED, RATIO, ENTRIES, MOST_PARAGRAPHS = 20_000_000, 100, 500, 100
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -98,12 +99,15 @@ def _xml(z: zipfile.ZipFile, name: str) -> ElementTree.Element:
 
 def word_text(body: bytes) -> list[tuple[str, str]]:
     """(label, text) of a DOCX file: the paragraphs under each heading."""
-    label, parts = "Document", []
+    label, parts, n = "Document", [], 0
     for p in _xml(_archive(body), "word/document.xml").iter(f"{_WORD}p"):
         line = "".join(t.text or "" for t in p.iter(f"{_WORD}t")).strip()
         style = p.find(f"{_WORD}pPr/{_WORD}pStyle")
         if not line:
             continue
+        n += 1
+        if n > MOST_PARAGRAPHS:
+            raise Refused("too_many_paragraphs")
         if style is not None and re.match("heading|title", style.get(f"{_WORD}val", ""), re.I):
             label = line
             parts.append((label, [line]))
@@ -114,17 +118,27 @@ def word_text(body: bytes) -> list[tuple[str, str]]:
     return [(k, "\n\n".join(v)) for k, v in parts]
 
 
+def _targets(z: zipfile.ZipFile) -> dict[str, str]:
+    """Which part of a workbook each relationship names; sheets are found by it, not by their place."""
+    if "xl/_rels/workbook.xml.rels" not in z.namelist():
+        return {}
+    return {r.get("Id"): r.get("Target") for r in _xml(z, "xl/_rels/workbook.xml.rels")}
+
+
 def sheet_text(body: bytes, most_cells: int = 5000, most_sheets: int = 20) -> list[tuple[str, str]]:
     """(`Sheet!first:last`, lines `REF: value`) of an XLSX file; formulas are refused."""
     z = _archive(body)
     shared = [] if "xl/sharedStrings.xml" not in z.namelist() else ["".join(t.text or "" for t in s.iter(f"{_SHEET}t")) for s in _xml(z, "xl/sharedStrings.xml").iter(f"{_SHEET}si")]
-    names = [s.get("name") for s in _xml(z, "xl/workbook.xml").iter(f"{_SHEET}sheet")]
+    listed = list(_xml(z, "xl/workbook.xml").iter(f"{_SHEET}sheet"))
+    names = [s.get("name") for s in listed]
     if len(names) > most_sheets:
         raise Refused("too_many_sheets")
     out, count = [], 0
-    for k, name in enumerate(names, 1):
+    targets = _targets(z)
+    for k, (name, sheet) in enumerate(zip(names, listed), 1):
         lines, refs = [], []
-        for c in _xml(z, f"xl/worksheets/sheet{k}.xml").iter(f"{_SHEET}c"):
+        part = targets.get(sheet.get(_RELATION, ""), f"worksheets/sheet{k}.xml")
+        for c in _xml(z, part.lstrip("/") if part.startswith("/") else f"xl/{part}").iter(f"{_SHEET}c"):
             if c.find(f"{_SHEET}f") is not None:
                 raise Refused("formula")
             v = c.find(f"{_SHEET}v")
@@ -170,3 +184,28 @@ def documents(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "content", "sections", "reason"])
 
     return files.select("path", "content").mapInPandas(rows, "path string, content string, sections array<struct<kind:string,label:string,start:int,end:int>>, reason string")
+
+
+#: Documents that a manifest may list, a fixed value.
+MOST_DOCUMENTS = 200
+
+
+def known_contents(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Files whose content (checksum) a manifest has already."""
+    return files.join(manifest.select("checksum").distinct(), "checksum", "left_semi")
+
+
+def approved_documents(manifest: DataFrame, files: DataFrame, most: int = MOST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
+    """(manifest with the files added, refused (path, reason)) of files (path, content binary, source_id).
+
+    A file is refused whose content the manifest has already, or an earlier path of the same batch; if the manifest
+    would list more than `most` documents none is added and all are refused, so the caller keeps what there was.
+    """
+    own = files.select("path", "source_id", F.octet_length("content").cast("long").alias("byte_size"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("checksum"))
+    first = own.groupBy("checksum").agg(F.min("path").alias("__first"))
+    own = own.join(first, "checksum").join(manifest.select("checksum", F.lit(True).alias("__known")).distinct(), "checksum", "left")
+    own = own.withColumn("reason", F.when(F.col("__known") | (F.col("path") != F.col("__first")), "already_approved"))
+    room = manifest.agg(F.count("*").alias("a")).crossJoin(own.where("reason IS NULL").agg(F.count("*").alias("b"))).select((F.col("a") + F.col("b") > most).alias("full"))  # one row
+    own = own.crossJoin(F.broadcast(room)).withColumn("reason", F.coalesce("reason", F.when(F.col("full"), "too_many_documents")))
+    added = own.where("reason IS NULL").select(F.left(F.substring_index("checksum", ":", -1), F.lit(32)).alias("document_id"), "path", "source_id", "byte_size", "checksum", F.lit("active").alias("status"))
+    return manifest.unionByName(added.select(*manifest.columns)), own.where("reason IS NOT NULL").select("path", "reason")

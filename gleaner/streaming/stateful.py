@@ -110,11 +110,25 @@ def first_requests(requests: DataFrame, keys: list[str], time_col: str, delay: s
     return requests.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def retain(path: str, n: int, order_col: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: each batch is appended as its own folder, which a repeated batch replaces, and compacted() reads the log."""
+def retain(path: str, n: int, order_col: str, every: int = 10) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: a log of the latest n rows, bounded by n rows and `every` batches.
+
+    Each batch's latest rows are appended as a folder of their own, which a repeated batch replaces. Every so many
+    batches the log is compacted: its latest n rows are written to a new folder, then the folders they came from go.
+    compacted() reads the log at any time; rows that are in an old and a new folder for a moment count once.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch.orderBy(F.desc(order_col)).limit(n).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if batch_id % every != every - 1:
+            return
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        old = [f.getPath() for f in files.listStatus(place) if f.getPath().getName().startswith("batch=") and f.getPath().getName() != f"batch={batch_id}.all"]
+        compacted(spark.read.parquet(path).drop("batch"), n, order_col).write.mode("overwrite").parquet(f"{path}/batch={batch_id}.all")
+        for folder in old:
+            files.delete(folder, True)
 
     return write
 
@@ -123,7 +137,8 @@ def compacted(log: DataFrame, n: int, order_col: str) -> DataFrame:
     """The latest n rows of a log of batches."""
     from gleaner.operators.logs import keep_latest
 
-    return keep_latest(log, n, order_col)
+    rows = log.drop("batch") if "batch" in log.columns else log
+    return keep_latest(rows.dropDuplicates([order_col]), n, order_col)
 
 
 def windowed_counts(events: DataFrame, time_col: str, width: str, delay: str, keys: list[str]) -> DataFrame:

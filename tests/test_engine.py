@@ -1,12 +1,14 @@
 """Graphs, answers, search settings, versions and logs on small fixtures with known results."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner import config
 from gleaner.functions import digests
 from gleaner.functions import text as X
-from gleaner.operators import admission, answers, graph, index, logs, records as R, retrieval, routing, versions
+from gleaner.operators import admission, answers, conversations, duplicates, graph, index, logs, records as R, retrieval, routing, search, versions
 
 CONTENT = "\n\n".join(
     ["Company: Nordic Pumps (NP)", "Nordic Pumps provides River Pump.", "Nordic Pumps does not provide Repair.", "Product: River Pump", "River Pump belongs to Water", "Category: Water", "Location: Kiruna", "Nordic Pumps is located in Kiruna.", "History"]
@@ -328,10 +330,17 @@ def test_record_reasons(spark):
     assert R.validated(df.limit(1).withColumn("checksum", F.lit("no"))).first().reason == "checksum_mismatch"
 
 
+HOME = "https://x.org/"
+
+
+def ids(spark, names):
+    return spark.createDataFrame([(i,) for i in names], "source_id string")
+
+
 def test_versions(spark, tmp_path):
     store = versions.Versions(spark, str(tmp_path / "store"))
-    rows = lambda ids: spark.createDataFrame([(i,) for i in ids], "source_id string")
-    one = store.stage({"records": rows("abcde")}, HOME := "https://x.org/")
+    rows = lambda names: ids(spark, names)
+    one = store.stage({"records": rows("abcde")}, HOME)
     assert store.status()["version"] is None
     assert store.activate(one, 0)["revision"] == 1
     with pytest.raises(versions.Conflict):
@@ -339,23 +348,171 @@ def test_versions(spark, tmp_path):
     few = store.stage({"records": rows("ab")}, HOME)
     with pytest.raises(versions.Conflict, match="coverage"):
         store.activate(few, 1)
+    assert store.completed(few)["state"] == "review_required" and store.completed(few, automatic=False)["state"] == "staged"
     assert store.activate(few, 1, allow_drop=True)["version"] == few
     elsewhere = store.stage({"records": rows("ab")}, "https://y.org/")
     with pytest.raises(versions.Conflict, match="site"):
         store.activate(elsewhere, 2)
     with pytest.raises(versions.Conflict, match="no records"):
         store.activate(store.stage({"records": rows("")}, HOME), 2)
+    with pytest.raises(versions.Conflict, match="faults"):
+        store.restore(one, 2, check=lambda d: ["a fault"])
     assert store.restore(one, 2)["version"] == one and store.active()["records"].count() == 5
-    spark.createDataFrame([("z",)], "source_id string").write.mode("append").parquet(f"{tmp_path}/store/{one}/records")
+    listed = {r.version: r.revision for r in store.listing().collect()}
+    assert listed[one] == 3 and listed[few] == 2 and listed[elsewhere] is None
+    assert store.completed(store.stage({"records": rows("abcdef")}, HOME))["state"] == "active"
+    last = store.status()
+    spark.createDataFrame([("z",)], "source_id string").write.mode("append").parquet(f"{tmp_path}/store/{last['version']}/records")
     with pytest.raises(versions.Conflict, match="not as it was"):
         store.active()
-    assert [h["operation"] for h in store.status()["history"]] == ["activate", "activate", "restore"]
+    assert [h["operation"] for h in last["history"]] == ["activate", "activate", "restore", "activate"]
+
+
+def test_two_writers(spark, tmp_path):
+    """Of two writers of one revision the second fails, and a reader sees a whole revision at any time."""
+    a, b = (versions.Versions(spark, str(tmp_path / "store")) for _ in range(2))
+    one = a.stage({"records": ids(spark, "ab")}, HOME)
+    a.activate(one, 0)
+    entry = {"revision": 2, "version": one, "operation": "activate", "at": 0.0}
+    a._create("revision-2.json", entry)
+    with pytest.raises(versions.Conflict, match="there already"):
+        b._create("revision-2.json", entry)
+    assert b.status()["revision"] == 2
+
+
+def test_governed_change_and_backup(spark, tmp_path):
+    store = versions.Versions(spark, str(tmp_path / "store"))
+    registry = spark.createDataFrame([(f"s{i}", f"https://x.org/{i}", "en", "active") for i in range(4)], "source_id string, canonical_url string, language string, source_status string")
+    store.activate(store.stage({"records": registry, "rules": spark.createDataFrame([("r1", "A", 10, "all", "a+")], routing.RULE_SCHEMA)}, HOME), 0)
+    seen = versions.content_digest(store.active()["records"])
+    change = spark.createDataFrame([("archive", "s1", "", "", ""), ("add", "s9", "https://x.org/9", "en", "")], "operation string, source_id string, canonical_url string, language string, source_status string")
+    edit = lambda df: versions.edited_registry(df, change)[0]
+    assert store.change("records", seen, edit, versions.registry_faults)["revision"] == 2
+    now = {r.source_id: r.source_status for r in store.active()["records"].collect()}
+    assert now == {"s0": "active", "s1": "archived", "s2": "active", "s3": "active", "s9": "active"}
+    with pytest.raises(versions.Conflict, match="meanwhile"):
+        store.change("records", seen, edit, versions.registry_faults)
+    digest = versions.content_digest(store.active()["records"])
+    with pytest.raises(versions.Conflict, match="none_active"):
+        store.change("records", digest, lambda df: df.withColumn("source_status", F.lit("archived")), versions.registry_faults)
+    rules = versions.content_digest(store.active()["rules"])
+    with pytest.raises(versions.Conflict, match="nested repetition"):
+        store.change("rules", rules, lambda df: df.withColumn("pattern", F.lit("(a+)+")), routing.rule_faults)
+    assert store.change("rules", rules, lambda df: df.withColumn("priority", F.lit(20)), routing.rule_faults)["revision"] == 3
+    faults = {(r.source_id, r.fault) for r in versions.edited_registry(registry, spark.createDataFrame([("add", "s1", "", "", ""), ("update", "s8", "", "", ""), ("drop", "s2", "", "", "")], change.schema))[1].collect()}
+    assert faults == {("s1", "source_exists"), ("s8", "source_missing"), ("s2", "unknown_operation")}
+    made = store.backup(str(tmp_path / "kept"))
+    assert {d["dataset"]: d["rows"] for d in made["datasets"]} == {"records": 5, "rules": 1} and store.backup_faults(str(tmp_path / "kept"), ("records", "rules")) == []
+    assert store.backup_faults(str(tmp_path / "kept"), ("records",)) == ["inventory"] and store.backup_faults(str(tmp_path / "none"), ()) == ["manifest"]
+    ids(spark, "z").write.mode("append").parquet(str(tmp_path / "kept/rules"))
+    assert "rules: bytes" in store.backup_faults(str(tmp_path / "kept"), ("records", "rules"))
+
+
+def test_migrations():
+    steps = tuple(versions.Migration(i, f"step {i}", lambda d: d) for i in (1, 2, 3))
+    done = [(m.version, m.name, m.checksum) for m in steps]
+    assert versions.migration_faults(done[:2], steps) == [] and versions.migration_faults([], steps) == []
+    assert versions.migration_faults([(1, "other", done[0][2])], steps) and versions.migration_faults([done[1]], steps) and versions.migration_faults(done, steps[:2]) and versions.migration_faults([], steps[1:])
+
+
+def test_ordered_digest(spark):
+    rows = spark.createDataFrame([(i, f"t{i}", float(i)) for i in range(20)], "n long, t string, x double")
+    same = versions.ordered_digest(rows.repartition(3), ["n"])
+    assert same == versions.ordered_digest(rows, ["n"]) != versions.ordered_digest(rows.withColumn("n", -F.col("n")), ["n"])
+
+
+def test_built_index(spark, tmp_path, corpus):
+    rows = corpus.drop("chunk_id").withColumns({"retrieved_at": F.lit("2026"), "source_status": F.lit("active"), "checksum": X.checksum(F.col("content"))})
+    assert index.open_index(rows, str(tmp_path / "none")) == (None, "not_built")
+    made = index.build_index(rows, str(tmp_path / "index"))
+    asked = spark.createDataFrame([(1, "en", None, "What are river pumps?"), (2, "sv", None, "pumpar"), (3, "en", "none", "pumps"), (4, "en", None, "volcano")], search.QUESTIONS)
+    got = [(r.question_id, r["rank"], r.source_id) for r in search.search(made, asked).orderBy("question_id", "rank").collect()]
+    assert got[0] == (1, 1, "a") and {q for q, _, _ in got} == {1, 2}
+    one = retrieval.hybrid_search(rows.withColumn("chunk_id", F.concat("source_id", F.lit("--001"))), rows, "What are river pumps?", "en").collect()
+    assert [(r.source_id, r.score, r.passage_score) for r in one] == [(r.source_id, r.score, r.passage_score) for r in search.search(made, asked).where("question_id = 1").orderBy("rank").collect()]
+    assert index.open_index(rows, str(tmp_path / "index"))[1] == "ready"
+    assert index.open_index(rows.where("source_id <> 'b'"), str(tmp_path / "index")) == (None, "stale_or_invalid")
+    with pytest.raises(ValueError, match="repeated_id"):
+        index.build_index(rows.union(rows), str(tmp_path / "other"))
+
+
+def test_snapshot(spark, tmp_path):
+    import json
+
+    for name, value in (("list", [{"source_id": "a", "x": 1}]), ("object", {"records": [{"source_id": "a"}, {"source_id": "b"}]})):
+        (tmp_path / f"{name}.json").write_text(json.dumps(value))
+    assert R.read_snapshot(spark, f"{tmp_path}/list.json").columns == ["source_id", "x"] and R.read_snapshot(spark, f"{tmp_path}/object.json").count() == 2
+
+
+def test_stale_vectors(spark, corpus):
+    """A vector that was made of an older text of a chunk doesn't count."""
+    rows = corpus.withColumn("checksum", F.lit("now"))
+    v = lambda old: spark.createDataFrame([("a", "now", [1.0, 0.0]), ("b", old, [0.0, 1.0]), ("c", "now", [1.0, 1.0])], "chunk_id string, checksum string, vector array<double>")
+    modes = [{r.search_mode for r in retrieval.hybrid_search(rows, rows, "river pumps", "en", vectors=v(old), query_vector=[0.0, 1.0]).collect()} for old in ("now", "before")]
+    assert modes == [{"hybrid"}, {"lexical"}]
+
+
+def test_embedding(spark):
+    chunks = spark.createDataFrame([(f"c{i}", "s", f"text {i}") for i in range(70)], "chunk_id string, checksum string, content string").coalesce(1)
+    provider = lambda texts: [(k, [float(t.split()[1]), float(len(texts))]) for k, t in sorted(enumerate(texts), reverse=True) if t != "text 5"]
+    got = {r.chunk_id: r.vector for r in retrieval.embedded(chunks, provider, "m").collect()}
+    assert len(got) == 69 and got["c7"] == [7.0, 32.0] and got["c69"] == [69.0, 6.0]
+    with pytest.raises(ValueError):
+        retrieval.complete_vectors(chunks, retrieval.embedded(chunks, provider, "m"))
+
+
+def test_resolved_turns(spark):
+    said = [
+        (1, 0, 0.0, "Tell me about the river pump", "en", "PRODUCT_INFORMATION", ["River Pump"]),
+        (1, 1, 10.0, "What does it cost?", "en", "OUT_OF_SCOPE", []),
+        (1, 2, 20.0, "And the hose", "en", "PRODUCT_INFORMATION", ["Hose"]),
+        (1, 3, 30.0, "Compare both", "en", "OUT_OF_SCOPE", []),
+        (1, 4, 40.0, "Vad kostar den?", "sv", "PRODUCT_INFORMATION", []),
+        (1, 5, 50.0, "And it?", "en", "OUT_OF_SCOPE", []),
+        (2, 0, 0.0, "the river pump", "en", "PRODUCT_INFORMATION", ["River Pump"]),
+        (2, 1, 4000.0, "What is it?", "en", "OUT_OF_SCOPE", []),
+    ]
+    df = spark.createDataFrame(said, "conv_id int, turn int, at double, text string, language string, intent string, matched array<string>")
+    got = {(r.conv_id, r.turn): r for r in conversations.resolved_turns(df).collect()}
+    assert (got[1, 1].resolved_intent, got[1, 1].query, got[1, 1].topic, got[1, 1].follow_up) == ("PRODUCT_INFORMATION", "River Pump. What does it cost?", "River Pump", True)
+    assert got[1, 3].query == "Hose, River Pump. Compare both" and got[1, 3].remembered == 2
+    assert (got[1, 4].resolved_intent, got[1, 4].remembered, got[1, 5].follow_up) == ("OUT_OF_SCOPE", 0, False)
+    assert not got[2, 1].follow_up and got[2, 1].query == "What is it?"
+
+
+def test_folds_are_linear_and_define_nulls(spark):
+    """A key with very many events is read as a stream; requests without a time are admitted and not counted."""
+    many = spark.range(200_000).select(F.lit("k").alias("client"), "id", F.timestamp_seconds(F.col("id") / 10).alias("at"))
+    assert admission.sliding_admission(many, ["client"], "at", "id", 3, 60.0).where("admitted").count() == 3 * 334
+    budget = many.select(F.lit("c").alias("category"), "id", "at", F.lit(1).alias("units"))
+    assert admission.reserve_budget(budget, "category", "at", "units", "id", 10**6, 1234).where("admitted").count() == 1234
+    odd = spark.createDataFrame([("a", 1, None), ("a", 2, 5), (None, 3, 5), ("a", 4, 5)], "client string, id long, at long").withColumn("at", F.timestamp_seconds("at"))
+    assert {r.id: r.admitted for r in admission.sliding_admission(odd, ["client"], "at", "id", 1, 60.0).collect()} == {1: True, 2: True, 3: True, 4: False}
+
+
+def test_moves_keep_slots_single(spark):
+    held = spark.createDataFrame([(1, "a", "s1", "c", "confirmed", 1), (2, "b", "s2", "c", "confirmed", 2)], "booking_id int, session_id string, slot_id string, contact_id string, status string, starts_at int")
+    moves = spark.createDataFrame([(1, 1, "a", "s9", "c", 9, 1), (2, 2, "b", "s9", "c", 9, 2), (3, 2, "b", "s8", "c", 8, 3), (4, 2, "b", "s7", "c", 7, 4)], "move_id int, booking_id int, session_id string, slot_id string, contact_id string, starts_at int, at int")
+    after, outcomes = admission.rescheduled(held, moves)
+    assert {r.booking_id: (r.slot_id, r.starts_at) for r in after.collect()} == {1: ("s9", 9), 2: ("s8", 8)}
+    assert {r.move_id: r.outcome for r in outcomes.collect()} == {1: "moved", 2: "slot_unavailable", 3: "moved", 4: "superseded"}
+
+
+def test_similar_pages_of_whole_texts(spark):
+    """Only the tail differs: the first words alone are equal, the whole texts are not."""
+    head = " ".join(f"w{i}" for i in range(60))
+    rows = [("a", "https://x.org/a", "en", head + " " + " ".join(f"x{i}" for i in range(60))), ("b", "https://x.org/b", "en", head + " " + " ".join(f"y{i}" for i in range(60))), ("c", "https://x.org/c", "en", head + " " + " ".join(f"x{i}" for i in range(1, 60)))]
+    df = spark.createDataFrame(rows, "source_id string, canonical_url string, language string, content string")
+    near = lambda **kw: {(r.source_id, r.similar_to) for r in duplicates.similar_pages(df, **kw).collect()}
+    assert near(first_words=60) == {("b", "a"), ("c", "a")} and near(first_words=None) == {("c", "a")}
 
 
 def test_audit_chain(spark):
     rows = spark.createDataFrame([("t", i, f"act{i}") for i in range(5)], "tenant string, sequence long, action string")
     chain = logs.chained(rows, ["action"], ["tenant"]).cache()
     assert logs.chain_breaks(chain, ["tenant"]).count() == 0 and logs.verified(chain, ["action"], ["tenant"]).where("NOT intact").count() == 0
+    first = chain.orderBy("sequence").first()
+    assert first.previous_hash == "0" * 64 and first.event_hash == hashlib.sha256(b'{"action":"act0","previous_hash":"' + b"0" * 64 + b'"}').hexdigest()
     forged = chain.withColumn("action", F.when(F.col("sequence") == 2, "forged").otherwise(F.col("action")))
     assert [r.sequence for r in logs.verified(forged, ["action"], ["tenant"]).where("NOT intact").collect()] == [2]
 

@@ -43,5 +43,6 @@ def test_rows_only(spark, sf_dir, name):
 def test_entry(spark):
     import __spark_entry__ as e
 
-    assert e.entry(spark).count() >= 0
+    top = e.entry(spark).collect()
+    assert 0 < len(top) <= 4 and [r.score for r in top] == sorted((r.score for r in top), reverse=True)
     assert set(e.oracle_sql()) <= set(e.queries())

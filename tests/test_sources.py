@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls as U
-from gleaner.sources import imports, pages, site
+from gleaner.sources import build, imports, pages, site
 
 HOME = "https://shop.example.org/"
 PAGE = """<html lang="en-GB"><head><title>Pumps and parts</title><link rel="canonical" href="/pumps?utm_source=x"></head><body>
@@ -158,6 +158,39 @@ def test_imports(spark):
             assert r.content[x.start : x.end]
 
 
+def test_readable(spark):
+    rows = [(HOME + "a", "<header>no</header><p>before</p><main><p>Main <b>words</b></p><script>x</script></main>"), (HOME + "b", "<p>one</p><nav>no</nav><p>two</p>"), (HOME + "c", None)]
+    got = {r.url: r.text for r in pages.readable(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {HOME + "a": "Main\nwords", HOME + "b": "one\ntwo", HOME + "c": ""}
+
+
+def test_sheets_by_relationship(spark):
+    s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    cell = lambda v: f'<worksheet {s}><row><c r="A1" t="inlineStr"><is><t>{v}</t></is></c></row></worksheet>'
+    rels = '<Relationships xmlns="x"><Relationship Id="r1" Target="worksheets/sheet2.xml"/><Relationship Id="r2" Target="worksheets/sheet1.xml"/></Relationships>'
+    book = archive({"xl/workbook.xml": f'<workbook {s}><sheets><sheet name="One" r:id="r1"/><sheet name="Two" r:id="r2"/></sheets></workbook>', "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/sheet1.xml": cell("second text here"), "xl/worksheets/sheet2.xml": cell("first text here")})
+    assert imports.sheet_text(book) == [("One!A1:A1", "A1: first text here"), ("Two!A1:A1", "A1: second text here")]
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with pytest.raises(imports.Refused, match="too_many_paragraphs"):
+        imports.word_text(archive({"word/document.xml": f"<w:document {w}>" + "<w:p><w:r><w:t>x</w:t></w:r></w:p>" * 101 + "</w:document>"}))
+
+
+def test_approved_documents(spark):
+    empty = spark.createDataFrame([], "document_id string, path string, source_id string, byte_size long, checksum string, status string")
+    files = spark.createDataFrame([("a", bytearray(b"one"), "s1"), ("b", bytearray(b"one"), "s2"), ("c", bytearray(b"two"), "s3")], "path string, content binary, source_id string")
+    manifest, refused = imports.approved_documents(empty, files)
+    assert sorted(r.path for r in manifest.collect()) == ["a", "c"] and [tuple(r) for r in refused.collect()] == [("b", "already_approved")]
+    kept, refused = imports.approved_documents(manifest, files.withColumn("content", F.concat("content", F.lit(b"x"))), most=3)
+    assert kept.count() == 2 and {r.reason for r in refused.collect()} == {"already_approved", "too_many_documents"}
+
+
+def test_site_build(spark, tmp_path):
+    df = spark.createDataFrame([(HOME + "pumps", PAGE), (HOME + "copy", PAGE), (HOME + "thin", "<p>no</p>")], "url string, html string")
+    made = build.build_site(df, str(tmp_path / "b"), HOME)
+    r = build.build_report(made).first()
+    assert (r.records, r.skipped, r.similar, r.entities, r.aliases, r.truncated) == (1, 2, 0, 2, 1, False) and r.chunks >= 2 and r.relationships == 3
+
+
 def test_row_blocks(spark):
     rows = spark.range(60).select(F.col("id"), (F.col("id") * 2).alias("v"))
     got = imports.row_blocks(rows, ["id"], ["id", "v"]).orderBy("block").collect()

@@ -65,6 +65,17 @@ def test_retention(spark, tmp_path):
     assert sorted(r.id for r in kept) == [17, 18, 19]
 
 
+def test_retention_compacts(spark, tmp_path):
+    """After every tenth batch the log has one folder, with the latest rows of all batches."""
+    write = stateful.retain(f"{tmp_path}/log", 4, "id", every=3)
+    for k in range(7):
+        write(spark.range(k * 10, k * 10 + 10), k)
+    folders = sorted(p.name for p in (tmp_path / "log").iterdir() if p.is_dir())
+    assert folders == ["batch=5.all", "batch=6"]
+    write(spark.range(60, 70), 6)  # a repeated batch
+    assert sorted(r.id for r in stateful.compacted(spark.read.parquet(f"{tmp_path}/log"), 4, "id").collect()) == [66, 67, 68, 69]
+
+
 def test_windows_and_first_requests(spark, tmp_path):
     schema = "session string, key string, ts timestamp"
     at = lambda m: datetime.datetime(2026, 3, 1, 12, m)
