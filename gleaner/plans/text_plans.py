@@ -85,7 +85,7 @@ def language_heuristic(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", X.language_by_words(F.col("text")).alias("guessed"))
 
 
-_MARKED = r"regexp_replace(regexp_replace(regexp_replace(text || ' och det detta med [och det]. ', '\[[^\]]*\]|https?://\S+', ' ', 'g'), '[\p{L}\p{N}_]*[_-][\p{L}\p{N}_-]*', ' ', 'g')"
+_MARKED = r"regexp_replace(regexp_replace(text || ' och det detta med [och det]. ', '\[[^\]]*\]|https?://\S+', ' ', 'g'), '[\p{L}\p{N}_]*[_-][\p{L}\p{N}_-]*', ' ', 'g')"
 
 
 @query(
