@@ -130,7 +130,7 @@ def test_graph_search_order(spark):
     import random
 
     rng = random.Random(4)
-    for trial, (nodes, n) in enumerate(((6, 9), (15, 40), (60, 150), (25, 120))):
+    for trial, (nodes, n) in enumerate(((8, 14), (60, 150))):
         edges = []
         for i in range(1, n + 1):
             a, b = rng.sample(range(nodes), 2)
@@ -223,9 +223,8 @@ def verdict(spark, answer, extractive=True):
 EVIDENCE = [{"source_id": "s1", "content": "Pumps move water. They need 12 volts of power."}]
 
 
-@pytest.mark.parametrize(
-    "answer, accepted, reasons",
-    [
+def test_answer_checks(spark):
+    cases = [
         ("Pumps move water. [s1]", True, []),
         ("Pumps move water. [s1] They need 12 volts of power. [s1]", True, []),
         ("Pumps move water.", False, ["missing_citation"]),
@@ -235,11 +234,11 @@ EVIDENCE = [{"source_id": "s1", "content": "Pumps move water. They need 12 volts
         ("See https://x.org [s1]", False, ["unsafe_format"]),
         ("Book a visit. [s1]", False, ["tool_or_safety_claim"]),
         ("", False, ["invalid_answer"]),
-    ],
-)
-def test_answer_checks(spark, answer, accepted, reasons):
-    r = verdict(spark, answer)
-    assert (r.accepted, r.reasons) == (accepted, reasons)
+    ]
+    rows = [(i, answer, [tuple(e.values()) for e in EVIDENCE], None) for i, (answer, _, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "answer_id int, answer string, evidence array<struct<source_id:string,content:string>>, names array<string>")
+    got = {r.answer_id: (r.accepted, r.reasons) for r in answers.checked(df).collect()}
+    assert got == {i: (accepted, reasons) for i, (_, accepted, reasons) in enumerate(cases)}
 
 
 def test_answer_numbers(spark):
