@@ -7,7 +7,7 @@ judged by its exact similarity. With 24 bands of 4 values a pair of similarity 0
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,11 +39,11 @@ def bands(least: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(least.reshape(BANDS, ROWS))), np.uint64, BANDS).view(np.int64)
 
 
-def alike(sketches: np.ndarray, side: np.ndarray | None) -> np.ndarray:
-    """Which rows share half of their bytes, at least, with another one; with `side`, with one of the other side."""
+def alike(sketches: np.ndarray, part: np.ndarray, side: np.ndarray | None) -> np.ndarray:
+    """Which rows share half of their bytes, at least, with one of another part; with `side`, of the other side."""
     found = np.zeros(len(sketches), bool)
     for x in range(len(sketches) - 1):
-        same = 2 * (sketches[x + 1 :] == sketches[x]).sum(axis=1) >= sketches.shape[1]
+        same = (part[x + 1 :] != part[x]) & (2 * (sketches[x + 1 :] == sketches[x]).sum(axis=1) >= sketches.shape[1])
         if side is not None:
             same &= side[x + 1 :] != side[x]
         found[x + 1 :] |= same
@@ -51,16 +51,16 @@ def alike(sketches: np.ndarray, side: np.ndarray | None) -> np.ndarray:
     return found
 
 
-def links_of_bucket(sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
-    """Links (x, y) with the components of all pairs of non-empty sets at `similarity` or more; with `side`, of pairs across sides.
+def links_of_bucket(sets: list[np.ndarray], part: np.ndarray, side: np.ndarray | None, similarity: float) -> Iterator[tuple[int, int]]:
+    """Links (x, y) that with the parts have the components of all pairs of non-empty sets at `similarity` or more; with `side`, of pairs across sides.
 
-    A pair that earlier links have joined is not compared, so a group of mutual near copies takes one pass.
+    A pair of one part, or that earlier links have joined, is not compared.
     """
     sizes = np.array([len(s) for s in sets])
     ends = np.cumsum(sizes)
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
     owner = np.repeat(np.arange(len(sets)), sizes)
-    label = np.arange(len(sets))
+    label = np.unique(part, return_inverse=True)[1]
     held = np.zeros(int(codes.max()) + 1, bool)
     for x in range(len(sets) - 1):
         later = slice(x + 1, None)
@@ -86,102 +86,179 @@ def _set(text: str | None, shingle: int) -> tuple[np.ndarray, int]:
     return found, xxhash.xxh64_intdigest(found.tobytes())
 
 
-def shingle_sets(docs: DataFrame, text_col: str, order: list[str], shingle: int) -> DataFrame:
-    """One row for each distinct shingle set: node, least `order` as m, size n, bands and a sketch of MinHash values' bytes."""
-    names = [f"o{i}" for i in range(len(order))]
-    rows = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(name) for name, c in zip(names, order)))
-    fields = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(names, order))
+def minhashes(found: list[np.ndarray]) -> np.ndarray:
+    """MinHash values of each set."""
+    return np.array([minima(x) for x in found]).reshape(len(found), -1)
+
+
+def signed_rows(docs: DataFrame, text_col: str, keep: list[str], shingle: int, signer: Callable[[list[np.ndarray]], np.ndarray] = minhashes) -> DataFrame:
+    """Each row's `keep` with node (its set's hash), n (its size), bands of its signature, none for an empty set, and a sketch: the signature's low bytes."""
+    names = [f"o{i}" for i in range(len(keep))]
+    rows = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(name) for name, c in zip(names, keep)))
+    fields = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(names, keep))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, sizes, keys, sketches = [], [], [], []
-            for text in batch.column(0):
-                found, node = _set(text.as_py(), shingle)
-                least = minima(found)
-                nodes.append(node)
-                sizes.append(len(found))
-                keys.append(bands(least) if len(found) else np.empty(0, np.int64))
-                sketches.append(least.astype(np.uint8).tobytes())
-            listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            node = pa.array(np.array(nodes, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([node, pa.array(sizes, pa.int64()), listed, pa.array(sketches, pa.binary()), *batch.columns[1:]], ["node", "n", "bands", "sketch", *names])
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                sets = [_set(t.as_py(), shingle) for t in part.column(0)]
+                least = signer([found for found, _ in sets])
+                keys = [bands(x) if len(found) else np.empty(0, np.int64) for x, (found, _) in zip(least, sets)]
+                listed = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+                node = pa.array(np.array([name for _, name in sets], np.uint64).view(np.int64))
+                sizes = pa.array([len(found) for found, _ in sets], pa.int64())
+                sketches = pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())
+                yield pa.RecordBatch.from_arrays([node, sizes, listed, sketches, *part.columns[1:]], ["node", "n", "bands", "sketch", *names])
 
     out = rows.mapInArrow(signed, "node long, n long, bands array<bigint>, sketch binary" + fields)
-    return out.groupBy("node").agg(F.min(F.struct(*(F.col(x).alias(c) for x, c in zip(names, order)))).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    return out.select("node", "n", "bands", "sketch", *(F.col(x).alias(c) for x, c in zip(names, keep)))
+
+
+def shingle_sets(docs: DataFrame, text_col: str, order: list[str], shingle: int) -> DataFrame:
+    """One row for each distinct shingle set: node, least `order` as m, size n, bands and a sketch of MinHash values' bytes."""
+    return signed_rows(docs, text_col, order, shingle).groupBy("node").agg(F.min(F.struct(*order)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+
+
+def hash_sets(texts: DataFrame, text_col: str, shingle: int) -> DataFrame:
+    """(node, hashes) of each text's shingle set."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                found = [_set(t.as_py(), shingle) for t in batch.column(0).slice(at, 64)]
+                values = np.concatenate([np.empty(0, np.uint64), *(s for s, _ in found)]).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(s) for s, _ in found)]), pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for _, k in found], np.uint64).view(np.int64)), lists], ["node", "hashes"])
+
+    return texts.select(text_col).mapInArrow(hashed, "node long, hashes array<bigint>")
 
 
 def _by_group(rows: DataFrame, payload: str, judge, schema: str) -> DataFrame:
-    """What `judge(group, nodes, blocks, payloads)` makes of each (key, i, j); no more than one group is held."""
+    """What `judge(group, nodes, blocks, parts, payloads)` makes of each (key, i, j); no more than one group is held."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, nodes, blocks, held = None, [], [], []
+        group, held = None, ([], [], [], [])
         for batch in batches:
-            key, i, j, block, node = (batch.column(k).to_pylist() for k in range(5))
+            key, i, j, *own = (batch.column(k).to_pylist() for k in range(6))
             for row, new in enumerate(zip(key, i, j)):
                 if new != group:
-                    if len(nodes) > 1:
-                        yield judge(group, nodes, blocks, held)
-                    group, nodes, blocks, held = new, [], [], []
-                nodes.append(node[row])
-                blocks.append(block[row])
-                held.append(batch.column(5)[row].as_py())
-        if len(nodes) > 1:
-            yield judge(group, nodes, blocks, held)
-
-    dealt = rows.select("key", "i", "j", "block", "node", payload).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+                    if len(held[0]) > 1:
+                        yield judge(group, *held)
+                    group, held = new, ([], [], [], [])
+                for values, more in zip(held, own):
+                    values.append(more[row])
+                value = batch.column(6)[row]
+                held[3].append(value.values.to_numpy().view(np.uint64) if isinstance(value, pa.ListScalar) else value.as_py())
+        if len(held[0]) > 1:
+            yield judge(group, *held)
+
+    dealt = rows.select("key", "i", "j", "node", "block", "part", payload).repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(run, schema)
 
 
-def candidates(distinct: DataFrame) -> DataFrame:
-    """(key, i, j, block, node) of sets with another one in their bucket that may be near.
+def bucket_members(distinct: DataFrame) -> DataFrame:
+    """(key, node, n, members) of each set in each of its buckets that has another set."""
+    keyed = distinct.select("node", "n", F.explode("bands").alias("key"))
+    several = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    return keyed.join(several, "key")
+
+
+def hub_pairs(shared: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): each set with the hub of each of its buckets, where sizes and sketches allow the similarity.
 
-    A bucket of over `BLOCK` hashes is dealt as pairs of blocks, so no task holds more than two blocks of it.
+    The hub is the bucket's set with the most neighbours over all buckets: the text that near copies were made from
+    shares more of their bands than they share with each other.
     """
-    w, whole = Window.partitionBy("key").orderBy("node"), Window.partitionBy("key")
-    before = F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    shared = distinct.select("node", "n", F.explode("bands").alias("key")).withColumn("block", F.floor(before / BLOCK))
-    shared = shared.withColumn("members", F.count("*").over(whole)).withColumn("last", F.max("block").over(whole)).where("members > 1")
-    dealt = shared.select("node", "key", "block", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other"))
-    pairs = dealt.select("node", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block")
-
-    def judge(group, nodes, blocks, sketches):
-        found = alike(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1), None if group[1] == group[2] else np.array(blocks))
+    degree = shared.groupBy("node").agg(F.sum("members").alias("degree"))
+    hubs = shared.join(degree, "node").groupBy("key").agg(F.max(F.struct("degree", F.col("node").alias("b"), F.col("n").alias("nb"))).alias("hub")).select("key", "hub.b", "hub.nb")
+    fits = (F.col("node") != F.col("b")) & (F.least("n", "nb") >= F.greatest("n", "nb") * (similarity - 1e-9))
+    pairs = shared.join(hubs, "key").where(fits).select(F.col("node").alias("a"), "b").distinct()
+    sketches = distinct.select("node", "sketch")
+    both = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
+                stay = pa.array(2 * (x == y).sum(axis=1) >= x.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(stay), batch.column(1).filter(stay)], ["a", "b"])
+
+    return both.mapInArrow(near, "a long, b long")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard of `similarity` or more; a hub's many pairs are a skewed join, which Spark splits."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= similarity).select("a", "b")
+
+
+def candidates(shared: DataFrame, roots: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(key, i, j, node, block, part) of sets whose bucket has one of another part that may be near.
+
+    A part is what the links to hubs have joined. A bucket's parts are dealt into blocks of about `BLOCK` hashes, a
+    larger part into several of its own, and blocks meet in pairs unless both are of one part; so no task holds more than
+    two blocks, and what one part holds is never compared with itself.
+    """
+    parts = shared.join(roots.withColumnRenamed("root", "part"), "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
+    masses = parts.groupBy("key", "part").agg(F.sum("n").alias("mass"))
+    large = F.col("mass") > BLOCK
+    several = masses.groupBy("key").agg(F.count("*").alias("parts"), F.coalesce(F.sum(F.when(~large, F.col("mass"))), F.lit(0)).alias("rest")).where("parts > 1")
+    owned = masses.join(several, "key").select("key", "part", F.when(large, F.col("part")).alias("own"), F.ceil(F.when(large, F.col("mass")).otherwise(F.col("rest")) / BLOCK).alias("blocks"))
+    spot = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("part")).otherwise(F.col("node"))), F.col("blocks"))
+    placed = parts.join(owned, ["key", "part"]).select("key", "node", "part", "own", F.xxhash64("own", spot).alias("block"))
+    blocks = placed.select("key", "own", "block").distinct()
+    left, right = blocks.toDF("key", "own_i", "i"), blocks.toDF("key", "own_j", "j")
+    meet = left.join(right, "key").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("own_i") == F.col("own_j"), F.lit(False)))
+    meet = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    pairs = placed.join(meet, ["key", "block"])
+
+    def judge(group, nodes, blocks, parts, sketches):
+        found = alike(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1), np.array(parts), None if group[1] == group[2] else np.array(blocks))
         at = np.flatnonzero(found)
         same = [pa.array(np.full(len(at), x, np.int64)) for x in group]
-        return pa.RecordBatch.from_arrays([*same, pa.array(np.array(blocks, np.int64)[at]), pa.array(np.array(nodes, np.int64)[at])], ["key", "i", "j", "block", "node"])
+        return pa.RecordBatch.from_arrays([*same, *(pa.array(np.array(x, np.int64)[at]) for x in (nodes, blocks, parts))], ["key", "i", "j", "node", "block", "part"])
 
-    return _by_group(pairs.join(distinct.select("node", "sketch"), "node"), "sketch", judge, "key long, i long, j long, block long, node long")
+    return _by_group(pairs.join(distinct.select("node", "sketch"), "node"), "sketch", judge, "key long, i long, j long, node long, block long, part long")
 
 
-def jaccard_links(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) links between nodes whose components are those of all pairs in a group of `near` at `similarity` or more."""
+def links_between_parts(near: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) links between nodes whose components, with the parts, are those of all pairs in a group of `near` at `similarity` or more."""
 
-    def judge(group, nodes, blocks, hashes):
-        links = list(links_of_bucket([np.frombuffer(h, np.uint64) for h in hashes], None if group[1] == group[2] else np.array(blocks), similarity))
+    def judge(group, nodes, blocks, parts, hashes):
+        links = list(links_of_bucket(hashes, np.array(parts), None if group[1] == group[2] else np.array(blocks), similarity))
         return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in links], pa.int64()), pa.array([nodes[y] for _, y in links], pa.int64())], ["a", "b"])
 
     return _by_group(near.join(sets, "node"), "hashes", judge, "a long, b long")
 
 
+def near_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """(a, b) links whose components are those of all pairs of `distinct` (node, n, bands, sketch) that share a band and have the similarity.
+
+    First every set meets the hubs of its buckets, then only sets of different parts of a bucket meet. A group of copies
+    of one text costs what its size is. Sets of a bucket that are near neither its hub nor each other are still compared
+    by their sketches, in blocks. `sets_of` gives (node, hashes) for a table of nodes.
+    """
+    shared = cut(bucket_members(distinct))
+    pairs = cut(hub_pairs(shared, distinct, similarity))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    star = cut(verified(pairs, sets_of(nodes), similarity))
+    near = cut(candidates(shared, connected_components(star), distinct))
+    return star.union(links_between_parts(near, sets_of(near.select("node").distinct()), similarity))
+
+
 def first_of_near_copies(docs: DataFrame, order: list[str], text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """`order` of the least row of each group that links of `similarity` or more between shingle sets hold together.
 
-    `order` tells texts apart and has no nulls. Texts of fewer words than a shingle are one shingle; null and blank
-    texts are one group. Equality of shingles and of sets is that of 64-bit hashes.
+    `order` tells texts apart and has no nulls; rows that repeat it are one. Texts of fewer words than a shingle are one
+    shingle; null and blank texts are one group. Equality of shingles and of sets is that of 64-bit hashes.
     """
+    distinct = cut(shingle_sets(docs, text_col, order, shingle))
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                found = [_set(t.as_py(), shingle) for t in batch.column(0).slice(at, 512)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([k for _, k in found], np.uint64).view(np.int64)), pa.array([s.tobytes() for s, _ in found], pa.binary())], ["node", "hashes"])
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        wanted = distinct.join(nodes, "node", "left_semi").select("m.*")
+        return hash_sets(docs.join(wanted, order, "left_semi").dropDuplicates(order), text_col, shingle)
 
-    distinct = cut(shingle_sets(docs, text_col, order, shingle))
-    near = cut(candidates(distinct))
-    wanted = distinct.join(near.select("node").distinct(), "node", "left_semi").select("m.*")
-    texts = docs.join(wanted, order, "left_semi").select(F.col(text_col).alias("text"))
-    sets = texts.mapInArrow(hashed, "node long, hashes binary").dropDuplicates(["node"])
-    roots = connected_components(jaccard_links(near, sets, similarity))
+    roots = connected_components(near_links(distinct, sets_of, similarity))
     rooted = distinct.select("node", "m").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
     return rooted.select("m.*")

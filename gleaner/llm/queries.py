@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import base64
 import os
+import zlib
 from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, decontam, hosts, linedup, pseudonyms, quality, sharding, simhash, spotsigs, sql
-from gleaner.llm.common import null_to_empty, table
+from gleaner.llm import alignment, bpe, chat, decontam, hosts, linedup, pseudonyms, quality, runs, sharding, simhash, spotsigs, sql, superminhash
+from gleaner.llm.common import cut, null_to_empty, table
 
 #: The key of the pseudonyms in this query; a user passes a secret of their own.
 EXAMPLE_KEY = b"a key for tests, not a secret"
@@ -132,6 +133,44 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@lru_cache(maxsize=1)
+def piece_model() -> bytes:
+    """The piece model's content."""
+    with open(_vocabulary_file("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = ("n_a", "n_b", "n_groups", "n_links")
+    made = alignment.align(table(spark, sf_dir, "documents"), tokenizer_json(), piece_model(), outputs=(*counted, "groups", "block", "links"), pattern=split_pattern())
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    aligned = cut(made.select("doc_id", *counted, digest, "block", "links"))
+    return alignment.scored(aligned, alignment.piece_count(piece_model()), ("doc_id", *counted, "groups_sha256"))
+
+
+def repeated(words: list[bytes], row: dict) -> list[bytes]:
+    """A tenth of the documents, by a hash of the id, gets a run: from some word on, the words after it again and again."""
+    h = zlib.crc32(str(row["doc_id"]).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n or row["doc_id"] is None:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), change=repeated)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r.start, r.length, r.period)), "\n")
+    best = found.select("*", F.size("runs").cast("long").alias("n_runs"), runs.longest(F.col("runs")).alias("best"), F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise("").alias("lines"))
+    milli = F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli")
+    return best.select("doc_id", "n_runs", "best.start", "best.length", "best.period", milli, F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op13_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5's operator as a similarity join: each document's group of near copies."""
     return spotsigs.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -157,7 +196,7 @@ def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pseudonyms, op2_chat_format, op3_quality, op4_sharding, op5_spotsigs, op6_line_dedup, op7_host_reputation, op8_decontamination, op9_byte_bpe, op10_simhash, chat_layouts, spotsigs_groups)
+    for f in (op1_pseudonyms, op2_chat_format, op3_quality, op4_sharding, op5_spotsigs, op6_line_dedup, op7_host_reputation, op8_decontamination, op9_byte_bpe, op10_simhash, op11_alignment, op12_periodic_runs, op13_superminhash, chat_layouts, spotsigs_groups)
 }
 SQL: dict[str, str] = {
     "chat_layouts": sql.LAYOUTS,

@@ -5,7 +5,9 @@ import datetime
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from itertools import accumulate
 
 import xxhash
 
@@ -310,3 +312,77 @@ def pseudonymous(text, key):
         if begin >= at:
             out, at = out + text[at:begin] + new, end
     return out + text[at:]
+
+
+def aligned(docs):
+    """doc -> the contract's row of op11, from whole texts by the plain libraries, with sets of byte offsets."""
+    import public_tokenizers as files
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=files.path("piece_bpe_32k.model"))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(c): c for c in shown} | {chr(256 + i): c for i, c in enumerate(c for c in range(256) if c not in shown)}
+
+    def bytes_of_b(i):
+        piece = b.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", piece) else piece.replace("▁", " ").encode()
+
+    out, linked, holders = {}, {}, {}
+    for d, t in docs:
+        ids = [a.encode(" " + t, add_special_tokens=False).ids, b.encode(t)] if t else [[], []]
+        raw = [[bytes(byte_of[c] for c in a.id_to_token(i)) for i in ids[0]], [bytes_of_b(i) for i in ids[1]]]
+        if not t or any(b"".join(r) != (" " + t).encode() for r in raw):
+            out[d], linked[d] = (0, 0, 0, 0, ""), Counter()
+            continue
+        ends = [list(accumulate(map(len, r))) for r in raw]
+        cuts = sorted(set(ends[0]) & set(ends[1]))
+        groups = [([], []) for _ in cuts]
+        for side in (0, 1):
+            for i, e in zip(ids[side], ends[side]):
+                groups[bisect_left(cuts, e)][side].append(i)
+        linked[d] = Counter((x, y) for g in groups for x in g[0] for y in g[1])
+        for pair in linked[d]:
+            holders[pair] = holders.get(pair, 0) + 1
+        said = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+        out[d] = (len(ids[0]), len(ids[1]), len(groups), sum(linked[d].values()), sha(said))
+    best = {}
+    for (x, _), n in holders.items():
+        best[x] = max(n, best.get(x, 0))
+    return {d: (*out[d], sum(n for p, n in own.items() if holders[p] == best[p[0]]), sum(n * holders[p] for p, n in own.items())) for d, own in linked.items()}
+
+
+def runs_of(words):
+    """(start, length, smallest period) of every run, by comparing words for each period in turn."""
+    n, seen = len(words), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(6, 4 * q):
+                seen.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((s, m, q) for (s, m), q in seen.items())
+
+
+def periodic(doc, text):
+    words = re.findall("[^\\x20\\x09-\\x0D]+", text or "")
+    h = zlib.crc32(str(doc).encode())
+    if h % 10 == 0 and words:
+        a = (h // 10) % len(words)
+        p = 1 + (len(words) - a) // (3 + (h // 10) % 8)
+        words = words[:a] + [words[a + (i - a) % p] for i in range(a, len(words))]
+    runs = runs_of(words)
+    gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+    best = min(runs, key=lambda r: (-r[1], r[0], r[2]), default=(None,) * 3)
+    milli = 1000 * best[1] // best[2] if runs else None
+    return len(runs), *best, milli, sha("".join(f"{s},{m},{q}\n" for s, m, q in runs)), sha(" ".join(w for i, w in enumerate(words) if i not in gone))
+
+
+def shingles_of(text, n=4):
+    words = re.findall("[^\\x20\\x09-\\x0D]+", folded(text or ""))
+    return {" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()

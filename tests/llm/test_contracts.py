@@ -124,3 +124,21 @@ def test_op9_bpe(spark, sf_dir, docs):
 def test_op10_simhash(spark, sf_dir, docs):
     got = {r.doc_id: (r.fingerprint, r.component_id) for r in rows(spark, sf_dir, "op10_simhash")}
     assert got == plain.components({d: plain.simhash(t) for d, t in docs})
+
+
+def test_op11_alignment(spark, sf_dir, docs):
+    got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.groups_sha256, r.n_best, r.count_sum) for r in rows(spark, sf_dir, "op11_alignment")}
+    assert got == plain.aligned(docs)
+
+
+def test_op12_periodic_runs(spark, sf_dir, docs):
+    got = {r.doc_id: (r.n_runs, r.start, r.length, r.period, r.exponent_milli, r.runs_sha256, r.collapsed_sha256) for r in rows(spark, sf_dir, "op12_periodic_runs")}
+    assert got == {d: plain.periodic(d, t) for d, t in docs}
+    assert sum(r[0] > 0 for r in got.values()) > len(docs) // 20
+
+
+def test_op13_superminhash(spark, sf_dir, docs):
+    sets = {d: plain.shingles_of(t) for d, t in docs}
+    label = plain.near_sets({d: s for d, s in sets.items() if s}, 0.8)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in rows(spark, sf_dir, "op13_superminhash")}
+    assert got == {d: (len(s), label.get(d, d), label.get(d, d) == d) for d, s in sets.items()}

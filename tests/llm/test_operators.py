@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import bpe, chat, components, decontam, hosts, linedup, nearcopies, pseudonyms, quality, queries, sharding, simhash, spotsigs
+from gleaner.llm import alignment, bpe, chat, components, decontam, hosts, linedup, nearcopies, pseudonyms, quality, queries, runs, sharding, simhash, spotsigs, superminhash
 from tests.llm import reference_forms as plain
 
 TEXTS = [(1, "a b c\nd e f\ng h i\nj"), (2, None), (3, ""), (4, "  \n\t "), (5, "a b c\nd e f\ng h i\nk"), (5, "a b c\nd e f\ng h i\nk"), (None, "lone text here"), (6, "word " * 30_000)]
@@ -461,3 +461,97 @@ def test_near_duplicate_stage_by_jaccard(spark, sf_dir, monkeypatch):
     assert sorted(r.doc_id for r in p.near_duplicate_stage(spark, docs, sf_dir).collect()) == sorted(set(label))
     monkeypatch.setattr(nearcopies, "BLOCK", 300)
     assert sorted(r.doc_id for r in p.near_duplicate_stage(spark, docs, sf_dir).collect()) == sorted(set(label))
+
+
+ODD = ["x", "", None, " ", "  two  spaces ", "tab\tand\r\nbreak;\r\n  next", "<s>plain</s><|endoftext|>", "one ▁ mark", "日本語のテキスト、長い。", "naïve café №5 ﬁ ½", "a\u00a0b\u3000c", "\n\n\nlines\n", "a" * 5000, "=" * 300 + " " * 300 + "-" * 7, "😀👩‍👩‍👧 emoji", "\x00\x01 control"]
+
+
+def test_alignment_of_odd_texts(spark):
+    """Texts with odd white space, scripts, marks and runs against the plain libraries; the parts' size changes nothing."""
+    want = plain.aligned(list(enumerate(t or "" for t in ODD)))
+    rows = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").withColumns({"block": F.lit("x"), "n_a": F.lit("x")})
+    files = queries.tokenizer_json(), queries.piece_model()
+    counted = ("n_a", "n_b", "n_groups", "n_links", "groups")
+    for n in (1, 5):
+        aligned = alignment.cut(alignment.align(rows.repartition(n), *files, outputs=(*counted, "block", "links")))
+        found = alignment.scored(aligned, alignment.piece_count(files[1]), ("doc_id", *counted)).collect()
+        got = {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, plain.sha(r.groups) if r.n_a else "", r.n_best, r.count_sum) for r in found}
+        assert got == want
+
+
+def test_alignment_spans(spark, docs, empty):
+    """Ids, overlaps and cuts fit together; every byte of the text is covered."""
+    files = queries.tokenizer_json(), queries.piece_model()
+    rows = spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string")
+    held = alignment.Aligner(*files)
+    for r in alignment.align(rows, *files).collect():
+        a, b = held.a.length_of[r.ids_a], held.b_length[r.ids_b]
+        at = lambda sizes: [(sum(sizes[:k]), sum(sizes[: k + 1])) for k in range(len(sizes))]
+        spans_a, spans_b = at(a.tolist()), at(b.tolist())
+        assert [(o.a, o.b) for o in r.overlaps] == [(i, j) for i, x in enumerate(spans_a) for j, y in enumerate(spans_b) if max(x[0], y[0]) < min(x[1], y[1])]
+        assert r.cuts == sorted({e for _, e in spans_a} & {e for _, e in spans_b})
+    found = alignment.align(docs, *files, keep=("doc_id", "source", "k0")).collect()
+    assert len(found) == len(TEXTS) and alignment.align(empty, *files).count() == 0
+
+
+def test_runs(spark, docs, empty):
+    """Random words of few kinds, nested and neighbouring runs, by brute force; a lying hash is told by the words."""
+    rng = random.Random(4)
+    samples = [[rng.choice(words) for _ in range(rng.choice((5, 6, 30, 80)))] for words in ("ab", "aaab", "abc") for _ in range(150)]
+    samples += [list("ab" * 9 + "b" * 9), list("aabaabaabaab" * 4), ["x"] * 5, ["x"] * 6, list("abcd" * 4), list("abcd" * 4)[:-1], []]
+    for words in samples:
+        codes = {}
+        assert runs.find_runs(np.array([codes.setdefault(w, len(codes)) for w in words], np.int64)) == plain.runs_of(words)
+    found = {r.doc_id: r for r in runs.periodic_runs(docs, keep=("doc_id", "k0")).collect()}
+    assert [tuple(x) for x in found[6].runs] == [(0, 30_000, 1)] and found[6].collapsed == "word" and found[2].runs == [] and found[4].collapsed == ""
+    assert runs.periodic_runs(docs).count() == len(TEXTS) and runs.periodic_runs(empty).count() == 0
+
+
+def test_runs_with_hashes_that_lie(monkeypatch):
+    monkeypatch.setattr(runs.Prefixes, "same", lambda self, i, q, length: np.ones(np.broadcast(i, length).shape, bool))
+    for words in ("abababababcabc", "aaaaaaabaaaaaa"):
+        assert set(runs.find_runs(np.frombuffer(words.encode(), np.uint8).astype(np.int64))) == set(plain.runs_of(list(words)))
+
+
+def test_superminhash_signatures():
+    """Equal sets have equal signatures, in any order and in parts; the estimate's error is below MinHash's."""
+    rng = np.random.default_rng(3)
+    draw = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    x = draw(400)
+    one = superminhash.signatures([x, x[::-1].copy(), x[:1], draw(0)])
+    assert (one[0] == one[1]).all() and (one[2] >> np.uint64(32)).tolist() != [0] * 96 and len(set((one[2] >> np.uint64(32)).tolist())) == 96
+    parts = np.minimum(superminhash.signatures([x[:150]]), superminhash.signatures([x[150:]]))
+    assert (parts[0] == one[0]).all()
+    errors = [[], []]
+    for _ in range(300):
+        common, a, b = draw(30), draw(15), draw(15)  # Jaccard 0.5
+        pair = [np.concatenate((common, a)), np.concatenate((common, b))]
+        for k, sign in enumerate((superminhash.signatures, nearcopies.minhashes)):
+            s = sign(pair)
+            errors[k].append((s[0] == s[1]).mean() - 0.5)
+    assert abs(np.mean(errors[0])) < 0.02 and np.var(errors[0]) < 0.85 * np.var(errors[1])
+
+
+def test_superminhash_hard_tables(spark, docs, empty):
+    found = superminhash.near_duplicates(docs).collect()
+    assert len(found) == len(TEXTS)
+    by_id = {r.doc_id: r for r in found if r.doc_id not in (5, None)}
+    assert all(by_id[d].n_shingles == 0 and by_id[d].component_id == d and by_id[d].kept for d in (2, 3, 4)) and by_id[6].n_shingles == 1
+    assert [r.component_id for r in found if r.doc_id == 5] == [5, 5] and superminhash.near_duplicates(empty).count() == 0
+    assert [(r.component_id, r.kept) for r in found if r.doc_id is None] == [(None, True)]
+
+
+def test_many_copies_of_one_template(spark):
+    """Each copy has another changed word: all are linked through the hub, and no pair of copies is made."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(0, " ".join(words))]
+    for d in range(1, 3001):
+        own = list(words)
+        own[rng.randrange(120)] = f"x{d}"
+        rows.append((d, " ".join(own)))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in superminhash.near_duplicates(table).collect()} == {0}
+    signed = nearcopies.shingle_sets(table.withColumn("mark", F.xxhash64("text")), "text", ["doc_id", "mark"], 4)
+    shared = nearcopies.bucket_members(signed)
+    assert nearcopies.hub_pairs(shared, signed, 0.8).count() < 12 * len(rows)
