@@ -7,12 +7,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner import config
 from gleaner.functions import text as X
+from gleaner.operators import segments
 
 _BLANK_LINES = re.compile(r"\n\s*\n")
 
@@ -104,16 +104,21 @@ def vocabulary(post: DataFrame) -> DataFrame:
     return post.select("language", "token").distinct()
 
 
-def relate(vocab: DataFrame, asked: DataFrame) -> DataFrame:
-    """(language, term, token) for all related pairs. Equal ones meet by a hash join; containment needs a theta join.
+def relate(vocab: DataFrame, grams: DataFrame, asked: DataFrame) -> DataFrame:
+    """(language, term, token) for all related pairs: equal, or both of five characters or more and one within the other.
 
-    asked (language, term) are the questions' distinct terms, a stated query set; only the vocabulary meets them.
-    Terms and tokens under five characters are related by equality alone, so the theta side holds longer ones only.
+    asked (language, term) are distinct terms; grams is segments.trigrams() of the vocabulary. All pairs meet in hash joins: a
+    token that holds a term has the term's rarest trigram, and a term that holds a token has the token's rarest one;
+    the few that meet are compared in full.
     """
-    equal = vocab.join(asked, (vocab.language == asked.language) & (vocab.token == asked.term)).select(vocab.language, "term", "token")
-    long_v, long_a = vocab.where(F.length("token") >= 5), asked.where(F.length("term") >= 5)
-    within = long_v.join(long_a, (long_v.language == long_a.language) & (long_v.token != long_a.term) & (long_v.token.contains(long_a.term) | long_a.term.contains(long_v.token)))
-    return equal.union(within.select(long_v.language, "term", "token"))
+    equal = vocab.join(asked.withColumnRenamed("term", "token"), ["language", "token"]).select("language", F.col("token").alias("term"), "token")
+    own = asked.where(F.length("term") >= 5).select("language", "term", F.explode(segments.grams_of(F.col("term"))).alias("gram"))
+    counts = own.join(grams.select("language", "gram", "n").distinct(), ["language", "gram"]).groupBy("language", "term", "gram").agg(F.sum("n").alias("n"))
+    rarest = counts.groupBy("language", "term").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    holds = rarest.join(grams.select("language", "gram", "token"), ["language", "gram"]).where(F.col("token").contains(F.col("term")))
+    held = own.join(grams.where("is_key").select("language", "gram", "token"), ["language", "gram"]).where(F.col("term").contains(F.col("token")))
+    within = holds.unionByName(held).where("token <> term").select("language", "term", "token")
+    return equal.unionByName(within).distinct()
 
 
 def with_locations(records: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -122,35 +127,38 @@ def with_locations(records: DataFrame, manifest: DataFrame) -> DataFrame:
     return records.join(own, "source_id", "left").withColumn("locations", F.col("__l")).drop("__l")
 
 
-def build_index(records: DataFrame, folder: str, spans_col: str | None = None):
-    """Validated records to a stored index: active ones are cut into chunks. ValueError names the first faults.
-
-    The index is complete once its `ready` table is there, which has a digest of the records that it was made from.
-    """
+def _sound(records: DataFrame) -> DataFrame:
+    """The active records; ValueError names the first faults."""
     from gleaner.operators import records as R
-    from gleaner.operators import search, versions
 
     bad = R.validated(records).where("reason IS NOT NULL").select("source_id", "reason").unionByName(R.repeated(records, "source_id").select("source_id", F.lit("repeated_id").alias("reason"))).limit(4).collect()
     if bad:
         raise ValueError("; ".join(f"{r.source_id}: {r.reason}" for r in bad))
-    active = R.active(records)
-    made = search.write_index(active, chunks(active, spans_col), folder)
-    mark = versions.content_digest(active)
-    records.sparkSession.createDataFrame([(mark["rows"], mark["digest"])], "rows long, digest string").coalesce(1).write.parquet(f"{folder}/ready")
-    return made
+    return R.active(records)
+
+
+def build_index(records: DataFrame, folder: str, spans_col: str | None = None) -> segments.Index:
+    """Validated records to a stored index: active ones are cut into chunks. ValueError names the first faults.
+
+    In a folder that has an index already, only what differs from it is written. The revision has a digest of the
+    records that it was made from.
+    """
+    from gleaner.operators import versions
+
+    active = _sound(records)
+    segments.update(active, folder, lambda own: chunks(own, spans_col), versions.content_digest(active))
+    return segments.Index.read(records.sparkSession, folder)
 
 
-def open_index(records: DataFrame, folder: str):
+def open_index(records: DataFrame, folder: str) -> tuple[segments.Index | None, str]:
     """(index or None, status): ready, if the index was made from exactly the active records; not_built or stale_or_invalid otherwise."""
     from gleaner.operators import records as R
-    from gleaner.operators import search, versions
+    from gleaner.operators import versions
 
     spark = records.sparkSession
-    try:
-        mark = spark.read.parquet(f"{folder}/ready").first()
-    except AnalysisException:
+    mark = segments.mark_of(spark, folder)
+    if mark is None:
         return None, "not_built"
-    want = versions.content_digest(R.active(records))
-    if mark is None or (mark.rows, mark.digest) != (want["rows"], want["digest"]):
+    if mark != versions.content_digest(R.active(records)):
         return None, "stale_or_invalid"
-    return search.Index.read(spark, folder), "ready"
+    return segments.Index.read(spark, folder), "ready"

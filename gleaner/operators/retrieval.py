@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -259,13 +259,13 @@ def embedded(chunks: DataFrame, provider: Callable[[list[str]], list[tuple[int,
     Texts go out `batch` at a time from each task. A text for which the provider gives no vector has none here.
     """
 
-    def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), batch):
-                part = pdf.iloc[at : at + batch]
-                found = dict(provider(part[text_col].tolist()))
-                vectors = [found.get(i) for i in range(len(part))]
-                yield part[["chunk_id", "checksum"]].assign(model=model, vector=vectors)[["model", "chunk_id", "checksum", "vector"]]
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for at in range(0, rows.num_rows, batch):
+                part = rows.slice(at, batch)
+                found = dict(provider(part.column(2).to_pylist()))
+                vectors = pa.array([found.get(i) for i in range(part.num_rows)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([pa.array([model] * part.num_rows, pa.string()), part.column(0), part.column(1), vectors], ["model", "chunk_id", "checksum", "vector"])
 
-    out = chunks.select("chunk_id", "checksum", text_col).mapInPandas(made, "model string, chunk_id string, checksum string, vector array<double>")
+    out = chunks.select("chunk_id", "checksum", text_col).mapInArrow(made, "model string, chunk_id string, checksum string, vector array<double>")
     return out.where("vector IS NOT NULL")

@@ -1,69 +1,27 @@
 """Many questions at once over a stored index: only what their terms touch is read and scored.
 
-The index is a folder of Parquet tables: postings by language and token, the records' tokens for document frequencies,
-the vocabulary, the chunks with their title terms, and one row of counts for each language and category. Questions are
-a table. Their terms meet the vocabulary; its related tokens meet postings in hash joins; chunks join only if a
-posting, a graph score or a vector brought them up. One question is a table of one row.
+The index (`gleaner.operators.segments`) has postings by language and token, the records' tokens for document
+frequencies, the vocabulary with its trigrams, the chunks with their title terms, and one row of counts for each language
+and category. Questions are a table. Their terms meet the vocabulary, its related tokens meet postings, and chunks join
+only if a posting, a graph score or a vector brought them up, all in hash joins. Texts are read for the chunks of those
+URLs alone that are among a question's best. One question is a table of one row.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner import config
 from gleaner.functions import text as X
 from gleaner.functions import vectors as V
+from gleaner.operators import nearest
 from gleaner.operators.index import relate
+from gleaner.operators.segments import CHUNK_COLUMNS, Index
 
-CHUNK_COLUMNS = ("chunk_id", "source_id", "title", "canonical_url", "category", "language", "content", "checksum")
 QUESTIONS = "question_id long, language string, category string, text string"
 
 
-@dataclass(frozen=True)
-class Index:
-    """The tables of a stored index."""
-
-    chunks: DataFrame
-    postings: DataFrame
-    doc_tokens: DataFrame
-    vocabulary: DataFrame
-    totals: DataFrame
-    placeholders: DataFrame
-
-    @classmethod
-    def read(cls, spark: SparkSession, folder: str) -> Index:
-        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in ("chunks", "postings", "doc_tokens", "vocabulary", "totals", "placeholders")))
-
-
-def write_index(records: DataFrame, chunks: DataFrame, folder: str) -> Index:
-    """Builds the index of chunks (CHUNK_COLUMNS) and of the records they are of, and reads it back.
-
-    Tokens of a text are counted within its row before they are dealt; postings are in ranges of tokens, so a look-up
-    reads the row groups of its tokens. Postings of a word that every text has are as many as the texts; they are
-    spread over files by chunk and never meet in one task.
-    """
-    spark = records.sparkSession
-    split = chunks.select(*CHUNK_COLUMNS, X.terms(F.col("title")).alias("title_terms"))
-    split.write.parquet(f"{folder}/chunks")
-    kept = spark.read.parquet(f"{folder}/chunks")
-    body = F.array_distinct(X.terms(F.col("content")))
-    title = F.array_distinct("title_terms")
-    own = kept.select("language", "chunk_id", title.alias("t"), body.alias("b"))
-    own = own.select("language", "chunk_id", "t", "b", F.explode(F.array_union("t", "b")).alias("token"))
-    post = own.select("language", "token", "chunk_id", F.array_contains("b", F.col("token")).alias("in_body"), F.array_contains("t", F.col("token")).alias("in_title"))
-    post.repartitionByRange("language", "token", F.xxhash64("chunk_id")).sortWithinPartitions("language", "token").write.parquet(f"{folder}/postings")
-    tokens = records.select("language", "category", "source_id", F.explode(F.array_distinct(X.terms(F.concat_ws(" ", "title", "content")))).alias("token"))
-    tokens.repartitionByRange("language", "token", F.xxhash64("source_id")).sortWithinPartitions("language", "token").write.parquet(f"{folder}/doc_tokens")
-    spark.read.parquet(f"{folder}/doc_tokens").select("language", "token").distinct().write.parquet(f"{folder}/vocabulary")
-    records.groupBy("language", "category").agg(F.count("*").alias("n_documents")).coalesce(1).write.parquet(f"{folder}/totals")
-    few = X.matches(F.col("content"), config.PLACEHOLDER_NOTICE) & (X.word_count(F.col("content")) <= 80)
-    records.where(few).select("source_id").write.parquet(f"{folder}/placeholders")
-    return Index.read(spark, folder)
-
-
 def _here(question_category: str, category: str) -> Column:
     return F.col(question_category).isNull() | (F.col(question_category) == F.col(category))
 
@@ -74,12 +32,16 @@ def _asked(questions: DataFrame) -> DataFrame:
     return questions.select("question_id", "language", F.col("category").alias("asked_category"), "text", F.array_distinct(terms).alias("unique"), F.coalesce(pairs, F.array().cast("array<struct<a:string,b:string>>")).alias("pairs"))
 
 
+def related_tokens(index: Index, questions: DataFrame) -> DataFrame:
+    """(language, term, token): the vocabulary's tokens that are related to the questions' terms."""
+    return relate(index.vocabulary, index.grams, _asked(questions).select("language", F.explode("unique").alias("term")).distinct())
+
+
 def term_weights(index: Index, questions: DataFrame) -> DataFrame:
     """(question_id, language, term, df, n_documents, weight): document frequencies of the tokens related to each distinct term, over the records of the question's language and category."""
     asked = _asked(questions).select("question_id", "language", "asked_category", F.explode("unique").alias("term"))
-    related = relate(index.vocabulary, asked.select("language", "term").distinct())
-    found = index.doc_tokens.join(related, ["language", "token"]).groupBy("language", "category", "term", "source_id").agg(F.lit(1).alias("one"))
-    by = found.groupBy("language", "category", "term").agg(F.count("*").alias("df"))
+    found = index.live(index.doc_tokens.join(related_tokens(index, questions), ["language", "token"]))
+    by = found.select("language", "category", "term", "source_id").distinct().groupBy("language", "category", "term").agg(F.count("*").alias("df"))
     counts = asked.join(by, ["language", "term"], "left").where(F.col("category").isNull() | _here("asked_category", "category"))
     counts = counts.groupBy("question_id", "language", "term").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
     spread = asked.select("question_id", "language", "asked_category").distinct().join(index.totals, "language").where(_here("asked_category", "category"))
@@ -91,12 +53,12 @@ def term_weights(index: Index, questions: DataFrame) -> DataFrame:
 def lexical_hits(index: Index, questions: DataFrame) -> DataFrame:
     """(question_id, chunk_id, coverage): the weighted share of a question's terms that a chunk has, 0.7 for its text and 0.3 for its title."""
     weights = term_weights(index, questions)
-    related = relate(index.vocabulary, weights.select("language", "term").distinct())
-    hits = index.postings.join(related, ["language", "token"]).groupBy("language", "term", "chunk_id").agg(F.bool_or("in_body").alias("body"), F.bool_or("in_title").alias("title"))
+    met = index.live(index.postings.join(related_tokens(index, questions), ["language", "token"]))
+    hits = met.groupBy("language", "term", "chunk_id").agg(F.bool_or("in_body").alias("body"), F.bool_or("in_title").alias("title"))
     share = F.when(F.col("body"), 0.7).otherwise(0.0) + F.when(F.col("title"), 0.3).otherwise(0.0)
     total = weights.groupBy("question_id").agg(F.sum("weight").alias("total"))
-    met = weights.join(hits, ["language", "term"]).groupBy("question_id", "chunk_id").agg(F.sum(F.col("weight") * share).alias("covered"))
-    return met.join(total, "question_id").select("question_id", "chunk_id", (F.col("covered") / F.col("total")).alias("coverage"))
+    covered = weights.join(hits, ["language", "term"]).groupBy("question_id", "chunk_id").agg(F.sum(F.col("weight") * share).alias("covered"))
+    return covered.join(total, "question_id").select("question_id", "chunk_id", (F.col("covered") / F.col("total")).alias("coverage"))
 
 
 def _pair_bonus() -> Column:
@@ -149,13 +111,15 @@ def search(
     vectors: DataFrame | None = None,
     question_vectors: DataFrame | None = None,
     graph_scores: DataFrame | None = None,
+    clusters: nearest.Clusters | None = None,
 ) -> DataFrame:
     """The best rows of each question (QUESTIONS), one for each URL, with scores, confidence and rank from 1.
 
     The semantics are those of retrieval.hybrid_search(). vectors (chunk_id, checksum, vector) of one model count only
     for the text they were made from; a question for which some candidate lacks a valid one is answered lexically as a
     whole and says embedding_unavailable. graph_scores (question_id, source_id, ontology_score) bring up chunks of
-    their sources. With vectors every chunk of a question's language is a candidate, as its similarity may count.
+    their sources. A chunk without a shared term is a candidate if its similarity alone reaches the minimum score;
+    clusters (nearest.clustered() of the same vectors) find those without a look at every vector.
     """
     asked = _asked(questions)
     brought = lexical_hits(index, questions)
@@ -167,47 +131,68 @@ def search(
         usable = usable_questions(index, questions, vectors, question_vectors)
         near = questions.select("question_id", "language").join(usable, "question_id").join(question_vectors.select("question_id", F.col("vector").alias("q")), "question_id")
         kept = index.chunks.select("chunk_id", "checksum", "language").join(vectors.select("chunk_id", "checksum", "vector"), ["chunk_id", "checksum"])
-        likeness = near.join(kept, "language").select("question_id", "chunk_id", F.greatest(F.lit(0.0), V.cosine(F.col("vector"), F.col("q"))).alias("semantic"))
-        brought = brought.select("question_id", "chunk_id", "coverage", F.lit(0.0).alias("semantic")).unionByName(likeness.withColumn("coverage", F.lit(0.0)))
+        like = F.greatest(F.lit(0.0), V.cosine(F.col("vector"), F.col("q"))).alias("semantic")
+        # a chunk that only its vector brings up has a lexical score of 0, so its likeness alone must reach the minimum
+        enough = max((settings.minimum_score - 5e-5) / (1 - settings.lexical_weight), 0.0) - 1e-9
+        if clusters is None:
+            alike = near.join(kept, "language").select("question_id", "chunk_id", like).where(F.col("semantic") >= enough)
+        else:
+            alike = nearest.within(clusters, near.select("question_id", "language", F.col("q").alias("vector")), enough).select("question_id", "chunk_id", F.greatest(F.lit(0.0), F.col("similarity")).alias("semantic"))
+        known = brought.select("question_id", "chunk_id").distinct().join(near, "question_id").join(kept, ["chunk_id", "language"]).select("question_id", "chunk_id", like)
+        brought = brought.select("question_id", "chunk_id", "coverage", F.lit(0.0).alias("semantic")).unionByName(alike.unionByName(known).withColumn("coverage", F.lit(0.0)))
         brought = brought.groupBy("question_id", "chunk_id").agg(F.max("coverage").alias("coverage"), F.max("semantic").alias("semantic"))
         brought = brought.join(usable.withColumn("hybrid", F.lit(True)), "question_id", "left").withColumn("hybrid", F.coalesce("hybrid", F.lit(False)))
     else:
         brought = brought.groupBy("question_id", "chunk_id").agg(F.max("coverage").alias("coverage"), F.lit(0.0).alias("semantic"), F.lit(False).alias("hybrid"))
-    rows = brought.join(asked, "question_id").join(index.chunks, ["chunk_id", "language"]).where((F.size("unique") > 0) & _here("asked_category", "category"))
+    about = asked.select("question_id", "language", "asked_category", "pairs", F.size("unique").alias("n_terms"), X.matches(F.col("text"), config.PLACEHOLDER_NOTICE).alias("about"))
+    placed = index.chunks.select("chunk_id", "source_id", "canonical_url", "category", "language", "title_terms")
+    rows = brought.join(about, "question_id").join(placed, ["chunk_id", "language"]).where((F.col("n_terms") > 0) & _here("asked_category", "category"))
     if graph_scores is not None:
         rows = rows.join(graph_scores.select("question_id", "source_id", F.col("ontology_score").alias("graph")), ["question_id", "source_id"], "left")
     rows = rows.withColumn("graph", F.coalesce(F.col("graph") if graph_scores is not None else F.lit(0.0), F.lit(0.0)))
     lexical = F.least(F.lit(1.0), F.col("coverage") + _pair_bonus())
     blend = F.when(F.col("hybrid"), settings.lexical_weight * F.col("lexical") + (1 - settings.lexical_weight) * F.col("semantic")).otherwise(F.col("lexical"))
-    rows = rows.withColumn("lexical", lexical).join(index.placeholders.withColumn("thin", F.lit(True)), "source_id", "left")
-    about = X.matches(F.col("text"), config.PLACEHOLDER_NOTICE)
-    rows = rows.withColumn("quality", F.when(F.col("thin") & ~about, 0.45).otherwise(1.0)).withColumn("combined", F.greatest(blend, F.col("graph")) * F.col("quality"))
+    rows = rows.withColumn("lexical", lexical).join(index.placeholders.select("source_id", F.lit(True).alias("thin")), "source_id", "left")
+    rows = rows.withColumn("quality", F.when(F.col("thin") & ~F.col("about"), 0.45).otherwise(1.0)).withColumn("combined", F.greatest(blend, F.col("graph")) * F.col("quality"))
     rows = rows.where((F.col("combined") > 0) & (X.rounded(F.col("combined")) >= settings.minimum_score))
     reason = F.when(~F.col("hybrid"), "embedding_unavailable") if semantic else F.lit(None).cast("string")
     scored = rows.select(
         "question_id",
-        *CHUNK_COLUMNS,
+        "chunk_id",
+        "source_id",
+        "canonical_url",
         X.rounded(F.col("combined")).alias("score"),
         X.rounded(F.col("lexical")).alias("lexical_score"),
         X.rounded(F.col("semantic")).alias("semantic_score"),
         F.col("graph").alias("ontology_score"),
         F.col("quality").alias("page_quality_factor"),
         X.confidence(F.col("combined")).alias("confidence"),
-        X.rounded(passage_scores(F.col("unique"), F.col("text"), F.col("content"))).alias("passage_score"),
         F.when(F.col("hybrid"), "hybrid").otherwise("lexical").alias("search_mode"),
         reason.alias("fallback_reason"),
     )
-    return best_rows(scored, settings.result_limit)
+    top = of_best_urls(scored, settings.result_limit)
+    texts = index.chunks.select("chunk_id", *(c for c in CHUNK_COLUMNS if c not in ("chunk_id", "source_id", "canonical_url")))
+    read = top.join(texts, "chunk_id").join(asked.select("question_id", "unique", "text"), "question_id")
+    read = read.withColumn("passage_score", X.rounded(passage_scores(F.col("unique"), F.col("text"), F.col("content"))))
+    of_url = Window.partitionBy("question_id", "canonical_url").orderBy(F.desc("passage_score"), *_order())
+    best = read.withColumn("__n", F.row_number().over(of_url)).where("__n = 1")
+    shown = [c for c in scored.columns if c not in ("question_id", "search_mode", "fallback_reason", *CHUNK_COLUMNS)]
+    return best.select("question_id", *CHUNK_COLUMNS, *shown, "passage_score", "search_mode", "fallback_reason", "rank")
+
 
+def _order() -> list[Column]:
+    return [F.desc("score"), F.desc("lexical_score"), F.desc("ontology_score"), F.col("source_id"), F.col("chunk_id")]
 
-def best_rows(scored: DataFrame, limit: int) -> DataFrame:
-    """Each question's best `limit` rows, one for each URL: that of best passage, ranked where the URL's best-scored row is."""
-    order = [F.desc("score"), F.desc("lexical_score"), F.desc("ontology_score"), "source_id", "chunk_id"]
-    of_url = Window.partitionBy("question_id", "canonical_url")
+
+def of_best_urls(scored: DataFrame, limit: int) -> DataFrame:
+    """The rows of each question's best `limit` URLs, with their URL's rank, which is that of its best-scored row.
+
+    Spark keeps `limit` ranks of each task's rows before they meet, so a question with many hits is no large group.
+    """
     key = F.struct(-F.col("score"), -F.col("lexical_score"), -F.col("ontology_score"), "source_id", "chunk_id")
-    placed = scored.withColumn("__key", F.min(key).over(of_url)).withColumn("__best", F.row_number().over(of_url.orderBy(F.desc("passage_score"), *order))).where("__best = 1")
-    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("__key")))
-    return ranked.where(F.col("rank") <= limit).drop("__key", "__best")
+    urls = scored.groupBy("question_id", "canonical_url").agg(F.min(key).alias("__key"))
+    ranked = urls.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("__key"))).where(F.col("rank") <= limit)
+    return scored.join(ranked.drop("__key"), ["question_id", "canonical_url"])
 
 
 def admin_rows(results: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import hashlib
 import uuid
 from collections.abc import Callable
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
-from gleaner.operators import search
+from gleaner.operators import search, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,8 +27,17 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+#: Tables with texts, and the column by which they are dealt out.
+TEXTS = {"documents": "doc_id", "pages": "page_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table. A table of texts that is stored in fewer parts than the session has cores is dealt out; large tables have more parts and stay where they are."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in TEXTS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, TEXTS[name])
+    return df
 
 
 def r6(x: Column) -> Column:
@@ -92,28 +101,41 @@ def words_sql(text: str) -> str:
 WORD_SQL = r"[\p{L}\p{N}_]+"
 
 
-_INDEXES: dict[tuple[str, str], str] = {}
+_INDEXES: dict[tuple[str, str], tuple[str, str]] = {}
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or on a local master where that is unset a folder of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="gleaner-")
-    return f"{named.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
-
-
-def stored_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The index of documents as records, each one chunk: built by the first query of a session that asks for it, read by the others."""
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset beside the warehouse's tables. It goes when the session's JVM ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    folder = f"{named.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return folder
+
+
+def files_digest(spark: SparkSession, path: str) -> str:
+    """A digest of a table's files: names, lengths and times of change. No row is read."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen, todo = [], [place]
+    while todo:
+        for f in files.listStatus(todo.pop()):
+            if f.isDirectory():
+                todo.append(f.getPath())
+            else:
+                seen.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return hashlib.sha256(repr(sorted(seen)).encode()).hexdigest()
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> segments.Index:
+    """The index of documents as records, each one chunk: built by the first query of a session that asks for it, read by the others as long as the table's files are the same, and brought up to date where they changed."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _INDEXES:
-        folder = work_folder(spark)
-        r = records(spark, sf_dir)
-        search.write_index(r, r.withColumn("chunk_id", F.col("source_id")), folder)
-        _INDEXES[key] = folder
-    return search.Index.read(spark, _INDEXES[key])
+    now = files_digest(spark, f"{sf_dir}/documents.parquet")
+    folder, then = _INDEXES.get(key) or (work_folder(spark), None)
+    if then != now:
+        segments.update(records(spark, sf_dir), folder, lambda r: r.withColumn("chunk_id", F.col("source_id")))
+        _INDEXES[key] = (folder, now)
+    return segments.Index.read(spark, folder)
 
 
 def asked(spark: SparkSession, questions: dict[int, str], language: str = "en", category: str | None = None) -> DataFrame:

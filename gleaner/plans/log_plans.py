@@ -340,5 +340,8 @@ def conversation_topics(spark, sf_dir):
     t = F.col("turn") % 4
     text = F.when(t == 0, F.concat(F.lit("Tell me about product "), (F.col("conv_id") % 5).cast("string"))).when(t == 1, "What does it cost, and is that a product?").when(t == 2, "Compare both with the previous one").otherwise(F.col("text"))
     named = F.when(t == 0, F.array(F.concat(F.lit("product "), (F.col("conv_id") % 5).cast("string")))).otherwise(F.array().cast("array<string>"))
-    turns = routing.route(said.select("conv_id", "turn", text.alias("text"), named.alias("matched"), F.lit("en").alias("language"), F.col("turn").cast("double").alias("at")))
-    return conversations.resolved_turns(turns).select("conv_id", "turn", "resolved_intent", F.left("query", F.lit(60)).alias("query"), "topic", "follow_up", "remembered")
+    needs = F.when(F.col("turn") % 3 == 0, F.array(F.col("role")))
+    turns = routing.route(said.select("conv_id", "turn", text.alias("text"), named.alias("matched"), F.lit("en").alias("language"), F.col("turn").cast("double").alias("at"), needs.alias("categories")))
+    # the second version of the graph has lost two of the five products
+    topics = said.select((F.col("conv_id") % 5).alias("k")).distinct().select(F.explode(F.when(F.col("k") < 2, F.array(F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(5.0)))).alias("at"), F.lit("en").alias("language"), F.concat(F.lit("product "), F.col("k").cast("string")).alias("topic"))
+    return conversations.resolved_turns(turns, graph_topics=topics, category_terms={"en": {"user": "for users"}}).select("conv_id", "turn", "resolved_intent", "query", "topic", "follow_up", "remembered")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner import config
 from gleaner.functions import text as X
 from gleaner.functions import vectors as V
-from gleaner.operators import answers, index, retrieval, search
+from gleaner.operators import answers, index, retrieval, search, segments
 from gleaner.plans.base import RECORDS, asked, query, r6, r6_sql, records, related_sql, sentences_sql, stored_index, table, terms_sql, words_sql
 
 QUESTION = "What is the thereation of eredon"
@@ -163,14 +163,20 @@ def hybrid_topk(spark, sf_dir):
     return _hybrid(spark, sf_dir, _all_vectors(spark, sf_dir)).select("source_id", "score", "lexical_score", "semantic_score", "ontology_score", "passage_score", "search_mode", "fallback_reason")
 
 
+#: Some documents lose their vector at every scale.
+_KEEPS = "vec_id % 7 <> 3"
+
+
 @query(
-    f"""WITH {_TOKENS}, c AS (SELECT *, greatest(lexical, graph) AS combined FROM (SELECT lex.*, {_GRAPH} AS graph FROM lex)),
+    f"""WITH {_TOKENS}, own AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE {_KEEPS}), usable AS (SELECT bool_and(vec_id IS NOT NULL) AS ok FROM tok LEFT JOIN own ON vec_id = doc_id),
+    c AS (SELECT *, greatest(CASE WHEN ok THEN {_BLEND} ELSE lexical END, graph) AS combined FROM (SELECT lex.*, {_GRAPH} AS graph, ok, CASE WHEN ok THEN greatest(0.0, list_cosine_similarity(e, v)) ELSE 0.0::DOUBLE END AS semantic FROM lex LEFT JOIN own ON vec_id = doc_id, usable, {_VECTOR})),
     {_RANKED}, {_passage_sql(QUESTION, 'content')}, {_BEST}
-    SELECT source_id, score, 0.0::DOUBLE AS semantic_score, 'lexical' AS search_mode, 'embedding_unavailable' AS fallback_reason FROM u WHERE n = 1 ORDER BY first_rk LIMIT 4"""
+    SELECT source_id, score, {r6_sql('semantic', 4)} AS semantic_score, CASE WHEN ok THEN 'hybrid' ELSE 'lexical' END AS search_mode, CASE WHEN NOT ok THEN 'embedding_unavailable' END AS fallback_reason FROM u WHERE n = 1 ORDER BY first_rk LIMIT 4"""
 )
 def hybrid_fallback(spark, sf_dir):
-    """The same with the stored embeddings alone: a document lacks one, so the whole question is answered lexically."""
-    return _hybrid(spark, sf_dir, _own_vectors(spark, sf_dir)).select("source_id", "score", "semantic_score", "search_mode", "fallback_reason")
+    """The same with a part of the stored embeddings alone: while a document lacks one, the whole question is answered lexically."""
+    own = _own_vectors(spark, sf_dir).where(F.substring_index("chunk_id", "_", -1).cast("long") % 7 != 3)
+    return _hybrid(spark, sf_dir, own).select("source_id", "score", "semantic_score", "search_mode", "fallback_reason")
 
 
 @query(
@@ -243,7 +249,7 @@ def related_vocabulary(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("lang").alias("language"), F.col("doc_id"), "text")
     vocab = index.vocabulary(index.postings(d, "doc_id", {"content": "text"}))
     asked = spark.createDataFrame([("en", t) for t in _TWO], "language string, term string")
-    return index.relate(vocab, asked).groupBy("term").agg(F.count("*").alias("n_tokens"), F.min("token").alias("first_token"))
+    return index.relate(vocab, segments.trigrams(vocab), asked).groupBy("term").agg(F.count("*").alias("n_tokens"), F.min("token").alias("first_token"))
 
 
 _MANY = {1: "thereation eredon", 2: "ingthe onering", 3: "heation"}

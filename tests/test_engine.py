@@ -1,6 +1,8 @@
 """Graphs, answers, search settings, versions and logs on small fixtures with known results."""
 
 import hashlib
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -479,6 +481,59 @@ def test_resolved_turns(spark):
     assert not got[2, 1].follow_up and got[2, 1].query == "What is it?"
 
 
+def replayed(turns, terms, versions):
+    """The rules as flat statements over all that a conversation holds: versions is [(at, topics)]; a turn is (at, text, language, intent, matched, categories)."""
+    said = lambda pattern, text: bool(re.search("(?i)" + pattern, text))
+    informs, acts = {"PRODUCT_INFORMATION", "SERVICE_INFORMATION", "COMPANY_INFORMATION"}, {"FIND_CONTACT", "REQUEST_APPOINTMENT"}
+    rows, held, used = [], [], 0.0
+    for at, text, language, intent, matched, categories in turns:
+        held = held if at - used <= 3600 else []
+        compares, own = said(config.HISTORY_REFERENCE, text), matched[0] if len(matched) == 1 else ""
+        refers = compares or said(config.FOLLOW_UP, text)
+        usable = refers and {c["language"] for c in held} == {language}
+        present = lambda c: c["topic"] if not versions or c["topic"] in max(v for v in versions if v[0] <= at)[1] else ""  # noqa: E731, B023
+        others = [t for t in dict.fromkeys(map(present, held[::-1])) if t and t != own]
+        spoken = [own] * bool(own) + others[: 1 + compares]
+        kinds = max(((k, c["kinds"]) for k, c in enumerate(held) if c["kinds"]), default=(0, ()))[1]
+        hints = spoken + [terms[k] for k in kinds if k in terms]
+        bound = usable and bool(hints)
+        vague = intent == "OUT_OF_SCOPE" or (intent == "COMPANY_INFORMATION" and not said(config.EXPLICIT_COMPANY, text))
+        resolved = intent
+        if refers and not usable:
+            held, resolved = [], "OUT_OF_SCOPE" if intent in informs else intent
+        if bound and vague and held[-1]["intent"] in informs:
+            resolved = held[-1]["intent"]
+        topic = own if not refers else (spoken or [""])[0] if bound and len(matched) < 2 else ""
+        carried = {"topic": topic or (present(held[-1]) if bound and len(matched) < 2 else ""), "kinds": tuple(sorted(categories)) or (held[-1]["kinds"] if bound else ()), "intent": held[-1]["intent"] if bound and resolved in acts else resolved, "language": language}
+        leaves = bool(carried["topic"] or carried["kinds"])
+        held = [*held, carried][-4:] if leaves and held[-1:] != [carried] else held
+        used = at if leaves or refers else used
+        rows.append((resolved, f"{', '.join(dict.fromkeys(hints[:3]))}. {text}"[:500] if bound else text, topic or None, bound, len(held)))
+    return rows
+
+
+def test_resolved_turns_replayed(spark):
+    """Random conversations against the rules replayed turn by turn: languages, silences, categories, topics that leave the graph."""
+    rng = random.Random(5)
+    texts = ["Tell me more", "What does it cost?", "Compare both", "And the company", "Contact them about that", "prices"]
+    versions = [(0.0, {"A", "B", "C"}), (500.0, {"A", "C"}), (4000.0, {"B", "C"})]
+    talks = {}
+    for conv in range(60):
+        at, talk = 0.0, []
+        for _ in range(rng.randrange(1, 12)):
+            at += rng.choice((1.0, 50.0, 300.0, 4000.0 if rng.random() < 0.2 else 10.0))
+            intent = rng.choice(("PRODUCT_INFORMATION", "COMPANY_INFORMATION", "OUT_OF_SCOPE", "FIND_CONTACT"))
+            talk.append((at, rng.choice(texts), "sv" if rng.random() < 0.1 else "en", intent, rng.sample("ABC", rng.choice((0, 0, 1, 1, 2))), rng.sample(["x", "y"], rng.choice((0, 0, 1, 2)))))
+        talks[conv] = talk
+    schema = "conv_id int, turn int, at double, text string, language string, intent string, matched array<string>, categories array<string>"
+    df = spark.createDataFrame([(c, k, *t) for c, talk in talks.items() for k, t in enumerate(talk)], schema).repartition(3)
+    terms = {"x": "the x kind", "z": "never"}
+    topics = spark.createDataFrame([(at, lang, t) for at, names in versions for t in names for lang in ("en", "sv")], "at double, language string, topic string")
+    for graph, known in ((None, []), (topics, versions)):
+        got = {(r.conv_id, r.turn): (r.resolved_intent, r.query, r.topic, r.follow_up, r.remembered) for r in conversations.resolved_turns(df, graph_topics=graph, category_terms={"en": terms, "sv": terms}).collect()}
+        assert got == {(c, k): row for c, talk in talks.items() for k, row in enumerate(replayed(talk, terms, known))}
+
+
 def test_folds_are_linear_and_define_nulls(spark):
     """A key with very many events is read as a stream; requests without a time are admitted and not counted."""
     many = spark.range(200_000).select(F.lit("k").alias("client"), "id", F.timestamp_seconds(F.col("id") / 10).alias("at"))
