@@ -24,14 +24,20 @@ def first_copies(records: DataFrame) -> DataFrame:
     return records.join(first.select(F.col("f.source_id").alias("source_id")), "source_id", "left_semi")
 
 
+#: The earliest rows of a bucket, which all of its rows are compared with first.
+HEADS = 4
+
+
 def similar_pages(records: DataFrame, threshold: float = 0.95, first_words: int | None = 2000) -> DataFrame:
     """(source_id, similar_to): for each record the earliest by URL whose words are alike by `threshold` or more.
 
-    Compared are the sets of the first words (None: of all) of records of a language, exact copies apart. Two sets as
-    alike as that share one of their rarest tokens: the longer's first n - ceil(t n) + 1 in order of corpus frequency.
-    Records with the same such tokens are compared through the earliest of them with all others only where their sets
-    differ: equal sets are one class first. Classes meet in their rarest tokens by numbers alone, with lengths and
-    languages; sets are fetched for the pairs that are left.
+    Compared are the sets of the first words (None: of all) of records of a language, exact copies apart; equal sets are
+    one class. Two sets as alike as that share one of their rarest tokens: the longer's first n - ceil(t n) + 1 in order
+    of corpus frequency; where they first do, enough tokens must follow in both. Each class first meets the HEADS
+    earliest of each of its tokens. What it is like there bounds what it still has to look for: something earlier. So
+    it meets a token's other classes only where some of them are earlier than that; copies of one template, which share all
+    their tokens, are done with the heads. Left quadratic are tokens that many unlike sets have among their rarest,
+    each with none alike before it. Sets are fetched for the pairs that are left.
     """
     words = X.words(F.col("content")) if first_words is None else F.slice(X.words(F.col("content")), 1, first_words)
     rows = records.select("source_id", "canonical_url", "language", F.array_sort(F.array_distinct(words)).alias("w")).where(F.size("w") > 0)
@@ -39,18 +45,32 @@ def similar_pages(records: DataFrame, threshold: float = 0.95, first_words: int
     order = F.struct("canonical_url", "source_id")
     classes = named.groupBy("c", "language").agg(F.min(order).alias("first"), F.first("w").alias("w"))
     counts = classes.select("language", F.explode("w").alias("t")).groupBy("language", "t").agg(F.count("*").alias("n"))
-    long = classes.select("c", "language", F.size("w").alias("size"), F.explode("w").alias("t")).join(counts, ["language", "t"])
+    long = classes.select("c", "language", "first", F.size("w").alias("size"), F.explode("w").alias("t")).join(counts, ["language", "t"])
     prefix = (F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).cast("int")
-    ordered = long.groupBy("c", "language", "size").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
-    keyed = ordered.select("c", "language", "size", F.explode(F.transform(F.slice("o", 1, prefix), lambda x: F.xxhash64(x["t"]))).alias("t"))
-    a, b = keyed.toDF("a", "language", "sa", "t"), keyed.toDF("b", "language", "sb", "t")
-    met = a.join(b, ["language", "t"]).where((F.col("a") < F.col("b")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-9)).select("a", "b").distinct()
-    sets = classes.select("c", "w", "first")
-    pairs = met.join(sets.toDF("a", "wa", "fa"), "a").join(sets.toDF("b", "wb", "fb"), "b")
-    both = F.size(F.array_intersect("wa", "wb"))
-    alike = pairs.where(both / (F.size("wa") + F.size("wb") - both) >= threshold)
-    near = alike.select(F.col("a").alias("c"), F.col("fb").alias("f")).unionByName(alike.select(F.col("b").alias("c"), F.col("fa").alias("f"))).unionByName(classes.select("c", F.col("first").alias("f")))
-    best = near.groupBy("c").agg(F.min("f").alias("f"))
+    ordered = long.groupBy("c", "language", "size", "first").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))
+    keyed = ordered.select("c", "language", "size", "first", F.posexplode(F.transform(F.slice("o", 1, prefix), lambda x: F.xxhash64(x["t"]))).alias("place", "t"))
+    # of a pair's first common token at most this many tokens are common from there on
+    left_over = F.least(F.col("size") - F.col("place"), F.col("hs") - F.col("hp"))
+    likely = (F.col("hf") < F.col("first")) & (F.least("size", "hs") >= F.greatest("size", "hs") * threshold - 1e-9) & (left_over >= (F.col("size") + F.col("hs")) * threshold / (1 + threshold) - 1e-6)
+    other = [F.col("c").alias("h"), F.col("size").alias("hs"), F.col("first").alias("hf"), F.col("place").alias("hp")]
+    earliest = Window.partitionBy("language", "t").orderBy("first")
+    heads = keyed.withColumn("r", F.row_number().over(earliest)).where(F.col("r") <= HEADS)
+    sets = classes.select("c", "w")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """(c, f): the earliest first record of the classes that each class is like, of the given pairs."""
+        both = pairs.select("c", "h", "hf").distinct().join(sets, "c").join(sets.toDF("h", "hw"), "h")
+        common = F.size(F.array_intersect("w", "hw"))
+        return both.where(common / (F.size("w") + F.size("hw") - common) >= threshold).groupBy("c").agg(F.min("hf").alias("f"))
+
+    near = alike(keyed.join(heads.select("language", "t", *other), ["language", "t"]).where(likely))
+    # what is still looked for is earlier than what was found, and later than the heads
+    last_head = heads.where(F.col("r") == HEADS).select("language", "t", F.col("first").alias("last"))
+    open_ = keyed.join(near, "c", "left").withColumn("bound", F.least(F.coalesce("f", "first"), "first")).join(last_head, ["language", "t"]).where(F.col("last") < F.col("bound"))
+    later = keyed.select("language", "t", *other)
+    rest = alike(open_.join(later, ["language", "t"]).where((F.col("hf") > F.col("last")) & (F.col("hf") < F.col("bound")) & likely))
+    found = near.unionByName(rest).unionByName(classes.select("c", F.col("first").alias("f")))
+    best = found.groupBy("c").agg(F.min("f").alias("f"))
     return named.join(best, "c").where(F.col("f") < order).select("source_id", F.col("f.source_id").alias("similar_to"))
 
 
@@ -61,18 +81,32 @@ def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str, words: int = 5) -> DataFrame:
-    """(quote_id, n_documents): in how many texts (text_id, text) each quote (quote_id, text) stands word for word.
+    """(quote_id, n_documents): in how many texts (text_id, text) each quote (quote_id, text) stands as it is.
 
-    A text that has a quote has the quote's inner words in a row; both meet in the quote's first shingle of inner words
-    whose hash is least, so a text joins few quotes. Quotes of fewer inner words are compared with every text.
+    A text that has a quote has the quote's inner words in a row. So quotes of `words` inner words meet texts in their
+    shingle of inner words whose hash is least, quotes of fewer in their longest inner word, and quotes without an inner
+    word in the first three characters of their longest part, which some word of the text must hold (a blank one in
+    its first character); what meets is compared as a whole. An empty quote stands in every text, a null one in none.
     """
+    gap = r"\s+"
     shingles = lambda c, inner: F.transform(F.sequence(F.lit(0 if not inner else 1), F.size(c) - words - (1 if inner else 0)), lambda i: F.xxhash64(F.array_join(F.slice(c, i + 1, words), " ")))
-    w = F.split(F.col("text"), r"\s+")
-    q = quotes.select(F.col(quote_id), F.col("text").alias("quote"), w.alias("w"))
-    long, short = q.where(F.size("w") >= words + 2), q.where(F.size("w") < words + 2)
-    keyed = long.select(quote_id, "quote", F.array_min(shingles(F.col("w"), True)).alias("h"))
-    own = texts.select(text_id, w.alias("w")).where(F.size("w") >= words).select(text_id, F.explode(F.array_distinct(shingles(F.col("w"), False))).alias("h"))
-    met = own.join(keyed.select(quote_id, "h"), "h").select(quote_id, text_id).distinct()
-    met = met.unionByName(short.select(quote_id).join(texts.select(text_id)))
-    found = met.join(quotes.select(quote_id, F.col("text").alias("quote")), quote_id).join(texts.select(text_id, "text"), text_id).where(F.col("text").contains(F.col("quote")))
-    return quotes.select(quote_id).join(found.groupBy(quote_id).agg(F.count("*").alias("n")), quote_id, "left").select(quote_id, F.coalesce("n", F.lit(0)).alias("n_documents"))
+    split = F.split(F.col("text"), gap)
+    q = quotes.where("text <> ''").select(F.col(quote_id), F.col("text").alias("quote"), split.alias("w"))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    many, some = F.size("w") >= words + 2, F.size("w") > 2
+    by_shingle = q.where(many).select(quote_id, F.array_min(shingles(F.col("w"), True)).alias("h"))
+    by_word = q.where(~many & some).select(quote_id, longest(inner).alias("word"))
+    blank = F.col("quote").rlike(r"^\s+$")
+    by_gram = q.where(~some).select(quote_id, F.when(blank, F.left("quote", F.lit(1))).otherwise(F.left(longest(F.col("w")), F.lit(3))).alias("gram"))
+    t = texts.select(text_id, split.alias("w"))
+    own = t.where(F.size("w") >= words).select(text_id, F.explode(F.array_distinct(shingles(F.col("w"), False))).alias("h"))
+    each = t.select(text_id, F.explode(F.array_distinct("w")).alias("word"))
+    gaps = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\s)"), 1))).alias("gram"))
+    parts = lambda n: F.transform(F.sequence(F.lit(1), F.length("word") - n + 1), lambda i: F.substring(F.col("word"), i, F.lit(n)))
+    grams = each.select(text_id, F.explode(F.concat(*(F.when(F.length("word") >= n, parts(n)).otherwise(F.array().cast("array<string>")) for n in (1, 2, 3)))).alias("gram")).unionByName(gaps)
+    met = own.join(by_shingle, "h").select(quote_id, text_id).unionByName(each.join(by_word, "word").select(quote_id, text_id)).unionByName(grams.join(by_gram, "gram").select(quote_id, text_id)).distinct()
+    found = met.join(q.select(quote_id, "quote"), quote_id).join(texts.select(text_id, "text"), text_id).where(F.col("text").contains(F.col("quote")))
+    counts = quotes.join(found.groupBy(quote_id).agg(F.count("*").alias("n")), quote_id, "left")
+    total = texts.agg(F.count("text").alias("__all"))  # one row
+    return counts.crossJoin(F.broadcast(total)).select(quote_id, F.when(F.col("text") == "", F.col("__all")).otherwise(F.coalesce("n", F.lit(0))).alias("n_documents"))

@@ -561,6 +561,101 @@ def test_similar_pages_of_whole_texts(spark):
     assert near(first_words=60) == {("b", "a"), ("c", "a")} and near(first_words=None) == {("c", "a")}
 
 
+def test_similar_pages_of_one_template(spark):
+    """Copies of a template with a changed word each, behind outliers with the same rare words, against all pairs; copies are no pairs."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(100)]
+    texts = [[*words[:20], *(f"o{k}_{i}" for i in range(80))] for k in range(3)] + [[f"z{i}" for i in range(30)]]
+    for k in range(250):
+        own = list(words)
+        for at in rng.sample(range(100), rng.choice((0, 1, 2, 5))):
+            own[at] = f"c{k}_{at}"
+        texts.append(own)
+    rows = [(f"s{k:03d}", f"https://x.org/{k:03d}", "en", " ".join(t)) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "source_id string, canonical_url string, language string, content string")
+    sets = [set(t) for t in texts]
+    want = {}
+    for x in range(len(sets)):
+        y = next((y for y in range(x) if len(sets[x] & sets[y]) >= 0.95 * len(sets[x] | sets[y])), None)
+        if y is not None:
+            want[f"s{x:03d}"] = f"s{y:03d}"
+    assert {r.source_id: r.similar_to for r in duplicates.similar_pages(df).collect()} == want and len(want) > 100
+
+
+def test_containing_quotes_of_any_length(spark):
+    """Against Python's `in`: quotes of many words, few, one, parts of words, white space alone, empty and null."""
+    texts = ["the quick brown fox jumps over the lazy dog", "a lazy\ndog  sleeps", "", None, "foxes jump", "xyz"]
+    quotes = ["quick brown fox jumps over the lazy", "own fox ju", "lazy dog", "ick br", "fox", "o", "  ", " ", "", None, "zz", "y\nd", "he quick brown fox jumps over the la", "quick red fox"]
+    q = spark.createDataFrame(list(enumerate(quotes)), "q int, text string")
+    t = spark.createDataFrame(list(enumerate(texts)), "t int, text string")
+    made = duplicates.containing(q, t, "q", "t")
+    assert {r.q: r.n_documents for r in made.collect()} == {k: sum(x is not None and s is not None and s in x for x in texts) for k, s in enumerate(quotes)}
+    assert "CartesianProduct" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_index_segments(spark, tmp_path):
+    """A change of few records writes few postings; search over segments is that of a rebuilt index, before and after merges."""
+    from gleaner.operators import segments
+
+    rng = random.Random(9)
+    words = [f"word{chr(97 + i % 26)}{i}" for i in range(300)]
+    row = lambda k, salt: (f"s{k}", f"title {words[k % 300]}", f"https://x.org/{k // 2}", "c", "en", f"sum{k}{salt}", " ".join(rng.choice(words) for _ in range(40)))
+    schema = "source_id string, title string, canonical_url string, category string, language string, checksum string, content string"
+    held = {k: row(k, "") for k in range(400)}
+    asked = spark.createDataFrame([(1, "en", None, f"{words[3]} {words[17]}"), (2, "en", None, f"x{words[40]}y wordb"), (3, "en", "c", words[5])], search.QUESTIONS)
+    folder, one_chunk = str(tmp_path / "index"), lambda r: r.withColumn("chunk_id", F.concat("source_id", F.lit("--001")))
+    frame = lambda: spark.createDataFrame(list(held.values()), schema).coalesce(2)
+    found = lambda i: sorted(map(tuple, search.search(i, asked).collect()))
+    segments.update(frame(), folder, one_chunk)
+    counts = []
+    for step in range(4):
+        for k in (step, 100 + step, 200 + step):
+            held[k] = row(k, f"new{step}")
+        held.pop(300 + step)
+        held[1000 + step] = row(1000 + step, "")
+        state = segments.update(frame(), folder, one_chunk)
+        counts.append([s["rows"] for s in state["segments"]])
+    made = segments.Index.read(spark, folder)
+    assert counts[0] == [400, 4] and max(len(c) for c in counts) <= segments.FAN and made.dead is not None
+    assert segments.update(frame(), folder, one_chunk)["revision"] == state["revision"] + 1  # nothing changed: no segment more
+    assert sum(r["rows"] for r in segments._Revisions(spark, folder).latest()["segments"]) >= len(held)
+    segments.update(frame(), str(tmp_path / "whole"), one_chunk)
+    whole = segments.Index.read(spark, str(tmp_path / "whole"))
+    assert found(made) == found(whole) and {tuple(r) for r in made.totals.collect()} == {("en", "c", len(held))}
+    merged = segments.merge(spark, folder, [s["name"] for s in state["segments"]])
+    assert [s["rows"] for s in merged["segments"]] == [len(held)] and merged["dead"] is None
+    assert found(segments.Index.read(spark, folder)) == found(whole) and segments.vacuum(spark, folder, keep=1)
+
+
+def test_pruned_vectors(spark):
+    """The rows of a full scan, from under a tenth of the pairs; language, ties and invalid vectors."""
+    import numpy as np
+
+    from gleaner.operators import nearest
+
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(40, 16))
+    rows = [(f"c{k}", "en" if k % 5 else "sv", (centres[k % 40] + 0.15 * rng.normal(size=16)).tolist()) for k in range(2000)]
+    rows += [("none", "en", []), ("zero", "en", [0.0] * 16), ("null", "en", None), ("odd", "en", [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "chunk_id string, language string, vector array<double>").repartition(3)
+    asked = [(q, "en", (centres[q] + 0.1 * rng.normal(size=16)).tolist()) for q in range(12)]
+    questions = spark.createDataFrame(asked, "question_id long, language string, vector array<double>")
+    made = nearest.clustered(table)
+    own = [(i, np.array(v)) for i, lang, v in rows[:2000] if lang == "en"]
+    cos = lambda a, b: float(a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+    full = {q: sorted(((-cos(np.array(v), x), i) for i, x in own))[:7] for q, _, v in asked}
+    got = {}
+    for r in nearest.top_k(made, questions, 7).orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append((-r.similarity, r.chunk_id))
+    assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in full.items()}
+    bounded = nearest.first_bounds(made, questions, 7)
+    pairs = nearest.compared_pairs(made, bounded, F.col("__least")).count()
+    assert 12 * 7 <= pairs < 12 * len(own) / 10
+    near = {(r.question_id, r.chunk_id) for r in nearest.within(made, questions, 0.9).collect()}
+    assert near == {(q, i) for q, _, v in asked for i, x in own if cos(np.array(v), x) >= 0.9}
+    assert nearest.top_k(made, questions, 5000).count() == 12 * len(own)
+
+
 def test_audit_chain(spark):
     rows = spark.createDataFrame([("t", i, f"act{i}") for i in range(5)], "tenant string, sequence long, action string")
     chain = logs.chained(rows, ["action"], ["tenant"]).cache()
