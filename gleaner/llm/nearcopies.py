@@ -1,8 +1,8 @@
 """Near copies by the Jaccard similarity of their word shingles.
 
-Candidates are sets that share a band of MinHash values and half of all values' low bytes; every candidate pair is then
-judged by its exact similarity. With 24 bands of 4 values a pair of similarity 0.8 shares no band with probability
-(1 - 0.8^4)^24 = 3.2e-6, and less than half of 96 values with one below 1e-9; a closer pair with less. SimHash anchors cannot take this place: sets of similarity 0.8 differ in about 10 of 64 bits, some in 18.
+Candidates are sets that share a band of MinHash values and over 0.6 of all values' low bytes; every candidate pair is
+then judged by its exact similarity. With 24 bands of 4 values a pair of similarity 0.8 shares no band with probability
+(1 - 0.8^4)^24 = 3.2e-6, and too few of 96 values with 4e-7; a closer pair with less. SimHash anchors cannot take this place: sets of similarity 0.8 differ in about 10 of 64 bits, some in 18.
 """
 
 from __future__ import annotations
@@ -35,15 +35,26 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 
 def bands(least: np.ndarray) -> np.ndarray:
-    """One hash for each band of MinHash values."""
-    return np.fromiter((xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(least.reshape(BANDS, ROWS))), np.uint64, BANDS).view(np.int64)
+    """One hash for each band of MinHash values, with the band's number in its low five bits."""
+    hashes = np.fromiter((xxhash.xxh64_intdigest(p.tobytes(), k) for k, p in enumerate(least.reshape(BANDS, ROWS))), np.uint64, BANDS)
+    return (hashes & ~np.uint64(31) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def alike(sketches: np.ndarray, part: np.ndarray, side: np.ndarray | None) -> np.ndarray:
-    """Which rows share half of their bytes, at least, with one of another part; with `side`, of the other side."""
+def likely(same: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether so many of a pair's 96 places agree that it may have the similarity: of pairs of 0.8, all but 4e-7 agree in over 0.6 of them."""
+    return same >= (similarity - 0.2) * BANDS * ROWS
+
+
+def alike(sketches: np.ndarray, part: np.ndarray, side: np.ndarray | None, band: int, similarity: float) -> np.ndarray:
+    """Which rows may have the similarity with one of another part; with `side`, of the other side.
+
+    A pair that agrees in an earlier band's bytes is met in that band's bucket, and not looked at here.
+    """
     found = np.zeros(len(sketches), bool)
+    words = np.ascontiguousarray(sketches).view(np.uint32)
     for x in range(len(sketches) - 1):
-        same = (part[x + 1 :] != part[x]) & (2 * (sketches[x + 1 :] == sketches[x]).sum(axis=1) >= sketches.shape[1])
+        same = (part[x + 1 :] != part[x]) & likely((sketches[x + 1 :] == sketches[x]).sum(axis=1), similarity)
+        same &= ~(words[x + 1 :, :band] == words[x, :band]).any(axis=1)
         if side is not None:
             same &= side[x + 1 :] != side[x]
         found[x + 1 :] |= same
@@ -119,6 +130,16 @@ def shingle_sets(docs: DataFrame, text_col: str, order: list[str], shingle: int)
     return signed_rows(docs, text_col, order, shingle).groupBy("node").agg(F.min(F.struct(*order)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
 
 
+#: Rows of ids that are sent to where the texts are; beyond, both are shuffled.
+SENT = 1 << 20
+
+
+def sent(wanted: DataFrame) -> DataFrame:
+    """A table of ids and hashes, under 64 bytes a row, marked to be sent to all tasks while it has `SENT` rows at most."""
+    kept = cut(wanted)
+    return F.broadcast(kept) if kept.count() <= SENT else kept
+
+
 def hash_sets(texts: DataFrame, text_col: str, shingle: int) -> DataFrame:
     """(node, hashes) of each text's shingle set."""
 
@@ -181,7 +202,7 @@ def hub_pairs(shared: DataFrame, distinct: DataFrame, similarity: float) -> Data
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for k in (2, 3))
-                stay = pa.array(2 * (x == y).sum(axis=1) >= x.shape[1])
+                stay = pa.array(likely((x == y).sum(axis=1), similarity))
                 yield pa.RecordBatch.from_arrays([batch.column(0).filter(stay), batch.column(1).filter(stay)], ["a", "b"])
 
     return both.mapInArrow(near, "a long, b long")
@@ -193,7 +214,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= similarity).select("a", "b")
 
 
-def candidates(shared: DataFrame, roots: DataFrame, distinct: DataFrame) -> DataFrame:
+def candidates(shared: DataFrame, roots: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """(key, i, j, node, block, part) of sets whose bucket has one of another part that may be near.
 
     A part is what the links to hubs have joined. A bucket's parts are dealt into blocks of about `BLOCK` hashes, a
@@ -214,7 +235,7 @@ def candidates(shared: DataFrame, roots: DataFrame, distinct: DataFrame) -> Data
     pairs = placed.join(meet, ["key", "block"])
 
     def judge(group, nodes, blocks, parts, sketches):
-        found = alike(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1), np.array(parts), None if group[1] == group[2] else np.array(blocks))
+        found = alike(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1), np.array(parts), None if group[1] == group[2] else np.array(blocks), group[0] & 31, similarity)
         at = np.flatnonzero(found)
         same = [pa.array(np.full(len(at), x, np.int64)) for x in group]
         return pa.RecordBatch.from_arrays([*same, *(pa.array(np.array(x, np.int64)[at]) for x in (nodes, blocks, parts))], ["key", "i", "j", "node", "block", "part"])
@@ -243,7 +264,7 @@ def near_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s
     pairs = cut(hub_pairs(shared, distinct, similarity))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     star = cut(verified(pairs, sets_of(nodes), similarity))
-    near = cut(candidates(shared, connected_components(star), distinct))
+    near = cut(candidates(shared, connected_components(star), distinct, similarity))
     return star.union(links_between_parts(near, sets_of(near.select("node").distinct()), similarity))
 
 
@@ -256,7 +277,7 @@ def first_of_near_copies(docs: DataFrame, order: list[str], text_col: str = "tex
     distinct = cut(shingle_sets(docs, text_col, order, shingle))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = distinct.join(nodes, "node", "left_semi").select("m.*")
+        wanted = sent(distinct.join(nodes, "node", "left_semi").select("m.*"))
         return hash_sets(docs.join(wanted, order, "left_semi").dropDuplicates(order), text_col, shingle)
 
     roots = connected_components(near_links(distinct, sets_of, similarity))

@@ -88,7 +88,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = cut(full.groupBy("node").agg(least, F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        wanted = distinct.join(nodes, "node", "left_semi").select(F.col("m.mark").alias("mark"), F.col("m.doc_id").alias("i"))
+        wanted = nearcopies.sent(distinct.join(nodes, "node", "left_semi").select(F.col("m.mark").alias("mark"), F.col("m.doc_id").alias("i")))
         texts = rows.join(wanted, (rows.mark == wanted.mark) & rows.doc_id.eqNullSafe(wanted.i), "left_semi").dropDuplicates(["doc_id", "mark"])
         return nearcopies.hash_sets(texts, "text", shingle)
 
