@@ -93,7 +93,7 @@ def containing(quotes: DataFrame, texts: DataFrame, quote_id: str, text_id: str,
     split = F.split(F.col("text"), gap)
     q = quotes.where("text <> ''").select(F.col(quote_id), F.col("text").alias("quote"), split.alias("w"))
     inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
-    longest = lambda c: F.array_max(F.transform(c, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    longest = lambda c: F.array_max(F.transform(c, lambda x: F.named_struct(F.lit("n"), F.length(x), F.lit("word"), x)))["word"]
     many, some = F.size("w") >= words + 2, F.size("w") > 2
     by_shingle = q.where(many).select(quote_id, F.array_min(shingles(F.col("w"), True)).alias("h"))
     by_word = q.where(~many & some).select(quote_id, longest(inner).alias("word"))

@@ -108,12 +108,12 @@ def relate(vocab: DataFrame, grams: DataFrame, asked: DataFrame) -> DataFrame:
     """(language, term, token) for all related pairs: equal, or both of five characters or more and one within the other.
 
     asked (language, term) are distinct terms; grams is segments.trigrams() of the vocabulary. All pairs meet in hash joins: a
-    token that holds a term has the term's rarest trigram, and a term that holds a token has the token's rarest one;
-    the few that meet are compared in full.
+    token that holds a term has the term's rarest trigram, and a term that holds a token has the token's key among its
+    trigrams; the few that meet are compared in full.
     """
     equal = vocab.join(asked.withColumnRenamed("term", "token"), ["language", "token"]).select("language", F.col("token").alias("term"), "token")
     own = asked.where(F.length("term") >= 5).select("language", "term", F.explode(segments.grams_of(F.col("term"))).alias("gram"))
-    counts = own.join(grams.select("language", "gram", "n").distinct(), ["language", "gram"]).groupBy("language", "term", "gram").agg(F.sum("n").alias("n"))
+    counts = own.join(grams.select("language", "gram"), ["language", "gram"]).groupBy("language", "term", "gram").agg(F.count("*").alias("n"))
     rarest = counts.groupBy("language", "term").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
     holds = rarest.join(grams.select("language", "gram", "token"), ["language", "gram"]).where(F.col("token").contains(F.col("term")))
     held = own.join(grams.where("is_key").select("language", "gram", "token"), ["language", "gram"]).where(F.col("term").contains(F.col("token")))

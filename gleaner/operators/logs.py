@@ -81,13 +81,19 @@ def plain_values(row: dict) -> dict:
     return out
 
 
-def chained(events: DataFrame, fields: list[str], keys: list[str], order_col: str = "sequence", start: str = "0" * 64) -> DataFrame:
+def chained(events: DataFrame, fields: list[str], keys: list[str], order_col: str = "sequence", start: str = "0" * 64, heads: DataFrame | None = None) -> DataFrame:
     """events with previous_hash and event_hash: each hash covers the event's `fields` and the hash before.
 
     A chain is serial by nature; chains of different keys are made side by side. A key's events come to one task in
-    order and are read as a stream, of which the last hash is held.
+    order and are read as a stream, of which the last hash is held. heads (keys, event_hash) are the last hashes of
+    chains that go on; other keys begin with `start`.
     """
     columns = [*dict.fromkeys([*keys, order_col, *fields])]
+    rows = events.select(*columns)
+    if heads is None:
+        rows = rows.withColumn("__start", F.lit(start))
+    else:
+        rows = rows.join(heads.select(*keys, F.col("event_hash").alias("__start")), keys, "left").select(*columns, F.coalesce("__start", F.lit(start)).alias("__start"))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, before = None, start
@@ -96,14 +102,14 @@ def chained(events: DataFrame, fields: list[str], keys: list[str], order_col: st
             for row in pdf.to_dict("records"):
                 key = tuple(row[k] for k in keys)
                 if key != now:
-                    now, before = key, start
+                    now, before = key, row["__start"]
                 befores.append(before)
                 before = event_digest(plain_values({f: row[f] for f in fields}), before)
                 hashes.append(before)
-            yield pdf.assign(previous_hash=befores, event_hash=hashes)
+            yield pdf.drop(columns="__start").assign(previous_hash=befores, event_hash=hashes)
 
     schema = ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in columns)
-    dealt = events.select(*columns).repartition(*keys).sortWithinPartitions(*keys, order_col)
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, order_col)
     return dealt.mapInPandas(link, f"{schema}, previous_hash string, event_hash string")
 
 

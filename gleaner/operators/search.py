@@ -18,6 +18,7 @@ from gleaner.functions import vectors as V
 from gleaner.operators import nearest
 from gleaner.operators.index import relate
 from gleaner.operators.segments import CHUNK_COLUMNS, Index
+from gleaner.storage import cut
 
 QUESTIONS = "question_id long, language string, category string, text string"
 
@@ -33,14 +34,14 @@ def _asked(questions: DataFrame) -> DataFrame:
 
 
 def related_tokens(index: Index, questions: DataFrame) -> DataFrame:
-    """(language, term, token): the vocabulary's tokens that are related to the questions' terms."""
-    return relate(index.vocabulary, index.grams, _asked(questions).select("language", F.explode("unique").alias("term")).distinct())
+    """(language, term, token): the vocabulary's tokens that are related to the questions' terms, written once for all that is looked up by them."""
+    return cut(relate(index.vocabulary, index.grams, _asked(questions).select("language", F.explode("unique").alias("term")).distinct()))
 
 
-def term_weights(index: Index, questions: DataFrame) -> DataFrame:
+def term_weights(index: Index, questions: DataFrame, related: DataFrame | None = None) -> DataFrame:
     """(question_id, language, term, df, n_documents, weight): document frequencies of the tokens related to each distinct term, over the records of the question's language and category."""
     asked = _asked(questions).select("question_id", "language", "asked_category", F.explode("unique").alias("term"))
-    found = index.live(index.doc_tokens.join(related_tokens(index, questions), ["language", "token"]))
+    found = index.live(index.doc_tokens.join(related_tokens(index, questions) if related is None else related, ["language", "token"]))
     by = found.select("language", "category", "term", "source_id").distinct().groupBy("language", "category", "term").agg(F.count("*").alias("df"))
     counts = asked.join(by, ["language", "term"], "left").where(F.col("category").isNull() | _here("asked_category", "category"))
     counts = counts.groupBy("question_id", "language", "term").agg(F.coalesce(F.sum("df"), F.lit(0)).alias("df"))
@@ -52,8 +53,9 @@ def term_weights(index: Index, questions: DataFrame) -> DataFrame:
 
 def lexical_hits(index: Index, questions: DataFrame) -> DataFrame:
     """(question_id, chunk_id, coverage): the weighted share of a question's terms that a chunk has, 0.7 for its text and 0.3 for its title."""
-    weights = term_weights(index, questions)
-    met = index.live(index.postings.join(related_tokens(index, questions), ["language", "token"]))
+    related = related_tokens(index, questions)
+    weights = cut(term_weights(index, questions, related))
+    met = index.live(index.postings.join(related, ["language", "token"]))
     hits = met.groupBy("language", "term", "chunk_id").agg(F.bool_or("in_body").alias("body"), F.bool_or("in_title").alias("title"))
     share = F.when(F.col("body"), 0.7).otherwise(0.0) + F.when(F.col("title"), 0.3).otherwise(0.0)
     total = weights.groupBy("question_id").agg(F.sum("weight").alias("total"))
@@ -170,7 +172,7 @@ def search(
         F.when(F.col("hybrid"), "hybrid").otherwise("lexical").alias("search_mode"),
         reason.alias("fallback_reason"),
     )
-    top = of_best_urls(scored, settings.result_limit)
+    top = cut(of_best_urls(cut(scored), settings.result_limit))
     texts = index.chunks.select("chunk_id", *(c for c in CHUNK_COLUMNS if c not in ("chunk_id", "source_id", "canonical_url")))
     read = top.join(texts, "chunk_id").join(asked.select("question_id", "unique", "text"), "question_id")
     read = read.withColumn("passage_score", X.rounded(passage_scores(F.col("unique"), F.col("text"), F.col("content"))))

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import log
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner import config
@@ -22,7 +22,7 @@ from gleaner.functions import text as X
 from gleaner.operators.versions import Versions
 
 CHUNK_COLUMNS = ("chunk_id", "source_id", "title", "canonical_url", "category", "language", "content", "checksum")
-TABLES = ("chunks", "postings", "doc_tokens", "vocabulary", "grams", "sources", "placeholders")
+TABLES = ("chunks", "postings", "doc_tokens", "vocabulary", "grams", "sources")
 FAN = 4
 #: What of a record its rows in the index are made from.
 _DIGESTED = ("title", "canonical_url", "category", "language", "content", "checksum")
@@ -38,10 +38,14 @@ class Index:
     vocabulary: DataFrame
     grams: DataFrame
     sources: DataFrame
-    placeholders: DataFrame
     totals: DataFrame
     dead: DataFrame | None = None
 
+    @property
+    def placeholders(self) -> DataFrame:
+        """source_id of short records with a placeholder notice."""
+        return self.sources.where("thin").select("source_id")
+
     def live(self, rows: DataFrame) -> DataFrame:
         """rows (with segment and source_id) of records that are not dead."""
         return rows if self.dead is None else rows.join(self.dead, ["segment", "source_id"], "left_anti")
@@ -80,7 +84,7 @@ def _opened(spark: SparkSession, folder: str, state: dict) -> Index:
     found = {t: read(t) for t in TABLES}
     dead = spark.read.parquet(f"{folder}/{state['dead']}") if state["dead"] else None
     if dead is not None:
-        for t in ("chunks", "sources", "placeholders"):
+        for t in ("chunks", "sources"):
             found[t] = found[t].join(dead, ["segment", "source_id"], "left_anti")
     for t in ("vocabulary", "grams"):
         found[t] = found[t].drop("segment")
@@ -93,40 +97,38 @@ def grams_of(token: Column) -> Column:
 
 
 def trigrams(vocabulary: DataFrame) -> DataFrame:
-    """(language, gram, token, n, is_key) of tokens of five characters or more: n is how many tokens have the gram; the key is a token's rarest."""
-    each = vocabulary.where(F.length("token") >= 5).select("language", "token", F.explode(grams_of(F.col("token"))).alias("gram"))
-    counted = each.join(each.groupBy("language", "gram").agg(F.count("*").alias("n")), ["language", "gram"])
-    least = F.min(F.struct("n", "gram")).over(Window.partitionBy("language", "token"))
-    return counted.withColumn("__least", least).select("language", "gram", "token", "n", (F.col("gram") == F.col("__least.gram")).alias("is_key"))
+    """(language, gram, token, is_key) of tokens of five characters or more: the key is one of a token's grams, that of least hash."""
+    own = vocabulary.where(F.length("token") >= 5).select("language", "token", grams_of(F.col("token")).alias("g"))
+    key = F.array_min(F.transform("g", lambda x: F.named_struct(F.lit("hash"), F.xxhash64(x), F.lit("gram"), x)))["gram"]
+    each = own.select("language", "token", key.alias("key"), F.explode("g").alias("gram"))
+    return each.select("language", "gram", "token", (F.col("gram") == F.col("key")).alias("is_key"))
 
 
 def _tables(records: DataFrame, chunks: DataFrame, folder: str) -> None:
-    """Writes a segment's tables from records and their chunks. Each text is tokenized once, into a table that goes again."""
+    """Writes a segment's tables from records and their chunks. Each text is tokenized once, with its chunk."""
     spark = records.sparkSession
-    split = chunks.select(*CHUNK_COLUMNS, X.terms(F.col("title")).alias("title_terms"), F.array_distinct(X.terms(F.col("content"))).alias("body"))
-    split.write.parquet(f"{folder}/tokenized")
-    tokenized = spark.read.parquet(f"{folder}/tokenized")
-    tokenized.drop("body").write.parquet(f"{folder}/chunks")
+    split = chunks.select(*CHUNK_COLUMNS, X.terms(F.col("title")).alias("title_terms"), F.array_distinct(X.terms(F.col("content"))).alias("body_terms"))
+    split.write.parquet(f"{folder}/chunks")
+    tokenized = spark.read.parquet(f"{folder}/chunks")
     # the body's tokens come first in the union, so a token's place tells whether it is one of them
-    token = F.posexplode(F.array_union("body", F.array_distinct("title_terms"))).alias("place", "token")
-    post = tokenized.select("language", "chunk_id", "source_id", F.size("body").alias("n"), "title_terms", token)
+    token = F.posexplode(F.array_union("body_terms", F.array_distinct("title_terms"))).alias("place", "token")
+    post = tokenized.select("language", "chunk_id", "source_id", F.size("body_terms").alias("n"), "title_terms", token)
     post = post.select("language", "token", "chunk_id", "source_id", (F.col("place") < F.col("n")).alias("in_body"), F.array_contains("title_terms", F.col("token")).alias("in_title"))
-    _by_token(post, "chunk_id").write.parquet(f"{folder}/postings")
+    _by_token(post).write.parquet(f"{folder}/postings")
     # a record that is one chunk has that chunk's tokens; others may have been cut within a word
     whole = tokenized.join(records.select("source_id", "checksum"), ["source_id", "checksum"], "left_semi")
     parted = records.join(tokenized.select("source_id", "checksum"), ["source_id", "checksum"], "left_anti")
-    tokens = whole.select("language", "category", "source_id", F.explode(F.array_union("body", "title_terms")).alias("token"))
+    tokens = whole.select("language", "category", "source_id", F.explode(F.array_union("body_terms", "title_terms")).alias("token"))
     tokens = tokens.unionByName(parted.select("language", "category", "source_id", F.explode(F.array_distinct(X.terms(F.concat_ws(" ", "title", "content")))).alias("token")))
-    _by_token(tokens, "source_id").write.parquet(f"{folder}/doc_tokens")
-    few = X.matches(F.col("content"), config.PLACEHOLDER_NOTICE) & (X.word_count(F.col("content")) <= 80)
-    records.where(few).select("source_id").write.parquet(f"{folder}/placeholders")
-    records.select("source_id", "language", "category", _digest()).write.parquet(f"{folder}/sources")
+    _by_token(tokens).write.parquet(f"{folder}/doc_tokens")
+    thin = F.coalesce(X.matches(F.col("content"), config.PLACEHOLDER_NOTICE) & (X.word_count(F.col("content")) <= 80), F.lit(False))
+    records.select("source_id", "language", "category", _digest(), thin.alias("thin")).write.parquet(f"{folder}/sources")
     _words(spark, folder)
 
 
-def _by_token(rows: DataFrame, id_col: str) -> DataFrame:
-    """In ranges of tokens, so that a look-up reads the row groups of its tokens; a word that all texts have is spread over files."""
-    return rows.repartitionByRange("language", "token", F.xxhash64(id_col)).sortWithinPartitions("language", "token")
+def _by_token(rows: DataFrame) -> DataFrame:
+    """Each token in one file, where rows are in order of tokens, so that a look-up reads few row groups; Spark splits a word that all texts have over files."""
+    return rows.hint("rebalance", "language", "token").sortWithinPartitions("language", "token")
 
 
 def _words(spark: SparkSession, folder: str) -> None:
@@ -155,27 +157,24 @@ def update(records: DataFrame, folder: str, cut, mark: dict | None = None) -> di
     revisions = _Revisions(spark, folder)
     state = revisions.latest()
     dead = spark.read.parquet(f"{folder}/{state['dead']}") if state["dead"] else None
-    fresh = records
+    name, new = f"segment-{uuid.uuid4().hex}", records
     if state["segments"]:
         known = _opened(spark, folder, state).sources
-        fresh = _changed(records, known)
+        _changed(records, known).write.parquet(f"{folder}/{name}/records")
+        new = spark.read.parquet(f"{folder}/{name}/records")
         gone = known.join(records.select("source_id", _digest()), ["source_id", "digest"], "left_anti").select("segment", "source_id")
         dead = gone if dead is None else dead.unionByName(gone)
-    name = f"segment-{uuid.uuid4().hex}"
-    fresh.write.parquet(f"{folder}/{name}/records")
-    new = spark.read.parquet(f"{folder}/{name}/records")
-    rows = new.count()
-    if rows:
+    segments = list(state["segments"])
+    if not new.isEmpty():
         _tables(new, cut(new), f"{folder}/{name}")
-    segments = state["segments"] + ([{"name": name, "rows": rows}] if rows else [])
+        segments.append({"name": name, "rows": spark.read.parquet(f"{folder}/{name}/sources").count()})
     listed = None
     if dead is not None:
         listed = f"dead-{uuid.uuid4().hex}"
-        dead.coalesce(max(1, min(8, dead.rdd.getNumPartitions()))).write.parquet(f"{folder}/{listed}")
+        dead.coalesce(8).write.parquet(f"{folder}/{listed}")
         if spark.read.parquet(f"{folder}/{listed}").isEmpty():
             listed = None
-    for part in ("records", "tokenized"):
-        revisions._fs.delete(revisions._path(f"{folder}/{name}/{part}"), True)
+    revisions._fs.delete(revisions._path(f"{folder}/{name}/records"), True)
     if not segments:
         raise ValueError("an index needs a record")
     now = state | {"segments": segments, "dead": listed}
@@ -220,9 +219,8 @@ def merge(spark: SparkSession, folder: str, names: list[str]) -> dict:
     rows = spark.read.parquet(f"{folder}/{name}/sources").count()
     if rows:
         part.chunks.drop("segment").write.parquet(f"{folder}/{name}/chunks")
-        part.placeholders.drop("segment").write.parquet(f"{folder}/{name}/placeholders")
-        _by_token(part.live(part.postings).drop("segment"), "chunk_id").write.parquet(f"{folder}/{name}/postings")
-        _by_token(part.live(part.doc_tokens).drop("segment"), "source_id").write.parquet(f"{folder}/{name}/doc_tokens")
+        _by_token(part.live(part.postings).drop("segment")).write.parquet(f"{folder}/{name}/postings")
+        _by_token(part.live(part.doc_tokens).drop("segment")).write.parquet(f"{folder}/{name}/doc_tokens")
         _words(spark, f"{folder}/{name}")
     rest = [s for s in state["segments"] if s["name"] not in names] + ([{"name": name, "rows": rows}] if rows else [])
     listed = None

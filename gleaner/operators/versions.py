@@ -14,13 +14,11 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
-from gleaner.functions import digests
+from gleaner.storage import cut
 
 FORMAT = 1
 
@@ -311,22 +309,62 @@ def registry_faults(registry: DataFrame, most: int = 200, contacts: DataFrame |
     return out
 
 
-def ordered_digest(rows: DataFrame, order: list[str]) -> str:
-    """SHA-256 over the rows in order as canonical JSON lists: equal for equal sequences of rows.
+#: Digests that one digest of the next level covers.
+LEAVES = 1024
+
+
+def sequence_digests(rows: DataFrame, order: list[str], fan: int = LEAVES) -> DataFrame:
+    """(level, node, n_rows, digest): a tree of digests over the rows in order, equal for equal sequences however they are dealt.
 
-    Each row's own digest is computed where the row is; what meets in one place is 64 characters for each row.
+    A row's digest is SHA-256 of its canonical JSON, columns by name; rows of equal `order` come by it. Node k of level 1
+    covers rows k * fan to (k + 1) * fan - 1, a node of level l + 1 `fan` nodes of level l; the digest covers theirs, in order.
+    The last level is the root. A row's place is its place in its part plus the rows of the parts before, of which the
+    driver has one number each; a group is `fan` digests. A table without rows has the root of no digests.
     """
-    columns = sorted(rows.columns)
+    spark = rows.sparkSession
+    own = rows.select(*order, F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("digest"))
+    sorted_ = cut(own.orderBy(*order, "digest").select("digest", F.monotonically_increasing_id().alias("at")))
+    part = F.shiftright("at", 33)
+    sizes = {r.p: r.n for r in sorted_.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row for each part
+    before, total = {}, 0
+    for p in sorted(sizes):
+        before[p] = total
+        total += sizes[p]
+    if not total:
+        return spark.createDataFrame([(1, 0, 0, hashlib.sha256(b"").hexdigest())], "level int, node long, n_rows long, digest string")
+    offsets = spark.createDataFrame(list(before.items()), "p long, before long")
+    level = sorted_.join(F.broadcast(offsets), part == F.col("p")).select((F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("node"), F.lit(1).cast("long").alias("n_rows"), "digest")
+    out, depth, nodes = None, 0, total
+    while depth == 0 or nodes > 1:
+        depth, nodes = depth + 1, -(-nodes // fan)
+        of_parent = level.groupBy(F.floor(F.col("node") / fan).alias("node")).agg(F.sum("n_rows").alias("n_rows"), F.array_sort(F.collect_list(F.struct("node", "digest"))).alias("d"))
+        level = cut(of_parent.select("node", "n_rows", F.sha2(F.array_join(F.transform("d", lambda x: x["digest"]), ""), 256).alias("digest")))
+        mine = level.select(F.lit(depth).alias("level"), "node", "n_rows", "digest")
+        out = mine if out is None else out.unionByName(mine)
+    return out
 
-    @pandas_udf("string")
-    def row_digest(values: pd.DataFrame) -> pd.Series:
-        return pd.Series([digests.digest({c: v.item() if hasattr(v, "item") else v for c, v in r.items()}) for r in values.to_dict("records")])
 
-    whole = hashlib.sha256()
-    own = rows.select(*order, row_digest(F.struct(*columns)).alias("__d")).orderBy(*order).select("__d")
-    for r in own.toLocalIterator():
-        whole.update(r[0].encode())
-    return whole.hexdigest()
+def ordered_digest(rows: DataFrame, order: list[str]) -> str:
+    """The root of sequence_digests(): equal for equal sequences of rows."""
+    return sequence_digests(rows, order).orderBy(F.desc("level")).first().digest
+
+
+def first_difference(a: DataFrame, b: DataFrame, fan: int = LEAVES) -> tuple[int, int] | None:
+    """[low, high) of the first rows in which two sequences (trees of sequence_digests()) differ; None if they are equal.
+
+    From the root down, one level's nodes under the node that differs are compared: `fan` digests at a time.
+    """
+    top = max(t.agg(F.max("level")).first()[0] for t in (a, b))
+    low, high = 0, 1
+    for level in range(top, 0, -1):
+        here = lambda t, name: t.where((F.col("level") == level) & F.col("node").between(low, high - 1)).select("node", F.col("digest").alias(name))  # noqa: E731, B023
+        met = here(a, "x").join(here(b, "y"), "node", "full").where(~F.col("x").eqNullSafe(F.col("y"))).agg(F.min("node")).first()[0]
+        if met is None:
+            if level == top and {r.digest for r in a.where(F.col("level") == top).collect()} == {r.digest for r in b.where(F.col("level") == top).collect()}:
+                return None
+            met = low  # the trees have different heights
+        low, high = met * fan, (met + 1) * fan
+    return low, high
 
 
 def recovered(jobs: DataFrame, now: float) -> DataFrame:

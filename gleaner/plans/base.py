@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.operators import search, segments
+from gleaner.storage import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,15 +104,6 @@ WORD_SQL = r"[\p{L}\p{N}_]+"
 _INDEXES: dict[tuple[str, str], tuple[str, str]] = {}
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or where that is unset beside the warehouse's tables. It goes when the session's JVM ends."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
-    folder = f"{named.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return folder
-
-
 def files_digest(spark: SparkSession, path: str) -> str:
     """A digest of a table's files: names, lengths and times of change. No row is read."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -8,8 +8,9 @@ from gleaner import config
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
 from gleaner.operators import admission, duplicates, index, records as R, versions
-from gleaner.plans.base import RECORDS, WORD_SQL, events, query, records, table, terms_sql, work_folder
+from gleaner.plans.base import RECORDS, WORD_SQL, events, query, records, table, terms_sql
 from gleaner.sources import build, imports, pages as P
+from gleaner.storage import work_folder
 
 
 @query(f"WITH {RECORDS}, f AS (SELECT language, checksum, min((canonical_url, source_id)) AS f, count(*) AS n FROM records GROUP BY ALL) SELECT r.source_id, f.f[2] AS duplicate_of FROM records r JOIN f USING (language, checksum) WHERE n > 1 AND r.source_id <> f.f[2]")
@@ -187,26 +188,29 @@ def latest_review(spark, sf_dir):
     return last.join(e.groupBy("user_id").agg(F.count("*").alias("history")), "user_id")
 
 
-_SLOTS = """days AS (SELECT unnest(generate_series(DATE '2026-03-20', DATE '2026-04-10', INTERVAL 1 DAY))::DATE AS day),
+#: The days of the orders, in the year 2026.
+_SLOTS = """days AS (SELECT DISTINCT ('2026-' || strftime(o_orderdate, '%m-%d'))::DATE AS day FROM orders WHERE strftime(o_orderdate, '%m-%d') <> '02-29'),
   local AS (SELECT day + t.t::TIME AS l FROM days, (VALUES ('09:00'), ('13:30')) t(t) WHERE isodow(day) <= 5),
-  utc AS (SELECT l, l - CASE WHEN l >= TIMESTAMP '2026-03-29 03:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS u FROM local),
+  utc AS (SELECT l, l - CASE WHEN l >= TIMESTAMP '2026-03-29 03:00:00' AND l < TIMESTAMP '2026-10-25 02:00:00' THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END AS u FROM local),
   slots AS (SELECT 'slot-' || left(sha256('c1|' || strftime(u, '%Y-%m-%dT%H:%M:%SZ')), 16) AS slot_id, strftime(l, '%Y-%m-%d %H:%M') AS local_start, strftime(u, '%Y-%m-%d %H:%M') AS starts_at FROM utc)"""
 
 
-def _slots(spark):
-    days = spark.sql("SELECT explode(sequence(DATE'2026-03-20', DATE'2026-04-10')) AS day")
+def _slots(spark, sf_dir):
+    day = F.date_format("o_orderdate", "MM-dd")
+    days = table(spark, sf_dir, "orders").where(day != "02-29").select(F.to_date(F.concat(F.lit("2026-"), day)).alias("day")).distinct()
     return admission.slots(days, "c1").select("slot_id", "local_start", F.date_format("starts_at", "yyyy-MM-dd HH:mm").alias("starts_at"))
 
 
 @query(f"WITH {_SLOTS} SELECT * FROM slots")
 def calendar_slots(spark, sf_dir):
-    return _slots(spark)
+    """A contact's slots on all days that have orders, over both changes of the clocks."""
+    return _slots(spark, sf_dir)
 
 
 @query(f"WITH {_SLOTS} SELECT slot_id, starts_at FROM slots WHERE local_start NOT IN (SELECT DISTINCT '2026-03-' || lpad((20 + user_id % 11)::VARCHAR, 2, '0') || ' 09:00' FROM events)")
 def slots_minus_bookings(spark, sf_dir):
     booked = events(spark, sf_dir).select(F.concat(F.lit("2026-03-"), F.lpad((F.col("user_id") % 11 + 20).cast("string"), 2, "0"), F.lit(" 09:00")).alias("local_start"), F.lit("confirmed").alias("status")).distinct()
-    return admission.free_slots(_slots(spark), booked, "local_start").select("slot_id", "starts_at")
+    return admission.free_slots(_slots(spark, sf_dir), booked, "local_start").select("slot_id", "starts_at")
 
 
 def _last_sunday(year: str, month: str) -> str:
@@ -239,9 +243,16 @@ def iso_timestamps(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", F.unix_seconds(X.stamp_with_zone(s)).alias("second"))
 
 
-@query("SELECT strftime(l_shipdate, '%Y-%m-%d') AS day, count(*) AS n_lines, count(DISTINCT l_orderkey) AS n_orders, count(DISTINCT l_partkey) AS n_parts FROM lineitem GROUP BY 1")
+@query(
+    f"""WITH {RECORDS}, f AS (SELECT count(*) AS n, count(DISTINCT (language, checksum)) AS k FROM records)
+    SELECT 'pages' AS stage, (SELECT count(*) FROM pages) AS n_rows UNION ALL SELECT 'records', k FROM f UNION ALL SELECT 'skipped', n - k FROM f UNION ALL SELECT 'tokens', (SELECT count(*) FROM (SELECT DISTINCT lang, unnest({terms_sql('text', config.STOP_WORDS)}) FROM documents))"""
+)
 def build_counts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy(F.date_format("l_shipdate", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n_lines"), F.countDistinct("l_orderkey").alias("n_orders"), F.countDistinct("l_partkey").alias("n_parts"))
+    """How many rows the stages of a build have."""
+    r = records(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select(F.col("lang").alias("language"), "doc_id", "text")
+    made = {"pages": table(spark, sf_dir, "pages"), "records": duplicates.first_copies(r), "skipped": duplicates.exact_duplicates(r), "tokens": index.vocabulary(index.postings(d, "doc_id", {"content": "text"}))}
+    return build.stage_counts(made)
 
 
 @query("SELECT n_name, max(s_suppkey) AS version FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from gleaner import config
 from gleaner.functions import text as X
-from gleaner.operators import admission, conversations, logs, routing
+from gleaner.operators import admission, chains, conversations, logs, routing, versions
 from gleaner.plans.base import events, query, table
+from gleaner.sources import database
+from gleaner.storage import work_folder
 
 _SAID = """CASE turn % 7 WHEN 0 THEN 'I want to book a meeting' WHEN 1 THEN 'Which services do you have' WHEN 2 THEN 'tell me about us' WHEN 3 THEN 'Are slots free' WHEN 4 THEN 'contacts please' ELSE text END"""
 
@@ -219,7 +221,7 @@ def slot_ownership(spark, sf_dir):
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id AS peer, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view'),
+    """WITH RECURSIVE e AS (SELECT user_id AS peer, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
     f(peer, n, event_id, live, admitted) AS (SELECT peer, n, event_id, [{'p': peer, 't': t}], true FROM e WHERE n = 1
       UNION ALL SELECT peer, n, event_id, CASE WHEN ok THEN list_append(l, {'p': peer, 't': t}) ELSE l END, ok
       FROM (SELECT *, len(l) < 100 AND len(list_filter(l, lambda x: x.p = peer)) < 5 AS ok FROM (SELECT e.*, list_filter(f.live, lambda x: x.t > e.t - 86400) AS l FROM f JOIN e ON e.n = f.n + 1)))
@@ -227,12 +229,12 @@ def slot_ownership(spark, sf_dir):
 )
 def login_throttle(spark, sf_dir):
     """Five admitted attempts of a peer and a hundred of all peers in a day."""
-    a = events(spark, sf_dir).where("event_type <> 'view'").select(F.col("user_id").alias("peer"), F.col("event_id").alias("attempt_id"), F.col("ts").alias("at"))
+    a = events(spark, sf_dir).select(F.col("user_id").alias("peer"), F.col("event_id").alias("attempt_id"), F.col("ts").alias("at"))
     return admission.login_throttle(a, 5, 100, 86400.0).select("peer", F.col("id").alias("attempt_id"), "admitted")
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id AS client, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events WHERE event_type <> 'view'),
+    """WITH RECURSIVE e AS (SELECT user_id AS client, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, event_id) AS n FROM events),
     f(client, n, event_id, known, admitted) AS (SELECT client, n, event_id, [{'c': client, 'l': [t]}], true FROM e WHERE n = 1
       UNION ALL SELECT client, n, event_id, CASE WHEN len(k) > 20 THEN k[2:] ELSE k END, ok FROM (SELECT *, list_append(list_filter(known, lambda x: x.c <> client), {'c': client, 'l': CASE WHEN ok THEN list_append(l, t) ELSE l END}) AS k
       FROM (SELECT *, len(l) < 2 AS ok FROM (SELECT e.*, f.known, list_filter(coalesce(list_filter(f.known, lambda x: x.c = e.client)[1].l, []), lambda x: x > e.t - 86400) AS l FROM f JOIN e ON e.n = f.n + 1))))
@@ -240,12 +242,12 @@ def login_throttle(spark, sf_dir):
 )
 def recent_client_admission(spark, sf_dir):
     """Two admitted requests of a client in a day, by a server that remembers the twenty clients that asked last."""
-    e = events(spark, sf_dir).where("event_type <> 'view'")
+    e = events(spark, sf_dir)
     return admission.recent_client_admission(e, "user_id", "ts", "event_id", 2, 86400.0, clients=20).select("client", F.col("id").alias("event_id"), "admitted")
 
 
 @query(
-    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, user_id, event_id) AS n FROM events WHERE event_type <> 'view'),
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, row_number() OVER (ORDER BY ts, user_id, event_id) AS n FROM events),
     f(user_id, event_id, n, last, known) AS (SELECT user_id, event_id, n, [{'c': user_id, 't': t}], false FROM e WHERE n = 1
       UNION ALL SELECT user_id, event_id, n, list_append(CASE WHEN NOT was AND len(l) >= 30 THEN l[2:] ELSE list_filter(l, lambda x: x.c <> user_id) END, {'c': user_id, 't': t}), was
       FROM (SELECT *, len(list_filter(l, lambda x: x.c = user_id)) > 0 AS was FROM (SELECT e.*, list_filter(f.last, lambda x: e.t - x.t <= 43200) AS l FROM f JOIN e ON e.n = f.n + 1)))
@@ -253,7 +255,7 @@ def recent_client_admission(spark, sf_dir):
 )
 def remembered_conversations(spark, sf_dir):
     """Conversations that are still remembered: thirty at most, and none that was silent for half a day."""
-    t = events(spark, sf_dir).where("event_type <> 'view'").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), (F.unix_micros("ts") / 1e6).alias("at"))
+    t = events(spark, sf_dir).select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), (F.unix_micros("ts") / 1e6).alias("at"))
     return conversations.remembered_conversations(t, 30, 43200.0).select("conv_id", "turn", "known", "held")
 
 
@@ -345,3 +347,48 @@ def conversation_topics(spark, sf_dir):
     # the second version of the graph has lost two of the five products
     topics = said.select((F.col("conv_id") % 5).alias("k")).distinct().select(F.explode(F.when(F.col("k") < 2, F.array(F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(5.0)))).alias("at"), F.lit("en").alias("language"), F.concat(F.lit("product "), F.col("k").cast("string")).alias("topic"))
     return conversations.resolved_turns(turns, graph_topics=topics, category_terms={"en": {"user": "for users"}}).select("conv_id", "turn", "resolved_intent", "query", "topic", "follow_up", "remembered")
+
+
+_CHAIN_SQL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    c(user_id, event_id, n, previous_hash, event_hash) AS (SELECT user_id, event_id, n, repeat('0', 64), sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","previous_hash":"' || repeat('0', 64) || '"}') FROM e WHERE n = 1
+      UNION ALL SELECT e.user_id, e.event_id, e.n, c.event_hash, sha256('{"event_id":' || e.event_id || ',"event_type":"' || e.event_type || '","previous_hash":"' || c.event_hash || '"}') FROM c JOIN e ON e.user_id = c.user_id AND e.n = c.n + 1)
+    SELECT user_id, event_id, previous_hash, event_hash FROM c"""
+
+
+@query(_CHAIN_SQL)
+def audit_chain_appended(spark, sf_dir):
+    """Chains of each user's events that grow by three batches, of which one comes twice: those of one run over all."""
+    e = events(spark, sf_dir).select("user_id", "event_id", "event_type")
+    cuts = e.agg(F.percentile_approx("event_id", [0.4, 0.7])).first()[0]
+    log = chains.ChainLog(spark, work_folder(spark), ["event_id", "event_type"], ["user_id"], "event_id")
+    low = None
+    for batch, high in enumerate([*cuts, None]):
+        part = e if low is None else e.where(F.col("event_id") > low)
+        part = part if high is None else part.where(F.col("event_id") <= high)
+        log.append(part, batch)
+        log.append(part, batch)  # the same batch again: nothing changes
+        low = high
+    return log.entries().select("user_id", "event_id", "previous_hash", "event_hash")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'click' AND value >= 20")
+def database_scan(spark, sf_dir):
+    """The events in SQLite files, read again by ranges of rows with columns and conditions pushed into the files."""
+    folder = work_folder(spark)
+    database.write(events(spark, sf_dir).select("event_id", "user_id", "event_type", F.col("value").cast("double").alias("value")), folder, "events")
+    return database.scan(spark, folder, "events", ["event_id", "user_id", "value"], [("event_type", "=", "click"), ("value", ">=", 20)], rows_per_range=20_000)
+
+
+_FAN = 256
+
+
+@query(
+    f"""WITH l AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS node, sha256('{{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}') AS digest FROM orders),
+    a AS (SELECT node // {_FAN} AS node, count(*) AS n_rows, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM l GROUP BY 1),
+    b AS (SELECT node // {_FAN} AS node, sum(n_rows) AS n_rows, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM a WHERE (SELECT count(*) FROM a) > 1 GROUP BY 1),
+    c AS (SELECT node // {_FAN} AS node, sum(n_rows) AS n_rows, sha256(string_agg(digest, '' ORDER BY node)) AS digest FROM b WHERE (SELECT count(*) FROM b) > 1 GROUP BY 1)
+    SELECT 1 AS level, * FROM a UNION ALL SELECT 2, * FROM b UNION ALL SELECT 3, * FROM c"""
+)
+def order_digests(spark, sf_dir):
+    """A tree of digests over the orders in order."""
+    return versions.sequence_digests(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], _FAN)

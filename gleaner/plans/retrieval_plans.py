@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from gleaner import config
 from gleaner.functions import text as X
 from gleaner.functions import vectors as V
-from gleaner.operators import answers, index, retrieval, search, segments
+from gleaner.operators import answers, index, nearest, retrieval, search, segments
 from gleaner.plans.base import RECORDS, asked, query, r6, r6_sql, records, related_sql, sentences_sql, stored_index, table, terms_sql, words_sql
+from gleaner.storage import work_folder
 
 QUESTION = "What is the thereation of eredon"
 TERMS = X.query_terms(QUESTION)
@@ -189,6 +190,19 @@ def admin_search(spark, sf_dir):
     return found.select("source_id", "title", "canonical_url", "category", "language", "checksum", "score", "lexical_score", "confidence")
 
 
+@query(
+    f"""WITH q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0), s AS (SELECT question_id, vec_id, greatest(-1.0, list_cosine_similarity(embedding::DOUBLE[], v)) AS similarity FROM q, embeddings),
+    k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT question_id, vec_id, rank, {r6_sql('similarity')} AS similarity FROM k WHERE rank <= 10"""
+)
+def vectors_topk_many(spark, sf_dir):
+    """The ten nearest vectors of many questions: every fiftieth vector asks, against all of them, without a look at each pair."""
+    v = _vectors(spark, sf_dir).withColumn("language", F.lit("all"))
+    made = nearest.clustered(v, "vec_id")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("question_id"), "language", "vector")
+    found = nearest.top_k(made, asked, 10)
+    return found.select("question_id", F.col("chunk_id").alias("vec_id"), "rank", r6(F.col("similarity")).alias("similarity"))
+
+
 @query("SELECT vec_id, label % 3 <> 0 AND label % 5 <> 1 AS valid FROM embeddings")
 def vector_validity(spark, sf_dir):
     """Vectors of which some are made empty and some all zeros."""
@@ -277,6 +291,22 @@ def index_search_many(spark, sf_dir):
     return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
 
 
+@query(_many_sql().replace("FROM documents)", "FROM (SELECT * REPLACE (CASE WHEN doc_id % 97 = 5 THEN upper(text) || ' thereation' ELSE text END AS text) FROM documents WHERE doc_id % 89 <> 7))"))
+def index_updated_search(spark, sf_dir):
+    """Search after a change of some records and the removal of others: a segment more, dead rows, and the results of a rebuilt index."""
+    n = F.substring_index("source_id", "_", -1).cast("long")
+    old = records(spark, sf_dir)
+    new_text = F.when(n % 97 == 5, F.concat(F.upper("content"), F.lit(" thereation"))).otherwise(F.col("content"))
+    new = old.where(n % 89 != 7).withColumn("content", new_text).withColumns({"title": F.left("content", F.lit(60)), "checksum": X.checksum(F.col("content"))})
+    folder, whole = work_folder(spark), lambda r: r.withColumn("chunk_id", F.col("source_id"))
+    segments.update(old, folder, whole)
+    segments.update(new, folder, whole)
+    found = search.lexical_search(segments.Index.read(spark, folder), asked(spark, _MANY))
+    rows = found.select("question_id", F.substring_index("source_id", "_", -1).cast("long").alias("doc_id"), r6(F.col("lexical_score")).alias("score"))
+    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+
+
 @query()
 def evaluation_cases(spark, sf_dir):
     """An evaluation suite over the index in one job: retrieval and deterministic cases, of which some expect what isn't there."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,13 @@ def build_site(pages: DataFrame, folder: str, home: str | None = None, languages
     return made
 
 
+def stage_counts(made: dict[str, DataFrame]) -> DataFrame:
+    """(stage, n_rows) of each dataset."""
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows") for name, df in made.items()))
+
+
 def build_report(made: dict[str, DataFrame]) -> DataFrame:
     """One row: how many rows each stage has, how many headings gave no entity, and whether a cap cut the graph."""
-    counts = None
-    for name in STAGES[:-1]:
-        n = made[name].agg(F.count("*").alias(name))
-        counts = n if counts is None else counts.crossJoin(n)  # one row each
-    return counts.crossJoin(made["report"])
+    counts = stage_counts({name: made[name] for name in STAGES[:-1]})
+    row = counts.agg(*(F.max(F.when(F.col("stage") == name, F.col("n_rows"))).alias(name) for name in STAGES[:-1]))
+    return row.crossJoin(made["report"])  # one row each

@@ -687,3 +687,49 @@ def test_login_throttle_overall(spark):
         assert {r.id: r.admitted for r in got} == plain(rows, 2, 5, 60)
         assert all((r.retry_after == 0) == r.admitted for r in got)
     assert sum(plain(cases[0], 2, 5, 60).values()) == 5 and sum(plain(cases[0], 2, 100, 60).values()) == 12
+
+
+def test_chain_log(spark, tmp_path):
+    """Three batches and a repeat give the chain of one run; an event at or before its chain's head refuses the whole batch."""
+    from gleaner.operators.chains import ChainLog
+    from gleaner.operators.versions import Conflict
+
+    rows = spark.createDataFrame([(f"t{k % 3}", k, f"act{k}") for k in range(12)], "tenant string, sequence long, action string")
+    log = ChainLog(spark, str(tmp_path / "log"), ["action"], ["tenant"])
+    parts = [rows.where("sequence < 4"), rows.where("sequence BETWEEN 4 AND 7"), rows.where("sequence > 7")]
+    assert [log.append(p, n) for p, n in ((parts[0], 0), (parts[1], 1), (parts[1], 1), (parts[2], 2), (parts[0], 0))] == [True, True, False, True, False]
+    assert {tuple(r) for r in log.entries().collect()} == {tuple(r) for r in logs.chained(rows, ["action"], ["tenant"]).collect()}
+    late = spark.createDataFrame([("t0", 9, "late"), ("new", 1, "first")], rows.schema)
+    with pytest.raises(Conflict):
+        log.append(late, 3)
+    assert log.append(late.where("tenant = 'new'"), 3) and {r.tenant for r in log.heads().collect()} == {"t0", "t1", "t2", "new"}
+    stream = ChainLog(spark, str(tmp_path / "streamed"), ["action"], ["tenant"])
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")).writeStream.foreachBatch(stream.sink()).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert stream.entries().count() == 12
+
+
+def test_sequence_digests(spark):
+    """Equal for equal sequences however they are dealt; the first differing range is found; a plain form has the same root."""
+    rows = spark.range(1000).select("id", F.concat(F.lit("v"), F.col("id").cast("string")).alias("v"))
+    level = [hashlib.sha256(f'{{"id":{i},"v":"v{i}"}}'.encode()).hexdigest() for i in range(1000)]
+    while len(level) > 1:
+        level = [hashlib.sha256("".join(level[i : i + 10]).encode()).hexdigest() for i in range(0, len(level), 10)]
+    a = versions.sequence_digests(rows.repartition(7), ["id"], 10)
+    assert a.orderBy(F.desc("level")).first().digest == level[0] == versions.sequence_digests(rows.coalesce(1), ["id"], 10).orderBy(F.desc("level")).first().digest
+    b = versions.sequence_digests(rows.withColumn("v", F.when(F.col("id").isin(537, 900), "x").otherwise(F.col("v"))), ["id"], 10)
+    assert versions.first_difference(a, b, 10) == (530, 540) and versions.first_difference(a, a, 10) is None
+    longer = versions.sequence_digests(rows.union(spark.sql("SELECT 1000L AS id, 'more' AS v")), ["id"], 10)
+    low, high = versions.first_difference(a, longer, 10)
+    assert low <= 1000 < high or low >= 1000
+    assert versions.sequence_digests(rows.limit(0), ["id"]).first().n_rows == 0
+
+
+def test_long_texts_have_linear_spans(spark):
+    """A text of 100,000 lines, nulls, empty texts and several marks."""
+    text = "\n".join(f"line {i}" for i in range(100_000))
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "a\n\n\nb\n")], "k int, t string")
+    got = {r.k: r.s for r in df.select("k", X.paragraph_spans(F.col("t"), "\n").alias("s")).collect()}
+    assert len(got[1]) == 100_000 and got[1][-1].stop == len(text) and got[2] is None and [(s.start, s.stop, s.label) for s in got[3]] == [(0, 0, "")]
+    assert [(s.start, s.stop, s.label) for s in got[4]] == [(0, 2, "a"), (2, 3, ""), (3, 4, ""), (4, 6, "b"), (6, 6, "")]

@@ -195,3 +195,29 @@ def test_row_blocks(spark):
     rows = spark.range(60).select(F.col("id"), (F.col("id") * 2).alias("v"))
     got = imports.row_blocks(rows, ["id"], ["id", "v"]).orderBy("block").collect()
     assert [r.label for r in got] == ["Rows 1-25", "Rows 26-50", "Rows 51-60"] and got[0].content.startswith("0 | 0\n1 | 2")
+
+
+def test_database_scan(spark, tmp_path):
+    """Ranges, columns and conditions against the rows; several files, values of another type, missing columns and tables."""
+    import sqlite3
+
+    from gleaner.sources import database
+
+    rows = spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("x"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"), F.when(F.col("id") % 2 == 0, F.lit(1)).alias("flag"))
+    folder = str(tmp_path / "db")
+    files = database.write(rows.repartition(3), f"file:{folder}", "t t")
+    assert len(files) == 3
+    with sqlite3.connect(f"{folder}/zz.db") as db:
+        db.execute('CREATE TABLE "t t" (id INTEGER, name TEXT, x REAL)')
+        db.execute('INSERT INTO "t t" VALUES (5000, 7, 3), (NULL, "odd", "text")')
+        db.execute("CREATE TABLE other (a)")
+    whole = database.scan(spark, folder, "t t", rows_per_range=100)
+    assert whole.count() == 1002 and {(r.id, r.name, r.flag) for r in whole.where("x IS NULL OR id = 5000").collect()} == {(5000, "7", None), (None, "odd", None)}
+    some = database.scan(spark, folder, "t t", ["name"], [("x", ">=", 3), ("flag", "is not null", None), ("id", "in", [3, 4, 6, 10, 12])], rows_per_range=64)
+    assert some.columns == ["name"] and sorted(r["name"] for r in some.collect()) == ["n10", "n12", "n4", "n6"]
+    assert database.planned_ranges(spark, folder, "t t", 100).count() >= 10 and database.planned_ranges(spark, folder, "other", 100).count() == 0
+    for bad in ([("nope", "=", 1)], [("x", "; drop", 1)]):
+        with pytest.raises(ValueError):
+            database.scan(spark, folder, "t t", where=bad)
+    with pytest.raises(ValueError):
+        database.local_path("s3://bucket/x")
