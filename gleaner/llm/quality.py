@@ -92,9 +92,10 @@ def document_features(text: str | None, s: Settings) -> tuple[np.ndarray, np.nda
         return np.empty(0, np.int32), np.empty(0, np.float32)
     total = np.zeros(s.buckets)
     for low in range(0, len(words), WORDS_AT_ONCE):
-        part = words[low : low + WORDS_AT_ONCE]
-        first = np.arange(low, low + len(part)) % WORDS_AT_ONCE == 0
-        share = 1 / (word_sizes(part, first, s) * len(words))
+        before = int(low > 0)  # the last word of the part before, for the pair with the first of this one
+        part = words[low - before : low + WORDS_AT_ONCE]
+        first = np.arange(len(part)) == 0
+        share = np.where(np.arange(len(part)) < before, 0.0, 1 / (word_sizes(part, first, s) * len(words)))
         for word, bucket in word_features(part, first, s):
             total += np.bincount(bucket, share[word], s.buckets)
     ids = np.flatnonzero(total)
@@ -191,12 +192,14 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight, base = sent.value
 
-        def numbers(words: list[str], sizes: list[int]) -> np.ndarray:
-            """The mean weight of each word's features."""
+        def numbers(words: list[str], sizes: list[int], again: list[bool]) -> np.ndarray:
+            """The mean weight of each word's features; zero for a word that only stands before its text's next part."""
             total, first = np.zeros(len(words)), np.zeros(len(words), bool)
-            first[np.cumsum([0, *sizes[:-1]])] = True
+            begin = np.cumsum([0, *sizes[:-1]])
+            first[begin] = True
             for word, bucket in word_features(words, first, s):
                 total += np.bincount(word, weight[bucket], len(words))
+            total[begin[again]] = 0
             return total / word_sizes(words, first, s)
 
         for batch in batches:
@@ -204,22 +207,23 @@ def score(docs: DataFrame, model: bytes | None, id_col: str = "doc_id", text_col
             held: list[str] = []
             owner: list[int] = []
             sizes: list[int] = []
+            again: list[bool] = []
 
             def settle():
                 if held:
-                    sums[:] += np.bincount(np.repeat(owner, sizes), numbers(held, sizes), batch.num_rows)
-                    held.clear()
-                    owner.clear()
-                    sizes.clear()
+                    sums[:] += np.bincount(np.repeat(owner, sizes), numbers(held, sizes, again), batch.num_rows)
+                    for listed in (held, owner, sizes, again):
+                        listed.clear()
 
             for k, text in enumerate(batch.column(batch.num_columns - 1)):
                 words = (text.as_py() or "").split()
                 counts[k] = len(words)
                 for low in range(0, len(words), WORDS_AT_ONCE):
-                    part = words[low : low + WORDS_AT_ONCE]
+                    part = words[max(0, low - 1) : low + WORDS_AT_ONCE]
                     held += part
                     owner.append(k)
                     sizes.append(len(part))
+                    again.append(low > 0)
                     if len(held) >= WORDS_AT_ONCE:
                         settle()
             settle()

@@ -178,7 +178,8 @@ def spotsigs_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2's operator on records of four layouts: JSON texts that conversations are written as, by number and by their turns."""
-    turns = chat.as_records(table(spark, sf_dir, "conversations").where("coalesce(role, '') NOT IN ('human', 'gpt')"))
+    role = F.when(F.col("role") == "human", "user").when(F.col("role") == "gpt", "assistant").otherwise(F.col("role"))
+    turns = chat.as_records(table(spark, sf_dir, "conversations").withColumn("role", role))
     m = F.col("record.messages")
     two = (F.size(m) == 2) & (m[0].role == "user") & (m[1].role == "assistant")
     said = F.transform(m, lambda t: F.struct(F.when(t.role == "user", "human").when(t.role == "assistant", "gpt").otherwise(t.role).alias("from"), t.content.alias("value")))

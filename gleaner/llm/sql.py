@@ -12,7 +12,7 @@ def chat(control: str) -> str:
     SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g"""
 
 
-LAYOUTS = """WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE coalesce(role, '') NOT IN ('human', 'gpt')),
+LAYOUTS = """WITH t AS (SELECT conv_id, turn, CASE role WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE coalesce(role, '') END AS role, coalesce(text, '') AS text FROM conversations),
     g AS (SELECT conv_id, count(*) AS n_turns, list(role ORDER BY turn, role, text) AS roles, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said FROM t GROUP BY conv_id)
     SELECT conv_id, CASE WHEN roles = ['user', 'assistant'] AND conv_id % 3 = 0 THEN 'prompt_completion' WHEN roles = ['user', 'assistant'] AND conv_id % 3 = 1 THEN 'instruction' WHEN conv_id % 3 = 1 THEN 'conversations' ELSE 'messages' END AS layout,
     NULL AS error, n_turns, sha256(said) AS turns_sha256 FROM g"""

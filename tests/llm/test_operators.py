@@ -161,6 +161,31 @@ def test_quality_parts_add_up():
     assert (total / quality.word_sizes(words, first, s)).mean() == pytest.approx(share @ weight[ids], abs=1e-4)
 
 
+def test_quality_parts_change_nothing(monkeypatch):
+    """A text's features are the same in parts of any size: a part's first word keeps its pair with the word before."""
+    s = quality.Settings()
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(("one", "two", "two", "three", "fünf")) for _ in range(n)) for n in (1, 5, 6, 23, 60)]
+    whole = [quality.document_features(t, s) for t in texts]
+    monkeypatch.setattr(quality, "WORDS_AT_ONCE", 6)
+    for (ids, weights), t in zip(whole, texts):
+        got = quality.document_features(t, s)
+        assert (got[0] == ids).all() and got[1] == pytest.approx(weights, abs=1e-6)
+
+
+def test_quality_scores_of_long_texts(spark):
+    """A text of several parts has the score that its features give."""
+    s = quality.Settings()
+    rng = random.Random(7)
+    text = " ".join(rng.choice(("one", "two", "two", "three", "fünf")) for _ in range(2 * quality.WORDS_AT_ONCE + 9))
+    rows = spark.createDataFrame([(1, "short text"), (2, text), (3, None)], "doc_id long, text string").coalesce(1)
+    vectors, out, bias = np.random.default_rng(1).normal(size=(s.buckets, s.dim)).astype(np.float32), np.random.default_rng(3).normal(size=(2, s.dim)).astype(np.float32), np.zeros(2, np.float32)
+    got = {r.doc_id: r.score for r in quality.score(rows, quality._saved(vectors, out, bias)).collect()}
+    ids, share = quality.document_features(text, s)
+    logit = out @ (share @ vectors[ids]) + bias
+    assert got[2] == pytest.approx(np.exp(logit[1]) / np.exp(logit).sum(), abs=1e-4)
+
+
 def test_sharding(spark, docs, empty):
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(spark, names, 1009)
