@@ -9,31 +9,43 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.storage import cut
 
-FORMAT = 1
+#: The present format: one more than there are steps in MIGRATIONS.
+FORMAT = 2
+_VERSION, _DATASET = re.compile(r"[0-9a-f]{32}"), re.compile(r"[A-Za-z][A-Za-z0-9_]*")
 
 
 class Conflict(ValueError):
     """The dataset changed meanwhile, or a change breaks one of its rules."""
 
 
+def _row_hash(columns: list[str]) -> Column:
+    return F.xxhash64(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
+
+
 def content_digest(df: DataFrame) -> dict:
     """Rows and an order-free digest, which executors add up: equal for equal multisets of rows."""
-    row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"})).cast("decimal(38,0)")
-    got = df.agg(F.count("*").alias("rows"), F.sum(row).alias("sum")).first()
+    got = df.agg(F.count("*").alias("rows"), F.sum(_row_hash(df.columns)).alias("sum")).first()
     return {"rows": got.rows, "digest": str(got["sum"] or 0)}
 
 
+def file_digests(df: DataFrame) -> DataFrame:
+    """(file, bytes, rows, digest) of the files of a table that was read from a folder; files without rows have none."""
+    own = df.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"), _row_hash(df.columns).alias("h"))
+    return own.groupBy("file", "bytes").agg(F.count("*").alias("rows"), F.sum("h").cast("string").alias("digest"))
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row (missing, extra, equal): multiset differences both ways, from one aggregate by whole rows."""
     columns = sorted(a.columns)
@@ -52,10 +64,13 @@ def coverage_drop(old: DataFrame, new: DataFrame, key: str = "source_id") -> Dat
 
 
 class Versions:
-    """Versions of named datasets in a folder that Spark writes to."""
+    """Versions of named datasets in a folder that Spark writes to.
 
-    def __init__(self, spark: SparkSession, root: str, max_drop: float = 0.30):
-        self.spark, self.root, self.max_drop = spark, root.rstrip("/"), max_drop
+    rules gives the faults of a version's datasets (a graph's violations, say); each load asks it, and any fault refuses.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, max_drop: float = 0.30, rules: Callable[[dict[str, DataFrame]], list[str]] | None = None):
+        self.spark, self.root, self.max_drop, self.rules = spark, root.rstrip("/"), max_drop, rules
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -103,33 +118,73 @@ class Versions:
         return with_pointer(versions, pointed)
 
     def stage(self, datasets: dict[str, DataFrame], home_url: str) -> str:
-        """Writes a version that is not active yet; its id."""
+        """Writes a version that is not active yet; its id. The manifest has each dataset's rows and digest; beside the data lie those of each file."""
+        if odd := [n for n in datasets if not _DATASET.fullmatch(n)]:
+            raise ValueError(f"not a dataset's name: {', '.join(odd)}")
         version = uuid.uuid4().hex
         parts = {}
         for name, df in datasets.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
-            parts[name] = content_digest(self.spark.read.parquet(f"{self.root}/{version}/{name}"))
-        self._create(f"{version}.json", {"format": FORMAT, "home_url": home_url, "datasets": parts, "created": time.time()})
+            file_digests(self.spark.read.parquet(f"{self.root}/{version}/{name}")).coalesce(1).write.parquet(f"{self.root}/{version}/_files/{name}")
+            parts[name] = self._total(f"{self.root}/{version}/_files/{name}")
+        steps = [[m.version, m.name, m.checksum] for m in MIGRATIONS]
+        self._create(f"{version}.json", {"format": FORMAT, "home_url": home_url, "datasets": parts, "created": time.time(), "steps": steps})
         return version
 
-    def load(self, version: str) -> dict[str, DataFrame]:
-        """A version's datasets; Conflict if one is missing or its rows are not those of the manifest."""
-        manifest = self._read(f"{version}.json")
-        if manifest is None or not 1 <= manifest.get("format", 0) <= FORMAT:
+    def _total(self, folder: str) -> dict:
+        """content_digest() of a dataset, from those of its files."""
+        got = self.spark.read.parquet(folder).agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.col("digest").cast("decimal(38,0)")), F.lit(0)).alias("sum")).first()
+        return {"rows": got.rows, "digest": str(got["sum"])}
+
+    def manifest(self, version: str) -> dict:
+        """A version's manifest; Conflict if the id could lead out of the folder, or if there is none in a known format and of known steps."""
+        if not isinstance(version, str) or not _VERSION.fullmatch(version):
+            raise Conflict("not a version's id")
+        found = self._read(f"{version}.json")
+        if found is None or not 1 <= found.get("format", 0) <= FORMAT or not all(map(_DATASET.fullmatch, found["datasets"])):
             raise Conflict("no such version in a known format")
+        known = [(m.version, m.name, m.checksum) for m in MIGRATIONS[: found["format"] - 1]]
+        if faults := migration_faults([tuple(x) for x in found.get("steps", known)], MIGRATIONS):
+            raise Conflict("; ".join(faults))
+        return found
+
+    def file_faults(self, version: str, name: str) -> DataFrame:
+        """(file, fault) of a dataset's files: missing, unknown, size, or content. Versions of the first format have no list of files."""
+        want = self.spark.read.parquet(f"{self.root}/{version}/_files/{name}")
+        got = file_digests(self.spark.read.parquet(f"{self.root}/{version}/{name}"))
+        met = want.toDF("file", "b", "r", "d").join(got, "file", "full")
+        fault = F.when(F.col("bytes").isNull(), "missing").when(F.col("b").isNull(), "unknown").when(F.col("b") != F.col("bytes"), "size").when((F.col("r") != F.col("rows")) | (F.col("d") != F.col("digest")), "content")
+        return met.select("file", fault.alias("fault")).where("fault IS NOT NULL")
+
+    def load(self, version: str) -> dict[str, DataFrame]:
+        """A version's datasets in the present format; Conflict unless all files are as they were written and `rules` finds no fault.
+
+        Versions of older formats go through the steps since. The first damaged files are named.
+        """
+        manifest = self.manifest(version)
         out = {}
         for name, want in manifest["datasets"].items():
             try:
                 out[name] = self.spark.read.parquet(f"{self.root}/{version}/{name}")
-                got = content_digest(out[name])
+                damaged = [f"{r.file}: {r.fault}" for r in self.file_faults(version, name).orderBy("file").limit(4).collect()] if manifest["format"] > 1 else []
+                got = content_digest(out[name]) if manifest["format"] == 1 else self._total(f"{self.root}/{version}/_files/{name}")
             except Exception as e:
                 raise Conflict(f"{name} can't be read") from e
+            if damaged:
+                raise Conflict(f"{name} is not as it was written: {', '.join(damaged)}")
             if got != want:
                 raise Conflict(f"{name} is not as it was written")
         for step in MIGRATIONS[manifest["format"] - 1 :]:
             out = step.apply(out)
+        if self.rules and (faults := self.rules(out)):
+            raise Conflict(f"the version has faults: {', '.join(faults[:4])}")
         return out
 
+    def migrate(self, version: str) -> str:
+        """A version of an older format, staged anew in the present one, with the steps that made it; its id."""
+        manifest = self.manifest(version)
+        return version if manifest["format"] == FORMAT else self.stage(self.load(version), manifest["home_url"])
+
     def activate(self, version: str, revision: int, key: str = "source_id", records: str = "records", replace_site: bool = False, allow_drop: bool = False, operation: str = "activate", check: Callable[[dict[str, DataFrame]], list[str]] | None = None) -> dict:
         """Makes a version the active one, if the revision is current, it has rows, and coverage doesn't drop too far.
 
@@ -260,8 +315,21 @@ def latest_formats(history: DataFrame) -> DataFrame:
     return history.groupBy("dataset").agg(F.max("version").alias("format"))
 
 
-#: Steps from each format to the next: none so far.
-MIGRATIONS: tuple[Migration, ...] = ()
+def _plain_records(datasets: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Records as format 2 has them: languages without a region, a status for each, checksums with their kind."""
+    if "records" not in datasets:
+        return datasets
+    r = datasets["records"]
+    made = {
+        "language": lambda c: F.regexp_extract(F.lower(c), r"^([^-_]*)", 1),
+        "source_status": lambda c: F.coalesce(c, F.lit("active")),
+        "checksum": lambda c: F.when(c.rlike("^[0-9a-f]{64}$"), F.concat(F.lit("sha256:"), c)).otherwise(c),
+    }
+    return datasets | {"records": r.withColumns({c: f(F.col(c)) for c, f in made.items() if c in r.columns})}
+
+
+#: Steps from each format to the next.
+MIGRATIONS: tuple[Migration, ...] = (Migration(1, "plain_records", _plain_records),)
 
 
 def changed(registry: DataFrame, changes: DataFrame, key: str = "source_id") -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gleaner import config
+from gleaner.functions import digests
 from gleaner.functions import text as X
 from gleaner.functions import urls as U
-from gleaner.operators import admission, duplicates, index, records as R, versions
+from gleaner.operators import admission, duplicates, index, records as R, routing, versions
 from gleaner.plans.base import RECORDS, WORD_SQL, events, query, records, table, terms_sql
 from gleaner.sources import build, imports, pages as P
 from gleaner.storage import work_folder
@@ -352,3 +353,30 @@ def site_build(spark, sf_dir):
 @query()
 def readable_pages(spark, sf_dir):
     return P.readable(table(spark, sf_dir, "pages")).select("url", F.sha2("text", 256).alias("digest"), F.length("text").alias("n_chars"))
+
+
+@query("SELECT s_suppkey AS contact_id, s_name AS name, 'https://x.org/' || s_nationkey AS official_source_url FROM supplier WHERE s_suppkey % 3 <> 0")
+def public_contacts(spark, sf_dir):
+    """Suppliers as contacts, of which a third is not active; what only routing needs stays inside."""
+    s = table(spark, sf_dir, "supplier")
+    listed = F.array(F.lit("product")), F.array(F.lit("sweden"))
+    contacts = s.select(F.col("s_suppkey").alias("contact_id"), F.col("s_name").alias("name"), F.concat(F.lit("https://x.org/"), F.col("s_nationkey").cast("string")).alias("official_source_url"), (F.col("s_suppkey") % 3 != 0).alias("active"), F.lit(1).alias("priority"), listed[0].alias("product_categories"), listed[0].alias("service_categories"), listed[1].alias("geographic_regions"))
+    return routing.public_contacts(contacts)
+
+
+@query("SELECT 'doc_' || doc_id AS source_id, CASE WHEN doc_id % 4 = 0 THEN len(string_split(text, chr(10))) END AS n_locations FROM documents")
+def record_locations(spark, sf_dir):
+    """Records with the spans of their imported documents; three quarters were not imported."""
+    r = records(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 0").select(F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source_id"), X.paragraph_spans(F.col("text"), "\n").alias("locations"))
+    return index.with_locations(r, d).select("source_id", F.when(F.col("locations").isNotNull(), F.size("locations")).cast("long").alias("n_locations"))
+
+
+_SECRET = b"a secret for tests"
+_PADS = tuple(bytes(b ^ pad for b in _SECRET.ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+
+
+@query(f"SELECT event_id, sha256(from_hex('{_PADS[1]}') || from_hex(sha256(from_hex('{_PADS[0]}') || encode(user_id::VARCHAR)))) AS client FROM events")
+def client_hashes(spark, sf_dir):
+    """Clients of events by keyed hashes."""
+    return events(spark, sf_dir).select("event_id", digests.client_hash(_SECRET)(F.col("user_id").cast("string")).alias("client"))

@@ -733,3 +733,75 @@ def test_long_texts_have_linear_spans(spark):
     got = {r.k: r.s for r in df.select("k", X.paragraph_spans(F.col("t"), "\n").alias("s")).collect()}
     assert len(got[1]) == 100_000 and got[1][-1].stop == len(text) and got[2] is None and [(s.start, s.stop, s.label) for s in got[3]] == [(0, 0, "")]
     assert [(s.start, s.stop, s.label) for s in got[4]] == [(0, 2, "a"), (2, 3, ""), (3, 4, ""), (4, 6, "b"), (6, 6, "")]
+
+
+def test_loads_fail_closed(spark, tmp_path):
+    """A changed file, a missing one, one too many, an id that leads outside and a broken edge each refuse; the file is named."""
+    import glob
+    import os
+    import shutil
+
+    from gleaner.operators.versions import Conflict, Versions
+
+    def rules(datasets):
+        lost = datasets["edges"].join(datasets["records"].select("source_id"), "source_id", "left_anti")
+        return [f"edge of {r.source_id}" for r in lost.limit(3).collect()]
+
+    records = spark.createDataFrame([(f"s{k}", f"text {k}") for k in range(40)], "source_id string, content string")
+    edges = spark.createDataFrame([("s1", "x")], "source_id string, object string")
+    store = Versions(spark, str(tmp_path / "store"), rules=rules)
+    version = store.stage({"records": records.repartition(4), "edges": edges}, "https://x.org/")
+    assert store.load(version)["records"].count() == 40
+    broken = store.stage({"records": records, "edges": edges.union(edges.selectExpr("'none'", "'y'"))}, "https://x.org/")
+    with pytest.raises(Conflict, match="edge of none"):
+        store.load(broken)
+    for outside in ("../other", "", version + "/../x", None):
+        with pytest.raises(Conflict, match="not a version"):
+            store.load(outside)
+    with pytest.raises(ValueError):
+        store.stage({"../records": records}, "https://x.org/")
+    files = sorted(glob.glob(str(tmp_path / "store" / version / "records" / "*.parquet")))
+    other = spark.createDataFrame([("s0", "forged")], "source_id string, content string")
+    other.coalesce(1).write.parquet(str(tmp_path / "forged"))
+    forged = glob.glob(str(tmp_path / "forged" / "*.parquet"))[0]
+    crc = lambda f: os.path.join(os.path.dirname(f), "." + os.path.basename(f) + ".crc")
+    kept = str(tmp_path / "kept")
+    shutil.copy(files[1], kept)
+    os.remove(crc(files[1]))
+    shutil.copy(forged, files[1])
+    with pytest.raises(Conflict, match=os.path.basename(files[1])):
+        store.load(version)
+    shutil.copy(kept, files[1])
+    assert store.load(version)["records"].count() == 40
+    shutil.copy(forged, files[1].replace("part-", "part-x"))
+    with pytest.raises(Conflict, match="unknown"):
+        store.load(version)
+    os.remove(files[1].replace("part-", "part-x"))
+    os.remove(files[1])
+    with pytest.raises(Conflict, match="missing"):
+        store.load(version)
+
+
+def test_an_old_format_is_migrated(spark, tmp_path):
+    """A folder of format 1 loads as the present format and can be staged in it; a changed step refuses."""
+    import json
+
+    from gleaner.operators.versions import FORMAT, Conflict, Versions
+
+    store = Versions(spark, str(tmp_path / "store"))
+    old = spark.createDataFrame([("a", "en-GB", None, "0" * 64), ("b", "sv", "archived", "sha256:" + "1" * 64)], "source_id string, language string, source_status string, checksum string")
+    version = "0" * 32
+    old.write.parquet(str(tmp_path / "store" / version / "records"))
+    manifest = {"format": 1, "home_url": "https://x.org/", "datasets": {"records": versions.content_digest(old)}, "created": 1.0}
+    (tmp_path / "store" / f"{version}.json").write_text(json.dumps(manifest))
+    want = {("a", "en", "active", "sha256:" + "0" * 64), ("b", "sv", "archived", "sha256:" + "1" * 64)}
+    assert {tuple(r) for r in store.load(version)["records"].collect()} == want
+    new = store.migrate(version)
+    assert new != version and store.manifest(new)["format"] == FORMAT and store.migrate(new) == new
+    assert {tuple(r) for r in store.load(new)["records"].collect()} == want
+    said = json.loads((tmp_path / "store" / f"{new}.json").read_text())
+    said["steps"][0][2] = "another"
+    (tmp_path / "store" / f"{new}.json").write_text(json.dumps(said))
+    (tmp_path / "store" / f".{new}.json.crc").unlink(missing_ok=True)
+    with pytest.raises(Conflict, match="differs"):
+        store.load(new)

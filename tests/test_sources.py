@@ -221,3 +221,56 @@ def test_database_scan(spark, tmp_path):
             database.scan(spark, folder, "t t", where=bad)
     with pytest.raises(ValueError):
         database.local_path("s3://bucket/x")
+
+
+def test_polite_crawl(spark, tmp_path):
+    """Seeds of nested sitemap files, disallowed pages, delays of a host, and budgets of seconds and bytes; what they cut is reported."""
+    files = {
+        "robots": "User-agent: *\nDisallow: /private\nCrawl-delay: 5\nSitemap: https://shop.example.org/index.xml",
+        HOME + "index.xml": f"<sitemapindex><sitemap><loc>{HOME}one.xml</loc></sitemap><sitemap><loc>{HOME}index.xml</loc></sitemap><sitemap><loc>{HOME}gone.xml</loc></sitemap></sitemapindex>",
+        HOME + "one.xml": f"<urlset><url><loc>{HOME}s1</loc></url><url><loc>{HOME}s2</loc></url><url><loc>https://else.org/x</loc></url></urlset>",
+    }
+    pages_ = {"": "a private/x", "s1": "s2 b", "s2": "", "a": "b", "b": "c", "c": ""}
+    bodies = {HOME + k: "<html><body>" + "".join(f'<a href="/{x}">l</a>' for x in v.split()) + "</body></html>" for k, v in pages_.items()} | {k: v for k, v in files.items() if k != "robots"}
+    table = spark.createDataFrame(list(bodies.items()), "url string, html string")
+    asked = []
+
+    def fetch(urls):
+        asked.extend((r.url.removeprefix(HOME), r.not_before) for r in urls.collect() if "not_before" in r)
+        return urls.join(table, "url")
+
+    robots = spark.createDataFrame([("shop.example.org", files["robots"])], "host string, body string")
+    seeds, read = site.sitemap_seeds(site.robots_sitemaps(robots), HOME, fetch, spark, str(tmp_path / "maps"))
+    assert sorted(r.url for r in seeds.collect()) == [HOME + "s1", HOME + "s2"] and tuple(read.first()) == (3, [])
+    assert site.sitemap_seeds(site.robots_sitemaps(robots), HOME, fetch, spark, str(tmp_path / "few"), max_files=1)[1].first().cut == ["max_files"]
+    rules = site.robots_rules(robots)
+    found, report = site.discover(HOME, fetch, spark, str(tmp_path / "all"), seeds=seeds, rules=rules)
+    assert {r.url.removeprefix(HOME): r.depth for r in found.collect()} == {"": 0, "s1": 0, "s2": 0, "a": 1, "b": 1, "c": 2}
+    r = report.first()
+    assert (r.pages, r.unfetched, r.disallowed, r.cut) == (6, 0, 1, []) and r.seconds == 25.0
+    assert sorted(t for _, t in asked) == [0.0, 5.0, 10.0, 15.0, 20.0, 25.0] and [u for u, t in asked if t == 0] == [""]
+    found, report = site.discover(HOME, fetch, spark, str(tmp_path / "time"), seeds=seeds, rules=rules, max_seconds=12.0)
+    assert found.count() == 3 and report.first().cut == ["max_seconds"]
+    found, report = site.discover(HOME, fetch, spark, str(tmp_path / "bytes"), max_bytes=len(bodies[HOME]) + 5)
+    assert [x.url for x in found.collect()] == [HOME] and "max_bytes" in report.first().cut
+
+
+def test_uploads_survive_a_crash(spark, tmp_path):
+    """A crash between the phases leaves the old state; a second writer fails; bytes are kept once and held against their checksum."""
+    from gleaner.operators.versions import Conflict
+    from gleaner.sources.uploads import Uploads
+
+    store = Uploads(spark, str(tmp_path / "up"), most=3)
+    files = lambda *rows: spark.createDataFrame([(p, c.encode(), p) for p, c in rows], "path string, content binary, source_id string")
+    assert store.add(files(("a", "one"), ("b", "two"), ("c", "one"))).collect() == [("c", "already_approved")]
+    held = lambda: {r.path: bytes(r.content) for r in Uploads(spark, str(tmp_path / "up"), 3).contents().collect()}
+    assert held() == {"a": b"one", "b": b"two"}
+    state, refused = store.prepare(files(("d", "three"), ("e", "two")))
+    assert held() == {"a": b"one", "b": b"two"} and [r.path for r in refused.collect()] == ["e"]  # the crash
+    other, _ = store.prepare(files(("f", "four")))
+    store.commit(other)
+    with pytest.raises(Conflict):
+        store.commit(state)
+    assert held() == {"a": b"one", "b": b"two", "f": b"four"}
+    assert [r.reason for r in store.add(files(("g", "five"))).collect()] == ["too_many_documents"] and len(held()) == 3
+    assert store.vacuum() and held() == {"a": b"one", "b": b"two", "f": b"four"}
