@@ -14,7 +14,7 @@ from itertools import combinations
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from gleaner.llm.common import null_to_empty
 
@@ -27,8 +27,10 @@ SEED = 42
 class Layout:
     """Declares where turns are: a list of messages, or single fields that are one turn each.
 
-    A path is a field, or `list[].field` for the fields of a list's elements. `required` paths must be there, `optional`
-    ones may be; a path of another layout rules this one out, unless it is optional here. roles renames role names.
+    A path names nested fields, `a.b`, and `a.list[].b` those of a list's elements, at any depth. `required` paths must be
+    there, `optional` ones may be; a path of another layout rules this one out, unless it is optional here. messages is the
+    path of the list of turns; role and text are paths within its elements, or fields has the path of each role's
+    text. roles renames role names.
     """
 
     name: str
@@ -44,30 +46,72 @@ class Layout:
     def paths(self) -> tuple[str, ...]:
         return self.required + self.optional
 
-    def fingerprints(self) -> list[int]:
-        """The hash of the required paths with each choice of optional ones."""
-        return [path_hash([*self.required, *some]) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
+    def fingerprints(self, known: list[str]) -> list[int]:
+        """The hash of the required paths with each choice of optional ones, and with those known paths that lead to them."""
+
+        def whole(own: tuple[str, ...]) -> set[str]:
+            return {*own, *(k for k in known if any(p.startswith((f"{k}.", f"{k}[].")) for p in own))}
+
+        return [path_hash(whole((*self.required, *some))) for n in range(len(self.optional) + 1) for some in combinations(self.optional, n)]
 
     def turns(self, record: Column, kind: StructType) -> Column:
         """array<struct<role,text>>; a field turn that is absent is left out if it is optional."""
-        names = set(kind.names)
         if self.messages is None:
-            made = [F.when(_field(record, p, names).isNotNull() | F.lit(p in self.required), F.struct(F.lit(r).alias("role"), _field(record, p, names).alias("text"))) for r, p in self.fields]
+            made = [F.when(_text(record, kind, p).isNotNull() | F.lit(p in self.required), F.struct(F.lit(r).alias("role"), _text(record, kind, p).alias("text"))) for r, p in self.fields]
             return F.array_compact(F.array(*made))
-        own = kind[self.messages].dataType.elementType
-        inner = set(own.names)
+        said, listed = _at(record, kind, self.messages)
+        inner = listed.elementType
 
         def role_of(m: Column) -> Column:
-            out = _field(m, self.role, inner)
+            out = _text(m, inner, self.role)
             for old, new in self.roles:
-                out = F.when(_field(m, self.role, inner) == old, new).otherwise(out)
+                out = F.when(_text(m, inner, self.role) == old, new).otherwise(out)
             return out
 
-        return F.transform(record[self.messages], lambda m: F.struct(role_of(m).alias("role"), _field(m, self.text, inner).alias("text")))
+        return F.transform(said, lambda m: F.struct(role_of(m).alias("role"), _text(m, inner, self.text).alias("text")))
+
+    def fits(self, kind: DataType) -> bool:
+        """Whether records of a type can have this layout: all required paths, and turns where they are declared."""
+        there = all(_type_at(kind, p) is not None for p in self.required)
+        return there and (self.messages is None or isinstance(_type_at(kind, self.messages), ArrayType))
+
+    def not_texts(self, kind: DataType) -> list[str]:
+        """Paths of texts and roles that a type has as structs, lists or maps."""
+        listed = f"{self.messages}[]." if self.messages else ""
+        own = [listed + p for p in (self.role, self.text)] if self.messages else [p for _, p in self.fields]
+        return [p for p in own if isinstance(_type_at(kind, p), (ArrayType, MapType, StructType))]
+
+
+def _steps(path: str) -> list[tuple[str, bool]]:
+    """(name, whether a list's elements are meant) of a path."""
+    return [(s.removesuffix("[]"), s.endswith("[]")) for s in path.split(".")]
 
 
-def _field(record: Column, name: str, names: set[str]) -> Column:
-    return (record[name] if name in names else F.lit(None)).cast("string")
+def _type_at(kind: DataType, path: str) -> DataType | None:
+    """The type at a path; None if there is none. Of a list's elements where the path goes into them."""
+    for name, listed in _steps(path):
+        if not isinstance(kind, StructType) or name not in kind.names:
+            return None
+        kind = kind[name].dataType
+        if listed:
+            if not isinstance(kind, ArrayType):
+                return None
+            kind = kind.elementType
+    return kind
+
+
+def _at(record: Column, kind: DataType, path: str) -> tuple[Column, DataType | None]:
+    """The value at a path without lists, and its type; null where the type has no such path."""
+    found = _type_at(kind, path)
+    if found is None:
+        return F.lit(None), None
+    for name, _ in _steps(path):
+        record = record[name]
+    return record, found
+
+
+def _text(record: Column, kind: DataType, path: str) -> Column:
+    return _at(record, kind, path)[0].cast("string")
 
 
 def _messages(name: str, field: str, role: str, text: str, roles: tuple = ()) -> Layout:
@@ -95,47 +139,52 @@ def path_hash(paths: list[str]) -> int:
 def declared(layouts: tuple[Layout, ...]) -> tuple[list[str], dict[int, str]]:
     """(all paths, layout of each fingerprint); layouts that one record could both fit are refused."""
     names: dict[int, str] = {}
+    paths = sorted({p for x in layouts for p in x.paths})
     for x in layouts:
-        for h in x.fingerprints():
+        for h in x.fingerprints(paths):
             if names.setdefault(h, x.name) != x.name:
                 raise ValueError(f"layouts {names[h]} and {x.name} fit the same record")
-    return sorted({p for x in layouts for p in x.paths}), names
+    return paths, names
 
 
 def record_schema(layouts: tuple[Layout, ...]) -> str:
     """The struct of all declared paths, every leaf a string, for reading JSON."""
-    lists: dict[str, list[str]] = {}
-    leaves = []
+    tree: dict = {}
+    lists: set[tuple[str, ...]] = set()
     for x in layouts:
-        for p in x.paths:
-            outer, inside, field = p.partition("[].")
-            if inside:
-                lists.setdefault(outer, []).append(field)
-            elif x.messages != p and p not in leaves:
-                leaves.append(p)
-    parts = [f"`{p}`: string" for p in leaves if p not in lists]
-    parts += [f"`{k}`: array<struct<{', '.join(f'`{f}`: string' for f in dict.fromkeys(v))}>>" for k, v in lists.items()]
-    return f"struct<{', '.join([*parts, '`__bad`: string'])}>"
-
-
-def _has(field: str):
-    return lambda m: m[field].isNotNull()
+        for p in [*x.paths, *([f"{x.messages}[]"] if x.messages else [])]:
+            node, at = tree, ()
+            for name, listed in _steps(p):
+                node, at = node.setdefault(name, {}), (*at, name)
+                if listed:
+                    lists.add(at)
+
+    def shown(node: dict, at: tuple[str, ...]) -> str:
+        own = f"struct<{', '.join(f'`{k}`: {shown(v, (*at, k))}' for k, v in node.items())}>" if node else "string"
+        return f"array<{own}>" if at in lists else own
+
+    return f"struct<{', '.join([*(f'`{k}`: {shown(v, (k,))}' for k, v in tree.items()), '`__bad`: string'])}>"
+
+
+def _there(value: Column, kind: DataType, steps: list[tuple[str, bool]]) -> Column | None:
+    """Whether a value has a path; None if its type has none."""
+    if not steps:
+        return value.isNotNull()
+    (name, listed), *rest = steps
+    if not isinstance(kind, StructType) or name not in kind.names:
+        return None
+    inner = kind[name].dataType
+    if not listed:
+        return _there(value[name], inner, rest)
+    if not isinstance(inner, ArrayType) or _there(value[name], inner.elementType, rest) is None:
+        return None
+    return F.exists(value[name], lambda m: F.coalesce(_there(m, inner.elementType, rest), F.lit(False)))
 
 
 def fingerprint(record: Column, kind: DataType, paths: list[str]) -> Column:
     """Hash of those declared paths that a record has. A null field is absent; a list's field is there if an element has it."""
-    there = []
-    names = set(kind.names)
-    for p in paths:
-        outer, inside, field = p.partition("[].")
-        if outer not in names:
-            continue
-        if not inside:
-            there.append(F.when(record[outer].isNotNull(), p))
-            continue
-        own = kind[outer].dataType
-        if isinstance(own, ArrayType) and isinstance(own.elementType, StructType) and field in own.elementType.names:
-            there.append(F.when(F.exists(record[outer], _has(field)), p))
+    found = [(p, _there(record, kind, _steps(p))) for p in paths]
+    there = [F.when(has, p) for p, has in found if has is not None]
     return F.xxhash64(F.array_join(F.array_sort(F.array_compact(F.array(*there))), "\n"))
 
 
@@ -160,7 +209,8 @@ def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout,
     """All columns with layout (name), schema_hash (long), turns and error added, replacing columns of these names.
 
     record_col is a struct or a JSON text. A text or role that is missing or null is empty. error is null where there
-    are turns, else `null_record`, `not_json` (also: nested too deep) or `unknown_layout`; nothing is dropped silently.
+    are turns, else `null_record`, `not_json` (also: nested too deep), `unknown_layout`, or `not_text` where a typed record has
+    a struct, list or map in the place of a text; nothing is dropped silently. In JSON such a place gives its JSON as text.
     A typed record has no bound but a row's own 2 GB; a JSON string may have as many characters as a Java string.
     """
     paths, names = declared(layouts)
@@ -175,17 +225,20 @@ def canonical_turns(records: DataFrame, record_col: str, layouts: tuple[Layout,
     else:
         bad = F.lit(False)
     read = records.select(*base, record.alias("__v"), F.col(record_col).isNull().alias("__none")).withColumn("__h", fingerprint(F.col("__v"), kind, paths))
-    layout = F.lit(None).cast("string")
+    layout, odd = F.lit(None).cast("string"), F.lit(False)
     turns = F.lit(None).cast(TURNS)
     for x in layouts:
         fits = F.col("__h").isin(*(h for h, name in names.items() if name == x.name))
-        if all(p.partition("[].")[0] in kind.names for p in x.required):
+        if x.fits(kind):
             layout = F.when(fits, x.name).otherwise(layout)
-            turns = F.when(fits, x.turns(F.col("__v"), kind)).otherwise(turns)
+            if x.not_texts(kind):
+                odd = odd | fits
+            else:
+                turns = F.when(fits, x.turns(F.col("__v"), kind)).otherwise(turns)
     usable = ~F.col("__none") & ~bad
     turns = F.when(usable, F.transform(turns, lambda t: F.struct(null_to_empty(t.role).alias("role"), null_to_empty(t.text).alias("text"))))
     layout = F.when(usable, layout)
-    error = F.when(F.col("__none"), "null_record").when(bad, "not_json").when(layout.isNull(), "unknown_layout")
+    error = F.when(F.col("__none"), "null_record").when(bad, "not_json").when(layout.isNull(), "unknown_layout").when(odd, "not_text")
     return read.select(*base, layout.alias("layout"), F.when(usable, F.col("__h")).alias("schema_hash"), turns.alias(out), error.alias("error"))
 
 

@@ -103,6 +103,30 @@ def test_chat_typed_records(spark):
     assert got[4].turns == [] and got[3].turns is None and got[3].error == "unknown_layout" and got[5].error == "unknown_layout"
 
 
+def test_chat_nested_paths(spark):
+    """Paths of any depth, lists within structs and structs within elements; typed and JSON; a part list is no text."""
+    deep = (
+        chat.Layout("deep", ("data.talk.messages",), ("data.talk.messages[].by.name", "data.talk.messages[].body.text"), messages="data.talk.messages", role="by.name", text="body.text", roles=(("human", "user"),)),
+        chat.Layout("pair", ("prompt.text", "reply.text"), ("prompt.meta[].k",), fields=(("user", "prompt.text"), ("assistant", "reply.text"))),
+        *chat.LAYOUTS[:1],
+    )
+    said = [
+        (1, '{"data":{"talk":{"messages":[{"by":{"name":"human"},"body":{"text":"hi"}},{"by":{"name":"bot"}}]},"more":1}}'),
+        (2, '{"prompt":{"text":"p","meta":[{"k":"x"}]},"reply":{"text":"r"}}'),
+        (3, '{"prompt":{"text":"p"}}'),
+        (4, '{"messages":[{"role":"user","content":"flat"}]}'),
+        (5, '{"data":{"talk":{"messages":[]}}}'),
+    ]
+    got = {r.id: r for r in chat.canonical_turns(spark.createDataFrame(said, "id int, record string"), "record", deep).collect()}
+    assert {i: None if r.turns is None else [tuple(t) for t in r.turns] for i, r in got.items()} == {1: [("user", "hi"), ("bot", "")], 2: [("user", "p"), ("assistant", "r")], 3: None, 4: [("user", "flat")], 5: []}
+    assert got[3].error == "unknown_layout" and got[1].layout == "deep"
+    typed = spark.sql("SELECT named_struct('data', named_struct('talk', named_struct('messages', array(named_struct('by', named_struct('name', 'human'), 'body', named_struct('text', 'hi')))))) AS r")
+    assert [tuple(t) for t in chat.canonical_turns(typed, "r", deep).first().turns] == [("user", "hi")]
+    parts = spark.sql("SELECT named_struct('messages', array(named_struct('role', 'user', 'content', array('a', 'b')))) AS r")
+    row = chat.canonical_turns(parts, "r").first()
+    assert row.turns is None and (row.layout, row.error) == ("messages", "not_text")
+
+
 def test_chat_long_turns(spark):
     """Turns of over 20 million characters stay whole, typed and from JSON."""
     n = 21_000_000
