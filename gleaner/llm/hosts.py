@@ -113,7 +113,8 @@ def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", bad_col: st
     The longest fitting rule decides; elsewhere a page is blocked if its host's rate of bad pages is above `limit`
     with the posterior's confidence, that is, if the lower bound is. A host with few outcomes keeps near its
     domain's rate, so it is blocked only where its domain or suffix is bad. Null urls have an empty host, which is
-    judged like any other.
+    judged like any other. A repeated row gives a row each time, and its outcome counts each time; a table without rows gives
+    none, and without outcomes every host's rate is 0.
     """
     base = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "rate", "low")]
     placed = pages.select(*base, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))

@@ -53,6 +53,9 @@ def place(rows: DataFrame, key_col: str, table: DataFrame, slots: int = SLOTS) -
 
 
 def write_shards(placed: DataFrame, path: str, parts: int = 8) -> None:
-    """A folder of Parquet files for each shard; each shard is dealt to `parts` tasks, so none meets in one."""
+    """A folder of Parquet files for each shard; each shard is dealt to `parts` tasks by its rows' hashes, so none meets in one.
+
+    Null values are kept, and null keys have a shard as any other; repeated rows are written as often as they come.
+    """
     spread = placed.withColumn("__part", F.pmod(F.xxhash64(*placed.columns), parts))
     spread.repartition("shard", "__part").drop("__part").write.partitionBy("shard").parquet(path)

@@ -198,7 +198,7 @@ def near_links(distinct: DataFrame, threshold: int = 2, partitions: int | None =
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, threshold: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp long, component_id, root_fp long, `keep`): component_id is the smallest doc_id reachable over links of `threshold` bits.
+    """(doc_id, fp long, component_id, root_fp long, `keep`): component_id is the smallest doc_id reachable over links of `threshold` bits; ids are cast to long.
 
     One row for each input row, repeated rows and null ids too. Null or blank texts share fingerprint zero and
     are linked like any other. Null ids never become a component_id unless all of a component are null. root_fp, the

@@ -89,7 +89,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     One row for each input row. Equal sets are one class first, all empty sets among them. Sets are partitioned by
     length: lengths grow by 1/threshold from one class of lengths to the next, so a pair is in one or two neighbouring
     classes. Within a class sets meet only in one of their rarest signatures, of which the longer set must share one
-    of its first n - ceil(t n) + 1. component_id is the smallest id reachable; null ids count only among themselves.
+    of its first n - ceil(t n) + 1. component_id is the smallest id reachable; null ids count only among themselves. Ids are cast to long.
 
     A signature that many near copies share would make all their pairs. So each bucket's sets are first compared with
     one of them, and linked sets become one part; then only sets of different parts of a bucket are compared. A group
