@@ -214,10 +214,17 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= similarity).select("a", "b")
 
 
+def parts_of(star: DataFrame) -> DataFrame:
+    """(node, root) of links (a, b) to hubs: a hub is its own part, every other node is of the least hub that it is linked to."""
+    hubs = star.select(F.col("b").alias("node")).distinct()
+    others = star.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).join(hubs, "node", "left_anti")
+    return others.unionByName(hubs.withColumn("root", F.col("node")))
+
+
 def candidates(shared: DataFrame, roots: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
     """(key, i, j, node, block, part) of sets whose bucket has one of another part that may be near.
 
-    A part is what the links to hubs have joined. A bucket's parts are dealt into blocks of about `BLOCK` hashes, a
+    A part is a hub with sets that are linked to it. A bucket's parts are dealt into blocks of about `BLOCK` hashes, a
     larger part into several of its own, and blocks meet in pairs unless both are of one part; so no task holds more than
     two blocks, and what one part holds is never compared with itself.
     """
@@ -264,7 +271,7 @@ def near_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s
     pairs = cut(hub_pairs(shared, distinct, similarity))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     star = cut(verified(pairs, sets_of(nodes), similarity))
-    near = cut(candidates(shared, connected_components(star), distinct, similarity))
+    near = cut(candidates(shared, parts_of(star), distinct, similarity))
     return star.union(links_between_parts(near, sets_of(near.select("node").distinct()), similarity))
 
 
