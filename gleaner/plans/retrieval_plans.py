@@ -12,7 +12,7 @@ from gleaner.functions import text as X
 from gleaner.functions import vectors as V
 from gleaner.operators import answers, index, nearest, retrieval, search, segments
 from gleaner.plans.base import RECORDS, asked, query, r6, r6_sql, records, related_sql, sentences_sql, stored_index, table, terms_sql, words_sql
-from gleaner.storage import work_folder
+from gleaner.storage import cut, work_folder
 
 QUESTION = "What is the thereation of eredon"
 TERMS = X.query_terms(QUESTION)
@@ -151,7 +151,7 @@ def _graph_scores(spark, sf_dir):
 
 def _hybrid(spark, sf_dir, vectors):
     asked_vector = spark.createDataFrame([(1, _asked(spark, sf_dir))], "question_id long, vector array<double>")
-    return search.search(stored_index(spark, sf_dir), asked(spark, {1: QUESTION}), vectors=vectors, question_vectors=asked_vector, graph_scores=_graph_scores(spark, sf_dir))
+    return search.search(stored_index(spark, sf_dir), asked(spark, {1: QUESTION}), vectors=cut(vectors), question_vectors=asked_vector, graph_scores=_graph_scores(spark, sf_dir))
 
 
 @query(
