@@ -1,10 +1,12 @@
 """Queries against DuckDB on tables that differ from the test tables in what larger ones have: high keys, many rows of one value."""
 
 import os
+import random
 
 import duckdb
 import pytest
 
+from gleaner.operators import duplicates
 from gleaner.plans import catalogue
 from tests.test_oracle import TABLES, plain
 
@@ -38,3 +40,25 @@ def same_rows(spark, folder, con, name):
 def test_booking_moves_of_over_a_million_events(spark, tables):
     """New slots have the numbers of events, on both sides of the first new slot."""
     same_rows(spark, *tables(events="SELECT * REPLACE (event_id + CASE WHEN event_id < 500 THEN 999990 ELSE 1499600 END AS event_id) FROM events_0"), "booking_moves")
+
+
+def shuffled(spark, run):
+    """MB that run() writes to shuffles."""
+    gateway = spark.sparkContext._gateway
+    stages = lambda: spark._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    listed = lambda: {s.stageId(): s.shuffleWriteBytes() for s in (seq.apply(k) for seq in (stages(),) for k in range(seq.size()))}
+    before = max(listed(), default=-1)
+    run()
+    return sum(n for k, n in listed().items() if k > before) / 1e6
+
+
+def test_similar_pages_deal_out_rare_words_alone(spark):
+    """A shuffle of all words of all texts several times over is eight times the texts; unlike texts send a few rare words each."""
+    rng = random.Random(1)
+    rows = [(f"s{k}", f"https://x.org/{k}", "en", " ".join(f"w{int(10 ** (5 * rng.random()))}" for _ in range(600))) for k in range(1500)]
+    rows += [("copy", "https://x.org/zz", "en", rows[7][3] + " more")]
+    df = spark.createDataFrame(rows, "source_id string, canonical_url string, language string, content string").repartition(4)
+    found = []
+    moved = shuffled(spark, lambda: found.extend(duplicates.similar_pages(df).collect()))
+    assert [tuple(r) for r in found] == [("copy", "s7")]
+    assert moved < sum(len(r[3]) for r in rows) / 1e6 * 3
