@@ -36,7 +36,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that of least doc_id, then of least text hash; null ids come last.
 
-    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. A document is told by
+    Texts are linked whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked exactly. SimHash
+    anchors find the closest of them; what differs in more bits than anchors reach meets by MinHash bands. A document is told by
     its id and its text's hash, so different texts under one id, or without ids, are judged apart; of rows that repeat
     both, that of least language and source stays.
     """

@@ -2,7 +2,8 @@
 
 Candidates are sets that share a band of MinHash values and over 0.6 of all values' low bytes; every candidate pair is
 then judged by its exact similarity. With 24 bands of 4 values a pair of similarity 0.8 shares no band with probability
-(1 - 0.8^4)^24 = 3.2e-6, and too few of 96 values with 4e-7; a closer pair with less. SimHash anchors cannot take this place: sets of similarity 0.8 differ in about 10 of 64 bits, some in 18.
+(1 - 0.8^4)^24 = 3.2e-6, and too few of 96 values with 4e-7; a closer pair with less. Where asked for, sets that SimHash
+anchors link are candidates, too; they cannot find all: sets of similarity 0.8 differ in about 10 of 64 bits, some in 18.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut
 from gleaner.llm.components import connected_components
-from gleaner.llm.simhash import SEED, shingle_hashes
+from gleaner.llm.simhash import SEED, majority, shingle_hashes
+from gleaner.llm.simhash import near_links as anchor_links
 
 BANDS, ROWS = 24, 4
 #: Shingle hashes of a bucket that meet in one block; a task compares two blocks at most.
@@ -102,8 +104,8 @@ def minhashes(found: list[np.ndarray]) -> np.ndarray:
     return np.array([minima(x) for x in found]).reshape(len(found), -1)
 
 
-def signed_rows(docs: DataFrame, text_col: str, keep: list[str], shingle: int, signer: Callable[[list[np.ndarray]], np.ndarray] = minhashes) -> DataFrame:
-    """Each row's `keep` with node (its set's hash), n (its size), bands of its signature, none for an empty set, and a sketch: the signature's low bytes."""
+def signed_rows(docs: DataFrame, text_col: str, keep: list[str], shingle: int, signer: Callable[[list[np.ndarray]], np.ndarray] = minhashes, simhash: bool = False) -> DataFrame:
+    """Each row's `keep` with node (its set's hash), n (its size), bands of its signature, none for an empty set, a sketch: the signature's low bytes, and fp: with `simhash` the set's SimHash, else null."""
     names = [f"o{i}" for i in range(len(keep))]
     rows = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(name) for name, c in zip(names, keep)))
     fields = "".join(f", {name} {docs.schema[c].dataType.simpleString()}" for name, c in zip(names, keep))
@@ -119,15 +121,16 @@ def signed_rows(docs: DataFrame, text_col: str, keep: list[str], shingle: int, s
                 node = pa.array(np.array([name for _, name in sets], np.uint64).view(np.int64))
                 sizes = pa.array([len(found) for found, _ in sets], pa.int64())
                 sketches = pa.array([x.astype(np.uint8).tobytes() for x in least], pa.binary())
-                yield pa.RecordBatch.from_arrays([node, sizes, listed, sketches, *part.columns[1:]], ["node", "n", "bands", "sketch", *names])
+                fps = pa.array([int(np.uint64(majority(found)).view(np.int64)) if simhash else None for found, _ in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([node, sizes, listed, sketches, fps, *part.columns[1:]], ["node", "n", "bands", "sketch", "fp", *names])
 
-    out = rows.mapInArrow(signed, "node long, n long, bands array<bigint>, sketch binary" + fields)
-    return out.select("node", "n", "bands", "sketch", *(F.col(x).alias(c) for x, c in zip(names, keep)))
+    out = rows.mapInArrow(signed, "node long, n long, bands array<bigint>, sketch binary, fp long" + fields)
+    return out.select("node", "n", "bands", "sketch", "fp", *(F.col(x).alias(c) for x, c in zip(names, keep)))
 
 
 def shingle_sets(docs: DataFrame, text_col: str, order: list[str], shingle: int) -> DataFrame:
-    """One row for each distinct shingle set: node, least `order` as m, size n, bands and a sketch of MinHash values' bytes."""
-    return signed_rows(docs, text_col, order, shingle).groupBy("node").agg(F.min(F.struct(*order)).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    """One row for each distinct shingle set: node, least `order` as m, size n, bands, a sketch of MinHash values' bytes and its SimHash fp."""
+    return signed_rows(docs, text_col, order, shingle, simhash=True).groupBy("node").agg(F.min(F.struct(*order)).alias("m"), *(F.first(c).alias(c) for c in ("n", "bands", "sketch", "fp")))
 
 
 #: Rows of ids that are sent to where the texts are; beyond, both are shuffled.
@@ -260,26 +263,44 @@ def links_between_parts(near: DataFrame, sets: DataFrame, similarity: float) ->
     return _by_group(near.join(sets, "node"), "hashes", judge, "a long, b long")
 
 
-def near_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+def anchor_pairs(distinct: DataFrame, threshold: int = 2) -> DataFrame:
+    """(a, b): sets of one SimHash with its least set, and links of least sets that hold together what anchors find within `threshold` bits."""
+    full = distinct.where("n > 0").select("node", "fp")
+    least = cut(full.groupBy("fp").agg(F.min("node").alias("least")))
+    same = full.join(least, "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    links = anchor_links(least, threshold).distinct()
+    across = links.join(least.toDF("a", "la"), "a").join(least.toDF("b", "lb"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    return same.union(across)
+
+
+def near_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity: float, more: DataFrame | None = None) -> DataFrame:
     """(a, b) links whose components are those of all pairs of `distinct` (node, n, bands, sketch) that share a band and have the similarity.
 
     First every set meets the hubs of its buckets, then only sets of different parts of a bucket meet. A group of copies
     of one text costs what its size is. Sets of a bucket that are near neither its hub nor each other are still compared
-    by their sketches, in blocks. `sets_of` gives (node, hashes) for a table of nodes.
+    by their sketches, in blocks. `sets_of` gives (node, hashes) for a table of nodes. Of `more` candidates (a, b) those
+    of two parts are judged as well.
     """
     shared = cut(bucket_members(distinct))
     pairs = cut(hub_pairs(shared, distinct, similarity))
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     star = cut(verified(pairs, sets_of(nodes), similarity))
-    near = cut(candidates(shared, parts_of(star), distinct, similarity))
-    return star.union(links_between_parts(near, sets_of(near.select("node").distinct()), similarity))
+    parts = parts_of(star)
+    near = cut(candidates(shared, parts, distinct, similarity))
+    links = star.union(links_between_parts(near, sets_of(near.select("node").distinct()), similarity))
+    if more is None:
+        return links
+    split = more.join(parts.toDF("a", "pa"), "a", "left").join(parts.toDF("b", "pb"), "b", "left").where(F.coalesce("pa", "a") != F.coalesce("pb", "b"))
+    apart = cut(split.select("a", "b").distinct())
+    return links.union(verified(apart, sets_of(apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct()), similarity))
 
 
 def first_of_near_copies(docs: DataFrame, order: list[str], text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """`order` of the least row of each group that links of `similarity` or more between shingle sets hold together.
 
     `order` tells texts apart and has no nulls; rows that repeat it are one. Texts of fewer words than a shingle are one
-    shingle; null and blank texts are one group. Equality of shingles and of sets is that of 64-bit hashes.
+    shingle; null and blank texts are one group. Candidates come from SimHash anchors and from MinHash bands; an exact
+    check follows. Equality of shingles and of sets is that of 64-bit hashes.
     """
     distinct = cut(shingle_sets(docs, text_col, order, shingle))
 
@@ -287,6 +308,6 @@ def first_of_near_copies(docs: DataFrame, order: list[str], text_col: str = "tex
         wanted = sent(distinct.join(nodes, "node", "left_semi").select("m.*"))
         return hash_sets(docs.join(wanted, order, "left_semi").dropDuplicates(order), text_col, shingle)
 
-    roots = connected_components(near_links(distinct, sets_of, similarity))
+    roots = connected_components(near_links(distinct, sets_of, similarity, anchor_pairs(distinct)))
     rooted = distinct.select("node", "m").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))
     return rooted.select("m.*")

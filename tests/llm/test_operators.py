@@ -604,3 +604,36 @@ def test_many_copies_of_one_template(spark):
     signed = nearcopies.shingle_sets(table.withColumn("mark", F.xxhash64("text")), "text", ["doc_id", "mark"], 4)
     shared = nearcopies.bucket_members(signed)
     assert nearcopies.hub_pairs(shared, signed, 0.8).count() < 12 * len(rows)
+
+
+def test_near_copies_through_anchors(spark):
+    """SimHash anchors give near copies without any band; the exact check follows, and what they can't reach comes by bands."""
+    rng = random.Random(4)
+    texts = [[f"w{k}_{rng.randrange(5000)}" for _ in range(600)] for k in range(5)]
+    for t in list(texts):
+        texts += [[*t[:at], "changed", *t[at + 1 :]] for at in rng.sample(range(600), 6)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    signed = nearcopies.shingle_sets(docs, "text", ["doc_id"], 5).cache()
+    pairs = nearcopies.anchor_pairs(signed)
+    fps = {r.node: r.fp & (1 << 64) - 1 for r in signed.collect()}
+    near = {(min(a, b), max(a, b)) for a in fps for b in fps if a != b and (fps[a] ^ fps[b]).bit_count() <= 2}
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in pairs.collect()}
+
+    def joined(links):
+        root = {}
+        for a, b in links:
+            x, y = (min(root.get(k, {k})) for k in (a, b))
+            both = root.get(x, {x}) | root.get(y, {y})
+            root |= dict.fromkeys(both, both)
+        return set(map(frozenset, root.values()))
+
+    assert got and joined(got) == joined(near)
+    sets_of = lambda nodes: nearcopies.hash_sets(docs, "text", 5).join(nodes, "node", "left_semi")
+    blind = signed.withColumn("bands", F.array().cast("array<bigint>"))
+    links = {(min(r.a, r.b), max(r.a, r.b)) for r in nearcopies.near_links(blind, sets_of, 0.8, pairs).collect()}
+    assert links == got
+    m = {r.node: r.m.doc_id for r in signed.collect()}
+    far = next((a, b) for a in m for b in m if m[a] == 0 and m[b] == 1)
+    wrong = spark.createDataFrame([far], "a long, b long")
+    assert nearcopies.near_links(blind, sets_of, 0.8, wrong).count() == 0
+    assert {r.doc_id for r in nearcopies.first_of_near_copies(docs, ["doc_id"]).collect()} == set(range(5))
