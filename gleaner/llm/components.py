@@ -10,7 +10,7 @@ from gleaner.llm.common import cut
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is linked to the least of the node and its neighbours."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
     least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
@@ -18,8 +18,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every neighbour below a node, and the node, are linked to the least of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    lower = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return lower.union(least.select("a", F.col("m").alias("b")))
+    both = F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))
+    return edges.join(least, "a").select(F.explode(both).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
@@ -40,5 +40,5 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
                 links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             )
         before = now
-        links = cut(_small_star(_large_star(links).distinct()).distinct())
+        links = cut(_small_star(_large_star(links)))
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -212,29 +212,27 @@ def hub_pairs(shared: DataFrame, distinct: DataFrame, similarity: float) -> Data
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have a Jaccard of `similarity` or more; a hub's many pairs are a skewed join, which Spark splits."""
-    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= similarity).select("a", "b")
+    """The pairs (a, b, and more columns) whose sets have a Jaccard of `similarity` or more; a hub's many pairs are a skewed join, which Spark splits."""
+    both = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= similarity).select(*pairs.columns)
 
 
 def parts_of(star: DataFrame) -> DataFrame:
     """(node, root) of links (a, b) to hubs: a hub is its own part, every other node is of the least hub that it is linked to."""
-    hubs = star.select(F.col("b").alias("node")).distinct()
-    others = star.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).join(hubs, "node", "left_anti")
-    return others.unionByName(hubs.withColumn("root", F.col("node")))
+    ends = star.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("root")), F.struct(F.col("b").alias("node"), F.col("b").alias("root")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.bool_or(F.col("root") == F.col("node")).alias("hub"), F.min("root").alias("root")).select("node", F.when(F.col("hub"), F.col("node")).otherwise(F.col("root")).alias("root"))
 
 
-def candidates(shared: DataFrame, roots: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
-    """(key, i, j, node, block, part) of sets whose bucket has one of another part that may be near.
+def in_blocks(parts: DataFrame) -> DataFrame:
+    """(key, i, j, node, block, part) of buckets' sets (key, node, n, part), in pairs of blocks.
 
-    A part is a hub with sets that are linked to it. A bucket's parts are dealt into blocks of about `BLOCK` hashes, a
-    larger part into several of its own, and blocks meet in pairs unless both are of one part; so no task holds more than
-    two blocks, and what one part holds is never compared with itself.
+    A bucket's parts are dealt into blocks of about `BLOCK` hashes, a larger part into several of its own, and blocks meet
+    in pairs unless both are of one part; so no task holds more than two blocks, and what one part holds is never
+    compared with itself.
     """
-    parts = shared.join(roots.withColumnRenamed("root", "part"), "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
     masses = parts.groupBy("key", "part").agg(F.sum("n").alias("mass"))
     large = F.col("mass") > BLOCK
-    several = masses.groupBy("key").agg(F.count("*").alias("parts"), F.coalesce(F.sum(F.when(~large, F.col("mass"))), F.lit(0)).alias("rest")).where("parts > 1")
+    several = masses.groupBy("key").agg(F.coalesce(F.sum(F.when(~large, F.col("mass"))), F.lit(0)).alias("rest"))
     owned = masses.join(several, "key").select("key", "part", F.when(large, F.col("part")).alias("own"), F.ceil(F.when(large, F.col("mass")).otherwise(F.col("rest")) / BLOCK).alias("blocks"))
     spot = F.pmod(F.xxhash64(F.when(F.col("own").isNull(), F.col("part")).otherwise(F.col("node"))), F.col("blocks"))
     placed = parts.join(owned, ["key", "part"]).select("key", "node", "part", "own", F.xxhash64("own", spot).alias("block"))
@@ -242,7 +240,22 @@ def candidates(shared: DataFrame, roots: DataFrame, distinct: DataFrame, similar
     left, right = blocks.toDF("key", "own_i", "i"), blocks.toDF("key", "own_j", "j")
     meet = left.join(right, "key").where((F.col("i") <= F.col("j")) & ~F.coalesce(F.col("own_i") == F.col("own_j"), F.lit(False)))
     meet = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    pairs = placed.join(meet, ["key", "block"])
+    return placed.join(meet, ["key", "block"]).select("key", "node", "part", "i", "j", "block")
+
+
+def candidates(shared: DataFrame, roots: DataFrame, distinct: DataFrame, similarity: float) -> DataFrame:
+    """(key, i, j, node, block, part) of sets whose bucket has one of another part that may be near.
+
+    A part is a hub with sets that are linked to it. A bucket of `BLOCK` hashes at most is one block; the parts of a larger
+    one are dealt out by `in_blocks`.
+    """
+    parts = shared.join(roots.withColumnRenamed("root", "part"), "node", "left").select("key", "node", "n", F.coalesce("part", "node").alias("part"))
+    buckets = cut(parts.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.sum("n").alias("total")).where("low < high").select("key", "total"))
+    zero = F.lit(0).cast("long")
+    pairs = parts.join(buckets.where(F.col("total") <= BLOCK).select("key"), "key").select("key", "node", "part", zero.alias("i"), zero.alias("j"), zero.alias("block"))
+    large = buckets.where(F.col("total") > BLOCK).select("key")
+    if not large.isEmpty():
+        pairs = pairs.unionByName(in_blocks(parts.join(large, "key")))
 
     def judge(group, nodes, blocks, parts, sketches):
         found = alike(np.frombuffer(b"".join(sketches), np.uint8).reshape(len(nodes), -1), np.array(parts), None if group[1] == group[2] else np.array(blocks), group[0] & 31, similarity)
@@ -278,21 +291,18 @@ def near_links(distinct: DataFrame, sets_of: Callable[[DataFrame], DataFrame], s
 
     First every set meets the hubs of its buckets, then only sets of different parts of a bucket meet. A group of copies
     of one text costs what its size is. Sets of a bucket that are near neither its hub nor each other are still compared
-    by their sketches, in blocks. `sets_of` gives (node, hashes) for a table of nodes. Of `more` candidates (a, b) those
-    of two parts are judged as well.
+    by their sketches, in blocks. `sets_of` gives (node, hashes) for a table of nodes. `more` candidates (a, b) are
+    judged with the hubs' pairs, but make no hubs.
     """
     shared = cut(bucket_members(distinct))
-    pairs = cut(hub_pairs(shared, distinct, similarity))
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    pairs = hub_pairs(shared, distinct, similarity).withColumn("hub", F.lit(True))
+    if more is not None:
+        pairs = pairs.union(more.select("a", "b", F.lit(False)))
+    pairs = cut(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     star = cut(verified(pairs, sets_of(nodes), similarity))
-    parts = parts_of(star)
-    near = cut(candidates(shared, parts, distinct, similarity))
-    links = star.union(links_between_parts(near, sets_of(near.select("node").distinct()), similarity))
-    if more is None:
-        return links
-    split = more.join(parts.toDF("a", "pa"), "a", "left").join(parts.toDF("b", "pb"), "b", "left").where(F.coalesce("pa", "a") != F.coalesce("pb", "b"))
-    apart = cut(split.select("a", "b").distinct())
-    return links.union(verified(apart, sets_of(apart.select(F.col("a").alias("node")).union(apart.select("b")).distinct()), similarity))
+    near = cut(candidates(shared, parts_of(star.where("hub")), distinct, similarity))
+    return star.select("a", "b").union(links_between_parts(near, sets_of(near.select("node").distinct()), similarity))
 
 
 def first_of_near_copies(docs: DataFrame, order: list[str], text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -306,7 +316,7 @@ def first_of_near_copies(docs: DataFrame, order: list[str], text_col: str = "tex
 
     def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = sent(distinct.join(nodes, "node", "left_semi").select("m.*"))
-        return hash_sets(docs.join(wanted, order, "left_semi").dropDuplicates(order), text_col, shingle)
+        return hash_sets(docs.join(wanted, order, "left_semi"), text_col, shingle).dropDuplicates(["node"])
 
     roots = connected_components(near_links(distinct, sets_of, similarity, anchor_pairs(distinct)))
     rooted = distinct.select("node", "m").join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("m").alias("m"))

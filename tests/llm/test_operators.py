@@ -637,3 +637,18 @@ def test_near_copies_through_anchors(spark):
     wrong = spark.createDataFrame([far], "a long, b long")
     assert nearcopies.near_links(blind, sets_of, 0.8, wrong).count() == 0
     assert {r.doc_id for r in nearcopies.first_of_near_copies(docs, ["doc_id"]).collect()} == set(range(5))
+
+
+def test_anchor_candidates_are_judged_with_the_hubs(spark):
+    """Anchors' pairs cost no reading of texts and no check of their own: sets are asked for twice, for hubs with anchors and for parts."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{k % 3}_{i}" for i in range(200)) + f" end{k}") for k in range(12)], "doc_id long, text string")
+    signed = nearcopies.shingle_sets(docs, "text", ["doc_id"], 5).cache()
+    asked = []
+
+    def sets_of(nodes):
+        asked.append(nodes)
+        return nearcopies.hash_sets(docs, "text", 5).join(nodes, "node", "left_semi")
+
+    links = nearcopies.near_links(signed, sets_of, 0.8, nearcopies.anchor_pairs(signed))
+    roots = components.connected_components(links)
+    assert len(asked) == 2 and roots.count() == 12 and roots.select("root").distinct().count() == 3
