@@ -805,3 +805,28 @@ def test_an_old_format_is_migrated(spark, tmp_path):
     (tmp_path / "store" / f".{new}.json.crc").unlink(missing_ok=True)
     with pytest.raises(Conflict, match="differs"):
         store.load(new)
+
+
+def test_vectors_by_cells(spark, monkeypatch):
+    """Questions go once to each cell that they reach; cells of few vectors, groups of many copies and ties change no row."""
+    import numpy as np
+
+    from gleaner.operators import nearest
+
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(400, 8)).round(3)
+    rows = [(k, "en" if k % 4 else "sv", points[k].tolist()) for k in range(400)] + [(1000 + k, "en", points[1].tolist()) for k in range(150)] + [(2000, None, points[2].tolist())]
+    table = spark.createDataFrame(rows, "id long, language string, vector array<double>").repartition(3)
+    asked = [(q, ("en", "sv", "de", None)[q % 4], points[q].tolist()) for q in range(24)] + [(30, "en", [0.0] * 8), (31, "en", None)]
+    questions = spark.createDataFrame(asked, "question_id long, language string, vector array<double>")
+    cos = lambda a, b: float(np.cumsum(a * b)[-1] / (np.sqrt(np.cumsum(a * a)[-1]) * np.sqrt(np.cumsum(b * b)[-1])))
+    full = {(q, i) for q, lang, v in asked[:24] for _, i in sorted((-cos(np.array(x), np.array(v)), i) for i, other, x in rows if other == lang and lang)[:5]}
+    for size in (nearest.CELL, 40):
+        monkeypatch.setattr(nearest, "CELL", size)
+        made = nearest.clustered(table, "id")
+        found = nearest.top_k(made, questions, 5)
+        assert {(r.question_id, r.chunk_id) for r in found.collect()} == full
+        sent = nearest._best_of_cells(made, nearest._Cells.of(made), nearest.first_bounds(made, questions, 5), 5, False)
+        assert sent.groupBy("question_id").count().agg({"count": "max"}).first()[0] <= 5 * max(1, -(-551 // size) + 20)
+    plan = found._jdf.queryExecution().toString()
+    assert "BroadcastNestedLoopJoin" not in plan and "zip_with" not in plan
