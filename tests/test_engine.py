@@ -830,3 +830,54 @@ def test_vectors_by_cells(spark, monkeypatch):
         assert sent.groupBy("question_id").count().agg({"count": "max"}).first()[0] <= 5 * max(1, -(-551 // size) + 20)
     plan = found._jdf.queryExecution().toString()
     assert "BroadcastNestedLoopJoin" not in plan and "zip_with" not in plan
+
+
+def test_index_keeps_each_token_once(spark, tmp_path):
+    """A record that is one chunk has no tokens beside its postings; those of a record that was cut, or without a text, are kept apart. Merges and older segments too."""
+    from pyspark.sql.types import StringType
+
+    from gleaner.operators import segments
+
+    names = ["source_id", "title", "canonical_url", "category", "language", "content", "checksum"]
+    long = "alpha beta. " * 300
+    rows = [(f"s{k}", f"title{k}", f"u{k}", "c", "en", text, None if text is None else f"sum{k}") for k, text in enumerate(["alpha gamma", long, None, "delta"])]
+    records = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    cut = lambda r: index.chunks(r.withColumn("source_status", F.lit("active"))).withColumn("checksum", F.when(F.col("source_id") == "s1", F.col("checksum")).otherwise(F.concat(F.lit("sum"), F.substring("source_id", 2, 9)))).withColumn("checksum", F.when(F.col("source_id") != "s2", F.col("checksum")))
+    segments.update(records, str(tmp_path / "i"), cut)
+    made = segments.Index.read(spark, str(tmp_path / "i"))
+    tokens = lambda i: sorted((r.source_id, r.token, r.category) for r in i.doc_tokens.collect())
+    want = sorted([(f"s{k}", t, "c") for k, own in enumerate([("alpha", "gamma", "title0"), ("alpha", "beta", "title1"), ("title2",), ("delta", "title3")]) for t in own])
+    assert tokens(made) == want and {r.source_id for r in made.own_tokens.collect()} == {"s1", "s2"}
+    assert made.chunks.where("source_id = 's1'").count() > 1 and "odd" not in str(list((tmp_path / "i").rglob("odd")))
+    segments.merge(spark, str(tmp_path / "i"), [s["name"] for s in segments._Revisions(spark, str(tmp_path / "i")).latest()["segments"]])
+    assert tokens(segments.Index.read(spark, str(tmp_path / "i"))) == want
+    old = segments._told(made.postings.drop("category", "whole"), "postings")
+    assert old.schema["category"].dataType == StringType() and old.where("whole").count() == 0
+
+
+def test_lookups_do_not_shuffle_postings(spark, tmp_path):
+    """Related tokens and best rows are sent to the index's tables; beyond SENT rows both are shuffled, with the same rows."""
+    from gleaner import storage
+    from gleaner.operators import search, segments
+
+    names = ["source_id", "title", "canonical_url", "category", "language", "content", "checksum"]
+    records = spark.createDataFrame([(f"s{k}", f"t{k}", f"u{k % 9}", "c", "en", f"thereation number{k} eredon{k % 5}", f"sum{k}") for k in range(60)], ", ".join(f"{n} string" for n in names))
+    segments.update(records, str(tmp_path / "i"), lambda r: r.withColumn("chunk_id", F.col("source_id")))
+    made = segments.Index.read(spark, str(tmp_path / "i"))
+    asked = spark.createDataFrame([(1, "en", None, "thereation eredon3 number7")], search.QUESTIONS)
+    conf = "spark.sql.autoBroadcastJoinThreshold"
+    was = spark.conf.get(conf)
+    spark.conf.set(conf, "-1")
+    try:
+        found = made.postings.join(search.related_tokens(made, asked), ["language", "token"])
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        rows = search.search(made, asked).collect()
+        limit, storage.SENT = storage.SENT, 0
+        try:
+            apart = made.postings.join(search.related_tokens(made, asked), ["language", "token"])
+            assert "BroadcastHashJoin" not in apart._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(str, apart.collect())) == sorted(map(str, found.collect())) and search.search(made, asked).collect() == rows and rows
+        finally:
+            storage.SENT = limit
+    finally:
+        spark.conf.set(conf, was)
