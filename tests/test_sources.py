@@ -274,3 +274,20 @@ def test_uploads_survive_a_crash(spark, tmp_path):
     assert held() == {"a": b"one", "b": b"two", "f": b"four"}
     assert [r.reason for r in store.add(files(("g", "five"))).collect()] == ["too_many_documents"] and len(held()) == 3
     assert store.vacuum() and held() == {"a": b"one", "b": b"two", "f": b"four"}
+
+
+def test_extraction_and_chunks_leave_in_small_parts(spark, monkeypatch):
+    """A task's Python objects are those of a few rows, however many a batch has; parts change no row."""
+    from gleaner.operators import index
+    from gleaner.sources import pages as P
+
+    html = "<html lang='en'><head><title>A page</title></head><body><main><h1>Head {0}</h1><p>Some text of page {0} that is long enough to be kept as the content of a record.</p></main></body></html>"
+    table = spark.createDataFrame([(f"https://a.example/p{k}", html.format(k)) for k in range(150)], "url string, html string").coalesce(1)
+    made, held = {}, {}
+    for size in (64, 7, 1000):
+        monkeypatch.setattr(P, "PAGES_AT_ONCE", size)
+        monkeypatch.setattr(index, "RECORDS_AT_ONCE", size)
+        rows = P.extract(table).cache()
+        made[size] = sorted(map(str, rows.collect()))
+        held[size] = sorted(map(str, index.chunks(rows.where("reason IS NULL"), "sections").collect()))
+    assert made[64] == made[7] == made[1000] and len(made[7]) == 150 and held[64] == held[7] == held[1000] and held[7]
