@@ -881,3 +881,10 @@ def test_lookups_do_not_shuffle_postings(spark, tmp_path):
             storage.SENT = limit
     finally:
         spark.conf.set(conf, was)
+
+
+def test_spans_of_many_texts_in_one_batch(spark):
+    """Texts are cut 64 at a time; nulls and empty texts at any place of a batch keep theirs."""
+    texts = [None if k % 50 == 7 else "" if k % 50 == 9 else "\n".join(f"line {k}" for _ in range(k % 5 + 1)) for k in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").coalesce(1).select("k", X.paragraph_spans(F.col("t"), "\n").alias("s")).collect()
+    assert {r.k: r.s and [x.label for x in r.s] for r in rows} == {k: t if t is None else t.split("\n") for k, t in enumerate(texts)}
