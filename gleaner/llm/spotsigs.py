@@ -1,6 +1,6 @@
 """SpotSigs fingerprints: chains of content words that follow common-word anchors, compared by pruned Jaccard.
 
-Built from DataFrame functions alone. A text's words are its runs of letters and digits, lower-cased. Common words
+Built from DataFrame functions, but for the order in which the similarity join takes signatures. A text's words are its runs of letters and digits, lower-cased. Common words
 are anchors; all others are content. An anchor and the next `chain` content words after it make a signature, kept
 as its 32-bit hash; the fingerprint is the sorted set of signatures.
 """
@@ -8,7 +8,10 @@ as its 32-bit hash; the fingerprint is the sorted set of signatures.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,13 +86,45 @@ def with_next(docs: DataFrame, id_col: str, text_col: str, out: str, buckets: in
     return joined.select(F.col("id").alias(id_col), F.col("text").alias(text_col), F.coalesce("after", "head").getField("text").alias(out))
 
 
+#: Numbers that signatures are counted under, and sets that a task orders at once: fixed values.
+COUNTERS, ORDERED = 1 << 18, 256
+
+
+def _rarest(sets: DataFrame, threshold: float) -> DataFrame:
+    """(c, len, x): the first n - ceil(t n) + 1 signatures of each set (c, s) in one order of all signatures, rare ones first.
+
+    Signatures are counted by their last bits, so the table of counts, which goes to all tasks, has one size however
+    many signatures there are. Signatures of one number count together: that changes which come first, not what is found,
+    as any order that all sets share gives the same links.
+    """
+    spark = sets.sparkSession
+    counted = sets.select(F.explode("s").alias("x")).groupBy(F.col("x").bitwiseAND(COUNTERS - 1).alias("h")).count().toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[counted["h"].to_numpy()] = counted["count"].to_numpy()
+    sent = spark.sparkContext.broadcast(counts)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ORDERED):
+                part = batch.slice(at, ORDERED)
+                n, x = np.asarray(part["s"].value_lengths()), part["s"].flatten().to_numpy()
+                row, start = np.repeat(np.arange(len(n)), n), np.cumsum(n) - n
+                order = np.lexsort((x, sent.value[x & (COUNTERS - 1)], row))
+                first = n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1
+                kept = order[np.arange(len(x)) - start[row] < first[row]]
+                own = row[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(part["c"])[own]), pa.array(n[own].astype(np.int32)), pa.array(x[kept])], ["c", "len", "x"])
+
+    return sets.select("c", "s").mapInArrow(take, "c long, len int, x int")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 2) -> DataFrame:
     """(doc_id, component_id): texts whose signature sets have a Jaccard of `threshold` or more are linked.
 
     One row for each input row. Equal sets are one class first, all empty sets among them. Sets are partitioned by
     length: lengths grow by 1/threshold from one class of lengths to the next, so a pair is in one or two neighbouring
     classes. Within a class sets meet only in one of their rarest signatures, of which the longer set must share one
-    of its first n - ceil(t n) + 1. component_id is the smallest id reachable; null ids count only among themselves. Ids are cast to long.
+    of its first n - ceil(t n) + 1; most of these are in no other set, and are dropped at once. component_id is the smallest id reachable; null ids count only among themselves. Ids are cast to long.
 
     A signature that many near copies share would make all their pairs. So each bucket's sets are first compared with
     one of them, and linked sets become one part; then only sets of different parts of a bucket are compared. A group
@@ -98,12 +133,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = cut(add_signatures(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "text", "s", chain).select("doc_id", F.xxhash64("s").alias("c"), "s"))
     classes = cut(rows.groupBy("c").agg(F.min("doc_id").alias("least"), F.first("s").alias("s")))
     sets = classes.where(F.size("s") > 0).select("c", "s")
-    counts = sets.select(F.explode("s").alias("x")).groupBy("x").agg(F.count("*").alias("n"))
-    ranked = sets.select("c", F.size("s").alias("len"), F.explode("s").alias("x")).join(counts, "x").groupBy("c", "len").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "x"))), lambda v: v.x).alias("o"))
-    prefix = F.slice("o", 1, (F.col("len") - F.ceil(F.col("len") * threshold - 1e-9) + 1).cast("int"))
-    length_class = F.floor(F.log("len") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
-    keyed = ranked.select("c", "len", length_class.alias("own"), F.explode(prefix).alias("x"))
-    met = cut(keyed.select("c", "len", "x", "own", F.explode(F.array(F.col("own"), F.col("own") + 1)).alias("k")))
+    keyed = _rarest(sets, threshold).withColumn("n", F.count("*").over(Window.partitionBy("x"))).where("n > 1")
+    own = F.floor(F.log("len") / F.log(F.lit(1 / threshold)) + 1e-9).cast("int")
+    met = cut(keyed.select("c", "len", "x", own.alias("own"), F.explode(F.array(own, own + 1)).alias("k")))
 
     def alike(pairs: DataFrame) -> DataFrame:
         a, b = sets.toDF("a", "sa"), sets.toDF("b", "sb")

@@ -6,6 +6,7 @@ import random
 import duckdb
 import pytest
 
+from gleaner.llm import spotsigs
 from gleaner.operators import duplicates, graph
 from gleaner.plans import catalogue
 from tests.test_oracle import TABLES, plain
@@ -73,3 +74,15 @@ def test_alias_of_many_entities(spark, tables):
     made = graph.alias_issues(a, known, spark.createDataFrame([("s",)], "source_id string"))
     assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
     assert {r.row: r.issues for r in made.collect()} == {1: [], 2: ["duplicate_alias"], 3: ["ambiguous_alias"], 4: ["ambiguous_alias"], 5: [], 6: ["malformed"]}
+
+
+def test_spotsigs_deal_out_rare_signatures_alone(spark):
+    """Signatures are ranked where their sets are: all of them in shuffles were several times the rare ones, and most of these are in no other set."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"the w{rng.randrange(100000)} w{rng.randrange(100000)}" for _ in range(1200))) for k in range(400)]
+    rows += [(1000, rows[7][1] + " the end"), (1001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = []
+    moved = shuffled(spark, lambda: found.extend(spotsigs.near_duplicates(df).collect()))
+    assert {r.doc_id: r.component_id for r in found} == {k: 7 if k == 1000 else k for k, _ in rows}
+    assert moved < 400 * 1200 * 4 / 1e6 * 12
