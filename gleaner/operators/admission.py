@@ -1,50 +1,113 @@
 """Stateful admission as ordered folds within a key: only what is admitted counts.
 
 A key's events reach one task in order and are read as a stream: a task holds the state of one key, which the limit
-bounds, and a batch of rows, so time and memory are linear in the events however many a key has. What a fold decides
-depends on all that it admitted before, so one key's events are one sequence. `gleaner.streaming.stateful` has the
-same decisions on streams.
+bounds, and a batch of rows. What a fold decides depends on all that it admitted before, so one key's events are one
+sequence. A key of many events is cut into pieces, which tasks sort and read one after the other; its state goes from
+piece to piece as a row. So time is linear in the events, and a task's memory has a bound however many a key has.
+`gleaner.streaming.stateful` has the same decisions on streams.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
+from itertools import repeat
 from math import ceil
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-Decide = Callable[[tuple], tuple]
+from gleaner.storage import cut, remove, work_folder
 
+Start = Callable[[], Any]
+Decide = Callable[[Any, tuple], tuple]
+#: Rows of one key that a task sorts at once: a fixed value.
+PIECE = 1 << 20
 
-def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Callable[[], Decide], out: str) -> DataFrame:
+
+def ordered_fold(rows: DataFrame, keys: list[str], order: list[str], start: Start, decide: Decide, out: str) -> DataFrame:
     """rows with the columns `out` (DDL) added, which a fold over each key's rows in order gives.
 
-    start() begins a key: it returns a function from a row's values, in the order of the columns, to the added ones.
+    start() gives a key's first state, which can be pickled; decide(state, values) changes it and returns the added
+    values of a row, whose values are in the order of the columns. Rows of equal keys and order come in any order.
     """
     columns = rows.columns
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
     spots = [columns.index(k) for k in keys]
     names = [part.split()[0] for part in out.split(", ")]
-    dealt = rows.repartition(*keys) if keys else rows.repartition(1)
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+    arrow = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
+    types = [arrow[part.split()[1]] for part in out.split(", ")]
+
+    def listed(column: pa.Array) -> list:
+        """A column as Python values; numbers without nulls in one step."""
+        plain = column.null_count == 0 and (pa.types.is_integer(column.type) or pa.types.is_floating(column.type))
+        return column.to_numpy().tolist() if plain else column.to_pylist()
+
+    def left(row: pa.RecordBatch, state: Any) -> list[pa.RecordBatch]:
+        """The state as a row, if the key goes on in another piece; row is the last that was read."""
+        if not row.column(len(columns) + 1)[0].as_py():
+            return []
+        said = [*row.columns[: len(columns)], *(pa.nulls(1, kind) for kind in types), pa.array([pickle.dumps(state)], pa.binary())]
+        return [pa.RecordBatch.from_arrays(said, [*columns, *names, "__state"])]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, decide = None, start()
+        now, state, past, carried = None, start(), None, False
         for batch in batches:
+            carried = batch.num_columns > len(columns)
+            states = carried and batch.column(len(columns)).null_count < batch.num_rows
+            given = batch.column(len(columns)).to_pylist() if states else repeat(None)
+            lists = [listed(batch.column(k)) for k in range(len(columns))]
             made = []
-            for values in zip(*(batch.column(k).to_pylist() for k in range(len(columns)))):
-                key = tuple(values[k] for k in spots)
+            for i, (before, key, values) in enumerate(zip(given, zip(*(lists[k] for k in spots)) if spots else repeat(()), zip(*lists))):
                 if key != now:
-                    now, decide = key, start()
-                made.append(decide(values))
+                    ended = batch.slice(i - 1, 1) if i else past
+                    if carried and ended is not None:
+                        yield from left(ended, state)
+                    now, state = key, start()
+                if before is not None:
+                    state = pickle.loads(before)
+                else:
+                    made.append(decide(state, values))
+            past = batch.slice(batch.num_rows - 1, 1) if batch.num_rows else past
+            own = (batch.filter(batch.column(len(columns)).is_null()) if states else batch).columns[: len(columns)]
             added = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*columns, *names])
-
-    arrow = {"boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string()}
-    types = [arrow[part.split()[1]] for part in out.split(", ")]
-    return dealt.sortWithinPartitions(*keys, *order).mapInArrow(fold, f"{kinds}, {out}")
+            yield pa.RecordBatch.from_arrays([*own, *added, *([pa.nulls(len(made), pa.binary())] if carried else [])], [*columns, *names, *(["__state"] if carried else [])])
+        if carried and past is not None:
+            yield from left(past, state)
+
+    deal = lambda df: df.repartition(*keys) if keys else df.repartition(1)
+    total = rows.groupBy(*keys).count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()
+    if (total.most or 0) <= PIECE:
+        return deal(rows).sortWithinPartitions(*keys, *order).mapInArrow(fold, f"{kinds}, {out}")
+
+    spark = rows.sparkSession
+    folder = work_folder(spark)
+    # pieces are ranges of keys and order, so a key is in pieces that follow each other
+    rows.repartitionByRange(total.all // PIECE + 1, *keys, *order).withColumn("__piece", F.spark_partition_id()).write.partitionBy("__piece").parquet(f"{folder}/pieces")
+    placed = spark.read.schema(f"{kinds}, __piece int").parquet(f"{folder}/pieces")
+    spans = placed.groupBy(*keys).agg(F.min("__piece").alias("__lo"), F.max("__piece").alias("__hi")).where("__lo < __hi")
+    spans = cut(spans.select(*(F.col(k).alias(f"__{k}") for k in keys), "__lo", "__hi"))  # less rows than pieces
+    rounds = spans.agg(F.max(F.col("__hi") - F.col("__lo"))).first()[0] or 0
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    for k in range(rounds + 1):
+        if k == 0:
+            read = placed
+        else:  # the pieces in which a key goes on
+            read = placed.where(F.col("__piece").isin([r[0] for r in spans.where(f"__lo + {k} <= __hi").select(F.col("__lo") + k).distinct().collect()]))
+        met = read.join(F.broadcast(spans), same, "left" if k == 0 else "inner").where(F.col("__piece") == F.coalesce(F.col("__lo") + k, F.col("__piece")))
+        part = met.select(*columns, F.lit(None).cast("binary").alias("__state"), F.coalesce(F.col("__piece") < F.col("__hi"), F.lit(False)).alias("__more"))
+        if k:
+            part = part.unionByName(states.withColumn("__more", F.lit(True)), allowMissingColumns=True)
+        made = deal(part).sortWithinPartitions(*keys, F.col("__state").isNull(), *order).mapInArrow(fold, f"{kinds}, {out}, __state binary")
+        made.write.parquet(f"{folder}/made/__round={k}")
+        states = spark.read.schema(made.schema).parquet(f"{folder}/made/__round={k}").where("__state IS NOT NULL").select(*keys, "__state")
+    remove(spark, f"{folder}/pieces")
+    return spark.read.schema(made.schema).parquet(f"{folder}/made").where("__state IS NULL").select(*columns, *names)
 
 
 def _seconds(column: str) -> Column:
@@ -59,55 +122,45 @@ def sliding_admission(requests: DataFrame, keys: list[str], time_col: str, id_co
     without a time is admitted and not counted.
     """
 
-    def start() -> Decide:
-        live: deque = deque()
-
-        def decide(values: tuple) -> tuple:
-            at = values[-1]
-            if at is None:
-                return True, 0
-            while live and live[0] <= at - window_s:
-                live.popleft()
-            if len(live) < limit:
-                live.append(at)
-                return True, 0
-            return False, max(1, ceil(live[0] + window_s - at)) if live else 1
-
-        return decide
+    def decide(live: deque, values: tuple) -> tuple:
+        at = values[-1]
+        if at is None:
+            return True, 0
+        while live and live[0] <= at - window_s:
+            live.popleft()
+        if len(live) < limit:
+            live.append(at)
+            return True, 0
+        return False, max(1, ceil(live[0] + window_s - at)) if live else 1
 
     rows = requests.select(*keys, F.col(id_col).alias("id"), _seconds(time_col).alias("ts"))
-    return ordered_fold(rows, keys, ["ts", "id"], start, "admitted boolean, retry_after int")
+    return ordered_fold(rows, keys, ["ts", "id"], deque, decide, "admitted boolean, retry_after int")
 
 
 def recent_client_admission(requests: DataFrame, client_col: str, time_col: str, id_col: str, limit: int, window_s: float, clients: int = 10_000) -> DataFrame:
     """(client, id, ts, admitted): sliding_admission() of a server that remembers only the `clients` that asked last.
 
-    A client that fell out of memory starts anew. Which client falls out depends on all requests before, so one task
-    reads the sorted requests as a stream; it holds `clients` times `limit` times at most.
+    A client that fell out of memory starts anew. Which client falls out depends on all requests before, so they are
+    one sequence, which one task at a time reads in order; it holds `clients` times `limit` times at most.
     """
 
-    def start() -> Decide:
-        known: OrderedDict = OrderedDict()
-
-        def decide(values: tuple) -> tuple:
-            client, _, at = values
-            if at is None:
-                return (True,)
-            live = known.pop(client, None) or deque()
-            while live and live[0] <= at - window_s:
-                live.popleft()
-            free = len(live) < limit
-            if free:
-                live.append(at)
-            known[client] = live
-            if len(known) > clients:
-                known.popitem(last=False)
-            return (free,)
-
-        return decide
+    def decide(known: OrderedDict, values: tuple) -> tuple:
+        client, _, at = values
+        if at is None:
+            return (True,)
+        live = known.pop(client, None) or deque()
+        while live and live[0] <= at - window_s:
+            live.popleft()
+        free = len(live) < limit
+        if free:
+            live.append(at)
+        known[client] = live
+        if len(known) > clients:
+            known.popitem(last=False)
+        return (free,)
 
     rows = requests.select(F.col(client_col).alias("client"), F.col(id_col).alias("id"), _seconds(time_col).alias("ts"))
-    return ordered_fold(rows, [], ["ts", "id"], start, "admitted boolean")
+    return ordered_fold(rows, [], ["ts", "id"], OrderedDict, decide, "admitted boolean")
 
 
 def reserve_budget(requests: DataFrame, category_col: str, time_col: str, units_col: str, id_col: str, daily: int, monthly: int) -> DataFrame:
@@ -116,26 +169,24 @@ def reserve_budget(requests: DataFrame, category_col: str, time_col: str, units_
     A month's budget starts anew, so a category's months are separate folds. A request without a time or units isn't admitted.
     """
 
-    def start() -> Decide:
-        used = {"day": None, "today": 0, "month": 0}
-
-        def decide(values: tuple) -> tuple:
-            day, units = values[-2:]
-            if day is None or units is None:
-                return (False,)
-            if day != used["day"]:
-                used["day"], used["today"] = day, 0
-            fits = used["today"] + units <= daily and used["month"] + units <= monthly
-            if fits:
-                used["today"] += units
-                used["month"] += units
-            return (fits,)
-
-        return decide
+    def start() -> dict:
+        return {"day": None, "today": 0, "month": 0}
+
+    def decide(used: dict, values: tuple) -> tuple:
+        day, units = values[-2:]
+        if day is None or units is None:
+            return (False,)
+        if day != used["day"]:
+            used["day"], used["today"] = day, 0
+        fits = used["today"] + units <= daily and used["month"] + units <= monthly
+        if fits:
+            used["today"] += units
+            used["month"] += units
+        return (fits,)
 
     ts = F.col(time_col).cast("timestamp")
     rows = requests.select(F.col(category_col).alias("category"), F.date_format(ts, "yyyy-MM").alias("month"), F.unix_micros(ts).alias("at"), F.col(id_col).alias("id"), F.date_format(ts, "yyyy-MM-dd").alias("day"), F.col(units_col).cast("long").alias("units"))
-    return ordered_fold(rows, ["category", "month"], ["at", "id"], start, "admitted boolean").select("category", "id", "day", "units", "admitted")
+    return ordered_fold(rows, ["category", "month"], ["at", "id"], start, decide, "admitted boolean").select("category", "id", "day", "units", "admitted")
 
 
 def first_by_key(requests: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -179,31 +230,28 @@ def login_throttle(attempts: DataFrame, per_peer: int = 5, overall: int = 100, w
     to tasks, each of which reads its sorted attempts as a stream and holds `overall` admitted ones at most.
     """
 
-    def start() -> Decide:
-        live: deque = deque()
-        held: dict = {}
-
-        def decide(values: tuple) -> tuple:
-            peer, at = values[1], values[3]
-            if at is None:
-                return True, 0
-            while live and live[0][1] <= at - window_s:
-                gone = live.popleft()[0]
-                held[gone].popleft()
-                if not held[gone]:
-                    del held[gone]
-            own = held.get(peer, ())
-            full = ([own[0] if own else at] if len(own) >= per_peer else []) + ([live[0][1] if live else at] if len(live) >= overall else [])
-            if full:
-                return False, max(1, ceil(max(full) + window_s - at))
-            live.append((peer, at))
-            held.setdefault(peer, deque()).append(at)
-            return True, 0
+    def start() -> tuple:
+        return deque(), {}
 
-        return decide
+    def decide(state: tuple, values: tuple) -> tuple:
+        (live, held), peer, at = state, values[1], values[3]
+        if at is None:
+            return True, 0
+        while live and live[0][1] <= at - window_s:
+            gone = live.popleft()[0]
+            held[gone].popleft()
+            if not held[gone]:
+                del held[gone]
+        own = held.get(peer, ())
+        full = ([own[0] if own else at] if len(own) >= per_peer else []) + ([live[0][1] if live else at] if len(live) >= overall else [])
+        if full:
+            return False, max(1, ceil(max(full) + window_s - at))
+        live.append((peer, at))
+        held.setdefault(peer, deque()).append(at)
+        return True, 0
 
     rows = busy_stretches(attempts.select("peer", F.col("attempt_id").alias("id"), _seconds("at").alias("ts")), "ts", window_s)
-    return ordered_fold(rows.select("stretch", "peer", "id", "ts"), ["stretch"], ["ts", "id"], start, "admitted boolean, retry_after int").drop("stretch")
+    return ordered_fold(rows.select("stretch", "peer", "id", "ts"), ["stretch"], ["ts", "id"], start, decide, "admitted boolean, retry_after int").drop("stretch")
 
 
 def last_turns(turns: DataFrame, keys: list[str], order_col: str, context_cols: list[str], n: int = 4) -> DataFrame:

@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 from gleaner.llm import spotsigs
-from gleaner.operators import duplicates, graph
+from gleaner.operators import admission, conversations, duplicates, graph
 from gleaner.plans import catalogue
 from tests.test_oracle import TABLES, plain
 
@@ -86,3 +86,32 @@ def test_spotsigs_deal_out_rare_signatures_alone(spark):
     moved = shuffled(spark, lambda: found.extend(spotsigs.near_duplicates(df).collect()))
     assert {r.doc_id: r.component_id for r in found} == {k: 7 if k == 1000 else k for k, _ in rows}
     assert moved < 400 * 1200 * 4 / 1e6 * 12
+
+
+def most_rows(spark, run):
+    """The most rows that a task of run() reads from shuffles."""
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    listed = lambda: (seq.apply(k) for seq in (store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList()),) for k in range(seq.size()))
+    before = max((s.stageId() for s in listed()), default=-1)
+    run()
+    tasks = (seq.apply(k) for s in listed() if s.stageId() > before for seq in (store.taskList(s.stageId(), s.attemptId(), 1000),) for k in range(seq.size()))
+    return max(t.taskMetrics().get().shuffleReadMetrics().recordsRead() for t in tasks if t.taskMetrics().isDefined())
+
+
+def test_folds_sort_long_keys_in_pieces(spark, monkeypatch):
+    """One task sorted all rows of a key; now it sorts a piece, and the state goes on to the next."""
+    rng = random.Random(4)
+    turns = spark.createDataFrame([(rng.randrange(60), float(rng.randrange(9000)) if k % 50 else None, k) for k in range(4000)], "conv_id long, at double, turn long").repartition(4).cache()
+    attempts = turns.selectExpr("turn AS attempt_id", "conv_id AS peer", "timestamp_seconds(at + if(at > 7000, 5000, 0)) AS at")
+    whole = [
+        lambda: conversations.remembered_conversations(turns, 30, 40.0).collect(),
+        lambda: admission.login_throttle(attempts, 2, 20, 60.0).collect(),
+        lambda: admission.recent_client_admission(attempts, "peer", "at", "attempt_id", 2, 600.0, 25).collect(),
+        lambda: admission.sliding_admission(attempts.selectExpr("if(peer < 50, null, peer) AS peer", "attempt_id", "at"), ["peer"], "at", "attempt_id", 20, 60.0).collect(),
+    ]
+    want = [sorted(f(), key=repr) for f in whole]
+    monkeypatch.setattr(admission, "PIECE", 500, raising=False)
+    got = []
+    assert most_rows(spark, lambda: got.append(whole[0]())) < 1500
+    got += [f() for f in whole[1:]]
+    assert [sorted(g, key=repr) for g in got] == want and len(want[1]) == 4000
