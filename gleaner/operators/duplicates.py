@@ -69,11 +69,11 @@ def _marked(sets: DataFrame, threshold: float) -> DataFrame:
     return sets.select("c", "canonical_url", "source_id", "t").mapInArrow(mark, "c long, canonical_url string, source_id string, size int, head array<bigint>, sketch array<bigint>")
 
 
-def similar_pages(records: DataFrame, threshold: float = 0.95, first_words: int | None = 2000) -> DataFrame:
+def similar_pages(records: DataFrame, threshold: float = 0.95, first_words: int | None = None, wordless: bool = False) -> DataFrame:
     """(source_id, similar_to): for each record the earliest by URL whose words are alike by `threshold` or more.
 
-    Compared are the sets of the first words (None: of all) of records of a language, exact copies apart; equal sets are
-    one class. Two sets as alike as that share one of their rarest tokens: the longer's first n - ceil(t n) + 1 in order
+    Compared are the sets of all words (or of the first ones, if a number is given) of records of a language, exact copies
+    apart; equal sets are one class, those without words only if `wordless` ones are alike. Two sets as alike as that share one of their rarest tokens: the longer's first n - ceil(t n) + 1 in order
     of corpus frequency; where they first do, enough tokens must follow in both. Any one order of tokens will do, so
     frequencies are those of a table of counters, and only a set's rarest tokens are dealt out. Each class first meets the HEADS
     earliest of each of its tokens. What it is like there bounds what it still has to look for: something earlier. So
@@ -85,8 +85,8 @@ def similar_pages(records: DataFrame, threshold: float = 0.95, first_words: int
     words = X.words(F.col("content"))
     words = words if first_words is None else F.slice(words, 1, first_words)
     hashed = F.array_sort(F.array_distinct(F.transform(words, lambda x: F.xxhash64("language", x))))
-    rows = records.where("language IS NOT NULL").select("source_id", "canonical_url", hashed.alias("t")).where(F.size("t") > 0)
-    held = cut(rows.select("source_id", "canonical_url", F.xxhash64("t").alias("c"), "t"))
+    rows = records.where("language IS NOT NULL").select("source_id", "canonical_url", hashed.alias("t"), "language").where(F.size("t") >= (0 if wordless else 1))
+    held = cut(rows.select("source_id", "canonical_url", F.xxhash64("language", "t").alias("c"), "t"))
     order = F.struct("canonical_url", "source_id")
     classes = cut(_marked(held, threshold).groupBy("c").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("head").alias("head"), F.first("sketch").alias("sketch")))
     tokens = classes.select("c", "size", "first", F.posexplode("head").alias("place", "t"))

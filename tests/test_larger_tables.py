@@ -139,3 +139,20 @@ def test_chunk_packing_of_odd_texts(spark, tables):
 
 def test_chunk_rows_of_odd_texts(spark, tables):
     same_rows(spark, *tables(documents=ODD_TEXTS), "chunk_rows")
+
+
+def test_near_duplicates_by_whole_texts(spark, tables):
+    """Texts of the same first 2,000 words with three kinds of endings, one word of each its own; some begin with their endings."""
+    words = lambda w: f"(SELECT string_agg({w}, ' ' ORDER BY range) FROM range({2000 if w.startswith(chr(39) + 'w') else 1500}))"
+    head, end = words("'w' || range"), words("'x' || (doc_id % 3) || '_' || range")
+    text = f"CASE WHEN doc_id < 12 THEN {head} || ' ' || {end} || ' own' || doc_id WHEN doc_id < 18 THEN 'own' || doc_id || ' ' || {end} || ' ' || {head} ELSE text END"
+    folder, con = tables(documents=f"SELECT * REPLACE ({text} AS text, 'web' AS source, CASE WHEN doc_id < 18 THEN 'en' ELSE lang END AS lang) FROM documents_0")
+    found = {r.source_id: r.similar_to for r in catalogue.QUERIES["near_duplicates_first"](spark, folder).collect()}
+    first = {0: "doc_0", 1: "doc_1", 2: "doc_11"}  # by text
+    assert {k: v for k, v in found.items() if int(k[4:]) < 18} == {f"doc_{k}": first[k % 3] for k in range(18) if f"doc_{k}" != first[k % 3]}
+    same_rows(spark, folder, con, "near_duplicates_first")
+
+
+def test_near_duplicates_without_words(spark, tables):
+    """Sets without words are equal, as in SQL, in each language."""
+    same_rows(spark, *tables(documents="SELECT * REPLACE (CASE WHEN doc_id < 60 THEN CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '...' WHEN 2 THEN NULL WHEN 3 THEN repeat('!', doc_id::INT) ELSE text END ELSE text END AS text) FROM documents_0"), "near_duplicates_first")
