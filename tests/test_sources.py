@@ -191,6 +191,16 @@ def test_site_build(spark, tmp_path):
     assert (r.records, r.skipped, r.similar, r.entities, r.aliases, r.truncated) == (1, 2, 0, 2, 1, False) and r.chunks >= 2 and r.relationships == 3
 
 
+def test_site_build_reports_similar_pages_by_whole_texts(spark, tmp_path):
+    """The first 2,000 words of all pages are the same; only two pages end alike."""
+    head, ends = " ".join(f"word{i}" for i in range(2000)), [" ".join(f"{end}{i}" for i in range(1500)) for end in ("one", "two")]
+    texts = {"a": f"{head} {ends[0]}", "b": f"{head} {ends[1]}", "c": f"{head} {ends[1]} more", "d": f"{ends[0]} {head} again"}
+    df = spark.createDataFrame([(HOME + k, f"<html lang=en><p>{t}</p>") for k, t in texts.items()], "url string, html string")
+    made = build.build_site(df, str(tmp_path / "b"), HOME)
+    url = {r.source_id: r.canonical_url for r in made["records"].collect()}
+    assert {(url[r.source_id], url[r.similar_to]) for r in made["similar"].collect()} == {(HOME + "c", HOME + "b"), (HOME + "d", HOME + "a")}
+
+
 def test_row_blocks(spark):
     rows = spark.range(60).select(F.col("id"), (F.col("id") * 2).alias("v"))
     got = imports.row_blocks(rows, ["id"], ["id", "v"]).orderBy("block").collect()
