@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators import graph, index
+from gleaner.operators.duplicates import similar_pages
 from gleaner.sources import pages as P
+from gleaner.storage import remove
 
 STAGES = ("records", "skipped", "similar", "chunks", "entities", "relationships", "aliases", "evidence", "report")
 
 
 def build_site(pages: DataFrame, folder: str, home: str | None = None, languages: tuple[str, ...] = ("en", "sv"), caps: dict[str, int | None] = graph.CAPS) -> dict[str, DataFrame]:
-    """Every dataset of STAGES under `folder`, each written before the next is made from it, and read back."""
+    """Every dataset of STAGES under `folder`, each written before the next is made from it, and read back. Pages are extracted once, to a dataset that goes when it is parted."""
     spark = pages.sparkSession
     made: dict[str, DataFrame] = {}
 
@@ -23,10 +25,12 @@ def build_site(pages: DataFrame, folder: str, home: str | None = None, languages
         made[name] = spark.read.parquet(f"{folder}/{name}")
         return made[name]
 
-    records, skipped, similar = P.corpus(pages, home, languages)
+    P.extract(pages, home, languages).write.parquet(f"{folder}/extracted")
+    records, skipped = P.parted(spark.read.parquet(f"{folder}/extracted"))
     records = keep("records", records)
     keep("skipped", skipped)
-    keep("similar", similar)
+    remove(spark, f"{folder}/extracted")
+    keep("similar", similar_pages(records))
     keep("chunks", index.chunks(records, "sections"))
     for name, df in graph.build_graph(records, caps).items():
         keep(name, df)
